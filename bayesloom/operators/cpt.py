@@ -94,3 +94,10 @@ def weights_to_cpts(weights: DataFrame, cards: dict, noise: float = 0.0) -> Data
         w = w.withColumn("__e", F.coalesce(F.col("__e") / F.sum("__e").over(grp), F.lit(0.0)))
         w = w.withColumn("__e", F.col("__e") + F.when(F.col("__e") == 0, F.lit(float(noise))).otherwise(0.0))
     return with_intervals(w.select("child", "pa", "value", "__e"), p_col="__e")
+
+
+def cpt_check_summary(cpts: DataFrame, tol: float = 1e-9) -> DataFrame:
+    """G5 report: per child, configurations checked and configurations off by more than ``tol``."""
+    s = cpts.groupBy("child", "pa").agg(F.sum("p").alias("total"))
+    return s.groupBy("child").agg(F.count(F.lit(1)).alias("n_configs"),
+                                  F.sum((F.abs(F.col("total") - 1.0) > tol).cast("int")).alias("n_bad"))

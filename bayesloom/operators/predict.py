@@ -37,6 +37,7 @@ class GaussianNB:
     mean: dict = field(default_factory=dict)
     var: dict = field(default_factory=dict)
     n_rows: float = 0.0
+    counts: dict = field(default_factory=dict)
 
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str], label: str, var_smoothing: float = 1e-9) -> "GaussianNB":
@@ -52,6 +53,7 @@ class GaussianNB:
             c = r[label]
             m.classes.append(c)
             m.prior[c] = r["__n"] / total
+            m.counts[c] = int(r["__n"])
             m.mean[c] = {f: float(r[f"m_{f}"]) for f in features}
             m.var[c] = {f: float(r[f"v_{f}"]) + eps for f in features}
         return m
@@ -63,7 +65,7 @@ class GaussianNB:
             for f in self.features:
                 v = self.var[c][f]
                 t = t - F.lit(0.5 * math.log(2 * math.pi * v)) - F.pow(F.col(f).cast("double") - F.lit(self.mean[c][f]), 2) / F.lit(2 * v)
-            arr.append(t)
+            arr.append(F.round(t, 9))
         return F.array(*arr)
 
     def predict(self, df: DataFrame, out: str = "pred", proba: str | None = None) -> DataFrame:
@@ -111,6 +113,8 @@ def bn_map_predict(df: DataFrame, cpts: DataFrame, edges, nodes: Sequence[str],
     total = terms[0]
     for t in terms[1:]:
         total = F.zip_with(total, t, lambda a, b: a + b)
+    # scores rounded to 9 decimals so that ties are pinned to the lowest label value
+    total = F.transform(total, lambda v: F.when(v == F.lit(NEG_INF), v).otherwise(F.round(v, 9)))
     d = d.withColumn(out, argmax_expr(total))
     return d.drop(*[f"__a{i}" for i in range(len(fams))])
 

@@ -79,11 +79,12 @@ def gaussian_nb_sample(spark, model, n: int, seed=42, num_partitions: int | None
     """Y from the prior's cumulative intervals, each feature ~ N(mean, var) given y."""
     parts = num_partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     classes = model.classes
-    cum, acc = [], 0.0
+    # cumulative prior from integer counts: exact interval ends, last one is 1.0
+    cum, acc = [], 0
+    total = sum(model.counts[c] for c in classes)
     for c in classes:
-        acc += model.prior[c]
-        cum.append(acc)
-    cum[-1] = 1.0
+        acc += model.counts[c]
+        cum.append(acc / total)
     s = spark.range(0, int(n), 1, parts).withColumnRenamed("id", key)
     u = hash_uniform(F.col(key).cast("string"), model.label, str(seed))
     idx = F.size(F.filter(F.array(*[F.lit(c) for c in cum]), lambda c: c <= u))

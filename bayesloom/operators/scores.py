@@ -39,8 +39,9 @@ def _q(parents: Sequence[str], cards: dict) -> float:
 def local_scores(df: DataFrame, families: Sequence[Family], cards: dict, kind: str = "bic",
                  ess: float = 10.0, weight: str | None = None, compacted: bool = False,
                  n_rows: float | None = None) -> DataFrame:
-    """K7: (fam, score) for each family; ``kind`` in SCORES or a callable.
+    """K7: (fam, score) for each family; ``kind`` in SCORES, ``"all"`` or a callable.
 
+    ``"all"`` returns every score of SCORES as a column from the same aggregation.
     A callable gets the Columns (n, n_pa, r, q, N) of the cell level and returns the
     per-cell term to sum (custom decomposable score).
     """
@@ -56,34 +57,51 @@ def local_scores(df: DataFrame, families: Sequence[Family], cards: dict, kind: s
         from pyspark.sql import Window
         t = ct.withColumn("n_pa", F.sum("n").over(Window.partitionBy("fam", "pa")))
         return t.groupBy("fam").agg(F.sum(kind(F.col("n"), F.col("n_pa"), F.col("r"), F.col("q"), N)).alias("score"))
-    if kind == "bds":
+    need_bds = kind in ("bds", "all")
+    if need_bds:
+        # observed parent configurations per family (BDs prior); a small aggregate
         qobs = ct.groupBy("fam").agg(F.countDistinct("pa").cast("double").alias("q_obs"))
-        ct = ct.join(F.broadcast(qobs), "fam").withColumn("q", F.col("q_obs")).drop("q_obs")
+        ct = ct.join(F.broadcast(qobs), "fam")
+    else:
+        ct = ct.withColumn("q_obs", F.col("q"))
     beta = F.lit(ess) / (F.col("r") * F.col("q"))
-    alpha = F.lit(ess) / F.col("q")
+    beta_s = F.lit(ess) / (F.col("r") * F.col("q_obs"))
     cell = {
         "nlnn": F.col("n") * F.log(F.col("n")),
         "lg1": lgamma(F.col("n") + 1),
         "lgb": lgamma(F.col("n") + beta) - lgamma(beta),
+        "lgs": lgamma(F.col("n") + beta_s) - lgamma(beta_s),
     }
-    lvl1 = ct.groupBy("fam", "pa", "r", "q").agg(F.sum("n").alias("n_pa"), *[F.sum(v).alias(k) for k, v in cell.items()])
+    if kind not in ("all", "k2"):
+        cell.pop("lg1")
+    if kind not in ("all", "bdeu"):
+        cell.pop("lgb")
+    if kind not in ("all", "bds"):
+        cell.pop("lgs")
+    lvl1 = ct.groupBy("fam", "pa", "r", "q", "q_obs").agg(F.sum("n").alias("n_pa"), *[F.sum(v).alias(k) for k, v in cell.items()])
     npa = F.col("n_pa")
-    conf = {
-        "ll": F.col("nlnn") - npa * F.log(npa),
-        "k2": lgamma(F.col("r")) - lgamma(npa + F.col("r")) + F.col("lg1"),
-        "bdeu": lgamma(alpha) - lgamma(npa + alpha) + F.col("lgb"),
-    }
+    alpha = F.lit(ess) / F.col("q")
+    alpha_s = F.lit(ess) / F.col("q_obs")
+    conf = {"ll": F.col("nlnn") - npa * F.log(npa)}
+    if "lg1" in cell:
+        conf["k2"] = lgamma(F.col("r")) - lgamma(npa + F.col("r")) + F.col("lg1")
+    if "lgb" in cell:
+        conf["bdeu"] = lgamma(alpha) - lgamma(npa + alpha) + F.col("lgb")
+    if "lgs" in cell:
+        conf["bds"] = lgamma(alpha_s) - lgamma(npa + alpha_s) + F.col("lgs")
     fam = lvl1.groupBy("fam", "r", "q").agg(*[F.sum(v).alias(k) for k, v in conf.items()])
     penalty = F.col("q") * (F.col("r") - 1)
-    score = {
+    cols = {
         "ll": F.col("ll"),
         "bic": F.col("ll") - F.lit(0.5) * F.log(N) * penalty,
         "aic": F.col("ll") - penalty,
-        "k2": F.col("k2"),
-        "bdeu": F.col("bdeu"),
-        "bds": F.col("bdeu"),
-    }[kind]
-    return fam.select("fam", score.alias("score"))
+    }
+    for k in ("k2", "bdeu", "bds"):
+        if k in conf:
+            cols[k] = F.col(k)
+    if kind == "all":
+        return fam.select("fam", *[v.alias(k) for k, v in cols.items()])
+    return fam.select("fam", cols[kind].alias("score"))
 
 
 def structure_prior_ratio(op: str, kind: str = "bic") -> float:

@@ -74,7 +74,7 @@ def parents_without_label(edges: Sequence[Edge], label: str, features: Sequence[
     for s, t in edges:
         if s != label and t in out:
             out[t].append(s)
-    return {f: sorted(ps, key=lambda p: pos[p]) for f, ps in out.items()}
+    return {f: sorted(ps, key=lambda p: (pos.get(p, len(pos)), p)) for f, ps in out.items()}
 
 
 def naive_structure(features: Sequence[str], label: str) -> list[Edge]:

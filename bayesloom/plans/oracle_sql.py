@@ -116,3 +116,82 @@ def local_terms_sql(view: str, fams: list[tuple[str, tuple]], cards: dict, n_row
 
 def probit(u: str) -> str:
     return probit_sql(u)
+
+
+def li_cards_sql(view: str = "li") -> dict:
+    """Domain size SQL per node: 5 for binned columns, distinct count for coded ones."""
+    return {"qty_b": "5", "price_b": "5", "disc_b": "5", "tax_b": "5",
+            "status": f"(SELECT count(DISTINCT status) FROM {view})", "target": f"(SELECT count(DISTINCT target) FROM {view})"}
+
+
+def family_terms_sql(view: str, fams: list[tuple[str, tuple]], cards: dict, ess: float = 10.0) -> str:
+    """(family, ll, bic, aic, k2, bdeu, bds) for families (child, parents); cards are SQL expressions."""
+    parts = []
+    for child, pa in fams:
+        name = child + "|" + ",".join(pa)
+        gb = ", ".join([child, *pa])
+        pa_key = ("concat_ws(',', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in pa) + ")") if pa else "''"
+        q = " * ".join(f"({cards[p]})" for p in pa) if pa else "1"
+        parts.append(f"SELECT '{name}' AS family, {pa_key} AS pa, count(*) * 1e0 AS n, ({cards[child]}) * 1e0 AS r, ({q}) * 1e0 AS q "
+                     f"FROM {view} GROUP BY {gb}")
+    cells = " UNION ALL ".join(parts)
+    return (
+        f"(WITH cells AS ({cells}), qo AS (SELECT family, count(DISTINCT pa) * 1e0 AS q_obs FROM cells GROUP BY family), "
+        f"c2 AS (SELECT c.*, q_obs FROM cells c JOIN qo USING (family)), "
+        f"lv AS (SELECT family, pa, r, q, q_obs, sum(n) AS n_pa, sum(n * ln(n)) AS nlnn, sum(lgamma(n + 1)) AS lg1, "
+        f"sum(lgamma(n + {ess} / (r * q)) - lgamma({ess} / (r * q))) AS lgb, "
+        f"sum(lgamma(n + {ess} / (r * q_obs)) - lgamma({ess} / (r * q_obs))) AS lgs FROM c2 GROUP BY family, pa, r, q, q_obs), "
+        f"fm AS (SELECT family, r, q, sum(nlnn - n_pa * ln(n_pa)) AS ll, sum(lgamma(r) - lgamma(n_pa + r) + lg1) AS k2, "
+        f"sum(lgamma({ess} / q) - lgamma(n_pa + {ess} / q) + lgb) AS bdeu, "
+        f"sum(lgamma({ess} / q_obs) - lgamma(n_pa + {ess} / q_obs) + lgs) AS bds FROM lv GROUP BY family, r, q) "
+        f"SELECT family, ll, ll - 0.5 * ln((SELECT count(*) FROM {view}) * 1e0) * q * (r - 1) AS bic, ll - q * (r - 1) AS aic, "
+        f"k2, bdeu, bds FROM fm)")
+
+
+def naive_cpt_ctes(view: str, feats: list[str], label: str, prefix: str = "cpt") -> str:
+    """CPT CTEs of the naive structure: {prefix}_{label}(value, lo, hi) and {prefix}_{f}(p0, value, lo, hi)."""
+    run = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    out = [f"{prefix}_{label} AS (SELECT value, n, (sum(n) OVER (ORDER BY value {run}) - n) / sum(n) OVER () AS lo, "
+           f"sum(n) OVER (ORDER BY value {run}) / sum(n) OVER () AS hi FROM "
+           f"(SELECT {label} AS value, count(*) * 1e0 AS n FROM {view} GROUP BY {label}))"]
+    for f in feats:
+        w = f"PARTITION BY p0 ORDER BY value {run}"
+        out.append(f"{prefix}_{f} AS (SELECT p0, value, n, (sum(n) OVER ({w}) - n) / sum(n) OVER (PARTITION BY p0) AS lo, "
+                   f"sum(n) OVER ({w}) / sum(n) OVER (PARTITION BY p0) AS hi FROM "
+                   f"(SELECT {label} AS p0, {f} AS value, count(*) * 1e0 AS n FROM {view} GROUP BY {label}, {f}))")
+    return ", ".join(out)
+
+
+def naive_sample_ctes(view: str, feats: list[str], label: str, seed: int = 42, out: str = "sample",
+                      prefix: str = "cpt", cards: dict | None = None) -> str:
+    """Ancestral sample of N = |view| rows from the naive structure (label first, then features)."""
+    ctes = [naive_cpt_ctes(view, feats, label, prefix),
+            f"{out}_0 AS (SELECT row_number() OVER () - 1 AS row_id FROM {view})",
+            f"{out}_1 AS (SELECT s.row_id, c.value AS {label} FROM {out}_0 s JOIN {prefix}_{label} c "
+            f"ON {u_sql('s.row_id', label, seed)} >= c.lo AND {u_sql('s.row_id', label, seed)} < c.hi)"]
+    prev = f"{out}_1"
+    for i, f in enumerate(feats):
+        cur = f"{out}_{i + 2}"
+        u = u_sql("s.row_id", f, seed)
+        card = (cards or li_cards_sql(view))[f]
+        ctes.append(f"{cur} AS (SELECT s.*, coalesce(c.value, CAST(floor({u} * {card}) AS INTEGER)) AS {f} FROM {prev} s "
+                    f"LEFT JOIN {prefix}_{f} c ON c.p0 = s.{label} AND {u} >= c.lo AND {u} < c.hi)")
+        prev = cur
+    ctes.append(f"{out} AS (SELECT row_id, {', '.join(feats)}, {label} FROM {prev})")
+    return ", ".join(ctes)
+
+
+def naive_map_ctes(train: str, test: str, feats: list[str], label: str, out: str = "pred") -> str:
+    """MAP label of each test row under the naive structure fitted on ``train`` → out(row_key, pred)."""
+    pf = " UNION ALL ".join(
+        f"SELECT '{f}' AS f, {f} AS v, {label} AS y, ln(count(*) * 1e0 / sum(count(*)) OVER (PARTITION BY {label})) AS lp "
+        f"FROM {train} GROUP BY {f}, {label}" for f in feats)
+    tl = " UNION ALL ".join(f"SELECT row_key, '{f}' AS f, {f} AS v FROM {test}" for f in feats)
+    return (
+        f"{out}_py AS (SELECT {label} AS y, ln(count(*) * 1e0 / (SELECT count(*) FROM {train})) AS lp FROM {train} GROUP BY {label}), "
+        f"{out}_pf AS ({pf}), {out}_tl AS ({tl}), "
+        f"{out}_sc AS (SELECT tl.row_key, py.y, round(any_value(py.lp) + sum(pf.lp), 9) AS s, count(pf.lp) AS k FROM {out}_tl tl "
+        f"CROSS JOIN {out}_py py LEFT JOIN {out}_pf pf ON pf.f = tl.f AND pf.v = tl.v AND pf.y = py.y GROUP BY tl.row_key, py.y), "
+        f"{out}_best AS (SELECT row_key, y FROM (SELECT row_key, y, row_number() OVER (PARTITION BY row_key ORDER BY s DESC, y) AS rn "
+        f"FROM {out}_sc WHERE k = {len(feats)}) WHERE rn = 1), "
+        f"{out} AS (SELECT t.row_key, CAST(b.y AS INTEGER) AS pred FROM {test} t LEFT JOIN {out}_best b USING (row_key))")

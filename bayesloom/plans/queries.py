@@ -14,7 +14,7 @@ from bayesloom.operators import encode as E
 from bayesloom.operators import scores as S
 from bayesloom.operators import select as SEL
 from bayesloom.operators import structure as K
-from bayesloom.operators.cpt import cpt_check, fit_cpts
+from bayesloom.operators.cpt import cpt_check, cpt_check_summary, fit_cpts
 from bayesloom.operators.predict import GaussianNB, bn_map_predict
 from bayesloom.operators.sample import ancestral_sample, gaussian_nb_sample, union_labelled
 from bayesloom.plans import oracle_sql as O
@@ -373,3 +373,344 @@ def q_wasserstein(spark, d):
     rs = raw.join(sp.select("row_key", "is_test"), "row_key")
     out = C.wasserstein1(rs.filter(~F.col("is_test")), rs.filter(F.col("is_test")), LI_DOUBLES)
     return out.select(F.col("column").alias("col_name"), _r("w1").alias("w1"))
+
+
+# ------------------------------------------------------------------ K: structure and scores
+
+_FEATS = O.LI_FEATURES
+_NAIVE = [("target", f) for f in _FEATS]
+
+
+@register("kdb_edges", f"WITH {O.view_cte('li')} {O.kdb_sql('li', _FEATS, 'target', 2)}".replace(
+    f"WITH {O.view_cte('li')} WITH ", f"WITH {O.view_cte('li')}, "))
+def q_kdb_edges(spark, d):
+    """K1: k-dependence structure (k = 2) from MI ranks and CMI."""
+    v = _li(spark, d)
+    return K.edges_df(spark, K.kdb_structure(v.df, v.features, v.label, 2))
+
+
+@register("kdb_parents", (f"WITH {O.view_cte('li')}, e AS ({O.kdb_sql('li', _FEATS, 'target', 2)}), ix AS ({O.idx_sql(_FEATS)}) "
+                          "SELECT dst AS child, coalesce(string_agg(src, ',' ORDER BY idx), '') AS parents FROM "
+                          "(SELECT e.dst, CASE WHEN e.src = 'target' THEN NULL ELSE e.src END AS src, ix.idx FROM e LEFT JOIN ix ON ix.feature = e.src) "
+                          "GROUP BY dst").replace("e AS (WITH ", "e AS (WITH "))
+def q_kdb_parents(spark, d):
+    """K2: feature parents of each feature (label removed), ordered by feature position."""
+    v = _li(spark, d)
+    ps = K.parents_without_label(K.kdb_structure(v.df, v.features, v.label, 2), v.label, v.features)
+    return spark.createDataFrame([(c, ",".join(p)) for c, p in ps.items()], "child string, parents string")
+
+
+_HO = {"qty_b": ("disc_b", "tax_b"), "price_b": ("qty_b",), "status": ()}
+
+
+@register("high_order_codes", f"WITH {O.view_cte('li')}, c AS (SELECT row_key, "
+          "disc_b * 25 + tax_b * 5 + qty_b AS qty_b, qty_b * 5 + price_b AS price_b, status FROM li) "
+          "SELECT row_key, CAST(dense_rank() OVER (ORDER BY qty_b) - 1 AS INTEGER) AS qty_b_ho, "
+          "CAST(dense_rank() OVER (ORDER BY price_b) - 1 AS INTEGER) AS price_b_ho, "
+          "CAST(dense_rank() OVER (ORDER BY status) - 1 AS INTEGER) AS status_ho FROM c")
+def q_high_order_codes(spark, d):
+    """K3: mixed-radix code of (child, parents), compressed to the observed combinations."""
+    v = _li(spark, d)
+    feats = list(_HO)
+    edges = [(p, c) for c, ps in _HO.items() for p in ps] + [(v.label, c) for c in feats]
+    enc = K.HighOrderEncoder.fit(v.df, feats, v.label, v.cards(), edges=edges)
+    return enc.transform(v.df).select("row_key", "qty_b_ho", "price_b_ho", "status_ho")
+
+
+@register("high_order_constraints", f"WITH {O.view_cte('li')} SELECT disc_b, tax_b, count(DISTINCT qty_b) AS n_child_values FROM li GROUP BY disc_b, tax_b")
+def q_high_order_constraints(spark, d):
+    """K4: number of child values seen under each observed parent configuration."""
+    v = _li(spark, d)
+    return K.high_order_constraints(v.df, "qty_b", ["disc_b", "tax_b"])
+
+
+_LS_FAMS = [("target", ())] + [(f, ("target",)) for f in _FEATS] + [(f, ("target", g)) for f in _FEATS for g in _FEATS if g != f]
+
+
+def _fam_name(child, pa):
+    return child + "|" + ",".join(pa)
+
+
+@register("local_scores", f"WITH {O.view_cte('li')} SELECT family, " + ", ".join(
+    f"round({k}, 4) AS {k}" for k in ("ll", "bic", "aic", "k2", "bdeu", "bds")) + f" FROM {O.family_terms_sql('li', _LS_FAMS, O.li_cards_sql())}")
+def q_local_scores(spark, d):
+    """K7: LL, BIC, AIC, K2, BDeu and BDs of 26 families in one family-count job."""
+    v = _li(spark, d)
+    sc = S.local_scores(v.df, _LS_FAMS, v.cards(), "all")
+    names = spark.createDataFrame([(i, _fam_name(c, p)) for i, (c, p) in enumerate(_LS_FAMS)], "fam int, family string")
+    return sc.join(F.broadcast(names), "fam").select("family", *[_r(k, 4).alias(k) for k in ("ll", "bic", "aic", "k2", "bdeu", "bds")])
+
+
+_NAIVE_FAMS = [("target", ())] + [(f, ("target",)) for f in _FEATS]
+
+
+def _bicg_sql() -> str:
+    n = "(SELECT count(*) * 1e0 FROM li)"
+    parts = [f"SELECT 'target' AS node, var_pop(target * 1e0) AS v, 0 AS k FROM li"]
+    for f in _FEATS:
+        parts.append(f"SELECT '{f}', var_pop({f} * 1e0) - covar_pop({f} * 1e0, target * 1e0) * covar_pop({f} * 1e0, target * 1e0) / var_pop(target * 1e0), 1 FROM li")
+    return (f"SELECT 'bic-g' AS kind, round(sum(-{n} / 2 * (ln(2 * pi() * v) + 1) - (k + 2) / 2.0 * ln({n})), 3) AS score "
+            f"FROM ({' UNION ALL '.join(parts)})")
+
+
+@register("structure_score", f"WITH {O.view_cte('li')}, t AS {O.family_terms_sql('li', _NAIVE_FAMS, O.li_cards_sql())} "
+          + " UNION ALL ".join(f"SELECT '{k}' AS kind, round(sum({k}), 3) AS score FROM t" for k in ("ll", "bic", "aic", "k2", "bdeu", "bds"))
+          + " UNION ALL " + _bicg_sql())
+def q_structure_score(spark, d):
+    """K9: Σ local scores of the naive structure, six discrete scores and the Gaussian BIC."""
+    v = _li(spark, d)
+    sc = S.local_scores(v.df, _NAIVE_FAMS, v.cards(), "all")
+    kinds = ("ll", "bic", "aic", "k2", "bdeu", "bds")
+    tot = sc.agg(*[F.sum(k).alias(k) for k in kinds])
+    stack = ", ".join(f"'{k}', `{k}`" for k in kinds)
+    disc = tot.select(F.expr(f"stack({len(kinds)}, {stack}) as (kind, score)"))
+    g = S.structure_score(v.df, _NAIVE, v.nodes, v.cards(), "bic-g")
+    gauss = spark.createDataFrame([("bic-g", float(g))], "kind string, score double")
+    return disc.unionByName(gauss).select("kind", _r("score", 3).alias("score"))
+
+
+def _delta_sql() -> str:
+    fams = [("target", ())] + [(f, ()) for f in _FEATS] + [(f, ("target",)) for f in _FEATS] + [("target", (f,)) for f in _FEATS] \
+        + [(y, ("target", x)) for y in _FEATS for x in _FEATS if x != y]
+    adds = " UNION ALL ".join(
+        f"SELECT '+|{x}|{y}' AS op, (SELECT bic FROM t WHERE family = '{y}|target,{x}') - (SELECT bic FROM t WHERE family = '{y}|target') AS delta"
+        for x in _FEATS for y in _FEATS if x != y)
+    flips = " UNION ALL ".join(
+        f"SELECT 'flip|target|{x}' AS op, (SELECT bic FROM t WHERE family = 'target|{x}') + (SELECT bic FROM t WHERE family = '{x}|') "
+        f"- (SELECT bic FROM t WHERE family = 'target|') - (SELECT bic FROM t WHERE family = '{x}|target') AS delta" for x in _FEATS)
+    return f"WITH {O.view_cte('li')}, t AS {O.family_terms_sql('li', fams, O.li_cards_sql())}, ops AS ({adds} UNION ALL {flips})"
+
+
+def _naive_cache(spark, d):
+    v = _li(spark, d)
+    # family keys use node order: features then label, so the label sorts last
+    return v, K.FamilyScoreCache(v.df, v.nodes, v.cards(), "bic")
+
+
+def _op_text(op):
+    return f"{op[0]}|{op[1][0]}|{op[1][1]}"
+
+
+@register("score_neighbours", _delta_sql() + " SELECT op, round(delta, 4) + 0.0 AS delta FROM ops")
+def q_score_neighbours(spark, d):
+    """K10 + K11: every legal move from the naive structure with its BIC Δ (one scoring job)."""
+    v, cache = _naive_cache(spark, d)
+    ops = K.neighbours(_NAIVE, v.nodes)
+    rows = [(_op_text(op), float(delta)) for op, delta in K.score_neighbours(cache, _NAIVE, ops)]
+    return spark.createDataFrame(rows, "op string, delta double").select("op", (_r("delta", 4) + F.lit(0.0)).alias("delta"))
+
+
+@register("hill_climb_step", _delta_sql() + " SELECT CASE WHEN delta >= 1e-4 THEN op ELSE 'none' END AS op, round(delta, 4) AS delta "
+          "FROM ops ORDER BY round(delta, 9) DESC, op LIMIT 1")
+def q_hill_climb_step(spark, d):
+    """The best move by Δ (ties by op text), 'none' below ε = 1e-4."""
+    v, cache = _naive_cache(spark, d)
+    op, delta = K.hill_climb_step(cache, _NAIVE, [])
+    return spark.createDataFrame([(_op_text(op) if op else "none", float(delta))], "op string, delta double").select(
+        "op", _r("delta", 4).alias("delta"))
+
+
+@register("hill_climb")
+def q_hill_climb(spark, d):
+    """Hill climbing to a local optimum from the naive structure (edges)."""
+    v, cache = _naive_cache(spark, d)
+    return K.edges_df(spark, K.hill_climb(v.df, v.nodes, v.cards(), "bic", start=_NAIVE, cache=cache))
+
+
+@register("hill_climb_k2")
+def q_hill_climb_k2(spark, d):
+    """K14 with the K2 score from the empty graph, at most 2 parents per node."""
+    v = _li(spark, d)
+    return K.edges_df(spark, K.hill_climb(v.df, v.nodes, v.cards(), "k2", max_indegree=2))
+
+
+@register("tree_search")
+def q_tree_search(spark, d):
+    """Chow–Liu tree over all columns of the view, rooted at the largest MI sum."""
+    v = _li(spark, d)
+    return K.edges_df(spark, K.tree_search(v.df, v.nodes))
+
+
+@register("mi_ordered_candidates", f"WITH {O.view_cte('li')}, mi AS ({O.mi_sql('li', _FEATS, 'target')}), ix AS ({O.idx_sql(_FEATS)}), "
+          "rk AS (SELECT feature, row_number() OVER (ORDER BY round(mi, 10) DESC, idx) - 1 AS r FROM mi JOIN ix USING (feature)) "
+          "SELECT a.feature AS src, b.feature AS dst FROM rk a JOIN rk b ON a.r > b.r")
+def q_mi_candidates(spark, d):
+    """Candidate edges from lower-MI to higher-MI features, minus existing edges."""
+    v = _li(spark, d)
+    mi, _ = K.mi_cmi(v.df, v.features, v.label)
+    order = K.mi_order(mi, v.features)
+    return K.edges_df(spark, K.mi_ordered_candidates(_NAIVE, order))
+
+
+@register("state_key", f"WITH {O.view_cte('li')}, e AS ({O.kdb_sql('li', _FEATS, 'target', 2)}) "
+          "SELECT sha256(string_agg(src || '>' || dst, ';' ORDER BY src || '>' || dst)) AS state_key FROM e")
+def q_state_key(spark, d):
+    """Set-equality key of the kDB structure."""
+    v = _li(spark, d)
+    return K.state_key_df(K.edges_df(spark, K.kdb_structure(v.df, v.features, v.label, 2)))
+
+
+# ------------------------------------------------------------------ G: parameters, generation, inference
+
+def _naive_cpts(spark, d):
+    v = _li(spark, d)
+    return v, fit_cpts(v.df, _NAIVE, v.nodes)
+
+
+def _naive_cpt_sql_rows() -> str:
+    parts = [f"SELECT 'target' AS child, '' AS pa, CAST(value AS INTEGER) AS value, round(n / sum(n) OVER (), 6) AS p, round(lo, 6) AS cum_lo, round(hi, 6) AS cum_hi FROM cpt_target"]
+    for f in _FEATS:
+        parts.append(f"SELECT '{f}', CAST(p0 AS VARCHAR), CAST(value AS INTEGER), round(n / sum(n) OVER (PARTITION BY p0), 6), round(lo, 6), round(hi, 6) FROM cpt_{f}")
+    return " UNION ALL ".join(parts)
+
+
+@register("fit_cpts", f"WITH {O.view_cte('li')}, {O.naive_cpt_ctes('li', _FEATS, 'target')} {_naive_cpt_sql_rows()}")
+def q_fit_cpts(spark, d):
+    """G1: maximum-likelihood CPTs of the naive structure with sampling intervals."""
+    v, cp = _naive_cpts(spark, d)
+    return cp.select("child", F.array_join(F.col("pa").cast("array<string>"), ",").alias("pa"), "value",
+                     _r("p").alias("p"), _r("cum_lo").alias("cum_lo"), _r("cum_hi").alias("cum_hi"))
+
+
+@register("cpt_check", f"WITH {O.view_cte('li')} SELECT 'target' AS child, 1 AS n_configs, 0 AS n_bad UNION ALL " + " UNION ALL ".join(
+    f"SELECT '{f}', count(DISTINCT target), 0 FROM li" for f in _FEATS))
+def q_cpt_check(spark, d):
+    """Every configuration of every fitted CPT sums to 1 (n_bad = 0)."""
+    v, cp = _naive_cpts(spark, d)
+    return cpt_check_summary(cp).select("child", F.col("n_configs").cast("int").alias("n_configs"), F.col("n_bad").cast("int").alias("n_bad"))
+
+
+_SAMPLE_SQL = f"WITH {O.view_cte('li')}, {O.naive_sample_ctes('li', _FEATS, 'target')}"
+
+
+@register("ancestral_sample", _SAMPLE_SQL + " SELECT * FROM sample")
+def q_ancestral_sample(spark, d):
+    """N synthetic rows from the naive structure (hash uniforms, broadcast CPT joins)."""
+    v, cp = _naive_cpts(spark, d)
+    n = v.df.count()
+    return ancestral_sample(spark, cp, _NAIVE, v.nodes, v.cards(), n, seed=42)
+
+
+@register("sample_decoded", _SAMPLE_SQL + ", ds AS (SELECT DISTINCT l_linestatus AS v FROM lineitem), "
+          "dt AS (SELECT DISTINCT l_returnflag AS v FROM lineitem), "
+          "ds2 AS (SELECT v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM ds), "
+          "dt2 AS (SELECT v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM dt) "
+          "SELECT row_id, qty_b, price_b, disc_b, tax_b, ds2.v AS l_linestatus, dt2.v AS l_returnflag FROM sample "
+          "JOIN ds2 ON ds2.code = sample.status JOIN dt2 ON dt2.code = sample.target")
+def q_sample_decoded(spark, d):
+    """Synthetic rows decoded back to the original category values."""
+    v, cp = _naive_cpts(spark, d)
+    s = ancestral_sample(spark, cp, _NAIVE, v.nodes, v.cards(), v.df.count(), seed=42)
+    s = s.withColumnRenamed("status", "l_linestatus").withColumnRenamed("target", "l_returnflag")
+    return v.encoder.inverse(s)
+
+
+def _gnb_sql_params(src: str) -> str:
+    """CTE gnb(y, f, mean, var, lp) from ``src``; var smoothed by 1e-9 · max overall variance."""
+    eps = "(1e-9 * greatest(" + ", ".join(f"(SELECT var_pop({f} * 1e0) FROM {src})" for f in _FEATS) + "))"
+    parts = " UNION ALL ".join(
+        f"SELECT target AS y, '{f}' AS f, avg({f} * 1e0) AS mean, var_pop({f} * 1e0) + {eps} AS var FROM {src} GROUP BY target" for f in _FEATS)
+    return (f"gnb AS ({parts}), gnb_prior AS (SELECT target AS y, count(*) AS n, ln(count(*) * 1e0 / (SELECT count(*) FROM {src})) AS lp "
+            f"FROM {src} GROUP BY target)")
+
+
+@register("gaussian_nb_fit", f"WITH {O.view_cte('li')}, {_gnb_sql_params('li')} SELECT y AS target, f AS feature, round(mean, 6) AS mean, round(var, 6) AS var FROM gnb")
+def q_gnb_fit(spark, d):
+    """Per class mean and smoothed variance of each feature."""
+    v = _li(spark, d)
+    m = GaussianNB.fit(v.df, v.features, v.label)
+    rows = [(c, f, m.mean[c][f], m.var[c][f]) for c in m.classes for f in m.features]
+    return spark.createDataFrame(rows, "target int, feature string, mean double, var double").select(
+        "target", "feature", _r("mean").alias("mean"), _r("var").alias("var"))
+
+
+def _gnb_sample_sql() -> str:
+    run = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    cols = []
+    for f in _FEATS:
+        u = O.u_sql("s.row_id", f)
+        cols.append(f"round((SELECT mean FROM gnb WHERE gnb.y = s.target AND gnb.f = '{f}') + "
+                    f"sqrt((SELECT var FROM gnb WHERE gnb.y = s.target AND gnb.f = '{f}')) * {O.probit('(' + u + ')')}, 6) AS {f}")
+    ut = O.u_sql("s0.row_id", "target")
+    return (f"WITH {O.view_cte('li')}, {_gnb_sql_params('li')}, "
+            f"cum AS (SELECT y, (sum(n) OVER (ORDER BY y {run}) - n) * 1e0 / sum(n) OVER () AS lo, sum(n) OVER (ORDER BY y {run}) * 1e0 / sum(n) OVER () AS hi FROM gnb_prior), "
+            f"s0 AS (SELECT row_number() OVER () - 1 AS row_id FROM li), "
+            f"s AS (SELECT s0.row_id, cum.y AS target FROM s0 JOIN cum ON {ut} >= cum.lo AND {ut} < cum.hi) "
+            f"SELECT row_id, target, {', '.join(cols)} FROM s")
+
+
+@register("gaussian_nb_sample", _gnb_sample_sql())
+def q_gnb_sample(spark, d):
+    """N rows from the Gaussian naive Bayes generator (Φ⁻¹ of hash uniforms)."""
+    v = _li(spark, d)
+    m = GaussianNB.fit(v.df, v.features, v.label)
+    s = gaussian_nb_sample(spark, m, v.df.count(), seed=42)
+    return s.select("row_id", "target", *[_r(f).alias(f) for f in v.features])
+
+
+def _split_tables():
+    return f"WITH {O.view_cte('li')}, {O.split_cte('li')}, tr AS (SELECT * FROM split WHERE NOT is_test), te AS (SELECT * FROM split WHERE is_test)"
+
+
+def _gnb_predict_sql(out: str = "gp") -> str:
+    tl = " UNION ALL ".join(f"SELECT row_key, '{f}' AS f, {f} * 1e0 AS x FROM te" for f in _FEATS)
+    return (f"{_gnb_sql_params('tr')}, tl AS ({tl}), "
+            f"jl AS (SELECT tl.row_key, g.y, round(any_value(p.lp) + sum(-0.5 * ln(2 * pi() * g.var) - (tl.x - g.mean) * (tl.x - g.mean) / (2 * g.var)), 9) AS s "
+            f"FROM tl JOIN gnb g ON g.f = tl.f JOIN gnb_prior p ON p.y = g.y GROUP BY tl.row_key, g.y), "
+            f"{out} AS (SELECT row_key, CAST(y AS INTEGER) AS pred FROM (SELECT row_key, y, row_number() OVER (PARTITION BY row_key ORDER BY s DESC, y) AS rn FROM jl) WHERE rn = 1)")
+
+
+@register("gaussian_nb_predict", f"{_split_tables()}, {_gnb_predict_sql()} SELECT * FROM gp")
+def q_gnb_predict(spark, d):
+    """Gaussian NB fitted on the train rows, argmax posterior on the test rows."""
+    v, sp = _li_split(spark, d)
+    m = GaussianNB.fit(sp.filter(~F.col("is_test")), v.features, v.label)
+    return m.predict(sp.filter(F.col("is_test")), "pred").select("row_key", F.col("pred").cast("int").alias("pred"))
+
+
+def _map_pred(spark, d):
+    v, sp = _li_split(spark, d)
+    tr = sp.filter(~F.col("is_test"))
+    cp = fit_cpts(tr, _NAIVE, v.nodes)
+    return v, bn_map_predict(sp.filter(F.col("is_test")), cp, _NAIVE, v.nodes, v.label, v.cards(), "pred")
+
+
+@register("bn_map_predict", f"{_split_tables()}, {O.naive_map_ctes('tr', 'te', _FEATS, 'target')} SELECT * FROM pred")
+def q_bn_map_predict(spark, d):
+    """MAP label of each test row under the naive BN fitted on the train rows."""
+    _, p = _map_pred(spark, d)
+    return p.select("row_key", "pred")
+
+
+@register("accuracy", f"{_split_tables()}, {O.naive_map_ctes('tr', 'te', _FEATS, 'target')} "
+          "SELECT round(coalesce(avg(CASE WHEN p.pred = te.target THEN 1.0 ELSE 0.0 END), 0.0), 6) AS accuracy, count(*) AS n_predicted "
+          "FROM pred p JOIN te USING (row_key) WHERE p.pred IS NOT NULL")
+def q_accuracy(spark, d):
+    """V9: share of correct predictions among predicted test rows (0.0 when none)."""
+    from bayesloom.operators.evaluate import accuracy
+    _, p = _map_pred(spark, d)
+    return accuracy(p, "pred", "target")
+
+
+@register("gaussian_nb_bic", f"WITH {O.view_cte('li')}, {_gnb_sql_params('li')}, "
+          "tl AS (" + " UNION ALL ".join(f"SELECT row_key, target, '{f}' AS f, {f} * 1e0 AS x FROM li" for f in _FEATS) + "), "
+          "jl AS (SELECT tl.row_key, any_value(tl.target) AS t, g.y, any_value(p.lp) + sum(-0.5 * ln(2 * pi() * g.var) - (tl.x - g.mean) * (tl.x - g.mean) / (2 * g.var)) AS s "
+          "FROM tl JOIN gnb g ON g.f = tl.f JOIN gnb_prior p ON p.y = g.y GROUP BY tl.row_key, g.y), "
+          "pm AS (SELECT row_key, max(CASE WHEN y = t THEN s END) AS st, max(s) AS m FROM jl GROUP BY row_key), "
+          "post AS (SELECT jl.row_key, any_value(pm.st) - any_value(pm.m) - ln(sum(exp(jl.s - pm.m))) AS lpost FROM jl JOIN pm USING (row_key) GROUP BY jl.row_key) "
+          f"SELECT round(-2 * sum(lpost) + ((SELECT count(*) FROM gnb_prior) * 2 * {len(_FEATS)} + (SELECT count(*) FROM gnb_prior) - 1) * ln((SELECT count(*) FROM li) * 1e0), 3) AS bic FROM post")
+def q_gnb_bic(spark, d):
+    """−2·Σ ln P(true class | x) + (C·2d + C − 1)·ln N of a Gaussian NB on its training table."""
+    from bayesloom.operators.evaluate import gaussian_nb_bic
+    v = _li(spark, d)
+    m = GaussianNB.fit(v.df, v.features, v.label)
+    return gaussian_nb_bic(m, v.df).select(_r("bic", 3).alias("bic"))
+
+
+@register("union_labelled", _SAMPLE_SQL + " SELECT qty_b, price_b, disc_b, tax_b, status, target, 1 AS is_real FROM li "
+          "UNION ALL SELECT qty_b, price_b, disc_b, tax_b, status, target, 0 AS is_real FROM sample")
+def q_union_labelled(spark, d):
+    """Real rows (1) stacked on synthetic rows (0)."""
+    v, cp = _naive_cpts(spark, d)
+    s = ancestral_sample(spark, cp, _NAIVE, v.nodes, v.cards(), v.df.count(), seed=42)
+    return union_labelled(v.df.select(*v.nodes), s.select(*v.nodes))
