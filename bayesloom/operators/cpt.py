@@ -20,15 +20,23 @@ CPT_SCHEMA = "child string, pa array<int>, value int, n double, p double, cum_lo
 
 
 def fit_cpts(df: DataFrame, edges, nodes: Sequence[str], weight: str | None = None, compacted: bool = False,
-             only: Sequence[str] | None = None) -> DataFrame:
-    """G1: maximum-likelihood P(child | parents) of every node, one family-count job."""
+             only: Sequence[str] | None = None, materialize: bool = True) -> DataFrame:
+    """G1: maximum-likelihood P(child | parents) of every node, one family-count job.
+
+    The result is model-sized; it is checkpointed (reliable storage) so that the many
+    small lookups built from it do not re-run the scan of the data.
+    """
     ps = parent_sets(edges, nodes)
     targets = list(only) if only is not None else list(nodes)
     fams = [(n, ps[n]) for n in targets]
     ct = family_counts(df, fams, weight, compacted)
     names = df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(targets)], "fam int, child string")
     ct = ct.join(F.broadcast(names), "fam").drop("fam")
-    return with_intervals(ct)
+    out = with_intervals(ct)
+    if materialize:
+        from bayesloom.session import cut_lineage
+        out = cut_lineage(out)
+    return out
 
 
 def with_intervals(ct: DataFrame, p_col: str | None = None) -> DataFrame:
