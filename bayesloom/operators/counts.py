@@ -97,9 +97,9 @@ def smooth_backoff(df: DataFrame, child: str, parents: Sequence[str], cards: dic
         ct = base.groupBy(*keep).agg(F.sum("w").alias("n"))
         grp = list(parents[:lvl])
         wdw = Window.partitionBy(*grp) if grp else Window.partitionBy(F.lit(0))
-        ct = ct.withColumn(f"p{lvl}", F.col("n") / F.sum("n").over(wdw)).drop("n")
+        ct = ct.withColumn(f"__p{lvl}", F.col("n") / F.sum("n").over(wdw)).drop("n")
         dom = dom.join(F.broadcast(ct), on=keep, how="left")
-        probs.append(f"p{lvl}")
+        probs.append(f"__p{lvl}")
     chain = [F.when(F.col(p) > 0, F.col(p)) for p in probs[:-1]] + [F.coalesce(F.col(probs[-1]), F.lit(0.0))]
     return dom.withColumn("p", F.coalesce(*chain)).drop(*probs)
 

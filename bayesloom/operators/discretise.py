@@ -30,12 +30,17 @@ class UniformBins:
     n_bins: int = 5
     edges: dict[str, list[float]] = field(default_factory=dict)
 
-    @classmethod
-    def fit(cls, df: DataFrame, columns: list[str], n_bins: int = 5) -> "UniformBins":
+    @staticmethod
+    def stat_aggs(columns: list[str]) -> list:
         aggs = []
         for c in columns:
             aggs += [F.min(F.col(c).cast("double")).alias(f"lo_{c}"), F.max(F.col(c).cast("double")).alias(f"hi_{c}")]
-        row = df.agg(*aggs).first()
+        return aggs
+
+    @classmethod
+    def fit(cls, df: DataFrame, columns: list[str], n_bins: int = 5, stats=None) -> "UniformBins":
+        """``stats``: a row holding lo_<c>/hi_<c> from an aggregation the caller already ran."""
+        row = stats if stats is not None else df.agg(*cls.stat_aggs(columns)).first()
         edges = {}
         for c in columns:
             lo, hi = row[f"lo_{c}"], row[f"hi_{c}"]
@@ -117,7 +122,7 @@ class MixtureDiscretiser:
     sigma: dict[str, list[float]] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: list[str], k: int = 10, max_iter: int = 100, tol: float = 1e-6,
+    def fit(cls, df: DataFrame, columns: list[str], k: int = 10, max_iter: int = 100, tol: float = 1e-5,
             prune: float = 1e-3, reg: float = 1e-6) -> "MixtureDiscretiser":
         from bayesloom.session import cut_lineage
 

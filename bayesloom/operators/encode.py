@@ -108,16 +108,18 @@ class CategoryEncoder:
     dtypes: dict[str, T.DataType] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGORIES) -> "CategoryEncoder":
+    def fit(cls, df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGORIES,
+            approx_counts: dict | None = None) -> "CategoryEncoder":
         """Two small jobs: a size check (approximate distinct counts), then sorted sets.
 
         ``collect_set`` is partially aggregated on the map side; the check bounds what
-        reaches the driver by ``max_categories`` per column.
+        reaches the driver by ``max_categories`` per column. ``approx_counts`` lets a
+        caller pass counts it computed in an earlier aggregation (saves one scan).
         """
         if not columns:
             return cls([], {}, {})
-        approx = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in columns]).first()
-        too_big = [c for c in columns if approx[c] > max_categories * 1.05]
+        approx = approx_counts or df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
+        too_big = [c for c in columns if approx[c] > max_categories * 1.2]
         if too_big:
             raise ValueError(f"columns {too_big} have more than {max_categories} categories")
         row = df.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(c) for c in columns]).first()
@@ -251,10 +253,10 @@ def onehot(df: DataFrame, columns: list[str], encoder: CategoryEncoder, out_col:
         idx_cols.append(c + "__idx")
     ohe = OneHotEncoder(inputCols=idx_cols, outputCols=[c + "__vec" for c in columns], dropLast=True,
                         handleInvalid="keep")
-    # fit on the category list itself (sizes come from the encoder, not from the data)
-    sizes = {c + "__idx": encoder.card(c) + 1 for c in columns}
+    # fit on the category list itself (sizes come from the encoder, not from the data):
+    # k categories; the unknown index k is "invalid", kept in the extra slot and dropped
     spark = df.sparkSession
-    domain = spark.createDataFrame([tuple(float(sizes[i] - 1) for i in idx_cols)], idx_cols)
+    domain = spark.createDataFrame([tuple(float(max(encoder.card(c) - 1, 0)) for c in columns)], idx_cols)
     model = ohe.fit(domain)
     out = model.transform(coded)
     out = VectorAssembler(inputCols=[c + "__vec" for c in columns], outputCol=out_col).transform(out)
