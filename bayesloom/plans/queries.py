@@ -605,11 +605,12 @@ def q_sample_decoded(spark, d):
     return v.encoder.inverse(s)
 
 
-def _gnb_sql_params(src: str) -> str:
+def _gnb_sql_params(src: str, feats=None) -> str:
     """CTE gnb(y, f, mean, var, lp) from ``src``; var smoothed by 1e-9 · max overall variance."""
-    eps = "(1e-9 * greatest(" + ", ".join(f"(SELECT var_pop({f} * 1e0) FROM {src})" for f in _FEATS) + "))"
+    feats = feats or _FEATS
+    eps = "(1e-9 * greatest(" + ", ".join(f"(SELECT var_pop({f} * 1e0) FROM {src})" for f in feats) + ", 0.0))"
     parts = " UNION ALL ".join(
-        f"SELECT target AS y, '{f}' AS f, avg({f} * 1e0) AS mean, var_pop({f} * 1e0) + {eps} AS var FROM {src} GROUP BY target" for f in _FEATS)
+        f"SELECT target AS y, '{f}' AS f, avg({f} * 1e0) AS mean, var_pop({f} * 1e0) + {eps} AS var FROM {src} GROUP BY target" for f in feats)
     return (f"gnb AS ({parts}), gnb_prior AS (SELECT target AS y, count(*) AS n, ln(count(*) * 1e0 / (SELECT count(*) FROM {src})) AS lp "
             f"FROM {src} GROUP BY target)")
 
@@ -652,9 +653,10 @@ def _split_tables():
     return f"WITH {O.view_cte('li')}, {O.split_cte('li')}, tr AS (SELECT * FROM split WHERE NOT is_test), te AS (SELECT * FROM split WHERE is_test)"
 
 
-def _gnb_predict_sql(out: str = "gp") -> str:
-    tl = " UNION ALL ".join(f"SELECT row_key, '{f}' AS f, {f} * 1e0 AS x FROM te" for f in _FEATS)
-    return (f"{_gnb_sql_params('tr')}, tl AS ({tl}), "
+def _gnb_predict_sql(out: str = "gp", feats=None) -> str:
+    feats = feats or _FEATS
+    tl = " UNION ALL ".join(f"SELECT row_key, '{f}' AS f, {f} * 1e0 AS x FROM te" for f in feats)
+    return (f"{_gnb_sql_params('tr', feats)}, tl AS ({tl}), "
             f"jl AS (SELECT tl.row_key, g.y, round(any_value(p.lp) + sum(-0.5 * ln(2 * pi() * g.var) - (tl.x - g.mean) * (tl.x - g.mean) / (2 * g.var)), 9) AS s "
             f"FROM tl JOIN gnb g ON g.f = tl.f JOIN gnb_prior p ON p.y = g.y GROUP BY tl.row_key, g.y), "
             f"{out} AS (SELECT row_key, CAST(y AS INTEGER) AS pred FROM (SELECT row_key, y, row_number() OVER (PARTITION BY row_key ORDER BY s DESC, y) AS rn FROM jl) WHERE rn = 1)")
@@ -714,3 +716,152 @@ def q_union_labelled(spark, d):
     v, cp = _naive_cpts(spark, d)
     s = ancestral_sample(spark, cp, _NAIVE, v.nodes, v.cards(), v.df.count(), seed=42)
     return union_labelled(v.df.select(*v.nodes), s.select(*v.nodes))
+
+
+# ------------------------------------------------------------------ R: train-on-real results and reports
+
+_VIEWS = {"li": _FEATS, "ord": ["price_b", "priority"]}
+
+
+def _trtr_long(spark, d) -> DataFrame:
+    """(dataset, model, metric, value): test accuracy of naive-BN MAP and Gaussian NB trained on the train split."""
+    from bayesloom.operators.evaluate import accuracy
+    rows = []
+    for name, feats in _VIEWS.items():
+        v = model_view(spark, d, name)
+        sp = SEL.stratified_split(v.df, v.label, "row_key", 0.2, 42).persist()
+        tr, te = sp.filter(~F.col("is_test")), sp.filter(F.col("is_test"))
+        edges = K.naive_structure(feats, v.label)
+        cp = fit_cpts(tr, edges, v.nodes)
+        a1 = accuracy(bn_map_predict(te, cp, edges, v.nodes, v.label, v.cards(), "pred"), "pred", v.label).first()[0]
+        g = GaussianNB.fit(tr, feats, v.label)
+        a2 = accuracy(g.predict(te, "pred"), "pred", v.label).first()[0]
+        rows += [(name, "nb_map", "accuracy", float(a1)), (name, "gnb", "accuracy", float(a2))]
+        sp.unpersist()
+    return spark.createDataFrame(rows, "dataset string, model string, metric string, value double")
+
+
+def _trtr_sql_body() -> str:
+    parts = []
+    ctes = []
+    for name, feats in _VIEWS.items():
+        ctes.append(O.view_cte(name))
+        u = O.u_sql("row_key", "split")
+        ctes.append(f"{name}_sp AS (SELECT * EXCLUDE (rn, cnt), rn <= ceil(cnt * 0.2) AS is_test FROM (SELECT *, row_number() OVER "
+                    f"(PARTITION BY target ORDER BY {u}, row_key) AS rn, count(*) OVER (PARTITION BY target) AS cnt FROM {name}))")
+        ctes.append(f"{name}_tr AS (SELECT * FROM {name}_sp WHERE NOT is_test), {name}_te AS (SELECT * FROM {name}_sp WHERE is_test)")
+        ctes.append(O.naive_map_ctes(f"{name}_tr", f"{name}_te", feats, "target", out=f"{name}_mp"))
+        gsql = _gnb_predict_sql(f"{name}_gp", feats).replace("FROM te", f"FROM {name}_te").replace("'tr'", f"'{name}_tr'")
+        gsql = gsql.replace("gnb AS (", f"{name}_gnb AS (").replace("gnb_prior", f"{name}_gnb_prior").replace("JOIN gnb g", f"JOIN {name}_gnb g")
+        gsql = gsql.replace(" tl AS (", f" {name}_tl AS (").replace("FROM tl JOIN", f"FROM {name}_tl tl JOIN").replace("jl AS (", f"{name}_jl AS (").replace("FROM jl)", f"FROM {name}_jl)")
+        gsql = gsql.replace("FROM tr", f"FROM {name}_tr")
+        ctes.append(gsql)
+        parts.append(f"SELECT '{name}' AS dataset, 'nb_map' AS model, 'accuracy' AS metric, round(coalesce(avg(CASE WHEN p.pred = t.target THEN 1.0 ELSE 0.0 END), 0.0), 6) AS value "
+                     f"FROM {name}_mp p JOIN {name}_te t USING (row_key) WHERE p.pred IS NOT NULL")
+        parts.append(f"SELECT '{name}', 'gnb', 'accuracy', round(coalesce(avg(CASE WHEN p.pred = t.target THEN 1.0 ELSE 0.0 END), 0.0), 6) "
+                     f"FROM {name}_gp p JOIN {name}_te t USING (row_key) WHERE p.pred IS NOT NULL")
+    return "WITH " + ", ".join(ctes) + ", res AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@register("trtr_results", _trtr_sql_body() + " SELECT * FROM res")
+def q_trtr_results(spark, d):
+    """V8 (discrete part) + V9: train-on-real test accuracies, long results table."""
+    return _trtr_long(spark, d)
+
+
+@register("format_results", _trtr_sql_body() + " SELECT dataset, max(CASE WHEN model = 'gnb' THEN value END) AS gnb, "
+          "max(CASE WHEN model = 'nb_map' THEN value END) AS nb_map FROM res GROUP BY dataset")
+def q_format_results(spark, d):
+    """Dataset × model table of the accuracy."""
+    from bayesloom.operators.report import format_results
+    return format_results(_trtr_long(spark, d), "accuracy")
+
+
+@register("average_classifiers", _trtr_sql_body() + " SELECT dataset, model, metric, value FROM res UNION ALL "
+          "SELECT dataset, model, 'avg', round(avg(value), 6) FROM res GROUP BY dataset, model")
+def q_average_classifiers(spark, d):
+    """R2: AVG column per model over its classifier metrics (here one: accuracy)."""
+    from bayesloom.operators.report import average_classifiers
+    return average_classifiers(_trtr_long(spark, d), ("accuracy",)).withColumn("value", _r("value"))
+
+
+@register("leaderboard", _trtr_sql_body() + " SELECT dataset, model, metric, value, CAST(rank() OVER (PARTITION BY dataset ORDER BY value DESC) AS INTEGER) AS rank FROM res")
+def q_leaderboard(spark, d):
+    """Models ranked per dataset."""
+    from bayesloom.operators.report import leaderboard
+    return leaderboard(_trtr_long(spark, d), "accuracy").withColumn("rank", F.col("rank").cast("int"))
+
+
+@register("metric_chart_data", _trtr_sql_body() + " SELECT dataset, model, value FROM res")
+def q_metric_chart_data(spark, d):
+    """Series behind the accuracy bar chart."""
+    from bayesloom.operators.report import metric_chart_data
+    return metric_chart_data(_trtr_long(spark, d), "accuracy")
+
+
+# ------------------------------------------------------------------ S: sources and sinks
+
+@register("csv_labelled_roundtrip", f"WITH {O.view_cte('li')} SELECT row_key, qty_b, price_b, disc_b, tax_b, status AS line_status, target FROM li")
+def q_csv_roundtrip(spark, d):
+    """S5 + S1 + P14: write the view as CSV, read it back as a labelled table."""
+    from bayesloom.sources.readers import read_csv_labelled, shared_path, write_csv
+    v = _li(spark, d)
+    out = v.df.select("row_key", *_FEATS[:4], F.col("status").alias("line-status"), F.col("target").alias("return-flag"))
+    path = write_csv(out, shared_path(spark, "li_csv"))
+    return read_csv_labelled(spark, path)
+
+
+@register("arff_roundtrip", "SELECT l_quantity, l_discount, l_linestatus, l_returnflag AS target FROM lineitem")
+def q_arff_roundtrip(spark, d):
+    """S2 + S3 + S4: lineitem columns written as ARFF, read back through the dataset catalog."""
+    from bayesloom.sources.readers import load_dataset, shared_path, write_arff
+    li = read(spark, d, "lineitem").select("l_quantity", "l_discount", "l_linestatus", F.col("l_returnflag").alias("class"))
+    path = write_arff(li, shared_path(spark, "li_arff"), "lineitem")
+    return load_dataset(spark, "li", {"li": ("arff", [path + "/header", path + "/body"], "class")})
+
+
+@register("export_ordinal_matrix", "SELECT CAST(dense_rank() OVER (ORDER BY l_linestatus) - 1 AS INTEGER) AS l_linestatus, "
+          "CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS l_returnflag FROM lineitem")
+def q_export_ordinal(spark, d):
+    """Ordinal-encode and export the integer matrix (parquet), read back."""
+    from bayesloom.sources.readers import export_ordinal_matrix, shared_path
+    path = shared_path(spark, "ordinal")
+    export_ordinal_matrix(read(spark, d, "lineitem"), ["l_linestatus", "l_returnflag"], path)
+    return spark.read.parquet(path)
+
+
+@register("write_sample", _SAMPLE_SQL + " SELECT * FROM sample WHERE row_id < 1000")
+def q_write_sample(spark, d):
+    """The first 1000 synthetic rows (by row id) exported as CSV, read back."""
+    from bayesloom.sources.readers import shared_path, write_sample
+    v, cp = _naive_cpts(spark, d)
+    s = ancestral_sample(spark, cp, _NAIVE, v.nodes, v.cards(), v.df.count(), seed=42)
+    path = write_sample(s, shared_path(spark, "sample"), 1000)
+    return spark.read.option("header", True).schema(s.schema).csv(path)
+
+
+@register("import_adjacency", ORACLE["kdb_edges"])
+def q_import_adjacency(spark, d):
+    """The kDB feature edges as a 0/1 adjacency matrix, imported on top of label → feature."""
+    v = _li(spark, d)
+    edges = K.kdb_structure(v.df, v.features, v.label, 2)
+    idx = {f: i for i, f in enumerate(v.features)}
+    m = [[0] * len(v.features) for _ in v.features]
+    for s_, t in edges:
+        if s_ != v.label:
+            m[idx[s_]][idx[t]] = 1
+    return K.edges_df(spark, K.import_adjacency(m, v.features, v.label))
+
+
+@register("run_log")
+def q_run_log(spark, d):
+    """S7 + S8: write the results per metric and append them to a run log, read the log back."""
+    from bayesloom.sources.readers import append_run_log, shared_path, write_results
+    v = _li(spark, d)
+    res = E.class_counts(v.df, "target").select(F.lit("li").alias("dataset"), F.lit("prior").alias("model"),
+                                                F.concat(F.lit("share_"), F.col("target").cast("string")).alias("metric"),
+                                                F.col("share").alias("value"))
+    write_results(res, shared_path(spark, "results"))
+    log = shared_path(spark, "runlog")
+    append_run_log(spark, log, "li", {r.metric: r.value for r in res.collect()})
+    return spark.read.parquet(log).drop("ts")
