@@ -192,14 +192,17 @@ class MixtureDiscretiser:
                 term = cls._log_dens(x, w[c][j], mu[c][j], sg[c][j])
                 expr = F.when(F.col("column") == c, term) if expr is None else expr.when(F.col("column") == c, term)
             logs.append(expr.otherwise(F.lit(-1e300)))
-        d = compact.withColumn("__l", F.array(*logs))
-        d = d.withColumn("__m", F.array_max("__l"))
-        d = d.withColumn("__e", F.transform("__l", lambda v: F.exp(v - F.col("__m"))))
-        d = d.withColumn("__s", F.aggregate("__e", F.lit(0.0), lambda a, v: a + v))
-        d = d.withColumn("__ll", F.col("__m") + F.log("__s"))
+        # plain expressions per component (stays inside whole-stage codegen)
+        d = compact.select("column", "x", "w", *[l.alias(f"__l{j}") for j, l in enumerate(logs)])
+        d = d.withColumn("__m", F.greatest(*[F.col(f"__l{j}") for j in range(k)]) if k > 1 else F.col("__l0"))
+        d = d.select("column", "x", "w", "__m", *[F.exp(F.col(f"__l{j}") - F.col("__m")).alias(f"__e{j}") for j in range(k)])
+        total = F.col("__e0")
+        for j in range(1, k):
+            total = total + F.col(f"__e{j}")
+        d = d.withColumn("__s", total).withColumn("__ll", F.col("__m") + F.log("__s"))
         aggs = [F.sum("w").alias("tot"), F.sum(F.col("w") * F.col("__ll")).alias("ll")]
         for j in range(k):
-            r = F.col("w") * F.col("__e")[j] / F.col("__s")
+            r = F.col("w") * F.col(f"__e{j}") / F.col("__s")
             aggs += [F.sum(r).alias(f"n{j}"), F.sum(r * x).alias(f"sx{j}"), F.sum(r * x * x).alias(f"sxx{j}")]
         rows = d.groupBy("column").agg(*aggs).collect()
         stats, ll = {}, 0.0

@@ -107,7 +107,8 @@ def discriminator(real: DataFrame, syn: DataFrame, features: Sequence[str], frac
     train = sample_rows(both, "__k", frac=frac, seed=seed)
     model = LogisticRegression(maxIter=max_iter, regParam=0.0).fit(train)
     ls = model.transform(train).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-    p_real = model.transform(both.filter(F.col("label") == 1.0)).select(F.element_at(F.expr("vector_to_array(probability)"), 2).alias("p"))
+    from pyspark.ml.functions import vector_to_array
+    p_real = model.transform(both.filter(F.col("label") == 1.0)).select(F.element_at(vector_to_array("probability"), 2).alias("p"))
     return {"ls": float(ls or 0.0), "p_real": float(p_real.agg(F.avg("p")).first()[0] or 0.0)}
 
 

@@ -18,12 +18,15 @@ from bayesloom.operators.scores import parent_sets
 from bayesloom.operators.sample import BROADCAST_CONFIGS
 
 NEG_INF = float("-inf")
+# log of a zero probability inside lookup tables: finite, so sums stay finite and roundable
+LOG_ZERO = -1e300
 
 
 def argmax_expr(scores: Column) -> Column:
-    """0-based index of the first maximum of a non-empty array; null if all are −inf/null."""
+    """0-based index of the first maximum of a non-empty array; null if all are −inf/null
+    (or at the LOG_ZERO floor, i.e. every label value has probability 0)."""
     mx = F.array_max(scores)
-    return F.when(mx.isNull() | (mx == F.lit(NEG_INF)), None).otherwise(F.array_position(scores, mx) - 1).cast("int")
+    return F.when(mx.isNull() | (mx <= F.lit(LOG_ZERO / 2)), None).otherwise(F.array_position(scores, mx) - 1).cast("int")
 
 
 @dataclass
@@ -95,7 +98,7 @@ def bn_map_predict(df: DataFrame, cpts: DataFrame, edges, nodes: Sequence[str],
     C = int(cards[label])
     fams = [(label, ps[label])] + [(c, ps[c]) for c in nodes if label in ps[c]]
     d = df
-    terms = []
+    sums = [None] * C
     for i, (child, pa) in enumerate(fams):
         tab = _family_lookup(spark, cpts, child, pa, label, cards, C)
         others = [p for p in pa if p != label] + ([child] if child != label else [])
@@ -106,15 +109,13 @@ def bn_map_predict(df: DataFrame, cpts: DataFrame, edges, nodes: Sequence[str],
         n_keys = tab.count()
         tab = F.broadcast(tab) if n_keys <= BROADCAST_CONFIGS else tab
         d = d.withColumn(f"__pk{i}", key).join(tab, F.col(f"__pk{i}") == F.col(f"__k{i}"), "left")
-        uni = F.array(*[F.lit(math.log(1.0 / cards[child]))] * C)
-        logs = F.transform(F.col(f"__a{i}"), lambda p: F.when(p > 0, F.log(p)).otherwise(F.lit(NEG_INF)))
-        terms.append(F.coalesce(logs, uni))
+        uni = F.lit(math.log(1.0 / cards[child]))
+        for c in range(C):
+            term = F.coalesce(F.get(F.col(f"__a{i}"), c), uni)
+            sums[c] = term if sums[c] is None else sums[c] + term
         d = d.drop(f"__pk{i}", f"__k{i}")
-    total = terms[0]
-    for t in terms[1:]:
-        total = F.zip_with(total, t, lambda a, b: a + b)
     # scores rounded to 9 decimals so that ties are pinned to the lowest label value
-    total = F.transform(total, lambda v: F.when(v == F.lit(NEG_INF), v).otherwise(F.round(v, 9)))
+    total = F.array(*[F.round(t, 9) for t in sums])
     d = d.withColumn(out, argmax_expr(total))
     return d.drop(*[f"__a{i}" for i in range(len(fams))])
 
@@ -128,7 +129,7 @@ def _family_lookup(spark, cpts: DataFrame, child: str, pa: Sequence[str], label:
             key = key * F.lit(int(cards[p])) + F.get(F.col("pa"), i).cast("long")
         m = t.groupBy(key.alias("__k")).agg(F.map_from_entries(F.collect_list(F.struct("value", "p"))).alias("__m"))
         arr = F.transform(F.sequence(F.lit(0), F.lit(C - 1)), lambda v: F.coalesce(F.element_at(F.col("__m"), v), F.lit(0.0)))
-        return m.select("__k", arr.alias("__arr"))
+        return m.select("__k", _logs(arr).alias("__arr"))
     j = list(pa).index(label)
     others = [(i, p) for i, p in enumerate(pa) if p != label]
     okey = F.lit(0).cast("long")
@@ -145,4 +146,9 @@ def _family_lookup(spark, cpts: DataFrame, child: str, pa: Sequence[str], label:
     arr = F.transform(F.sequence(F.lit(0), F.lit(C - 1)), lambda v: F.when(
         F.array_contains(F.col("__seen"), v), F.coalesce(F.element_at(F.col("__m"), v), F.lit(0.0))).otherwise(F.lit(uni)))
     key = F.col("__o") * F.lit(int(cards[child])) + F.col("value").cast("long")
-    return dom.select(key.alias("__k"), arr.alias("__arr"))
+    return dom.select(key.alias("__k"), _logs(arr).alias("__arr"))
+
+
+def _logs(arr):
+    """ln p per element on the (model-sized) lookup table; p = 0 → LOG_ZERO."""
+    return F.transform(arr, lambda p: F.when(p > 0, F.log(p)).otherwise(F.lit(LOG_ZERO)))

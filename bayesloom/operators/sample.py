@@ -27,15 +27,40 @@ def _pack(parents: Sequence[str], cards: dict, prefix: str = ""):
     return code
 
 
+UNROLL_LIMIT = 256
+
+
 def cpt_lookup(cpts: DataFrame, node: str, parents: Sequence[str], cards: dict) -> DataFrame:
-    """(__k long, __vals array<int>, __hi array<double>) per observed parent configuration."""
+    """(__k long, __hi array<double>) per observed parent configuration.
+
+    ``__hi[v]`` is the upper end of value v's interval on the child's full domain
+    (a value with p = 0 repeats the previous end), so the drawn code is simply the
+    number of interval ends ≤ u. Built once per node on the model-sized CPT.
+    """
     t = cpts.filter(F.col("child") == node)
     key = F.lit(0).cast("long")
     for i, p in enumerate(parents):
         key = key * F.lit(int(cards[p])) + F.get(F.col("pa"), i).cast("long")
-    srt = F.array_sort(F.collect_list(F.struct("value", "cum_hi")))
-    return (t.groupBy(key.alias("__k")).agg(srt.alias("__s"))
-            .select("__k", F.col("__s.value").alias("__vals"), F.col("__s.cum_hi").alias("__hi")))
+    card = int(cards[node])
+    m = t.groupBy(key.alias("__k")).agg(F.map_from_entries(F.collect_list(F.struct("value", "cum_hi"))).alias("__m"))
+    # dense ends: the running maximum of observed ends over the domain (a small, per-configuration array)
+    ends = [F.coalesce(F.element_at(F.col("__m"), F.lit(v)), F.lit(0.0)) for v in range(card)]
+    dense, run = [], None
+    for e in ends:
+        run = e if run is None else F.greatest(run, e)
+        dense.append(run)
+    return m.select("__k", F.array(*dense).alias("__hi"))
+
+
+def _draw(hi, u, card: int):
+    """Code = #(ends ≤ u); unrolled comparisons keep the expression in generated code."""
+    if card <= UNROLL_LIMIT:
+        idx = None
+        for i in range(card - 1):
+            term = (F.get(hi, i) <= u).cast("int")
+            idx = term if idx is None else idx + term
+        return idx if idx is not None else F.lit(0)
+    return F.size(F.filter(hi, lambda c: c <= u))
 
 
 def ancestral_sample(spark, cpts: DataFrame, edges, nodes: Sequence[str], cards: dict, n: int, seed=42,
@@ -53,19 +78,16 @@ def ancestral_sample(spark, cpts: DataFrame, edges, nodes: Sequence[str], cards:
         if not pa:
             # a root has one configuration (≤ card values): inline it as literals, no join
             row = cpt_lookup(cpts, node, pa, cards).first()
-            vals = row["__vals"] if row else None
             his = row["__hi"] if row else None
-            s = s.withColumn("__vals", F.array(*[F.lit(int(v)) for v in vals]) if vals else F.lit(None).cast("array<int>"))
             s = s.withColumn("__hi", F.array(*[F.lit(float(h)) for h in his]) if his else F.lit(None).cast("array<double>"))
         else:
             look = cpt_lookup(cpts, node, pa, cards)
             look = F.broadcast(look) if sizes.get(node, 0) <= BROADCAST_CONFIGS else look
             s = s.withColumn("__pk", _pack(pa, cards)).join(look, F.col("__pk") == F.col("__k"), "left").drop("__pk")
         s = s.withColumn("__u", u)
-        idx = F.size(F.filter(F.col("__hi"), lambda c: c <= F.col("__u")))
-        pick = F.element_at(F.col("__vals"), idx + 1)
-        s = s.withColumn(node, F.when(F.col("__vals").isNull(), uniform).otherwise(pick).cast("int"))
-        s = s.drop("__k", "__vals", "__hi", "__u")
+        pick = _draw(F.col("__hi"), F.col("__u"), int(cards[node]))
+        s = s.withColumn(node, F.when(F.col("__hi").isNull(), uniform).otherwise(pick).cast("int"))
+        s = s.drop("__k", "__hi", "__u")
     return s.select(key, *nodes)
 
 

@@ -75,19 +75,28 @@ class DiscriminativeWeights:
                                         f"__c{i} int, __w{i} array<double>")
             tab = F.broadcast(tab) if len(self.enc.vocab[f]) <= BROADCAST_CONFIGS else tab
             d = d.join(tab, d[f"{f}_ho"] == tab[f"__c{i}"], "left").drop(f"__c{i}")
-        logit = F.array(*[F.lit(float(b)) for b in self.bias])
-        zero = F.array(*[F.lit(0.0)] * C)
-        for i in range(len(self.enc.features)):
-            logit = F.zip_with(logit, F.coalesce(F.col(f"__w{i}"), zero), lambda a, b: a + b)
-        d = d.withColumn("__l", logit)
-        mx = F.array_max("__l")
-        e = F.transform("__l", lambda v: F.exp(v - mx))
-        tot = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-        d = d.withColumn("__p", F.transform(e, lambda v: v / tot))
+        # per-class logits, softmax and residuals as plain (codegen) expressions
+        logits = []
+        for k in range(C):
+            t = F.lit(float(self.bias[k]))
+            for i in range(len(self.enc.features)):
+                t = t + F.coalesce(F.get(F.col(f"__w{i}"), k), F.lit(0.0))
+            logits.append(t)
+        d = d.select("*", *[lg.alias(f"__l{k}") for k, lg in enumerate(logits)])
+        d = d.withColumn("__m", F.greatest(*[F.col(f"__l{k}") for k in range(C)]) if C > 1 else F.col("__l0"))
+        tot = None
+        for k in range(C):
+            e = F.exp(F.col(f"__l{k}") - F.col("__m"))
+            tot = e if tot is None else tot + e
+        d = d.withColumn("__t", tot)
         yi = F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col(self.label)) - 1
-        res = [(F.when(yi == k, F.lit(1.0)).otherwise(F.lit(0.0)) - F.col("__p")[k]) * F.col("w") for k in range(C)]
+        ly = None
+        for k in range(C):
+            ly = F.when(yi == k, F.col(f"__l{k}")) if ly is None else ly.when(yi == k, F.col(f"__l{k}"))
+        res = [(F.when(yi == k, F.lit(1.0)).otherwise(F.lit(0.0)) - F.exp(F.col(f"__l{k}") - F.col("__m")) / F.col("__t")) * F.col("w")
+               for k in range(C)]
         d = d.select(*[r.alias(f"__r{k}") for k, r in enumerate(res)],
-                     (F.col("w") * F.log(F.element_at("__p", (yi + 1).cast("int")))).alias("__ll"),
+                     (F.col("w") * (ly - F.col("__m") - F.log("__t"))).alias("__ll"),
                      F.inline(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"{f}_ho").alias("code"))
                                         for i, f in enumerate(self.enc.features)])))
         grads = d.groupBy("f", "code").agg(*[F.sum(f"__r{k}").alias(f"g{k}") for k in range(C)], F.sum("__ll").alias("ll")).collect()

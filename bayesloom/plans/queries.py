@@ -865,3 +865,216 @@ def q_run_log(spark, d):
     log = shared_path(spark, "runlog")
     append_run_log(spark, log, "li", {r.metric: r.value for r in res.collect()})
     return spark.read.parquet(log).drop("ts")
+
+
+# ------------------------------------------------------------------ M: mixture discretiser
+
+_MIX = ["l_quantity", "l_extendedprice"]
+
+
+def _mix_sql_ctes() -> str:
+    cols = ", ".join(f"(CAST({c} AS DOUBLE) - (SELECT min({c}) FROM lineitem)) / ((SELECT max({c}) FROM lineitem) - (SELECT min({c}) FROM lineitem)) AS {c}"
+                     for c in _MIX)
+    stats = ", ".join(f"avg({c}) AS mu_{c}, sqrt(var_pop({c}) + 1e-6) AS sg_{c}" for c in _MIX)
+    return (f"sc AS (SELECT {LI_KEY} AS row_key, {cols} FROM lineitem), st AS (SELECT {stats} FROM sc)")
+
+
+def _zbin_sql(z: str) -> str:
+    return " + ".join(f"CAST({z} > {e} AS INTEGER)" for e in (-3.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0))
+
+
+@register("mixture_discretise", "WITH " + _mix_sql_ctes() + " SELECT row_key, " + ", ".join(
+    f"{_zbin_sql(f'(({c} - mu_{c}) / sg_{c})')} AS {c}" for c in _MIX) + " FROM sc, st")
+def q_mixture_discretise(spark, d):
+    """M1–M3 with one mode per column: code = 8·mode + z-bin of the min-max-scaled value."""
+    from bayesloom.operators.discretise import MixtureDiscretiser
+    li = read(spark, d, "lineitem").select(F.expr(LI_KEY).alias("row_key"), *_MIX)
+    m = MixtureDiscretiser.fit(li, _MIX, k=1)
+    return m.transform(li).select("row_key", *_MIX)
+
+
+def _mix_decode_sql() -> str:
+    from bayesloom.operators.discretise import PHI_EDGES
+    cols = []
+    for c in _MIX:
+        z = f"(({c} - mu_{c}) / sg_{c})"
+        b = f"({_zbin_sql(z)})"
+        lo = "CASE " + " ".join(f"WHEN {b} = {i} THEN {PHI_EDGES[i]!r}" for i in range(8)) + " END"
+        hi = "CASE " + " ".join(f"WHEN {b} = {i} THEN {PHI_EDGES[i + 1]!r}" for i in range(8)) + " END"
+        u = O.u_sql("row_key", c)
+        p = f"least(greatest(({lo}) + (({hi}) - ({lo})) * {u}, 1e-15), {1 - 1e-15!r})"
+        zz = O.probit(f"({p})")
+        cols.append(f"round((mu_{c} + sg_{c} * {zz}) * ((SELECT max({c}) FROM lineitem) - (SELECT min({c}) FROM lineitem)) "
+                    f"+ (SELECT min({c}) FROM lineitem), 4) AS {c}")
+    return "WITH " + _mix_sql_ctes() + " SELECT row_key, " + ", ".join(cols) + " FROM sc, st"
+
+
+@register("mixture_decode", _mix_decode_sql())
+def q_mixture_decode(spark, d):
+    """M4 + M5: codes back to values, truncated normal inside the bin, then un-scaled."""
+    from bayesloom.operators.discretise import MixtureDiscretiser
+    li = read(spark, d, "lineitem").select(F.expr(LI_KEY).alias("row_key"), *_MIX)
+    m = MixtureDiscretiser.fit(li, _MIX, k=1)
+    back = m.inverse(m.transform(li), "row_key", 42)
+    return back.select("row_key", *[_r(c, 4).alias(c) for c in _MIX])
+
+
+@register("mixture_fit")
+def q_mixture_fit(spark, d):
+    """M1: 10-component mixture per column (EM on compacted values), pruned modes."""
+    from bayesloom.operators.discretise import MixtureDiscretiser
+    li = read(spark, d, "lineitem").select(*_MIX)
+    m = MixtureDiscretiser.fit(li, _MIX, k=10, max_iter=50)
+    rows = [(c, j, m.weights[c][j], m.mu[c][j], m.sigma[c][j]) for c in _MIX for j in range(len(m.mu[c]))]
+    return spark.createDataFrame(rows, "col_name string, mode int, weight double, mu double, sigma double")
+
+
+@register("mixed_synth_sample")
+def q_mixed_synth(spark, d):
+    """M6: numeric columns through the mixture codes, kDB generator, decoded sample of N rows."""
+    from bayesloom.plans.models import MixedSynthesizer
+    v = _li(spark, d)
+    raw = read(spark, d, "lineitem").select(F.expr(LI_KEY).alias("row_key"), *_MIX)
+    df = v.df.select("row_key", "disc_b", "tax_b", "status", "target").join(raw, "row_key")
+    m = MixedSynthesizer(numeric=_MIX, k_modes=5, k=2, epochs=0)
+    m.fit(df, _MIX + ["disc_b", "tax_b", "status"], "target", v.cards())
+    return m.sample(int(df.count()), 42)
+
+
+# ------------------------------------------------------------------ iterative models and evaluation (no SQL form)
+
+@register("kdb_generator_sample")
+def q_kdb_generator(spark, d):
+    """G12 (G3 + G4 + G6): discriminatively tuned kDB, N synthetic rows."""
+    from bayesloom.plans.models import KDependenceGenerator
+    v = _li(spark, d)
+    g = KDependenceGenerator(k=2, epochs=2).fit(v.df, v.features, v.label, v.cards())
+    return g.sample(int(v.df.count()), 42)
+
+
+@register("kdb_generator_cpts")
+def q_kdb_generator_cpts(spark, d):
+    """G3 + G4: the tuned weights as CPT rows (each configuration sums to 1)."""
+    from bayesloom.plans.models import KDependenceGenerator
+    v = _li(spark, d)
+    g = KDependenceGenerator(k=2, epochs=2).fit(v.df, v.features, v.label, v.cards())
+    return g.cpts
+
+
+def _search(spark, d):
+    from bayesloom.operators.search import HybridSearch
+    v = _li(spark, d)
+    hs = HybridSearch(v.nodes, v.label, v.cards(), episodes=2, epochs=2, n=2)
+    return hs.run(v.df)
+
+
+@register("hybrid_search_log")
+def q_search_log(spark, d):
+    """K27 (with K17–K20): transition log of a two-episode hybrid search."""
+    return _search(spark, d).log
+
+
+@register("n_step_return")
+def q_n_step_return(spark, d):
+    """Discounted return per (episode, epoch) buffer of the search log."""
+    from bayesloom.operators.search import n_step_return
+    return n_step_return(_search(spark, d).log, 0.9)
+
+
+@register("q_update")
+def q_q_update(spark, d):
+    """K22 + K24: Q table updated from the search log, merged with the search's own table."""
+    from bayesloom.operators.search import q_merge, q_update
+    r = _search(spark, d)
+    return q_merge([q_update(r.q.limit(0), r.log), r.q])
+
+
+@register("policy_blend")
+def q_policy_blend(spark, d):
+    """Policy values for logged pairs present in Q."""
+    from bayesloom.operators.search import policy_blend
+    r = _search(spark, d)
+    return policy_blend(None, r.q, r.log, 0.9)
+
+
+@register("select_best_structure")
+def q_select_best(spark, d):
+    """Best structure over all candidates of the search."""
+    from bayesloom.operators.search import select_best_structure
+    return select_best_structure(_search(spark, d).candidates)
+
+
+@register("best_known_action")
+def q_best_action(spark, d):
+    """Argmax-Q action per state."""
+    from bayesloom.operators.search import best_known_action
+    return best_known_action(_search(spark, d).q)
+
+
+def _tstr_setup(spark, d):
+    from bayesloom.plans.models import BayesNetSynthesizer
+    v, sp = _li_split(spark, d)
+    sp = sp.persist()
+    tr, te = sp.filter(~F.col("is_test")), sp.filter(F.col("is_test"))
+    b = BayesNetSynthesizer("naive").fit(tr, v.features, v.label, v.cards())
+    return v, sp, tr, te, b
+
+
+@register("tstr")
+def q_tstr(spark, d):
+    """V1 + V2 + V6: naive-BN synthetic rows → logistic regression → accuracy on real test rows."""
+    v, sp, tr, te, b = _tstr_setup(spark, d)
+    res = b.evaluate(te.select(*v.nodes), n=int(tr.count()), classifiers=("lr",))
+    sp.unpersist()
+    return spark.createDataFrame([(k, val) for k, val in res.items()], "metric string, value double")
+
+
+@register("discriminator")
+def q_discriminator(spark, d):
+    """V7 (+G13, P8): real-vs-synthetic logistic discriminator accuracy on an 80 % sample."""
+    from bayesloom.operators.evaluate import discriminator
+    v, sp, tr, te, b = _tstr_setup(spark, d)
+    syn = b.sample(int(tr.count()), 7)
+    res = discriminator(tr, syn, v.features)
+    sp.unpersist()
+    return spark.createDataFrame([(k, float(x)) for k, x in res.items()], "metric string, value double")
+
+
+@register("trtr_structures")
+def q_trtr_structures(spark, d):
+    """V8: train-on-real MAP accuracy of hill-climb, tree and kDB networks."""
+    from bayesloom.operators.evaluate import accuracy
+    from bayesloom.plans.models import BayesNetSynthesizer
+    v, sp = _li_split(spark, d)
+    sp = sp.persist()
+    tr, te = sp.filter(~F.col("is_test")), sp.filter(F.col("is_test"))
+    rows = []
+    for name in ("hill_climb", "tree", "kdb"):
+        b = BayesNetSynthesizer(name).fit(tr, v.features, v.label, v.cards())
+        if not any(v.label in e for e in b.edges):
+            rows.append((name, None))
+            continue
+        p = bn_map_predict(te, b.cpts, b.edges, v.nodes, v.label, v.cards())
+        rows.append((name, float(accuracy(p, "pred", v.label).first()[0])))
+    sp.unpersist()
+    return spark.createDataFrame(rows, "model string, accuracy double")
+
+
+@register("multi_round")
+def q_multi_round(spark, d):
+    """Generate once per model, evaluate two rounds (LR), mean over rounds."""
+    from bayesloom.operators.evaluate import mean_over_rounds, multi_round
+    from bayesloom.plans.models import BayesNetSynthesizer, GaussianNBSynthesizer
+    v, sp = _li_split(spark, d)
+    sp = sp.persist()
+    tr, te = sp.filter(~F.col("is_test")).select(*v.nodes), sp.filter(F.col("is_test")).select(*v.nodes)
+    models = {
+        "naive_bn": lambda t, y: BayesNetSynthesizer("naive").fit(t, v.features, y, v.cards()),
+        "kdb": lambda t, y: BayesNetSynthesizer("kdb").fit(t, v.features, y, v.cards()),
+        "gnb": lambda t, y: GaussianNBSynthesizer().fit(t, v.features, y),
+    }
+    res = multi_round(spark, {"li": (tr, te, v.label)}, models, rounds=2, classifiers=("lr",)).persist()
+    out = mean_over_rounds(res)
+    out.count()
+    sp.unpersist()
+    return out
