@@ -2,6 +2,8 @@
 
 from bayesloom.functions.exprs import (  # noqa: F401
     hash_uniform,
+    hash_uniform_block,
+    hash_uniform_block_sql,
     hash_uniform_sql,
     lgamma,
     lgamma_sql,

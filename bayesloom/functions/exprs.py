@@ -128,3 +128,21 @@ def log2(x) -> Column:
 
 def round_to(x, digits: int = 6) -> Column:
     return F.round(_c(x), digits)
+
+
+def hash_uniform_block(key, block: int, slot: int, seed) -> Column:
+    """Uniform number ``slot`` (0–3) of the md5 digest of ``key|b<block>|seed``.
+
+    One digest gives four independent 32-bit uniforms, so a row needs one md5 per four
+    nodes. Same value as SQL ``hash_uniform_block_sql``.
+    """
+    digest = F.md5(F.concat_ws("|", key, F.lit(f"b{block}"), F.lit(str(seed))))
+    h = F.conv(F.substring(digest, 8 * slot + 1, 8), 16, 10).cast("double")
+    return (h + F.lit(0.5)) / F.lit(TWO_32)
+
+
+def hash_uniform_block_sql(key_sql: str, block: int, slot: int, seed, dialect: str = "spark") -> str:
+    inner = f"md5(concat_ws('|', {key_sql}, 'b{block}', '{seed}'))"
+    if dialect == "duckdb":
+        return f"((('0x' || substr({inner}, {8 * slot + 1}, 8))::BIGINT + 0.5) / {TWO_32})"
+    return f"((CAST(conv(substr({inner}, {8 * slot + 1}, 8), 16, 10) AS DOUBLE) + 0.5) / {TWO_32})"

@@ -234,18 +234,21 @@ class MixtureDiscretiser:
         return scaled.select(*keep, *[v.alias(k) for k, v in out.items()])
 
     def inverse(self, df: DataFrame, key: str, seed=42) -> DataFrame:
-        """M4: code → value: truncated normal inside the bin (M5), then un-scale."""
-        out = {}
+        """M4: code → value: truncated normal inside the bin (M5), then un-scale.
+
+        The uniform and the bin probability are materialised as columns first, so the
+        branches of Φ⁻¹ refer to them instead of repeating the hash.
+        """
+        out = df
         for c in self.columns:
             code = F.col(c).cast("int")
             mode = F.floor(code / BINS_PER_MODE).cast("int")
             b = (code % BINS_PER_MODE).cast("int")
+            out = out.withColumn(f"__p_{c}", truncnorm_p(b, hash_uniform(F.col(key).cast("string"), c, str(seed))))
             mu = F.element_at(F.array(*[F.lit(v) for v in self.mu[c]]), mode + 1)
             sg = F.element_at(F.array(*[F.lit(v) for v in self.sigma[c]]), mode + 1)
-            u = hash_uniform(F.col(key).cast("string"), c, str(seed))
-            out[c] = mu + sg * truncnorm_z(b, u)
-        scaled = df.withColumns(out)
-        return self.scaler.inverse(scaled)
+            out = out.withColumn(c, mu + sg * probit(F.col(f"__p_{c}"))).drop(f"__p_{c}")
+        return self.scaler.inverse(out)
 
 
 def z_bin(z: Column) -> Column:
@@ -261,10 +264,14 @@ def z_bin(z: Column) -> Column:
 PHI_EDGES = [0.0] + [_phi(z) for z in Z_EDGES] + [1.0]
 
 
-def truncnorm_z(b: Column, u: Column) -> Column:
-    """M5: z ~ N(0,1) restricted to bin ``b``: Φ⁻¹(Φlo + (Φhi − Φlo)·u)."""
+def truncnorm_p(b: Column, u: Column) -> Column:
+    """M5: Φlo + (Φhi − Φlo)·u for bin ``b``, clamped inside (0, 1)."""
     lo = F.element_at(F.array(*[F.lit(v) for v in PHI_EDGES[:-1]]), b + 1)
     hi = F.element_at(F.array(*[F.lit(v) for v in PHI_EDGES[1:]]), b + 1)
     p = lo + (hi - lo) * u
-    p = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
-    return probit(p)
+    return F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
+
+
+def truncnorm_z(b: Column, u: Column) -> Column:
+    """M5: z ~ N(0,1) restricted to bin ``b``: Φ⁻¹(Φlo + (Φhi − Φlo)·u)."""
+    return probit(truncnorm_p(b, u))

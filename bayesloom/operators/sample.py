@@ -13,7 +13,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bayesloom.functions import hash_uniform, probit
+from bayesloom.functions import hash_uniform, hash_uniform_block, probit
 from bayesloom.operators.scores import parent_sets
 from bayesloom.operators.structure import radix_code_expr, topological_order
 
@@ -71,9 +71,14 @@ def ancestral_sample(spark, cpts: DataFrame, edges, nodes: Sequence[str], cards:
     parts = num_partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sizes = {r["child"]: r["k"] for r in cpts.groupBy("child").agg(F.countDistinct("pa").alias("k")).collect()}
     s = spark.range(0, int(n), 1, parts).withColumnRenamed("id", key)
+    # node i (position in ``nodes``) uses uniform i % 4 of digest i // 4: one md5 per four nodes
+    rid = F.col(key).cast("string")
+    s = s.select("*", *[hash_uniform_block(rid, b, j, seed).alias(f"__u_{b}_{j}")
+                        for b in range((len(nodes) + 3) // 4) for j in range(4) if 4 * b + j < len(nodes)])
     for node in order:
         pa = ps[node]
-        u = hash_uniform(F.col(key).cast("string"), node, str(seed))
+        i = list(nodes).index(node)
+        u = F.col(f"__u_{i // 4}_{i % 4}")
         uniform = F.floor(u * F.lit(int(cards[node]))).cast("int")
         if not pa:
             # a root has one configuration (≤ card values): inline it as literals, no join
@@ -84,10 +89,10 @@ def ancestral_sample(spark, cpts: DataFrame, edges, nodes: Sequence[str], cards:
             look = cpt_lookup(cpts, node, pa, cards)
             look = F.broadcast(look) if sizes.get(node, 0) <= BROADCAST_CONFIGS else look
             s = s.withColumn("__pk", _pack(pa, cards)).join(look, F.col("__pk") == F.col("__k"), "left").drop("__pk")
-        s = s.withColumn("__u", u)
-        pick = _draw(F.col("__hi"), F.col("__u"), int(cards[node]))
-        s = s.withColumn(node, F.when(F.col("__hi").isNull(), uniform).otherwise(pick).cast("int"))
-        s = s.drop("__k", "__hi", "__u")
+        # the draw is evaluated unconditionally (null when the configuration is unseen), so the
+        # uniform is a common subexpression; unseen configurations fall back to a uniform code
+        s = s.withColumn(node, F.coalesce(_draw(F.col("__hi"), u, int(cards[node])), uniform).cast("int"))
+        s = s.drop("__k", "__hi")
     return s.select(key, *nodes)
 
 
@@ -108,15 +113,22 @@ def gaussian_nb_sample(spark, model, n: int, seed=42, num_partitions: int | None
         acc += model.counts[c]
         cum.append(acc / total)
     s = spark.range(0, int(n), 1, parts).withColumnRenamed("id", key)
-    u = hash_uniform(F.col(key).cast("string"), model.label, str(seed))
-    idx = F.size(F.filter(F.array(*[F.lit(c) for c in cum]), lambda c: c <= u))
-    s = s.withColumn("__i", idx.cast("int"))
+    # uniforms: slot i of digest i // 4 for the columns (features…, label); one md5 per four columns
+    cols = list(model.features) + [model.label]
+    rid = F.col(key).cast("string")
+    s = s.select("*", *[hash_uniform_block(rid, i // 4, i % 4, seed).alias(f"__u{i}") for i in range(len(cols))])
+    u = F.col(f"__u{len(cols) - 1}")
+    idx = None
+    for c in cum[:-1]:
+        term = (F.lit(c) <= u).cast("int")
+        idx = term if idx is None else idx + term
+    s = s.withColumn("__i", (idx if idx is not None else F.lit(0)).cast("int"))
+    s = s.withColumns({f"__z{i}": probit(F.col(f"__u{i}")) for i in range(len(model.features))})
     out = [F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("__i") + 1).alias(model.label)]
-    for f in model.features:
+    for i, f in enumerate(model.features):
         mu = F.element_at(F.array(*[F.lit(model.mean[c][f]) for c in classes]), F.col("__i") + 1)
         sd = F.element_at(F.array(*[F.lit(model.var[c][f] ** 0.5) for c in classes]), F.col("__i") + 1)
-        z = probit(hash_uniform(F.col(key).cast("string"), f, str(seed)))
-        out.append((mu + sd * z).alias(f))
+        out.append((mu + sd * F.col(f"__z{i}")).alias(f))
     return s.select(key, *out)
 
 

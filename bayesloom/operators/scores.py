@@ -45,8 +45,11 @@ def local_scores(df: DataFrame, families: Sequence[Family], cards: dict, kind: s
     A callable gets the Columns (n, n_pa, r, q, N) of the cell level and returns the
     per-cell term to sum (custom decomposable score).
     """
+    from bayesloom.session import cut_lineage
+
     spark = df.sparkSession
-    ct = family_counts(df, families, weight, compacted)
+    # the count table is model-sized: materialise it once, every later step reads it
+    ct = cut_lineage(family_counts(df, families, weight, compacted))
     meta = spark.createDataFrame(
         [(i, float(cards[ch]), _q(pa, cards)) for i, (ch, pa) in enumerate(families)], "fam int, r double, q double")
     ct = ct.join(F.broadcast(meta), "fam")

@@ -6,7 +6,7 @@ writes repetitive SQL (one UNION ALL branch per column or family).
 
 from __future__ import annotations
 
-from bayesloom.functions.exprs import hash_uniform_sql, probit_sql
+from bayesloom.functions.exprs import hash_uniform_block_sql, hash_uniform_sql, probit_sql
 from bayesloom.sources.tables import SPEC
 
 LI_FEATURES = ["qty_b", "price_b", "disc_b", "tax_b", "status"]
@@ -39,6 +39,11 @@ def u_sql(key: str, node: str, seed: int = 42) -> str:
     return hash_uniform_sql(f"CAST({key} AS VARCHAR)", f"'{node}'", f"'{seed}'", dialect="duckdb")
 
 
+def ub_sql(key: str, i: int, seed: int = 42) -> str:
+    """Uniform of the node at position ``i``: slot i % 4 of digest i // 4."""
+    return hash_uniform_block_sql(f"CAST({key} AS VARCHAR)", i // 4, i % 4, seed, dialect="duckdb")
+
+
 def split_cte(view: str = "li", frac: float = 0.2, seed: int = 42) -> str:
     """``split`` CTE: the view plus is_test."""
     u = u_sql("row_key", "split", seed)
@@ -165,14 +170,16 @@ def naive_cpt_ctes(view: str, feats: list[str], label: str, prefix: str = "cpt")
 def naive_sample_ctes(view: str, feats: list[str], label: str, seed: int = 42, out: str = "sample",
                       prefix: str = "cpt", cards: dict | None = None) -> str:
     """Ancestral sample of N = |view| rows from the naive structure (label first, then features)."""
+    nodes = list(feats) + [label]
+    ut = ub_sql("s.row_id", nodes.index(label), seed)
     ctes = [naive_cpt_ctes(view, feats, label, prefix),
             f"{out}_0 AS (SELECT row_number() OVER () - 1 AS row_id FROM {view})",
             f"{out}_1 AS (SELECT s.row_id, c.value AS {label} FROM {out}_0 s JOIN {prefix}_{label} c "
-            f"ON {u_sql('s.row_id', label, seed)} >= c.lo AND {u_sql('s.row_id', label, seed)} < c.hi)"]
+            f"ON {ut} >= c.lo AND {ut} < c.hi)"]
     prev = f"{out}_1"
     for i, f in enumerate(feats):
         cur = f"{out}_{i + 2}"
-        u = u_sql("s.row_id", f, seed)
+        u = ub_sql("s.row_id", nodes.index(f), seed)
         card = (cards or li_cards_sql(view))[f]
         ctes.append(f"{cur} AS (SELECT s.*, coalesce(c.value, CAST(floor({u} * {card}) AS INTEGER)) AS {f} FROM {prev} s "
                     f"LEFT JOIN {prefix}_{f} c ON c.p0 = s.{label} AND {u} >= c.lo AND {u} < c.hi)")

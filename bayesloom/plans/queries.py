@@ -628,11 +628,11 @@ def q_gnb_fit(spark, d):
 def _gnb_sample_sql() -> str:
     run = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     cols = []
-    for f in _FEATS:
-        u = O.u_sql("s.row_id", f)
+    for i, f in enumerate(_FEATS):
+        u = O.ub_sql("s.row_id", i)
         cols.append(f"round((SELECT mean FROM gnb WHERE gnb.y = s.target AND gnb.f = '{f}') + "
                     f"sqrt((SELECT var FROM gnb WHERE gnb.y = s.target AND gnb.f = '{f}')) * {O.probit('(' + u + ')')}, 6) AS {f}")
-    ut = O.u_sql("s0.row_id", "target")
+    ut = O.ub_sql("s0.row_id", len(_FEATS))
     return (f"WITH {O.view_cte('li')}, {_gnb_sql_params('li')}, "
             f"cum AS (SELECT y, (sum(n) OVER (ORDER BY y {run}) - n) * 1e0 / sum(n) OVER () AS lo, sum(n) OVER (ORDER BY y {run}) * 1e0 / sum(n) OVER () AS hi FROM gnb_prior), "
             f"s0 AS (SELECT row_number() OVER () - 1 AS row_id FROM li), "
