@@ -95,6 +95,8 @@ class Preprocessor:
 
 # ---------------------------------------------------------------- mixture discretiser
 
+_EM_EXPR_CACHE: dict = {}
+
 # Z-score bin boundaries of the mixture discretiser (8 bins per mode).
 Z_EDGES = [-3.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0]
 BINS_PER_MODE = 8
@@ -179,31 +181,46 @@ class MixtureDiscretiser:
         return F.lit(math.log(wj) - math.log(sj) - 0.5 * math.log(2 * math.pi)) - F.pow((x - F.lit(mj)) / F.lit(sj), 2) / 2
 
     @classmethod
-    def _em_step(cls, compact: DataFrame, columns, w, mu, sg, k):
-        # responsibilities per (column, value) row: the parameters of the row's column are
-        # picked with a CASE on the column name; all sums are one grouped aggregation.
+    def _em_exprs(cls, k: int, spark=None):
+        """Column expressions of one E+M pass, built once per (session, k): they read the
+        parameters from columns, so they are the same in every iteration."""
+        ck = (id(spark), k)
+        if ck in _EM_EXPR_CACHE:
+            return _EM_EXPR_CACHE[ck]
         x = F.col("x")
-        logs = []
-        for j in range(k):
-            expr = None
-            for c in columns:
-                if c not in w:
-                    continue
-                term = cls._log_dens(x, w[c][j], mu[c][j], sg[c][j])
-                expr = F.when(F.col("column") == c, term) if expr is None else expr.when(F.col("column") == c, term)
-            logs.append(expr.otherwise(F.lit(-1e300)))
-        # plain expressions per component (stays inside whole-stage codegen)
-        d = compact.select("column", "x", "w", *[l.alias(f"__l{j}") for j, l in enumerate(logs)])
-        d = d.withColumn("__m", F.greatest(*[F.col(f"__l{j}") for j in range(k)]) if k > 1 else F.col("__l0"))
-        d = d.select("column", "x", "w", "__m", *[F.exp(F.col(f"__l{j}") - F.col("__m")).alias(f"__e{j}") for j in range(k)])
+        half_ln_2pi = 0.5 * math.log(2 * math.pi)
+        logs = [(F.get(F.col("lw"), j) - F.log(F.get(F.col("sg"), j)) - F.lit(half_ln_2pi)
+                 - F.pow((x - F.get(F.col("mu"), j)) / F.get(F.col("sg"), j), 2) / 2).alias(f"__l{j}") for j in range(k)]
+        mx = (F.greatest(*[F.col(f"__l{j}") for j in range(k)]) if k > 1 else F.col("__l0")).alias("__m")
+        exps = [F.exp(F.col(f"__l{j}") - F.col("__m")).alias(f"__e{j}") for j in range(k)]
         total = F.col("__e0")
         for j in range(1, k):
             total = total + F.col(f"__e{j}")
-        d = d.withColumn("__s", total).withColumn("__ll", F.col("__m") + F.log("__s"))
-        aggs = [F.sum("w").alias("tot"), F.sum(F.col("w") * F.col("__ll")).alias("ll")]
+        aggs = [F.sum("w").alias("tot"), F.sum(F.col("w") * (F.col("__m") + F.log("__s"))).alias("ll")]
         for j in range(k):
             r = F.col("w") * F.col(f"__e{j}") / F.col("__s")
             aggs += [F.sum(r).alias(f"n{j}"), F.sum(r * x).alias(f"sx{j}"), F.sum(r * x * x).alias(f"sxx{j}")]
+        out = (logs, mx, exps, total.alias("__s"), aggs)
+        _EM_EXPR_CACHE[ck] = out
+        return out
+
+    @classmethod
+    def _em_step(cls, compact: DataFrame, columns, w, mu, sg, k):
+        """One E+M pass as one aggregation. The parameters travel as a small broadcast
+        table (column → arrays), not as literals, so the generated code is identical in
+        every iteration and compiled once."""
+        spark = compact.sparkSession
+        rows = []
+        for c in columns:
+            if c not in w:
+                continue
+            lw = [math.log(w[c][j]) if w[c][j] > 0 else -1e300 for j in range(k)]
+            rows.append((c, lw, [float(v) for v in mu[c]], [float(max(v, 1e-12)) for v in sg[c]]))
+        params = F.broadcast(spark.createDataFrame(rows, "column string, lw array<double>, mu array<double>, sg array<double>"))
+        logs, mx, exps, total, aggs = cls._em_exprs(k, spark)
+        d = compact.join(params, "column").select("column", "x", "w", *logs)
+        d = d.select("column", "x", "w", *[F.col(f"__l{j}") for j in range(k)], mx)
+        d = d.select("column", "x", "w", "__m", *exps).select("*", total)
         rows = d.groupBy("column").agg(*aggs).collect()
         stats, ll = {}, 0.0
         for r in rows:

@@ -43,13 +43,12 @@ def cpt_lookup(cpts: DataFrame, node: str, parents: Sequence[str], cards: dict)
         key = key * F.lit(int(cards[p])) + F.get(F.col("pa"), i).cast("long")
     card = int(cards[node])
     m = t.groupBy(key.alias("__k")).agg(F.map_from_entries(F.collect_list(F.struct("value", "cum_hi"))).alias("__m"))
-    # dense ends: the running maximum of observed ends over the domain (a small, per-configuration array)
-    ends = [F.coalesce(F.element_at(F.col("__m"), F.lit(v)), F.lit(0.0)) for v in range(card)]
-    dense, run = [], None
-    for e in ends:
-        run = e if run is None else F.greatest(run, e)
-        dense.append(run)
-    return m.select("__k", F.array(*dense).alias("__hi"))
+    # dense ends: for each code v the end of the largest observed value ≤ v (0 before the
+    # first); evaluated once on the model-sized lookup table, not per sampled row
+    dense = F.transform(F.sequence(F.lit(0), F.lit(card - 1)), lambda v: F.coalesce(
+        F.array_max(F.transform(F.filter(F.map_entries(F.col("__m")), lambda e: e["key"] <= v), lambda e: e["value"])),
+        F.lit(0.0)))
+    return m.select("__k", dense.alias("__hi"))
 
 
 def _draw(hi, u, card: int):

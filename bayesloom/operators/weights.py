@@ -71,14 +71,17 @@ class DiscriminativeWeights:
         C = len(self.classes)
         d = compact
         for i, f in enumerate(self.enc.features):
-            tab = spark.createDataFrame([(j, [float(x) for x in self.W[f][j]]) for j in range(len(self.enc.vocab[f]))],
+            # the class bias rides in the first feature's table (every training row has a code
+            # there), so no literal changes between epochs and the generated code is reused
+            extra = self.bias if i == 0 else np.zeros(C)
+            tab = spark.createDataFrame([(j, [float(x + e) for x, e in zip(self.W[f][j], extra)]) for j in range(len(self.enc.vocab[f]))],
                                         f"__c{i} int, __w{i} array<double>")
             tab = F.broadcast(tab) if len(self.enc.vocab[f]) <= BROADCAST_CONFIGS else tab
             d = d.join(tab, d[f"{f}_ho"] == tab[f"__c{i}"], "left").drop(f"__c{i}")
         # per-class logits, softmax and residuals as plain (codegen) expressions
         logits = []
         for k in range(C):
-            t = F.lit(float(self.bias[k]))
+            t = F.lit(0.0)
             for i in range(len(self.enc.features)):
                 t = t + F.coalesce(F.get(F.col(f"__w{i}"), k), F.lit(0.0))
             logits.append(t)
