@@ -109,18 +109,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 class RollingHash:
     """64-bit hashes of any substrings of one byte array, from prefix sums.
 
-    ``fold`` maps bytes first (such as to lower case); bytes that ``keep`` doesn't mark are left out.
+    ``fold`` maps bytes first (such as to lower case); bytes that ``keep`` (by byte value) or ``mask``
+    (by place) doesn't mark are left out.
     """
 
-    def __init__(self, raw: np.ndarray, fold: np.ndarray | None = None, keep: np.ndarray | None = None):
+    def __init__(self, raw: np.ndarray, fold: np.ndarray | None = None, keep: np.ndarray | None = None, mask: np.ndarray | None = None):
         codes = _BYTE_CODE if fold is None else _BYTE_CODE[fold]
         value = codes[raw]
-        if keep is None:
+        if keep is None and mask is None:
             self.place = None
             weight = powers(len(raw) + 1)
             self.inverse = powers(len(raw) + 1, _BASE_INV)
         else:
-            kept = keep[raw]
+            kept = keep[raw] if mask is None else mask
             place = np.zeros(len(raw) + 1, np.int64)
             np.cumsum(kept, out=place[1:])
             self.place = place

@@ -63,5 +63,11 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def row_key(names: list[str]) -> list:
+    """Columns ``__key1``, ``__key2``: 128 bits that tell rows with different values (nulls too) apart."""
+    columns = [F.col(f"`{c}`") for c in names]
+    return [F.xxhash64(*columns).alias("__key1"), F.xxhash64(F.lit(1), *columns).alias("__key2")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

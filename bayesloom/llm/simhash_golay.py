@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bayesloom.llm import bytesrows as br
-from bayesloom.llm.shared import components, materialise
+from bayesloom.llm.shared import components, materialise, row_key
 
 # fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1
 GENERATOR = 0b110001110101
@@ -182,12 +182,10 @@ def near_duplicates(docs: DataFrame, carry: list[str], id_col: str = "doc_id", t
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3,
              max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the smallest id (null ids last),
-    among rows of that id that of the smallest row hash; of identical rows one stays. All columns are kept."""
-    names = docs.columns
-    marked = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    found = near_duplicates(marked, [id_col, "__row"], id_col, text, words, max_distance)
-    winners = (found.groupBy("root")
-               .agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("w"))
-               .select(F.col("w.id").alias("__id"), F.col("w.row").alias("__win")))
-    kept = marked.join(winners, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__win")), "left_semi")
-    return kept.dropDuplicates([id_col, "__row"]).select(*[F.col(f"`{c}`") for c in names])
+    among rows of that id that of the smallest row key; of identical rows one stays. All columns are kept."""
+    names, keys = docs.columns, ["__key1", "__key2"]
+    marked = docs.select("*", *row_key(names))
+    found = near_duplicates(marked, [id_col, *keys], id_col, text, words, max_distance)
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *keys)
+    winners = found.groupBy("root").agg(F.min(first).alias("w")).select("w.__key1", "w.__key2")
+    return marked.join(winners, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in names])
