@@ -8,8 +8,8 @@ side with the probabilities that keep every document's expectation. At most two
 
 Flights run in blocks of a source (by a hash of the row), so a source of any size spreads over tasks;
 what the blocks leave undecided flies again in blocks of blocks, until one block per source is left. Landing:
-the last flight of a source stops at ``LANDING`` undecided documents, and of their outcomes the one whose words are
-nearest the balance is taken.
+the last flight of a source stops at ``LANDING`` undecided documents, which are decided so that the words taken
+come nearest the balance.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ from bayesloom.llm.shared import materialise, row_key
 BLOCK_ROWS = 20_000
 FAN_IN = 4096
 #: documents of a source that the last flight leaves to the landing
-LANDING = 14
+LANDING = 40
+#: of those, how many are landed by trying all outcomes
+TRIED = 14
 MAX_REPEATS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 # fixed values: weights of the sources in code-point order, repeating
@@ -95,16 +97,23 @@ def flight(p: list[float], size: list[float], rng: random.Random, stop: int = 2)
 
 
 def landing(p: list[float], size: list[float], wanted: float, taken: float) -> list[float]:
-    """Zeros and ones for the undecided: the outcome whose words bring ``taken`` nearest ``wanted``, where one document
-    more or less than expected counts like one word; ties: the first."""
-    open_ = [i for i, x in enumerate(p) if 0.0 < x < 1.0]
-    words, number = np.zeros(1), np.zeros(1)
-    for i in open_:
-        words, number = np.concatenate([words, words + size[i]]), np.concatenate([number, number + 1])
-    error = np.abs(taken + words - wanted) + np.abs(number - math.fsum(p[i] for i in open_))
-    best = int(error.argmin())
+    """Zeros and ones for the undecided. The larger documents go, largest first, where the words still wanted come nearest what the
+    others are expected to give; for the ``TRIED`` smallest all outcomes are tried and that is taken whose words come nearest
+    ``wanted``, where one document more or less than expected counts like one word; ties: the first."""
+    open_ = sorted((i for i, x in enumerate(p) if 0.0 < x < 1.0), key=lambda i: (-size[i], i))
     p = list(p)
-    for k, i in enumerate(open_):
+    need, number = wanted - taken, math.fsum(p[i] for i in open_)
+    rest = math.fsum(p[i] * size[i] for i in open_)
+    cut = max(0, len(open_) - TRIED)
+    for i in open_[:cut]:
+        rest -= p[i] * size[i]
+        p[i] = float(abs(need - size[i] - rest) < abs(need - rest))
+        need, number = need - p[i] * size[i], number - p[i]
+    words, count = np.zeros(1), np.zeros(1)
+    for i in open_[cut:]:
+        words, count = np.concatenate([words, words + size[i]]), np.concatenate([count, count + 1])
+    best = int((np.abs(words - need) + np.abs(count - number)).argmin())
+    for k, i in enumerate(open_[cut:]):
         p[i] = float(best >> k & 1)
     return p
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bayesloom.llm import decontaminate, mixing, quality_crf, sharding, simhash_golay, token_counts, toxicity
+from bayesloom.llm import ctw, decontaminate, mixing, quality_crf, sharding, simhash_golay, token_counts, toxicity
 from bayesloom.llm.shared import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(10)(F.col("doc_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", out.alias("held_out"), "text")
+    return ctw.score(docs, ["doc_id", "held_out"], ~F.col("held_out"))
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
