@@ -140,6 +140,11 @@ class RollingHash:
         h = (self.sums[end] - self.sums[start]) * self.inverse[at]
         return mix(h + self.length(start, end).astype(np.uint64))
 
+    def windows(self, size: int) -> np.ndarray:
+        """Hashes of all substrings of ``size`` bytes, by their start (no ``keep`` and no ``mask``)."""
+        n = len(self.sums) - size
+        return mix((self.sums[size:] - self.sums[:n]) * self.inverse[:n] + _U(size)) if n > 0 else np.zeros(0, np.uint64)
+
 
 def hash_word(word: str, fold: np.ndarray | None = None, keep: np.ndarray | None = None) -> int:
     """The hash that ``RollingHash`` gives for a whole string."""
