@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bayesloom.llm import ctw, decontaminate, mixing, quality_crf, sharding, simhash_golay, suffix_dedup, token_counts, toxicity
+from bayesloom.llm import ctw, decontaminate, mixing, quality_crf, secret_scan, sharding, simhash_golay, suffix_dedup, token_counts, toxicity
 from bayesloom.llm.shared import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def held_out(parts: int):
     return lambda id_: F.coalesce(F.crc32(id_.cast("string")) % parts == 0, F.lit(False))
 
 
+@query
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), ["doc_id"]).drop("spans")
