@@ -243,7 +243,7 @@ def _down(nodes: DataFrame, above: DataFrame | None) -> DataFrame:
                       (F.col("l") * (1 - F.col("weight"))).alias("left"), (F.col("a") + F.col("l") * F.col("kt")).alias("end"))
 
 
-def _finish(short: dict[int, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _finish(short: dict[tuple[int, int], float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows in order of (two context bytes, kind): depth-2 nodes, then the strings behind them. Gives (key, log10 probability)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +274,7 @@ def _finish(short: dict[int, float]) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 p = np.where(np.isnan(deep), stop, p)
                 for r, j in zip(*np.nonzero(np.isnan(p)), strict=True):  # not even two bytes of context seen: shorter ones, then a half
                     b = int(node[r, j])
-                    q = short.get((int(context[r]) >> 8) << 8 | b, short.get(b, 0.5))
+                    q = short.get((1, (int(context[r]) >> 8) << 8 | b), short.get((0, b), 0.5))
                     p[r, j] = q if one[r, j] else 1 - q
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.log10(p).sum(axis=1))], names=["key", "value"])
             last = batch.column(0)[batch.num_rows - 1].as_py() if batch.num_rows else None
@@ -298,7 +298,7 @@ def string_scores(counts: DataFrame, parts: int) -> DataFrame:
     down1 = materialise(_down(one, down0))
     down2 = _down(two, down1)
     # at most 255 + 256 * 255 rows
-    short = {r["key"]: r["end"] for r in down0.union(down1).select("key", "end").collect()}
+    short = {(d, r["key"]): r["end"] for d, nodes in ((0, down0), (1, down1)) for r in nodes.select("key", "end").collect()}
     top = down2.select(F.shiftright("key", 8).alias("c"), F.lit(0).cast("byte").alias("kind"), "key", F.array("acc", "left", "end").alias("x"))
     strings = weighed.filter("kind = 1").select(F.shiftright("key", 8 * (DEPTH - 1)).alias("c"), "kind", "key", "x")
     out = (top.union(strings).repartition(parts, "c").sortWithinPartitions("c", "kind")
