@@ -4,12 +4,12 @@ Every document of a source has the same rate, target over size: its whole part i
 is taken for certain, its fraction the probability of one time more. The cube method turns those
 fractions into zeros and ones. Flight: three undecided documents at a time move along the null space of the
 balancing constraints (number of documents, number of words) until one of them reaches 0 or 1, to either
-side with the probabilities that keep every document's expectation. At most two documents of a block are left undecided.
+side with the probabilities that keep every document's expectation. A few documents of a block stay undecided: ``LANDING`` or some
+more that are kept back in random order, and at most two others.
 
 Flights run in blocks of a source (by a hash of the row), so a source of any size spreads over tasks;
 what the blocks leave undecided flies again in blocks of blocks, until one block per source is left. Landing:
-the last flight of a source stops at ``LANDING`` undecided documents, which are decided so that the words taken
-come nearest the balance.
+the last undecided documents of a source are decided so that the words taken come nearest the balance.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from bayesloom.llm.shared import materialise, row_key
 
 #: expected rows of a block of the first flight, and blocks that one block of a later flight gathers
 BLOCK_ROWS = 20_000
-FAN_IN = 4096
-#: documents of a source that the last flight leaves to the landing
+FAN_IN = 256
+#: documents that a flight leaves undecided for the landing, at least
 LANDING = 40
 #: of those, how many are landed by trying all outcomes
 TRIED = 14
@@ -65,13 +65,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: flo
             .select("source", "source_size", "target"))
 
 
-def flight(p: list[float], size: list[float], rng: random.Random, stop: int = 2) -> list[float]:
-    """Move probabilities to 0 or 1 with the sums of ``p`` and of ``p * size`` kept, until at most ``stop`` (2 or more) are between."""
+def flight(p: list[float], size: list[float], rng: random.Random) -> list[float]:
+    """Move probabilities to 0 or 1 with the sums of ``p`` and of ``p * size`` kept, larger documents first, until at most two are between."""
     p = list(p)
-    waiting = [i for i, x in enumerate(p) if 0.0 < x < 1.0]
-    waiting.reverse()
+    waiting = sorted((i for i, x in enumerate(p) if 0.0 < x < 1.0), key=lambda i: (size[i], -i))
     held: list[int] = []
-    while len(held) + len(waiting) > stop:
+    while len(held) + len(waiting) > 2:
         while len(held) < 3:
             held.append(waiting.pop())
         a, b, c = held
@@ -118,6 +117,17 @@ def landing(p: list[float], size: list[float], wanted: float, taken: float) -> l
     return p
 
 
+def reserve(size: list[float], most: int) -> int:
+    """How many documents, in their random order, a flight leaves for the landing: ``LANDING``, or more (up to ``most``) until their
+    words could make up for the largest document."""
+    wanted, total = 2 * max(size, default=0.0), 0.0
+    for n, words in enumerate(size):
+        if n >= LANDING and (total >= wanted or n >= most):
+            return n
+        total += words
+    return len(size)
+
+
 def _fly(rows: DataFrame, last: bool, seed: int) -> DataFrame:
     """One flight in every (source, block); with ``last`` the landing follows."""
 
@@ -126,7 +136,8 @@ def _fly(rows: DataFrame, last: bool, seed: int) -> DataFrame:
         p, size = pdf["p"].tolist(), pdf["size"].astype(float).tolist()
         rng = random.Random(f"{seed}/{key[0]!r}/{key[1]}")
         wanted = math.fsum(x * s for x, s in zip(p, size, strict=True))
-        p = flight(p, size, rng, LANDING if last else 2)
+        stay = reserve(size, len(size) if last else len(size) // 2)
+        p[stay:] = flight(p[stay:], size[stay:], rng)
         if last:
             sure = math.fsum(s for x, s in zip(p, size, strict=True) if x == 1.0)
             p = landing(p, size, wanted, sure)

@@ -1,0 +1,237 @@
+import collections
+import itertools
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from bayesloom.llm import decontaminate, quality_crf, secret_scan, toxicity
+from bayesloom.llm import bytesrows as br
+
+SF = "/root/testdata/sf0.001"
+
+
+# ---- benchmark decontamination ----------------------------------------------------------------------------------------
+
+def norm(text):
+    return [w.decode("utf8", "replace") for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()))]
+
+
+def brute_matches(docs, items, similarity=0.8):
+    """(document, item) -> best similarity over windows of the item's size."""
+    best = {}
+    for i, item in items:
+        words = norm(item)
+        if not words:
+            continue
+        k = min(5, len(words))
+        want = collections.Counter(tuple(words[j:j + k]) for j in range(len(words) - k + 1))
+        for d, text in docs:
+            w = norm(text)
+            for s in range(max(1, len(w) - len(words) + 1)):
+                part = w[s:s + len(words)]
+                if len(part) < k:
+                    continue
+                have = collections.Counter(tuple(part[j:j + k]) for j in range(len(part) - k + 1))
+                sim = sum((want & have).values()) / sum((want | have).values())
+                if sim >= similarity - 1e-12 and sim > best.get((d, i), 0):
+                    best[d, i] = sim
+    return best
+
+
+def leaky():
+    rng = np.random.default_rng(11)
+    vocab = ["".join(rng.choice(list("abcdefgé"), rng.integers(2, 7))) for _ in range(400)]
+    say = lambda n: list(rng.choice(vocab, n))
+    items = [(i, " ".join(say(n))) for i, n in enumerate([15, 18, 18, 25, 40, 59, 3, 4, 5, 6, 1])] + [(50, ""), (51, None), (52, " ".join(["same"] * 20))]
+    docs = []
+    for i, text in items[:9]:
+        w = text.split()
+        docs += [say(30) + w + say(20), w, [x.upper() + "!!" for x in w] + say(3), say(200)]
+        for cut in (1, 2, 4):
+            docs.append(say(10) + w[cut:] + say(10))
+            docs.append(w[:-cut])
+            v = list(w)
+            v[len(v) // 2] = "changed"
+            docs.append(say(5) + v + say(5))
+        docs.append(say(4) + w + say(40) + w)
+    docs += [["same"] * 25, ["same"] * 12, say(2), []]
+    return [(n, " ".join(d)) for n, d in enumerate(docs)] + [(9000, None), (9001, "")], items
+
+
+def test_matches_equal_brute_force_over_all_windows(spark, monkeypatch):
+    docs, items = leaky()
+    d = spark.createDataFrame([(i, t, 0.0) for i, t in docs], "doc_id long, text string, item_id double")
+    b = spark.createDataFrame(items + items[:2], "item_id long, text string")
+    want = brute_matches(docs, items)
+    for size in (1 << 20, 300):
+        monkeypatch.setattr(decontaminate, "GROUP_BYTES", size)
+        got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.matches(d, b, ["doc_id"]).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
+        left = {r["doc_id"] for r in decontaminate.clean(d, b).collect()}
+        assert left == {i for i, _ in docs} - {i for i, _ in want}
+
+
+def test_decontamination_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    some = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    assert decontaminate.matches(none, items, ["doc_id"]).collect() == []
+    assert decontaminate.matches(some, items.limit(0), ["doc_id"]).collect() == []
+    assert decontaminate.clean(some, items.limit(0)).count() == 1 and decontaminate.clean(none, items).count() == 0
+
+
+def test_blocks_find_every_fingerprint_within_the_radius():
+    rng = np.random.default_rng(0)
+    index = decontaminate.ItemIndex([" ".join(rng.choice(list("abcdefghij"), 20)) for _ in range(80)], 0.8, 24)
+    fp = index.fp[rng.integers(0, 80, 500)].copy()
+    for i in range(len(fp)):
+        for bit in rng.choice(64, rng.integers(0, 33), replace=False):
+            fp[i] ^= np.uint64(1) << np.uint64(bit)
+    w, item = index.near(fp, np.zeros(len(fp), np.int64))
+    far = np.bitwise_count(fp[:, None] ^ index.fp[None, :])
+    assert set(zip(w.tolist(), item.tolist())) == set(map(tuple, np.argwhere(far <= 24).tolist()))
+
+
+def test_fingerprints_at_the_similarity_bound_are_within_the_radius():
+    """Recall of the fingerprint step at similarity 0.8 exactly: 16 of 18 shingles common."""
+    rng = np.random.default_rng(1)
+    n, m, common = 2000, 36, 32
+    h = rng.integers(0, 1 << 63, (n, m + m - common), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (n, m + m - common), dtype=np.uint64)
+    owner = np.repeat(np.arange(n), m)
+    a = decontaminate._simhash(h[:, :m].ravel(), owner, n)
+    b = decontaminate._simhash(h[:, m - common:].ravel(), owner, n)
+    assert (np.bitwise_count(a ^ b) <= decontaminate.RADIUS).mean() > 0.999
+
+
+# ---- line labelling ------------------------------------------------------------------------------------------------------
+
+def brute_figures(text):
+    text = text or ""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    words = word.findall(text)
+    n = collections.Counter(tuple(words[i:i + 3]) for i in range(len(words) - 2))
+    inside = {i + j for i in range(len(words) - 2) if n[tuple(words[i:i + 3])] > 1 for j in range(3)}
+    lines, dup = set(), 0
+    for line in text.split("\n"):
+        if word.search(line):
+            dup += line in lines
+            lines.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(inside), len(words) < 50 or 100 * len(inside) > 50 * len(words)
+
+
+def test_figures_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r["doc_id"], r["text"]) for r in docs] + [
+        (-1, None), (-2, ""), (-3, "\n\n \n"), (-4, "a\na\n\na \na"), (-5, "b b b b\nb b b b\n"), (-6, "é𝄞 #é|\t<x>\r\nz\n"), (-7, "\n".join(["line of words"] * 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("x"))
+    chain = quality_crf.Chain.fit(np.zeros((0, 16)), np.zeros(0, int), np.zeros(0, int))
+    got = {r["doc_id"]: r for r in quality_crf.judge(df, chain, ["doc_id"]).collect()}
+    for i, t in rows:
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_figures(t), (i, t)
+        assert r["kept"] == (not r["base_failed"])  # a field without evidence calls every line content
+
+
+def test_viterbi_finds_the_best_of_all_labellings():
+    rng = np.random.default_rng(2)
+    x, row = rng.normal(size=(60, 4)), np.sort(rng.integers(0, 12, 60))
+    chain = quality_crf.Chain(rng.normal(size=4), rng.normal(size=(2, 2)))
+    got = chain.viterbi(x, row)
+    for r in np.unique(row):
+        s = x[row == r] @ chain.w
+        best = max(itertools.product((0, 1), repeat=len(s)), key=lambda y: sum(v for v, l in zip(s, y) if l) + sum(chain.step[a, b] for a, b in zip(y, y[1:])))
+        assert tuple(got[row == r]) == best
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    x, row, y = rng.normal(size=(20, 3)), np.sort(rng.integers(0, 5, 20)), rng.integers(0, 2, 20)
+
+    def likelihood(theta):
+        total = 0.0
+        for r in np.unique(row):
+            s, step, labels = x[row == r] @ theta[:3], theta[3:].reshape(2, 2), y[row == r]
+            score = lambda z: sum(v for v, l in zip(s, z) if l) + sum(step[a, b] for a, b in zip(z, z[1:]))  # noqa: E731, B023
+            total += score(labels) - np.log(sum(np.exp(score(z)) for z in itertools.product((0, 1), repeat=len(s))))
+        return total / len(x)
+
+    theta = rng.normal(size=7)
+    dw, dstep = quality_crf.Chain(theta[:3], theta[3:].reshape(2, 2)).gradient(x, row, y)
+    numeric = [(likelihood(theta + e) - likelihood(theta - e)) / 2e-6 for e in np.eye(7) * 1e-6]
+    assert np.concatenate([dw, dstep.ravel()]) == pytest.approx(numeric, abs=1e-6)
+
+
+def test_quality_field_separates_labelled_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    chain = quality_crf.fit(docs, labels.filter("doc_id % 2 = 0"))
+    held = quality_crf.judge(docs, chain, ["doc_id"]).filter("not base_failed").join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
+    assert np.mean([r["kept"] == (r["quality"] == 1) for r in held]) > 0.95
+
+
+# ---- toxicity --------------------------------------------------------------------------------------------------------------
+
+def test_features_see_hits_disguises_and_second_persons():
+    h = lambda w: np.uint64(br.hash_word(w, br.LOWER, br.ALNUM))
+    raw_core = np.frombuffer(b"idiot", np.uint8)
+    core = toxicity._core_hash(raw_core, np.array([0]), np.array([5]))
+    lexicon = toxicity.Lexicon(np.array([h("idiot")], np.uint64), np.array([2.0]), core)
+    texts = ["You are an idiot", "an IDIOT!", "1d1ot id1ot iidiiiot", "a b c d", "", "WOW!!! loooong", "idiot idiot"]
+    import pyarrow as pa
+    raw, offs = br.text_bytes(pa.array(texts))
+    x = {name: col for name, col in zip(toxicity.FEATURES, toxicity.featurise(raw, offs, lexicon).T)}
+    assert x["hit_density"].tolist() == [0.25, 0.5, 0, 0, 0, 0, 1]
+    assert x["weight_density"].tolist() == [0.5, 1, 0, 0, 0, 0, 2]
+    assert x["hidden_density"][2] >= 2 / 3 and x["hidden_density"][[0, 1, 3, 4, 5]].tolist() == [0] * 5
+    assert x["aimed_density"][0] == 0.25 and x["aimed_density"][1] == 0
+    assert x["single_letters"].tolist()[3] == 1 and x["stretched_letters"][5] > 0 and x["exclamations"][5] > 0
+    assert x["burst"].tolist() == [1, 1, x["burst"][2], 0, 0, 0, 2] and not np.isnan(np.array(list(x.values()))).any()
+
+
+def test_held_out_toxicity(spark):
+    from bayesloom.llm.queries import REGISTRY
+
+    sf = "/root/testdata/sf0.1"
+    out = REGISTRY["op3_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    hit = [r["predicted"] for r in out if r["toxic"] == 1]
+    miss = [r["predicted"] for r in out if r["toxic"] == 0]
+    assert np.mean(hit) > 0.7 and np.mean(miss) < 0.02
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
+
+
+def test_toxicity_without_labels_or_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "y"), (None, "", None)], "doc_id long, text string, score string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    one = spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, toxic int")
+    for labels, want in ((none, 0.0), (one, 1.0)):
+        model = toxicity.fit(docs, labels)
+        assert [r["s"] for r in model.score(docs, score="s").collect()] == [want] * 3
+        assert model.score(docs.limit(0), score="s").collect() == []
+
+
+# ---- secrets -----------------------------------------------------------------------------------------------------------------
+
+def test_secrets_are_told_from_other_findings(spark):
+    rng = np.random.default_rng(0)
+    key = lambda n=40: "".join(rng.choice(list("0123456789abcdef"), n))
+    texts = []
+    for i in range(120):
+        texts.append([f'plain words here token = "{key()}" and more', f"call 555-{i:04d} or write ann.{i:02d}@mail.example.com today",
+                      f"host 10.0.{i}.1 port and card 4{i:015d}", "nothing to see here at all"][i % 4])
+    rows = [(i, t, "src1") for i, t in enumerate(texts)] + [(900, None, None), (901, "", "x"), (902, texts[0], "src1"), (None, f'secret : {key(32)}', "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("core", F.lit(1))
+    out = secret_scan.scan(df, ["doc_id"]).collect()
+    assert {r["doc_id"] for r in out if r["is_secret"]} == {i for i in range(0, 120, 4)} | {902, None}
+    assert {r["doc_id"] for r in out} >= {i for i in range(120) if i % 4 < 3}
+    assert secret_scan.scan(df.limit(0), ["doc_id"]).collect() == []
+
+
+def test_reviewed_findings_are_what_the_forest_learns_from(spark):
+    rows = [(i, f"id code{i:06d}x9 end" if i % 2 else f"id zz-{i:04d}-{i:04d} end", "s") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    reviewed = lambda found: found.withColumn("label", F.when(F.col("doc_id") < 150, (F.col("doc_id") % 2).cast("int")))
+    out = secret_scan.scan(df, ["doc_id"], labelled=reviewed).filter("doc_id >= 150").collect()
+    assert len(out) == 50 and all(r["is_secret"] == (r["doc_id"] % 2 == 1) for r in out)
