@@ -10,5 +10,6 @@ from bayesloom.functions.exprs import (  # noqa: F401
     probit,
     probit_sql,
     log2,
+    pack_codes,
     round_to,
 )

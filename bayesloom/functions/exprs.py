@@ -146,3 +146,17 @@ def hash_uniform_block_sql(key_sql: str, block: int, slot: int, seed, dialect: s
     if dialect == "duckdb":
         return f"((('0x' || substr({inner}, {8 * slot + 1}, 8))::BIGINT + 0.5) / {TWO_32})"
     return f"((CAST(conv(substr({inner}, {8 * slot + 1}, 8), 16, 10) AS DOUBLE) + 0.5) / {TWO_32})"
+
+
+def pack_codes(codes: list[tuple[Column, int]]) -> Column:
+    """Mixed-radix key of (code, card) pairs, the last one lowest; null if any code is null, negative or not below its
+    card, so that no configuration takes another one's key. A decimal where a long could overflow."""
+    size = math.prod(card for _, card in codes)
+    kind = "long" if size < 2**63 else "decimal(38,0)"
+    if size >= 10**38:
+        raise ValueError("the configurations don't fit a 38-digit key")
+    key = F.lit(0).cast(kind)
+    for code, card in codes:
+        good = F.when((code >= 0) & (code < card), code.cast(kind))
+        key = (key * F.lit(int(card)).cast(kind) + good).cast(kind)
+    return key

@@ -14,6 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bayesloom.functions import pack_codes
 from bayesloom.operators.scores import parent_sets
 from bayesloom.operators.sample import BROADCAST_CONFIGS
 
@@ -102,9 +103,8 @@ def bn_map_predict(df: DataFrame, cpts: DataFrame, edges, nodes: Sequence[str],
     for i, (child, pa) in enumerate(fams):
         tab = _family_lookup(spark, cpts, child, pa, label, cards, C)
         others = [p for p in pa if p != label] + ([child] if child != label else [])
-        key = F.lit(0).cast("long")
-        for o in others:
-            key = key * F.lit(int(cards[o])) + F.col(o).cast("long")
+        # a null, negative or unknown code makes the key null: the lookup misses and the family is uniform
+        key = pack_codes([(F.col(o), int(cards[o])) for o in others])
         tab = tab.withColumnRenamed("__arr", f"__a{i}").withColumnRenamed("__k", f"__k{i}")
         n_keys = tab.count()
         tab = F.broadcast(tab) if n_keys <= BROADCAST_CONFIGS else tab
@@ -124,28 +124,24 @@ def _family_lookup(spark, cpts: DataFrame, child: str, pa: Sequence[str], label:
     """(__k, __arr) for one family: key over (other parents…, child value) → array over label values."""
     t = cpts.filter(F.col("child") == child)
     if child == label:
-        key = F.lit(0).cast("long")
-        for i, p in enumerate(pa):
-            key = key * F.lit(int(cards[p])) + F.get(F.col("pa"), i).cast("long")
+        key = pack_codes([(F.get(F.col("pa"), i), int(cards[p])) for i, p in enumerate(pa)])
         m = t.groupBy(key.alias("__k")).agg(F.map_from_entries(F.collect_list(F.struct("value", "p"))).alias("__m"))
         arr = F.transform(F.sequence(F.lit(0), F.lit(C - 1)), lambda v: F.coalesce(F.element_at(F.col("__m"), v), F.lit(0.0)))
         return m.select("__k", _logs(arr).alias("__arr"))
     j = list(pa).index(label)
     others = [(i, p) for i, p in enumerate(pa) if p != label]
-    okey = F.lit(0).cast("long")
-    for i, p in others:
-        okey = okey * F.lit(int(cards[p])) + F.get(F.col("pa"), i).cast("long")
+    okey = pack_codes([(F.get(F.col("pa"), i), int(cards[p])) for i, p in others])
     t = t.withColumn("__o", okey).withColumn("__y", F.get(F.col("pa"), j))
     # configurations (others, y) seen in training, per "others" key
-    seen = t.groupBy("__o").agg(F.collect_set("__y").alias("__seen"))
+    seen = t.groupBy("__o").agg(F.collect_set("__y").alias("__seen"), F.first("pa").alias("__pa"))
     cells = t.groupBy("__o", "value").agg(F.map_from_entries(F.collect_list(F.struct("__y", "p"))).alias("__m"))
     # dense over the child's values for every observed "others" configuration
-    dom = seen.select("__o", "__seen", F.explode(F.sequence(F.lit(0), F.lit(int(cards[child]) - 1))).alias("value"))
+    dom = seen.select("__o", "__seen", "__pa", F.explode(F.sequence(F.lit(0), F.lit(int(cards[child]) - 1))).alias("value"))
     dom = dom.join(cells, ["__o", "value"], "left")
     uni = 1.0 / cards[child]
     arr = F.transform(F.sequence(F.lit(0), F.lit(C - 1)), lambda v: F.when(
         F.array_contains(F.col("__seen"), v), F.coalesce(F.element_at(F.col("__m"), v), F.lit(0.0))).otherwise(F.lit(uni)))
-    key = F.col("__o") * F.lit(int(cards[child])) + F.col("value").cast("long")
+    key = pack_codes([*[(F.get(F.col("__pa"), i), int(cards[p])) for i, p in others], (F.col("value"), int(cards[child]))])
     return dom.select(key.alias("__k"), _logs(arr).alias("__arr"))
 
 

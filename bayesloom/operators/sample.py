@@ -13,18 +13,15 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bayesloom.functions import hash_uniform, hash_uniform_block, probit
+from bayesloom.functions import hash_uniform_block, pack_codes, probit
 from bayesloom.operators.scores import parent_sets
 from bayesloom.operators.structure import radix_code_expr, topological_order
 
 BROADCAST_CONFIGS = 5_000_000
 
 
-def _pack(parents: Sequence[str], cards: dict, prefix: str = ""):
-    code = F.lit(0).cast("long")
-    for p in parents:
-        code = code * F.lit(int(cards[p])) + F.col(prefix + p).cast("long")
-    return code
+def _pack(parents: Sequence[str], cards: dict):
+    return pack_codes([(F.col(p), int(cards[p])) for p in parents])
 
 
 UNROLL_LIMIT = 256
@@ -38,9 +35,7 @@ def cpt_lookup(cpts: DataFrame, node: str, parents: Sequence[str], cards: dict)
     number of interval ends ≤ u. Built once per node on the model-sized CPT.
     """
     t = cpts.filter(F.col("child") == node)
-    key = F.lit(0).cast("long")
-    for i, p in enumerate(parents):
-        key = key * F.lit(int(cards[p])) + F.get(F.col("pa"), i).cast("long")
+    key = pack_codes([(F.get(F.col("pa"), i), int(cards[p])) for i, p in enumerate(parents)])
     card = int(cards[node])
     m = t.groupBy(key.alias("__k")).agg(F.map_from_entries(F.collect_list(F.struct("value", "cum_hi"))).alias("__m"))
     # dense ends: for each code v the end of the largest observed value ≤ v (0 before the

@@ -108,8 +108,12 @@ def local_scores(df: DataFrame, families: Sequence[Family], cards: dict, kind: s
 
 
 def structure_prior_ratio(op: str, kind: str = "bic") -> float:
-    """K8: additive structure prior of an operation (0 for every score here)."""
-    return 0.0
+    """K8: logarithm of the structure prior after an operation over that before: ``bds`` takes a uniform prior over the three
+    states of a pair of nodes in which an arc has half the mass of none (adding −ln 2, removing +ln 2, turning 0); the
+    other scores have a uniform prior over networks."""
+    if kind != "bds":
+        return 0.0
+    return {"+": -math.log(2.0), "-": math.log(2.0), "flip": 0.0}[op]
 
 
 def parent_sets(edges: Sequence[tuple[str, str]], nodes: Sequence[str]) -> dict[str, tuple]:
@@ -122,62 +126,91 @@ def parent_sets(edges: Sequence[tuple[str, str]], nodes: Sequence[str]) -> dict[
 
 
 def structure_score(df: DataFrame, edges: Sequence[tuple[str, str]], nodes: Sequence[str], cards: dict,
-                    kind: str = "bic", **kw) -> float:
-    """K9: Σ local scores over all nodes (``bic-g`` → Gaussian BIC)."""
+                    kind: str = "bic", continuous: Sequence[str] = (), **kw) -> float:
+    """K9: Σ local scores over all nodes. ``bic-g``: every node Gaussian; ``bic-cg``: the nodes in ``continuous``
+    Gaussian given their discrete parents' values, the others discrete (all discrete: the same as ``bic``).
+
+    A Gaussian node without residual variance makes the score infinite; it's never left out.
+    """
     if kind == "bic-g":
-        return float(sum(v for v in gaussian_local_scores(df, edges, nodes).values() if v is not None))
+        return float(sum(gaussian_local_scores(df, edges, nodes).values()))
     ps = parent_sets(edges, nodes)
-    fams = [(n, ps[n]) for n in nodes]
-    rows = local_scores(df, fams, cards, kind, **kw).collect()
-    return float(sum(r["score"] for r in rows))
-
-
-def moments(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> dict:
-    """One aggregation: N, Σx, Σx·y for all column pairs (driver gets O(d²) numbers)."""
+    total, discrete = 0.0, [n for n in nodes if kind != "bic-cg" or n not in continuous]
+    if kind == "bic-cg":
+        for n in nodes:
+            if n in continuous:
+                total += conditional_gaussian_score(df, n, [p for p in ps[n] if p not in continuous], [p for p in ps[n] if p in continuous])
+            elif any(p in continuous for p in ps[n]):
+                raise ValueError(f"discrete node {n!r} has a continuous parent")
+        kind = "bic"
+    if discrete:
+        rows = local_scores(df, [(n, ps[n]) for n in discrete], cards, kind, **kw).collect()
+        total += float(sum(r["score"] for r in rows))
+    return total
+
+
+def moments(df: DataFrame, cols: Sequence[str], weight: str | None = None, by: Sequence[str] = ()):
+    """N, means and population covariances of all column pairs (O(d²) numbers to the driver), per group of ``by`` if given.
+
+    Products are taken around the overall mean, so a large common offset costs no precision.
+    """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    x = [F.col(c).cast("double") for c in cols]
+    first = df.agg(F.sum(w).alias("__n"), *[(F.sum(w * v) / F.sum(w)).alias(f"m_{i}") for i, v in enumerate(x)]).first()
+    center = [first[f"m_{i}"] or 0.0 for i in range(len(cols))]
+    dx = [v - F.lit(m) for v, m in zip(x, center)]
     aggs = [F.sum(w).alias("__n")]
-    for i, a in enumerate(cols):
-        aggs.append(F.sum(w * F.col(a).cast("double")).alias(f"s_{i}"))
-        for j in range(i, len(cols)):
-            aggs.append(F.sum(w * F.col(a).cast("double") * F.col(cols[j]).cast("double")).alias(f"p_{i}_{j}"))
-    r = df.agg(*aggs).first()
-    d = len(cols)
-    n = float(r["__n"])
-    mean = np.array([r[f"s_{i}"] / n for i in range(d)])
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            c = r[f"p_{i}_{j}"] / n - mean[i] * mean[j]
-            cov[i, j] = cov[j, i] = c
-    return {"n": n, "mean": mean, "cov": cov, "cols": list(cols)}
+    for i in range(len(cols)):
+        aggs.append(F.sum(w * dx[i]).alias(f"s_{i}"))
+        aggs += [F.sum(w * dx[i] * dx[j]).alias(f"p_{i}_{j}") for j in range(i, len(cols))]
 
+    def of(r) -> dict:
+        d, n = len(cols), float(r["__n"] or 0.0)
+        mean = np.array([r[f"s_{i}"] / n if n else 0.0 for i in range(d)])
+        cov = np.zeros((d, d))
+        for i in range(d):
+            for j in range(i, d):
+                cov[i, j] = cov[j, i] = r[f"p_{i}_{j}"] / n - mean[i] * mean[j] if n else 0.0
+        return {"n": n, "mean": mean + np.array(center), "cov": cov, "cols": list(cols)}
 
-def gaussian_local_scores(df: DataFrame, edges, nodes, mom: dict | None = None) -> dict:
-    """K9 ``bic-g``: each node regressed (OLS with intercept) on its parents.
+    return [of(r) for r in df.groupBy(*by).agg(*aggs).collect()] if by else of(df.agg(*aggs).first())
 
-    ll = −N/2·(ln(2π·σ²) + 1) with σ² = residual variance (maximum likelihood);
-    score = ll − (k + 2)/2 · ln N for k parents. A zero residual variance gives None.
-    """
-    mom = mom or moments(df, list(nodes))
+
+def _residual_log_likelihood(mom: dict, child: str, parents: Sequence[str]) -> float:
+    """Log-likelihood of a node regressed on its parents (least squares with intercept): −N/2·(ln(2πσ²) + 1); ∞ if σ² is 0
+    up to rounding."""
     idx = {c: i for i, c in enumerate(mom["cols"])}
-    n, cov = mom["n"], mom["cov"]
+    y, pa, cov = idx[child], [idx[p] for p in parents], mom["cov"]
+    var = cov[y, y]
+    if pa:
+        sxy = cov[pa, y]
+        scale = np.sqrt(np.maximum(np.diag(cov)[pa], 1e-300))
+        beta = np.linalg.lstsq(cov[np.ix_(pa, pa)] / np.outer(scale, scale), sxy / scale, rcond=1e-12)[0]
+        var = var - float((sxy / scale) @ beta)
+    if var <= 1e-12 * cov[y, y] or var <= 0:
+        return math.inf
+    return -mom["n"] / 2.0 * (math.log(2 * math.pi * var) + 1.0)
+
+
+def gaussian_family_score(mom: dict, child: str, parents: Sequence[str]) -> float:
+    """``bic-g`` of one family from the moments: log-likelihood − (k + 2)/2 · ln N for k parents."""
+    return _residual_log_likelihood(mom, child, parents) - (len(parents) + 2) / 2.0 * math.log(mom["n"])
+
+
+def gaussian_local_scores(df: DataFrame, edges, nodes, mom: dict | None = None) -> dict:
+    """K9 ``bic-g`` of every node; ∞ for a node without residual variance."""
+    mom = mom or moments(df, list(nodes))
     ps = parent_sets(edges, nodes)
-    out = {}
-    for node in nodes:
-        y = idx[node]
-        pa = [idx[p] for p in ps[node]]
-        var = cov[y, y]
-        if pa:
-            sxx = cov[np.ix_(pa, pa)]
-            sxy = cov[pa, y]
-            beta = np.linalg.lstsq(sxx, sxy, rcond=None)[0]
-            var = var - float(sxy @ beta)
-        if var <= 1e-12:
-            out[node] = None
-            continue
-        ll = -n / 2.0 * (math.log(2 * math.pi * var) + 1.0)
-        out[node] = ll - (len(pa) + 2) / 2.0 * math.log(n)
-    return out
+    return {n: gaussian_family_score(mom, n, ps[n]) for n in nodes}
+
+
+def conditional_gaussian_score(df: DataFrame, child: str, discrete: Sequence[str], continuous: Sequence[str]) -> float:
+    """``bic-cg`` of a continuous node: a regression on the continuous parents for each seen configuration of the discrete ones."""
+    cols = [child, *continuous]
+    groups = moments(df, cols, by=list(discrete)) if discrete else [moments(df, cols)]
+    n = sum(g["n"] for g in groups)
+    ll = sum(_residual_log_likelihood(g, child, continuous) for g in groups)
+    return ll - len(groups) * (len(continuous) + 2) / 2.0 * math.log(n)
 
 
 def complexity_penalty(n_nodes: int, n_rows: float) -> float:

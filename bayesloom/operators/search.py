@@ -87,10 +87,12 @@ def q_merge(tables: Sequence[DataFrame], value: str = "q") -> DataFrame:
 
 
 def select_best_structure(candidates: DataFrame, mode: str = "max") -> DataFrame:
-    """The candidate (state_key, score, edges) with the best score; ``mode='min'`` for parity."""
-    pick = F.max_by if mode == "max" else F.min_by
-    agg = F.max("score") if mode == "max" else F.min("score")
-    return candidates.agg(pick("state_key", "score").alias("state_key"), agg.alias("score"))
+    """State key, edges and score of the candidate with the best score (ties: the smallest state key);
+    ``mode='min'`` takes the lowest score. No candidate gives no row."""
+    order = F.col("score") if mode == "min" else -F.col("score")
+    out = ["state_key", *(["edges"] if "edges" in candidates.columns else []), "score"]
+    best = candidates.agg(F.min(F.struct(order.alias("o"), *out)).alias("b"))
+    return best.filter("b is not null").select(*[f"b.{c}" for c in out])
 
 
 def best_known_action(q: DataFrame, state: str | None = None) -> DataFrame:

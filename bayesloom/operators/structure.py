@@ -14,8 +14,9 @@ from typing import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bayesloom.functions import pack_codes
 from bayesloom.operators.counts import _cmi_from_triples, _mi_from_pairs, family_counts
-from bayesloom.operators.scores import local_scores, parent_sets
+from bayesloom.operators.scores import gaussian_family_score, local_scores, parent_sets, structure_prior_ratio
 
 Edge = tuple  # (src, dst)
 Op = tuple    # (kind, (src, dst)) with kind in '+', '-', 'flip'
@@ -92,11 +93,9 @@ def edges_df(spark, edges: Sequence[Edge]) -> DataFrame:
 
 
 def radix_code_expr(child: str, parents: Sequence[str], cards: dict):
-    """K3: mixed-radix code: child + card(child)·(last parent + card(last)·(…first parent))."""
-    code = F.lit(0).cast("long")
-    for c in list(parents) + [child]:
-        code = code * F.lit(int(cards[c])) + F.col(c).cast("long")
-    return code
+    """K3: mixed-radix code: child + card(child)·(last parent + card(last)·(…first parent)); null if a code is null or
+    outside its card (an unseen value), so it never takes another combination's code."""
+    return pack_codes([(F.col(c), int(cards[c])) for c in [*parents, child]])
 
 
 @dataclass
@@ -248,7 +247,7 @@ class FamilyScoreCache:
 
     def __init__(self, df: DataFrame, nodes: Sequence[str], cards: dict, kind: str | Callable = "bic",
                  n_rows: float | None = None, **kw):
-        from bayesloom.operators.scores import compacted
+        from bayesloom.operators.scores import compacted, moments
         self.nodes = list(nodes)
         self.cards = cards
         self.kind = kind
@@ -257,6 +256,8 @@ class FamilyScoreCache:
         self.n_rows = n_rows or float(self.base.agg(F.sum("w")).first()[0])
         self.cache: dict = {}
         self.jobs = 0
+        # the Gaussian score needs the d × d moments only: one job for the whole search
+        self.moments = moments(self.base, self.nodes, "w") if kind == "bic-g" else None
 
     def key(self, child: str, parents) -> tuple:
         pos = {n: i for i, n in enumerate(self.nodes)}
@@ -265,7 +266,10 @@ class FamilyScoreCache:
     def scores(self, fams: Sequence[tuple]) -> dict:
         keys = [self.key(c, p) for c, p in fams]
         miss = sorted({k for k in keys if k not in self.cache})
-        if miss:
+        if miss and self.moments:
+            for child, parents in miss:
+                self.cache[child, parents] = gaussian_family_score(self.moments, child, parents)
+        elif miss:
             rows = local_scores(self.base, miss, self.cards, self.kind, compacted=True, n_rows=self.n_rows,
                                 **self.kw).collect()
             self.jobs += 1
@@ -290,7 +294,7 @@ def score_neighbours(cache: FamilyScoreCache, edges: Sequence[Edge], ops: Sequen
     out = []
     for op, olds, news in plans:
         delta = sum(sc[cache.key(*f)] for f in news) - sum(sc[cache.key(*f)] for f in olds)
-        out.append((op, delta + 0.0))
+        out.append((op, delta + structure_prior_ratio(op[0], cache.kind) + 0.0))
     return out
 
 
@@ -300,10 +304,10 @@ def op_sort_key(op: Op) -> str:
 
 
 def hill_climb_step(cache: FamilyScoreCache, edges: Sequence[Edge], tabu: list | None = None,
-                    epsilon: float = 1e-4, **constraints) -> tuple[Op | None, float]:
+                    epsilon: float = 1e-4, tabu_length: int = 1000, **constraints) -> tuple[Op | None, float]:
     """Best legal move by Δ (ties by op text); None when the best Δ < ε.
 
-    The reverse of an applied add (or the flip itself) goes on the tabu list (≤ 1000).
+    The reverse of an applied add (or the flip itself) goes on the tabu list, which holds the last ``tabu_length``.
     """
     tabu = tabu if tabu is not None else []
     ops = neighbours(edges, cache.nodes, tabu=tabu, **constraints)
@@ -315,7 +319,7 @@ def hill_climb_step(cache: FamilyScoreCache, edges: Sequence[Edge], tabu: list |
         return None, best
     kind, (x, y) = best_op
     tabu.append(("-", (x, y)) if kind == "+" else best_op)
-    del tabu[:-1000]
+    del tabu[:-tabu_length]
     return best_op, best
 
 

@@ -8,6 +8,7 @@ under the session's shared checkpoint folder unless a path is given.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from typing import Sequence
 
@@ -37,50 +38,87 @@ def read_csv_labelled(spark: SparkSession, path: str | Sequence[str], infer_sche
     return _label_last(df)
 
 
+# one ARFF value: quoted with escapes, or anything up to the next comma
+_ARFF_TOKEN = r"""\s*('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^,]*?)\s*(?:,|$)"""
+
+
+def _unquote(token: str) -> str:
+    token = token.strip()
+    if len(token) >= 2 and token[0] in "'\"" and token[-1] == token[0]:
+        return re.sub(r"\\(.)", lambda m: {"n": "\n", "r": "\r"}.get(m[1], m[1]), token[1:-1])
+    return token
+
+
 def _parse_arff_header(lines: list[str]):
     attrs = []
     for raw in lines:
         line = raw.strip()
-        if not line or line.startswith("%"):
+        if not line.lower().startswith("@attribute"):
             continue
-        low = line.lower()
-        if low.startswith("@data"):
-            return attrs
-        if low.startswith("@attribute"):
-            rest = line[len("@attribute"):].strip()
-            if rest.startswith("'") or rest.startswith('"'):
-                q = rest[0]
-                end = rest.index(q, 1)
-                name, spec = rest[1:end], rest[end + 1:].strip()
-            else:
-                name, spec = rest.split(None, 1)
-            if spec.startswith("{"):
-                domain = [v.strip().strip("'\"") for v in spec.strip("{} ").split(",")]
-                attrs.append((name, "nominal", domain))
-            else:
-                attrs.append((name, spec.split()[0].lower(), None))
-    raise ValueError("no @data section in the first lines of the file")
-
-
-def read_arff(spark: SparkSession, path: str | Sequence[str], header_lines: int = 10000) -> DataFrame:
+        rest = line[len("@attribute"):].strip()
+        quoted = re.match(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")""", rest)
+        name, spec = (quoted[0], rest[quoted.end():].strip()) if quoted else rest.split(None, 1)
+        name = _unquote(name)
+        if spec.startswith("{"):
+            inner = spec[1:spec.rindex("}")]
+            attrs.append((name, "nominal", [_unquote(m[1]) for m in re.finditer(_ARFF_TOKEN, inner) if m[0]]))
+        else:
+            attrs.append((name, spec.split()[0].lower(), None))
+    return attrs
+
+
+def _arff_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(value, file, at): every line with its place in its file."""
+    return spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"))
+
+
+def read_arff(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """ARFF files (same header) → DataFrame; nominal → string (domain kept in column
-    metadata), numeric/real/integer → double. Blank, '%' and '@' lines in the body are skipped.
+    metadata), numeric/real/integer → double. ``?`` is null; values may be quoted, with backslash escapes.
 
-    The header is read from the first lines only (a bounded ``limit``); the body is a
-    distributed text scan parsed with ``from_csv``.
+    The body of a file is what follows its first ``@data`` line (a file without one is all body); blank lines and
+    unquoted comments (``%``) in it are skipped, every other line is a row. The header, of any length, is that of the first
+    file that has one.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    head = [r.value for r in spark.read.text(paths[0]).limit(header_lines).collect()]
-    attrs = _parse_arff_header(head)
-    fields = [T.StructField(n.replace("-", "_"), T.StringType() if kind in ("nominal", "string") else T.DoubleType(),
-                            True, {"arff_domain": dom} if dom else {}) for n, kind, dom in attrs]
-    schema = T.StructType(fields)
-    body = spark.read.text(paths)
+    lines = _arff_lines(spark, paths)
     v = F.trim(F.col("value"))
-    body = body.filter((F.length(v) > 0) & ~v.startswith("%") & ~v.startswith("@"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    parsed = body.select(F.from_csv(v, ddl, {"quote": "'", "ignoreLeadingWhiteSpace": "true"}).alias("r")).select("r.*")
-    return parsed.select(*[F.col(f.name).alias(f.name, metadata=f.metadata) for f in fields])
+    starts = lines.filter(F.lower(v).startswith("@data")).groupBy("file").agg(F.min("at").alias("start"))
+    first = starts.orderBy("file").first()
+    if first is None:
+        raise ValueError("no @data line in the files")
+    end = F.struct(F.lit(first["start"]["block"]).alias("block"), F.lit(first["start"]["id"]).alias("id"))
+    head = lines.filter((F.col("file") == first["file"]) & (F.col("at") < end)).orderBy("at").select("value").collect()
+    attrs = _parse_arff_header([r["value"] for r in head])
+    body = (lines.join(starts, "file", "left").filter(F.col("start").isNull() | (F.col("at") > F.col("start")))
+            .filter((F.length(v) > 0) & ~v.startswith("%")))
+    tokens = body.select(F.regexp_extract_all(v, F.lit(_ARFF_TOKEN), F.lit(1)).alias("t"))
+    cols = []
+    for i, (name, kind, domain) in enumerate(attrs):
+        raw = F.get(F.col("t"), i)
+        text = F.when(raw.rlike("^['\"]"), _unescape(F.substring(raw, F.lit(2), F.length(raw) - 2))).otherwise(raw)
+        text = F.when((raw == "?") | (raw == ""), None).otherwise(text)
+        if kind not in ("nominal", "string", "date"):
+            text = text.cast("double")
+        cols.append(text.alias(name.replace("-", "_"), metadata={"arff_domain": domain} if domain else {}))
+    return tokens.select(*cols)
+
+
+def _unescape(c):
+    """Backslash escapes of a quoted value."""
+    c = F.regexp_replace(c, r"\\\\", "\u0000")
+    c = F.regexp_replace(F.regexp_replace(c, r"\\n", "\n"), r"\\r", "\r")
+    return F.replace(F.regexp_replace(c, r"\\(.)", "$1"), F.lit("\u0000"), F.lit("\\"))
+
+
+def _escape(c):
+    """A value as an ARFF token: ? for null, quoted if it could be read as anything else."""
+    q = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for plain, code in (("'", "\\'"), ("\n", "\\n"), ("\r", "\\r")):
+        q = F.replace(q, F.lit(plain), F.lit(code))
+    return F.when(c.isNull(), "?").when(c.rlike(r"""[\s,'"{}%@?\\]|^$"""), F.concat(F.lit("'"), q, F.lit("'"))).otherwise(c)
 
 
 def drop_label_by_name(df: DataFrame, label: str = "class", new_name: str = "target") -> DataFrame:
@@ -143,21 +181,24 @@ def export_ordinal_matrix(df: DataFrame, columns: Sequence[str], path: str) -> C
 
 
 def write_arff(df: DataFrame, path: str, relation: str, domains: dict | None = None) -> str:
-    """Write an ARFF file set (header file + CSV body parts) — used to round-trip tables."""
+    """Write an ARFF file set (header file + body parts). Columns in ``domains`` are nominal, other strings are ``string``
+    attributes; null is ``?``, and values that could be read as anything else are quoted."""
     spark = df.sparkSession
     domains = dict(domains or {})
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in domains]
-    if strings:
-        # size-checked dictionaries (bounded collect)
-        domains.update(CategoryEncoder.fit(df, strings).categories)
-    lines = [f"@relation {relation}", ""]
+    def token(value) -> str:
+        text = str(value)
+        if not text or re.search(r"""[\s,'"{}%@?\\]""", text):
+            text = "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r") + "'"
+        return text
+
+    lines = [f"@relation {token(relation)}", ""]
     for f in df.schema.fields:
         if f.name in domains:
-            lines.append(f"@attribute {f.name} {{{','.join(str(v) for v in domains[f.name])}}}")
+            lines.append(f"@attribute {token(f.name)} {{{','.join(token(v) for v in domains[f.name])}}}")
         else:
-            lines.append(f"@attribute {f.name} numeric")
-    lines += ["", "@data", "% body follows"]
+            lines.append(f"@attribute {token(f.name)} {'string' if isinstance(f.dataType, T.StringType) else 'numeric'}")
+    lines += ["", "@data"]
     spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.mode("overwrite").text(path + "/header")
-    body = df.select(F.concat_ws(",", *[F.col(c).cast("string") for c in df.columns]).alias("value"))
+    body = df.select(F.concat_ws(",", *[_escape(F.col(f"`{c}`").cast("string")) for c in df.columns]).alias("value"))
     body.write.mode("overwrite").text(path + "/body")
     return path
