@@ -18,7 +18,7 @@ from bayesloom.operators.encode import CategoryEncoder, align_columns, onehot
 def accuracy(pred: DataFrame, pred_col: str = "pred", label: str = "target") -> DataFrame:
     """V9: share of equal predictions among non-null predictions; 0.0 when nothing is predicted."""
     p = pred.filter(F.col(pred_col).isNotNull())
-    return p.agg(F.round(F.coalesce(F.avg((F.col(pred_col) == F.col(label)).cast("double")), F.lit(0.0)), 6).alias("accuracy"),
+    return p.agg(F.coalesce(F.avg((F.col(pred_col) == F.col(label)).cast("double")), F.lit(0.0)).alias("accuracy"),
                  F.count(F.lit(1)).alias("n_predicted"))
 
 
@@ -38,8 +38,8 @@ def gaussian_nb_bic(model, df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- classifiers (V2–V5)
 
 
-def classifier(name: str, n_classes: int, n_features: int, n_rows: int | None = None, seed: int = 42):
-    """Spark ML stand-ins of the reference's classifiers."""
+def classifier(name: str, n_classes: int, n_features: int, n_rows: int | None = None, seed: int = 42, trees: int = 100):
+    """Spark ML stand-ins of the reference's classifiers (``trees``: of rf and xgb)."""
     from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                            OneVsRest, RandomForestClassifier)
     if name == "lr":
@@ -49,9 +49,9 @@ def classifier(name: str, n_classes: int, n_features: int, n_rows: int | None =
     if name == "mlp":
         return MultilayerPerceptronClassifier(layers=[n_features, 100, n_classes], maxIter=500, seed=seed)
     if name == "rf":
-        return RandomForestClassifier(numTrees=100, maxDepth=30, seed=seed)
+        return RandomForestClassifier(numTrees=trees, maxDepth=30, seed=seed)
     if name == "xgb":
-        gbt = GBTClassifier(maxIter=100, stepSize=0.1, seed=seed)
+        gbt = GBTClassifier(maxIter=trees, stepSize=0.1, seed=seed)
         return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
     raise ValueError(f"unknown classifier {name!r}")
 
@@ -60,30 +60,42 @@ def tstr(syn: DataFrame, test: DataFrame, target: str = "target", classifiers: S
          seed: int = 42) -> dict:
     """V1: align columns, one-hot on the union categories, train on synthetic, accuracy on real.
 
-    Returns {classifier: accuracy or None (failure)} plus 'avg' over the non-null ones.
+    ``classifiers``: names, ML estimators, factories of them, or (name, one of those). Returns {classifier: accuracy or None
+    (failure, with its message under '<classifier> error')} plus 'avg' over the non-null ones.
     """
     syn, test = align_columns(syn, test)
     feats = [c for c in test.columns if c != target]
     both = syn.select(*feats).unionByName(test.select(*feats))
     enc = CategoryEncoder.fit(both, feats)
-    tr = onehot(syn.select(*feats, F.col(target).cast("double").alias("label")), feats, enc)
-    te = onehot(test.select(*feats, F.col(target).cast("double").alias("label")), feats, enc)
+
+    def coded(df: DataFrame, weighted: bool) -> DataFrame:
+        rows = df.select(*feats, F.col(target).cast("double").alias("label"))
+        if weighted:  # distinct rows with their number: the same objective over far fewer rows
+            rows = rows.groupBy(*feats, "label").agg(F.count(F.lit(1)).cast("double").alias("__w"))
+        return onehot(rows, feats, enc)
+
+    tr, te = coded(syn, True).persist(), coded(test, True).persist()
     n_feat = sum(enc.card(c) for c in feats)
     labels = [r[0] for r in syn.select(target).union(test.select(target)).distinct().collect()]
     n_classes = int(max(float(x) for x in labels)) + 1 if labels else 2
     n_rows = syn.count()
     out = {}
     for c in classifiers:
-        name = c if isinstance(c, str) else type(c).__name__
+        name, c = c if isinstance(c, tuple) else (c if isinstance(c, str) else type(c).__name__, c)
         try:
             est = classifier(c, n_classes, n_feat, n_rows, seed) if isinstance(c, str) else (c() if callable(c) and not hasattr(c, "fit") else c)
-            model = est.fit(tr)
-            pred = model.transform(te)
-            acc = pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+            # forests draw rows and the perceptron takes no weights: those see every row
+            weighted = c in ("lr", "xgb")
+            model = (est.setWeightCol("__w") if weighted else est).fit(tr if weighted else coded(syn, False))
+            hit = (F.col("prediction") == F.col("label")).cast("double")
+            acc = model.transform(te).agg(F.sum(hit * F.col("__w")) / F.sum("__w")).first()[0]
             out[name] = float(acc) if acc is not None else 0.0
-        except Exception:  # noqa: BLE001 - a failing classifier is reported as null, as in the reference
+        except Exception as e:  # noqa: BLE001 - a failing classifier is reported as null, as in the reference
             out[name] = None
-    vals = [v for v in out.values() if v is not None]
+            out[f"{name} error"] = f"{type(e).__name__}: {e}"[:300]
+    tr.unpersist()
+    te.unpersist()
+    vals = [v for v in out.values() if isinstance(v, float)]
     out["avg"] = sum(vals) / len(vals) if vals else None
     return out
 
@@ -135,19 +147,18 @@ def multi_round(spark, datasets: dict, models: dict, rounds: int = 3, seed: int
                 model = fit(train, target)
                 syn = model.sample(n, seed).persist()
                 syn.count()
-            except Exception:  # noqa: BLE001
-                for r in range(rounds):
-                    rows.append((dname, r, mname, "avg", None))
+            except Exception as e:  # noqa: BLE001 - a failing model has null results, with the reason beside them
+                rows += [(dname, r, mname, "avg", None, f"{type(e).__name__}: {e}"[:300]) for r in range(rounds)]
                 continue
             for r in range(rounds):
                 t0 = time.time()
                 res = tstr(syn.drop("row_id") if "row_id" in syn.columns else syn, test, target, classifiers, seed + r)
                 secs = time.time() - t0
-                for k, v in res.items():
-                    rows.append((dname, r, mname, k, v))
-                rows.append((dname, r, mname, "seconds", secs))
+                rows += [(dname, r, mname, k, v, None) for k, v in res.items() if not isinstance(v, str)]
+                rows += [(dname, r, mname, k, None, v) for k, v in res.items() if isinstance(v, str)]
+                rows.append((dname, r, mname, "seconds", secs, None))
             syn.unpersist()
-    return spark.createDataFrame(rows, "dataset string, round int, model string, metric string, value double")
+    return spark.createDataFrame(rows, "dataset string, round int, model string, metric string, value double, error string")
 
 
 def mean_over_rounds(results: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ data — one job per decision step, however many candidates it scores.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass, field
 from typing import Callable, Sequence
 
@@ -116,23 +117,29 @@ class HighOrderEncoder:
 
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str], label: str, cards: dict, k: int = 2,
-            edges: Sequence[Edge] | None = None, max_vocab: int = 2_000_000) -> "HighOrderEncoder":
+            edges: Sequence[Edge] | None = None) -> "HighOrderEncoder":
         edges = list(edges) if edges is not None else kdb_structure(df, features, label, k)
         parents = parents_without_label(edges, label, features)
-        codes = df.select(*[radix_code_expr(f, parents[f], cards).alias(f) for f in features])
-        approx = codes.agg(*[F.approx_count_distinct(f).alias(f) for f in features]).first()
-        if any(approx[f] > max_vocab for f in features):
-            raise ValueError("high-order vocabulary too large for a model table")
-        row = codes.agg(*[F.array_sort(F.collect_set(f)).alias(f) for f in features]).first()
-        return cls(list(features), label, k, dict(cards), parents, {f: list(row[f]) for f in features}, edges)
+        return cls(list(features), label, k, dict(cards), parents, {}, edges).fit_vocabulary(df)
+
+    def fit_vocabulary(self, df: DataFrame) -> "HighOrderEncoder":
+        """Observed codes of every feature, one distributed distinct per feature."""
+        for f in self.features:
+            codes = df.select(radix_code_expr(f, self.parents[f], self.cards).alias("c")).distinct().filter("c is not null")
+            self.vocab[f] = sorted(r["c"] for r in codes.collect())
+        return self
 
     def transform(self, df: DataFrame, suffix: str = "_ho") -> DataFrame:
         """Ordinal high-order code per feature (unseen combination → −1)."""
-        out = {}
         for f in self.features:
-            m = F.create_map(*[F.lit(x) for i, v in enumerate(self.vocab[f]) for x in (v, i)])
-            out[f + suffix] = F.coalesce(F.element_at(m, radix_code_expr(f, self.parents[f], self.cards)), F.lit(-1)).cast("int")
-        return df.withColumns(out)
+            code = radix_code_expr(f, self.parents[f], self.cards)
+            book = df.sparkSession.createDataFrame(list(enumerate(self.vocab[f])), f"__i int, __v {'decimal(38,0)' if self._wide(f) else 'long'}")
+            df = (df.withColumn("__c", code).join(book, F.col("__c") == F.col("__v"), "left")
+                  .withColumn(f + suffix, F.coalesce("__i", F.lit(-1)).cast("int")).drop("__c", "__v", "__i"))
+        return df
+
+    def _wide(self, f: str) -> bool:
+        return math.prod(int(self.cards[c]) for c in [*self.parents[f], f]) >= 2**63
 
     def constraints(self) -> dict:
         """K4: for each feature, observed parent configurations in code order with the

@@ -19,7 +19,7 @@ def view_cte(name: str = "li") -> str:
     """CTE named ``name`` with the coded view (P5 bins, P1 codes) of a driver table."""
     spec = SPEC[name]
     src = {"li": "lineitem", "ord": "orders", "ev": "events", "prt": "part"}[name]
-    extra = {"ev": ", hour(ts) AS ev_hour", "prt": ", split_part(p_type, ' ', 1) AS p_type_class"}.get(name, "")
+    extra = {"ev": ", hour(ts) AS ev_hour"}.get(name, "")
     binned, coded = spec["binned"], spec["coded"]
     label, label_src = spec["label"]
     key = spec["key"].replace("STRING", "VARCHAR")

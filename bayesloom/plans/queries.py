@@ -691,7 +691,7 @@ def q_accuracy(spark, d):
     """V9: share of correct predictions among predicted test rows (0.0 when none)."""
     from bayesloom.operators.evaluate import accuracy
     _, p = _map_pred(spark, d)
-    return accuracy(p, "pred", "target")
+    return accuracy(p, "pred", "target").withColumn("accuracy", _r("accuracy"))
 
 
 @register("gaussian_nb_bic", f"WITH {O.view_cte('li')}, {_gnb_sql_params('li')}, "
@@ -736,7 +736,7 @@ def _trtr_long(spark, d) -> DataFrame:
         a1 = accuracy(bn_map_predict(te, cp, edges, v.nodes, v.label, v.cards(), "pred"), "pred", v.label).first()[0]
         g = GaussianNB.fit(tr, feats, v.label)
         a2 = accuracy(g.predict(te, "pred"), "pred", v.label).first()[0]
-        rows += [(name, "nb_map", "accuracy", float(a1)), (name, "gnb", "accuracy", float(a2))]
+        rows += [(name, "nb_map", "accuracy", round(float(a1), 6)), (name, "gnb", "accuracy", round(float(a2), 6))]
         sp.unpersist()
     return spark.createDataFrame(rows, "dataset string, model string, metric string, value double")
 
@@ -974,43 +974,6 @@ def q_search_log(spark, d):
     return _search(spark, d).log
 
 
-@register("n_step_return")
-def q_n_step_return(spark, d):
-    """Discounted return per (episode, epoch) buffer of the search log."""
-    from bayesloom.operators.search import n_step_return
-    return n_step_return(_search(spark, d).log, 0.9)
-
-
-@register("q_update")
-def q_q_update(spark, d):
-    """K22 + K24: Q table updated from the search log, merged with the search's own table."""
-    from bayesloom.operators.search import q_merge, q_update
-    r = _search(spark, d)
-    return q_merge([q_update(r.q.limit(0), r.log), r.q])
-
-
-@register("policy_blend")
-def q_policy_blend(spark, d):
-    """Policy values for logged pairs present in Q."""
-    from bayesloom.operators.search import policy_blend
-    r = _search(spark, d)
-    return policy_blend(None, r.q, r.log, 0.9)
-
-
-@register("select_best_structure")
-def q_select_best(spark, d):
-    """Best structure over all candidates of the search."""
-    from bayesloom.operators.search import select_best_structure
-    return select_best_structure(_search(spark, d).candidates)
-
-
-@register("best_known_action")
-def q_best_action(spark, d):
-    """Argmax-Q action per state."""
-    from bayesloom.operators.search import best_known_action
-    return best_known_action(_search(spark, d).q)
-
-
 def _tstr_setup(spark, d):
     from bayesloom.plans.models import BayesNetSynthesizer
     v, sp = _li_split(spark, d)
@@ -1074,7 +1037,7 @@ def q_multi_round(spark, d):
         "gnb": lambda t, y: GaussianNBSynthesizer().fit(t, v.features, y),
     }
     res = multi_round(spark, {"li": (tr, te, v.label)}, models, rounds=2, classifiers=("lr",)).persist()
-    out = mean_over_rounds(res)
+    out = mean_over_rounds(res.filter("metric != 'seconds'"))
     out.count()
     sp.unpersist()
     return out

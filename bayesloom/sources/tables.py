@@ -72,7 +72,7 @@ SPEC = {
         "key": "CAST(p_partkey AS STRING)",
         "binned": {"size_b": "p_size", "price_b": "p_retailprice"},
         "coded": {"brand": "p_brand"},
-        "label": ("target", "p_type_class"),
+        "label": ("target", "p_type"),
     },
     "cust": {
         "key": "CAST(c_custkey AS STRING)",
@@ -90,7 +90,7 @@ SPEC = {
 
 
 def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The source rows of a view, with derived source columns (hour, first word of p_type, joins)."""
+    """The source rows of a view, with derived source columns (hour, joins)."""
     if name == "li":
         return read(spark, sf_dir, "lineitem")
     if name == "ord":
@@ -98,7 +98,7 @@ def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "ev":
         return read(spark, sf_dir, "events").withColumn("ev_hour", F.hour("ts"))
     if name == "prt":
-        return read(spark, sf_dir, "part").withColumn("p_type_class", F.split("p_type", " ").getItem(0))
+        return read(spark, sf_dir, "part")
     if name == "cust":
         # nation (25 rows) and region (5 rows) are dimension tables of fixed size
         nat = read(spark, sf_dir, "nation")
