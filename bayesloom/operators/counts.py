@@ -50,7 +50,7 @@ def family_counts(df: DataFrame, families: Sequence[Family], weight: str | None
         raise ValueError("no families")
     cols = sorted({c for ch, pa in families for c in (ch, *pa)})
     base = df if compacted else compact(df, cols, weight)
-    w = F.col("w") if (compacted or True) else None
+    w = F.col("w")
     parts = []
     for start in range(0, len(families), FAMILY_BATCH):
         batch = families[start:start + FAMILY_BATCH]
@@ -76,11 +76,15 @@ def normalize_by_parents(counts: DataFrame, group: Sequence[str] = ("fam", "pa")
 
 
 def dense_domain(spark, cols: Sequence[str], cards: dict) -> DataFrame:
-    """All code combinations of ``cols`` (model-sized: Π cards rows) from nested sequences."""
-    d = spark.range(1).select(F.lit(0).alias("__one"))
-    for c in cols:
-        d = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(int(cards[c]) - 1))).alias(c))
-    return d.drop("__one")
+    """All code combinations of ``cols`` (Π cards rows), spread over tasks."""
+    size = math.prod(int(cards[c]) for c in cols)
+    rest, digits = F.col("id"), []
+    for c in reversed(cols):  # the digits of the row number in mixed radix
+        digits.append((rest % int(cards[c])).cast("int").alias(c))
+        rest = F.floor(rest / int(cards[c])) if size < 2**52 else F.expr("0")
+    if size >= 2**52:
+        raise ValueError("a dense table of that many configurations cannot be written out")
+    return spark.range(0, size, 1, max(1, -(-size // 500_000))).select(*digits[::-1])
 
 
 def smooth_backoff(df: DataFrame, child: str, parents: Sequence[str], cards: dict,
@@ -98,7 +102,7 @@ def smooth_backoff(df: DataFrame, child: str, parents: Sequence[str], cards: dic
         grp = list(parents[:lvl])
         wdw = Window.partitionBy(*grp) if grp else Window.partitionBy(F.lit(0))
         ct = ct.withColumn(f"__p{lvl}", F.col("n") / F.sum("n").over(wdw)).drop("n")
-        dom = dom.join(F.broadcast(ct), on=keep, how="left")
+        dom = dom.join(ct, on=keep, how="left")
         probs.append(f"__p{lvl}")
     chain = [F.when(F.col(p) > 0, F.col(p)) for p in probs[:-1]] + [F.coalesce(F.col(probs[-1]), F.lit(0.0))]
     return dom.withColumn("p", F.coalesce(*chain)).drop(*probs)
@@ -133,12 +137,17 @@ def mutual_info(df: DataFrame, features: Sequence[str], label: str, base: float
         "fam").select("feature", "mi")
 
 
+def _with_totals(ct: DataFrame, by: dict[str, list[str]]) -> DataFrame:
+    """``ct`` with the sum of ``n`` over each set of columns: totals by partial aggregation, joined back, so that the cells of
+    a family never meet in one task."""
+    for name, keys in by.items():
+        ct = ct.join(ct.groupBy(*keys).agg(F.sum("n").alias(name)), keys)
+    return ct
+
+
 def _mi_from_pairs(ct: DataFrame, base: float) -> DataFrame:
     """Σ n/N · log(n·N / (n_x·n_y)) from (fam, x, pa=[y], n)."""
-    nx = F.sum("n").over(Window.partitionBy("fam", "x"))
-    ny = F.sum("n").over(Window.partitionBy("fam", "pa"))
-    nn = F.sum("n").over(Window.partitionBy("fam"))
-    t = ct.withColumn("__nx", nx).withColumn("__ny", ny).withColumn("__nn", nn)
+    t = _with_totals(ct, {"__nx": ["fam", "x"], "__ny": ["fam", "pa"], "__nn": ["fam"]})
     term = F.col("n") / F.col("__nn") * F.log(F.col("n") * F.col("__nn") / (F.col("__nx") * F.col("__ny")))
     return t.groupBy("fam").agg((F.sum(term) / F.lit(math.log(base))).alias("mi"))
 
@@ -158,10 +167,7 @@ def _cmi_from_triples(ct: DataFrame, base: float) -> DataFrame:
     y = F.get(F.col("pa"), 1)
     z = F.get(F.col("pa"), 0)
     t = ct.withColumn("__y", y).withColumn("__z", z)
-    t = (t.withColumn("__ny", F.sum("n").over(Window.partitionBy("fam", "__y")))
-          .withColumn("__nxy", F.sum("n").over(Window.partitionBy("fam", "x", "__y")))
-          .withColumn("__nzy", F.sum("n").over(Window.partitionBy("fam", "__z", "__y")))
-          .withColumn("__nn", F.sum("n").over(Window.partitionBy("fam"))))
+    t = _with_totals(t, {"__ny": ["fam", "__y"], "__nxy": ["fam", "x", "__y"], "__nzy": ["fam", "__z", "__y"], "__nn": ["fam"]})
     term = F.col("n") / F.col("__nn") * F.log(F.col("n") * F.col("__ny") / (F.col("__nxy") * F.col("__nzy")))
     return t.groupBy("fam").agg((F.sum(term) / F.lit(math.log(base))).alias("cmi"))
 
@@ -208,7 +214,8 @@ def jsd(real: DataFrame, syn: DataFrame, cols: Sequence[str], base: float = 2.0)
     """Jensen–Shannon divergence of each column's histogram (column, jsd)."""
     def hist(df, name):
         h = _long_values(df, cols, "string").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        return h.withColumn(name, F.col("n") / F.sum("n").over(Window.partitionBy("column"))).drop("n")
+        total = h.groupBy("column").agg(F.sum("n").alias("t"))
+        return h.join(total, "column").select("column", "value", (F.col("n") / F.col("t")).alias(name))
     j = hist(real, "p").join(hist(syn, "q"), ["column", "value"], "full_outer").fillna(0.0, ["p", "q"])
     m = (F.col("p") + F.col("q")) / 2
     kl = lambda a: F.when(F.col(a) > 0, F.col(a) * F.log(F.col(a) / m)).otherwise(0.0)

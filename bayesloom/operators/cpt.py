@@ -23,7 +23,7 @@ def fit_cpts(df: DataFrame, edges, nodes: Sequence[str], weight: str | None = No
              only: Sequence[str] | None = None, materialize: bool = True) -> DataFrame:
     """G1: maximum-likelihood P(child | parents) of every node, one family-count job.
 
-    The result is model-sized; it is checkpointed (reliable storage) so that the many
+    The result is model-sized; it is cached so that the many
     small lookups built from it do not re-run the scan of the data.
     """
     ps = parent_sets(edges, nodes)
@@ -34,8 +34,8 @@ def fit_cpts(df: DataFrame, edges, nodes: Sequence[str], weight: str | None = No
     ct = ct.join(F.broadcast(names), "fam").drop("fam")
     out = with_intervals(ct)
     if materialize:
-        from bayesloom.session import cut_lineage
-        out = cut_lineage(out)
+        from bayesloom.session import cached
+        out = cached(out)
     return out
 
 

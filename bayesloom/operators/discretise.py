@@ -95,8 +95,6 @@ class Preprocessor:
 
 # ---------------------------------------------------------------- mixture discretiser
 
-_EM_EXPR_CACHE: dict = {}
-
 # Z-score bin boundaries of the mixture discretiser (8 bins per mode).
 Z_EDGES = [-3.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0]
 BINS_PER_MODE = 8
@@ -122,11 +120,12 @@ class MixtureDiscretiser:
     weights: dict[str, list[float]] = field(default_factory=dict)
     mu: dict[str, list[float]] = field(default_factory=dict)
     sigma: dict[str, list[float]] = field(default_factory=dict)
+    converged: bool = True
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: list[str], k: int = 10, max_iter: int = 100, tol: float = 1e-5,
+    def fit(cls, df: DataFrame, columns: list[str], k: int = 10, max_iter: int = 1500, tol: float = 1e-5,
             prune: float = 1e-3, reg: float = 1e-6) -> "MixtureDiscretiser":
-        from bayesloom.session import cut_lineage
+        from bayesloom.session import cached
 
         scaler = MinMaxScaler.fit(df, columns)
         scaled = scaler.transform(df.select(*columns))
@@ -134,19 +133,19 @@ class MixtureDiscretiser:
         compact = (scaled.select(F.expr(f"stack({len(columns)}, {stack}) as (column, x)"))
                    .filter(F.col("x").isNotNull())
                    .groupBy("column", "x").agg(F.count(F.lit(1)).cast("double").alias("w")))
-        compact = cut_lineage(compact)
-        # init: means at evenly spaced quantiles, equal weights, common sigma
+        compact = cached(compact)
+        # init: means at evenly spaced quantiles of the rows, equal weights, common sigma
         qs = [(i + 0.5) / k for i in range(k)]
+        start = scaled.agg(*[F.percentile_approx(F.col(c).cast("double"), qs, 10000).alias(c) for c in columns]).first()
         init = compact.groupBy("column").agg(
-            F.percentile_approx("x", qs, 10000).alias("q"),
             (F.sqrt(F.sum(F.col("w") * F.col("x") * F.col("x")) / F.sum("w")
                     - F.pow(F.sum(F.col("w") * F.col("x")) / F.sum("w"), 2))).alias("s")).collect()
         w = {r["column"]: [1.0 / k] * k for r in init}
-        mu = {r["column"]: [float(v) for v in r["q"]] for r in init}
+        mu = {r["column"]: [float(v) for v in start[r["column"]]] for r in init}
         sg = {r["column"]: [max((r["s"] or 0.0) / k, 1e-3)] * k for r in init}
-        prev_ll = None
+        prev_ll, converged, exprs = None, False, cls._em_exprs(k)
         for _ in range(max_iter):
-            stats, ll = cls._em_step(compact, columns, w, mu, sg, k)
+            stats, ll = cls._em_step(compact, columns, w, mu, sg, k, exprs)
             for c in columns:
                 if c not in stats:
                     continue
@@ -160,8 +159,10 @@ class MixtureDiscretiser:
                     var = max(sxx[j] / n_j[j] - mu[c][j] ** 2, 0.0) + reg
                     sg[c][j] = math.sqrt(var)
             if prev_ll is not None and abs(ll - prev_ll) <= tol * max(1.0, abs(prev_ll)):
+                converged = True
                 break
             prev_ll = ll
+        compact.unpersist()
         weights, mus, sigmas = {}, {}, {}
         for c in columns:
             if c not in w:
@@ -172,7 +173,7 @@ class MixtureDiscretiser:
             weights[c] = [w[c][j] / tot for j in keep]
             mus[c] = [mu[c][j] for j in keep]
             sigmas[c] = [sg[c][j] for j in keep]
-        return cls(list(columns), scaler, weights, mus, sigmas)
+        return cls(list(columns), scaler, weights, mus, sigmas, converged)
 
     @staticmethod
     def _log_dens(x: Column, wj: float, mj: float, sj: float) -> Column:
@@ -181,12 +182,9 @@ class MixtureDiscretiser:
         return F.lit(math.log(wj) - math.log(sj) - 0.5 * math.log(2 * math.pi)) - F.pow((x - F.lit(mj)) / F.lit(sj), 2) / 2
 
     @classmethod
-    def _em_exprs(cls, k: int, spark=None):
-        """Column expressions of one E+M pass, built once per (session, k): they read the
+    def _em_exprs(cls, k: int):
+        """Column expressions of one E+M pass, built once per fit: they read the
         parameters from columns, so they are the same in every iteration."""
-        ck = (id(spark), k)
-        if ck in _EM_EXPR_CACHE:
-            return _EM_EXPR_CACHE[ck]
         x = F.col("x")
         half_ln_2pi = 0.5 * math.log(2 * math.pi)
         logs = [(F.get(F.col("lw"), j) - F.log(F.get(F.col("sg"), j)) - F.lit(half_ln_2pi)
@@ -200,12 +198,10 @@ class MixtureDiscretiser:
         for j in range(k):
             r = F.col("w") * F.col(f"__e{j}") / F.col("__s")
             aggs += [F.sum(r).alias(f"n{j}"), F.sum(r * x).alias(f"sx{j}"), F.sum(r * x * x).alias(f"sxx{j}")]
-        out = (logs, mx, exps, total.alias("__s"), aggs)
-        _EM_EXPR_CACHE[ck] = out
-        return out
+        return logs, mx, exps, total.alias("__s"), aggs
 
     @classmethod
-    def _em_step(cls, compact: DataFrame, columns, w, mu, sg, k):
+    def _em_step(cls, compact: DataFrame, columns, w, mu, sg, k, exprs=None):
         """One E+M pass as one aggregation. The parameters travel as a small broadcast
         table (column → arrays), not as literals, so the generated code is identical in
         every iteration and compiled once."""
@@ -217,7 +213,7 @@ class MixtureDiscretiser:
             lw = [math.log(w[c][j]) if w[c][j] > 0 else -1e300 for j in range(k)]
             rows.append((c, lw, [float(v) for v in mu[c]], [float(max(v, 1e-12)) for v in sg[c]]))
         params = F.broadcast(spark.createDataFrame(rows, "column string, lw array<double>, mu array<double>, sg array<double>"))
-        logs, mx, exps, total, aggs = cls._em_exprs(k, spark)
+        logs, mx, exps, total, aggs = exprs or cls._em_exprs(k)
         d = compact.join(params, "column").select("column", "x", "w", *logs)
         d = d.select("column", "x", "w", *[F.col(f"__l{j}") for j in range(k)], mx)
         d = d.select("column", "x", "w", "__m", *exps).select("*", total)

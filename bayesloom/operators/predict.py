@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from bayesloom.functions import pack_codes
 from bayesloom.operators.scores import parent_sets
-from bayesloom.operators.sample import BROADCAST_CONFIGS
+from bayesloom.operators.sample import fits_broadcast
 
 NEG_INF = float("-inf")
 # log of a zero probability inside lookup tables: finite, so sums stay finite and roundable
@@ -107,7 +107,7 @@ def bn_map_predict(df: DataFrame, cpts: DataFrame, edges, nodes: Sequence[str],
         key = pack_codes([(F.col(o), int(cards[o])) for o in others])
         tab = tab.withColumnRenamed("__arr", f"__a{i}").withColumnRenamed("__k", f"__k{i}")
         n_keys = tab.count()
-        tab = F.broadcast(tab) if n_keys <= BROADCAST_CONFIGS else tab
+        tab = F.broadcast(tab) if fits_broadcast(n_keys, C) else tab
         d = d.withColumn(f"__pk{i}", key).join(tab, F.col(f"__pk{i}") == F.col(f"__k{i}"), "left")
         uni = F.lit(math.log(1.0 / cards[child]))
         for c in range(C):

@@ -17,7 +17,18 @@ from bayesloom.functions import hash_uniform_block, pack_codes, probit
 from bayesloom.operators.scores import parent_sets
 from bayesloom.operators.structure import radix_code_expr, topological_order
 
-BROADCAST_CONFIGS = 5_000_000
+#: largest lookup table that is broadcast, and rows of a sampled partition
+BROADCAST_BYTES = 64 << 20
+PARTITION_ROWS = 2_000_000
+
+
+def fits_broadcast(rows: int, doubles: int) -> bool:
+    """Whether a table of so many rows with a key and an array of ``doubles`` values is small enough to broadcast."""
+    return rows * (48 + 8 * doubles) <= BROADCAST_BYTES
+
+
+def sample_partitions(spark, n: int) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n) // PARTITION_ROWS))
 
 
 def _pack(parents: Sequence[str], cards: dict):
@@ -62,7 +73,7 @@ def ancestral_sample(spark, cpts: DataFrame, edges, nodes: Sequence[str], cards:
     """N rows drawn parents-first; unseen parent configuration → uniform draw."""
     order = topological_order(edges, nodes)
     ps = parent_sets(edges, nodes)
-    parts = num_partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = num_partitions or sample_partitions(spark, n)
     sizes = {r["child"]: r["k"] for r in cpts.groupBy("child").agg(F.countDistinct("pa").alias("k")).collect()}
     s = spark.range(0, int(n), 1, parts).withColumnRenamed("id", key)
     # node i (position in ``nodes``) uses uniform i % 4 of digest i // 4: one md5 per four nodes
@@ -81,7 +92,7 @@ def ancestral_sample(spark, cpts: DataFrame, edges, nodes: Sequence[str], cards:
             s = s.withColumn("__hi", F.array(*[F.lit(float(h)) for h in his]) if his else F.lit(None).cast("array<double>"))
         else:
             look = cpt_lookup(cpts, node, pa, cards)
-            look = F.broadcast(look) if sizes.get(node, 0) <= BROADCAST_CONFIGS else look
+            look = F.broadcast(look) if fits_broadcast(sizes.get(node, 0), int(cards[node])) else look
             s = s.withColumn("__pk", _pack(pa, cards)).join(look, F.col("__pk") == F.col("__k"), "left").drop("__pk")
         # the draw is evaluated unconditionally (null when the configuration is unseen), so the
         # uniform is a common subexpression; unseen configurations fall back to a uniform code
@@ -98,7 +109,7 @@ def sample(spark, cpts, edges, nodes, cards, n, encoder=None, seed=42, key="row_
 
 def gaussian_nb_sample(spark, model, n: int, seed=42, num_partitions: int | None = None, key: str = "row_id") -> DataFrame:
     """Y from the prior's cumulative intervals, each feature ~ N(mean, var) given y."""
-    parts = num_partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = num_partitions or sample_partitions(spark, n)
     classes = model.classes
     # cumulative prior from integer counts: exact interval ends, last one is 1.0
     cum, acc = [], 0

@@ -45,16 +45,14 @@ def local_scores(df: DataFrame, families: Sequence[Family], cards: dict, kind: s
     A callable gets the Columns (n, n_pa, r, q, N) of the cell level and returns the
     per-cell term to sum (custom decomposable score).
     """
-    from bayesloom.session import cut_lineage
-
     spark = df.sparkSession
-    # the count table is model-sized: materialise it once, every later step reads it
-    ct = cut_lineage(family_counts(df, families, weight, compacted))
+    if n_rows is None:
+        w = "w" if compacted else weight
+        n_rows = float(df.agg(F.sum(F.col(w).cast("double")) if w else F.count(F.lit(1))).first()[0] or 0.0)
+    ct = family_counts(df, families, weight, compacted)
     meta = spark.createDataFrame(
         [(i, float(cards[ch]), _q(pa, cards)) for i, (ch, pa) in enumerate(families)], "fam int, r double, q double")
     ct = ct.join(F.broadcast(meta), "fam")
-    if n_rows is None:
-        n_rows = float(ct.filter(F.col("fam") == 0).agg(F.sum("n")).first()[0] or 0.0)
     N = F.lit(float(n_rows))
     if callable(kind):
         from pyspark.sql import Window
@@ -220,5 +218,5 @@ def complexity_penalty(n_nodes: int, n_rows: float) -> float:
 
 def compacted(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> DataFrame:
     """Persisted compaction of the model columns, reused by every score of a search."""
-    from bayesloom.session import cut_lineage
-    return cut_lineage(compact(df, cols, weight))
+    from bayesloom.session import cached
+    return cached(compact(df, cols, weight))

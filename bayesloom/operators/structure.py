@@ -30,13 +30,14 @@ def mi_cmi(df: DataFrame, features: Sequence[str], label: str, base: float = 2.0
            compacted: bool = False, digits: int = 10) -> tuple[dict, dict]:
     """MI(x; y) per feature and CMI(a; b | y) per unordered pair, in ONE family-count job."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    from bayesloom.session import cut_lineage
+    from bayesloom.session import cached
 
     fams = [(f, (label,)) for f in features] + [(a, (b, label)) for a, b in pairs]
-    ct = cut_lineage(family_counts(df, fams, weight, compacted))  # model-sized, read twice
+    ct = cached(family_counts(df, fams, weight, compacted))  # model-sized, read twice
     nf = len(features)
     mi = _mi_from_pairs(ct.filter(F.col("fam") < nf), base).collect()
     cmi = _cmi_from_triples(ct.filter(F.col("fam") >= nf), base).collect() if pairs else []
+    ct.unpersist()
     mi_d = {features[r["fam"]]: round(r["mi"], digits) for r in mi}
     cmi_d = {}
     for r in cmi:

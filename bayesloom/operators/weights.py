@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bayesloom.operators.sample import BROADCAST_CONFIGS
+from bayesloom.operators.sample import fits_broadcast
 
 
 class DiscriminativeWeights:
@@ -76,7 +76,7 @@ class DiscriminativeWeights:
             extra = self.bias if i == 0 else np.zeros(C)
             tab = spark.createDataFrame([(j, [float(x + e) for x, e in zip(self.W[f][j], extra)]) for j in range(len(self.enc.vocab[f]))],
                                         f"__c{i} int, __w{i} array<double>")
-            tab = F.broadcast(tab) if len(self.enc.vocab[f]) <= BROADCAST_CONFIGS else tab
+            tab = F.broadcast(tab) if fits_broadcast(len(self.enc.vocab[f]), C) else tab
             d = d.join(tab, d[f"{f}_ho"] == tab[f"__c{i}"], "left").drop(f"__c{i}")
         # per-class logits, softmax and residuals as plain (codegen) expressions
         logits = []

@@ -20,7 +20,7 @@ from bayesloom.operators.evaluate import discriminator, tstr
 from bayesloom.operators.predict import GaussianNB
 from bayesloom.operators.sample import ancestral_sample, gaussian_nb_sample
 from bayesloom.operators.weights import DiscriminativeWeights
-from bayesloom.session import cut_lineage
+from bayesloom.session import cached
 
 
 @dataclass
@@ -38,7 +38,7 @@ class BayesNetSynthesizer:
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str, cards: dict, edges=None) -> "BayesNetSynthesizer":
         self.nodes, self.label, self.cards = list(features) + [label], label, dict(cards)
-        base = cut_lineage(compact(df, self.nodes))
+        base = cached(compact(df, self.nodes))
         if edges is not None:
             self.edges = list(edges)
         elif self.structure == "naive":
@@ -88,11 +88,11 @@ class KDependenceGenerator:
     def fit(self, df: DataFrame, features: Sequence[str], label: str, cards: dict, key: str = "row_key") -> "KDependenceGenerator":
         spark = df.sparkSession
         self.nodes, self.label, self.cards = list(features) + [label], label, dict(cards)
-        base = cut_lineage(compact(df, self.nodes))
+        base = cached(compact(df, self.nodes))
         enc = K.HighOrderEncoder.fit(base, list(features), label, cards, self.k,
                                      edges=K.kdb_structure(base, list(features), label, self.k, weight="w", compacted=True))
         self.edges = enc.edges
-        ho = cut_lineage(enc.transform(base))
+        ho = cached(enc.transform(base))
         classes = [r[0] for r in base.select(label).distinct().orderBy(label).collect()]
         w = DiscriminativeWeights(enc, label, classes)
         w.init_from_counts(ho)
@@ -110,7 +110,7 @@ class KDependenceGenerator:
     def _set_cpts(self, spark, w):
         rows = w.cpt_rows(self.cards)
         raw = spark.createDataFrame(rows, "child string, pa array<int>, value int, p double")
-        self.cpts = cut_lineage(with_intervals(raw.withColumnRenamed("p", "__p"), p_col="__p"))
+        self.cpts = cached(with_intervals(raw.withColumnRenamed("p", "__p"), p_col="__p"))
 
     def sample(self, n: int, seed: int = 42) -> DataFrame:
         spark = self.cpts.sparkSession

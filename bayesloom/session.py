@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import re
+import shutil
+import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,8 +35,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names its shared folder in the session conf; only a local session
-    without that setting (tests, bench) gets a private temporary folder.
+    Where it's unset, a folder in the session's warehouse, which every executor shares too; it is removed at exit if the
+    warehouse is a local one (tests, bench).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,15 +46,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
-    path = tempfile.mkdtemp(prefix="bayesloom-ckpt-")
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_bayesloom-{uuid.uuid4().hex[:12]}"
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
-    return path
+    if path.startswith(("file:", "/")):
+        atexit.register(shutil.rmtree, re.sub("^file:/*", "/", path), ignore_errors=True)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); used inside driver loops."""
+    """Reliable checkpoint in the shared folder, for rows whose placement must not change once it has been looked at."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """A table that is read several times; a lost part is computed again from its inputs. The caller unpersists it where
+    it knows the last reader; model tables that a result still reads stay until the session drops them."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
