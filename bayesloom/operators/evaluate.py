@@ -114,14 +114,15 @@ def discriminator(real: DataFrame, syn: DataFrame, features: Sequence[str], frac
 
     r = real.select(F.col(key).cast("string").alias("__k"), *features)
     s = syn.select(F.concat(F.lit("s"), F.col(syn.columns[0]).cast("string")).alias("__k"), *features)
-    both = union_labelled(r, s, "label").withColumn("label", F.col("label").cast("double"))
+    both = union_labelled(r, s, "label").withColumn("label", F.col("label").cast("double")).persist()  # else every pass draws the sample again
     both = VectorAssembler(inputCols=list(features), outputCol="features").transform(both.withColumns({f: F.col(f).cast("double") for f in features}))
     train = sample_rows(both, "__k", frac=frac, seed=seed)
     model = LogisticRegression(maxIter=max_iter, regParam=0.0).fit(train)
     ls = model.transform(train).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     from pyspark.ml.functions import vector_to_array
     p_real = model.transform(both.filter(F.col("label") == 1.0)).select(F.element_at(vector_to_array("probability"), 2).alias("p"))
-    return {"ls": float(ls or 0.0), "p_real": float(p_real.agg(F.avg("p")).first()[0] or 0.0)}
+    mean = float(p_real.agg(F.avg("p")).first()[0] or 0.0)
+    return {"ls": float(ls or 0.0), "p_real": mean}
 
 
 def evaluate_model(sample_fn: Callable[[int, int], DataFrame], test: DataFrame, target: str, n: int,

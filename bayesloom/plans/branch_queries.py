@@ -356,3 +356,54 @@ for _name in ("lr", "mlp", "rf", "xgb"):
 
         # ten boosting rounds are enough for a rule of one feature; each round is a chain of Spark jobs
         return _tstr(spark, d, ((name, classifier(name, 5, 25, trees=10)) if name == "xgb" else name,))
+
+
+# ------------------------------------------------------------------ mixtures of several modes
+
+# fixed values: (weight, mean, deviation) of three modes on the min-max scaled quantity
+_MODES = ((0.3, 0.15, 0.1), (0.45, 0.5, 0.2), (0.25, 0.85, 0.08))
+_SCALED = "(CAST(l_quantity AS DOUBLE) - lo) / (hi - lo)"
+_QTY = f"WITH r AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), sc AS (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_key, {_SCALED} AS x FROM lineitem, r)"
+
+
+def _mode_sql() -> str:
+    score = [f"ln({w!r}) - ln({s!r}) - 0.5 * power((x - {m!r}) / {s!r}, 2)" for w, m, s in _MODES]
+    best = f"greatest({', '.join(score)})"
+    mode = "CASE " + " ".join(f"WHEN {x} = {best} THEN {i}" for i, x in enumerate(score)) + " END"
+    z = "CASE mode " + " ".join(f"WHEN {i} THEN (x - {m!r}) / {s!r}" for i, (_, m, s) in enumerate(_MODES)) + " END"
+    bins = " + ".join(f"CAST({z} > {e} AS INTEGER)" for e in (-3.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0))
+    return f"{_QTY}, md AS (SELECT *, {mode} AS mode FROM sc) SELECT row_key, CAST(mode * 8 + {bins} AS INTEGER) AS code FROM md"
+
+
+@register("mixture_assign", _mode_sql())
+def q_mixture_assign(spark, d):
+    """M2 + M3 with three given modes."""
+    from bayesloom.operators.discretise import MixtureDiscretiser
+    from bayesloom.operators.encode import MinMaxScaler
+    li = read(spark, d, "lineitem").select(F.expr("concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)").alias("row_key"), "l_quantity")
+    w, m, s = ([x[i] for x in _MODES] for i in range(3))
+    mix = MixtureDiscretiser(["l_quantity"], MinMaxScaler.fit(li, ["l_quantity"]), {"l_quantity": w}, {"l_quantity": m}, {"l_quantity": s})
+    return mix.transform(li).select("row_key", F.col("l_quantity").cast("int").alias("code"))
+
+
+def _em_sql(steps: int) -> str:
+    ctes = [f"{_QTY}, v AS (SELECT x, count(*) * 1e0 AS w FROM sc GROUP BY x)",
+            "p0 AS (SELECT 0.5 AS w1, 0.5 AS w2, quantile_disc(x, 0.25) AS m1, quantile_disc(x, 0.75) AS m2, greatest(stddev_pop(x) / 2, 1e-3) AS s1, greatest(stddev_pop(x) / 2, 1e-3) AS s2 FROM sc)"]
+    for i in range(steps):
+        d = lambda j: f"w{j} / s{j} * exp(-0.5 * power((x - m{j}) / s{j}, 2))"
+        ctes.append(f"e{i} AS (SELECT x, v.w, {d(1)} / ({d(1)} + {d(2)}) AS r FROM v, p{i})")
+        ctes.append(f"a{i} AS (SELECT sum(w) AS n, sum(w * r) AS n1, sum(w * (1 - r)) AS n2, sum(w * r * x) AS x1, sum(w * (1 - r) * x) AS x2, "
+                    f"sum(w * r * x * x) AS q1, sum(w * (1 - r) * x * x) AS q2 FROM e{i})")
+        ctes.append(f"p{i + 1} AS (SELECT n1 / n AS w1, n2 / n AS w2, x1 / n1 AS m1, x2 / n2 AS m2, "
+                    f"sqrt(greatest(q1 / n1 - power(x1 / n1, 2), 0) + 1e-6) AS s1, sqrt(greatest(q2 / n2 - power(x2 / n2, 2), 0) + 1e-6) AS s2 FROM a{i})")
+    return ", ".join(ctes) + (f" SELECT 0 AS mode, round(w1, 8) AS weight, round(m1, 8) AS mu, round(s1, 8) AS sigma FROM p{steps} "
+                              f"UNION ALL SELECT 1, round(w2, 8), round(m2, 8), round(s2, 8) FROM p{steps}")
+
+
+@register("mixture_two_steps", _em_sql(2))
+def q_mixture_two_steps(spark, d):
+    """M1: two EM steps of two modes from the start by quantiles of the rows."""
+    from bayesloom.operators.discretise import MixtureDiscretiser
+    m = MixtureDiscretiser.fit(read(spark, d, "lineitem").select("l_quantity"), ["l_quantity"], k=2, max_iter=2, tol=0.0)
+    rows = [(j, *(round(p["l_quantity"][j], 8) for p in (m.weights, m.mu, m.sigma))) for j in range(2)]
+    return spark.createDataFrame(rows, "mode int, weight double, mu double, sigma double")

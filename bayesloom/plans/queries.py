@@ -875,10 +875,17 @@ _MIX = ["l_quantity", "l_extendedprice"]
 def _mix_sql_ctes() -> str:
     cols = ", ".join(f"(CAST({c} AS DOUBLE) - (SELECT min({c}) FROM lineitem)) / ((SELECT max({c}) FROM lineitem) - (SELECT min({c}) FROM lineitem)) AS {c}"
                      for c in _MIX)
-    stats = ", ".join(f"avg({c}) AS mu_{c}, sqrt(var_pop({c}) + 1e-6) AS sg_{c}" for c in _MIX)
+    stats = ", ".join(f"round(avg({c}), 12) AS mu_{c}, round(sqrt(var_pop({c}) + 1e-6), 12) AS sg_{c}" for c in _MIX)
     return (f"sc AS (SELECT {LI_KEY} AS row_key, {cols} FROM lineitem), st AS (SELECT {stats} FROM sc)")
 
 
+def _twelve_digits(m):
+    """Sums of doubles differ in their last digits with the order of the rows; twelve digits of the parameters don't."""
+    m.mu = {c: [round(x, 12) for x in v] for c, v in m.mu.items()}
+    m.sigma = {c: [round(x, 12) for x in v] for c, v in m.sigma.items()}
+    return m
+
+
 def _zbin_sql(z: str) -> str:
     return " + ".join(f"CAST({z} > {e} AS INTEGER)" for e in (-3.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0))
 
@@ -889,7 +896,7 @@ def q_mixture_discretise(spark, d):
     """M1–M3 with one mode per column: code = 8·mode + z-bin of the min-max-scaled value."""
     from bayesloom.operators.discretise import MixtureDiscretiser
     li = read(spark, d, "lineitem").select(F.expr(LI_KEY).alias("row_key"), *_MIX)
-    m = MixtureDiscretiser.fit(li, _MIX, k=1)
+    m = _twelve_digits(MixtureDiscretiser.fit(li, _MIX, k=1))
     return m.transform(li).select("row_key", *_MIX)
 
 
@@ -914,7 +921,7 @@ def q_mixture_decode(spark, d):
     """M4 + M5: codes back to values, truncated normal inside the bin, then un-scaled."""
     from bayesloom.operators.discretise import MixtureDiscretiser
     li = read(spark, d, "lineitem").select(F.expr(LI_KEY).alias("row_key"), *_MIX)
-    m = MixtureDiscretiser.fit(li, _MIX, k=1)
+    m = _twelve_digits(MixtureDiscretiser.fit(li, _MIX, k=1))
     back = m.inverse(m.transform(li), "row_key", 42)
     return back.select("row_key", *[_r(c, 4).alias(c) for c in _MIX])
 
