@@ -8,6 +8,9 @@ end after a character that is not white space (no added token holds such a place
 tokenizers are encoded whole. Without such
 a place the overlap is widened until there is one or the chunk reaches the end of the text, so the
 counts are the library's own for the whole text. Only one chunk's encoding is held at a time.
+
+Shorter texts are cut at all of their stable places; the pieces, mostly words, recur, so each different piece of a call is
+encoded once and the pieces' counts add up to the text's.
 """
 
 from __future__ import annotations
@@ -21,11 +24,28 @@ from pyspark.sql import functions as F
 
 from bayesloom.llm import bytesrows as br
 
-#: characters of a chunk, and of the first overlap tried
-CHUNK = 1 << 16
+#: characters of a chunk (a text of more bytes is a long one), and of the first overlap tried
+CHUNK = 1 << 14
 OVERLAP = 256
-#: characters encoded in one call
-CALL = 1 << 20
+#: bytes of text whose pieces are told apart at a time
+CALL = 4 << 20
+#: pieces whose counts a worker remembers
+KNOWN = 1 << 19
+
+_PLAIN = np.zeros(256, bool)  # bytes that end no white-space character: visible ASCII
+_PLAIN[0x21:0x7F] = True
+_BREAK = np.zeros(256, bool)
+_BREAK[[0x20, 0x0A]] = True
+
+
+def piece_starts(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where texts and their pieces start: a blank or line end behind visible ASCII or a Latin-1 letter (lead byte C3)."""
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = _BREAK[raw[1:]] & _PLAIN[raw[:-1]]
+    cut[2:] |= _BREAK[raw[2:]] & (raw[:-2] == 0xC3) & (raw[1:-1] >= 0x80)
+    first = offs[:-1]
+    cut[first[first < len(raw)]] = True
+    return np.flatnonzero(cut)
 
 
 class Counter:
@@ -33,6 +53,7 @@ class Counter:
 
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         self.chunk, self.overlap = chunk, max(1, min(overlap, chunk // 2))
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if path.endswith(".model"):
             import sentencepiece
 
@@ -53,25 +74,46 @@ class Counter:
             self.encode = lambda text: model.encode(text, add_special_tokens=False)
             self.batch = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def count(self, texts: list[str]) -> list[int]:
-        out = [0] * len(texts)
-        short, size = [], 0
-        for i, text in enumerate(texts):
-            if self.splits and len(text) > self.chunk:
-                out[i] = self.count_long(text)
-                continue
-            short.append(i)
-            size += len(text)
-            if size >= CALL:
-                self._flush(texts, short, out)
-                short, size = [], 0
-        self._flush(texts, short, out)
-        return out
-
-    def _flush(self, texts: list[str], which: list[int], out: list[int]) -> None:
-        if which:
-            for i, n in zip(which, self.batch([texts[i] for i in which]), strict=True):
-                out[i] = n
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text (null: none)."""
+        raw, offs = br.text_bytes(texts)
+        size = np.diff(offs)
+        if not self.splits:
+            return np.array(self.batch([x or "" for x in texts.to_pylist()]), np.int64) if len(size) else np.zeros(0, np.int64)
+        n = np.zeros(len(size), np.int64)
+        long = size > self.chunk
+        for i in np.flatnonzero(long):
+            n[i] = self.count_long(texts[i].as_py())
+        short = texts.filter(pa.array(~long)) if long.any() else texts
+        at = np.flatnonzero(~long)
+        raw, offs = br.text_bytes(short)
+        for lo, hi in br.slices(offs, CALL):
+            part = offs[lo:hi + 1]
+            n[at[lo:hi]] = self._count_pieces(raw[part[0]:part[-1]], part - part[0])
+        return n
+
+    def _count_pieces(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        start = piece_starts(raw, offs)
+        if not len(start):
+            return np.zeros(len(offs) - 1, np.int64)
+        end = np.append(start[1:], len(raw))
+        row = np.searchsorted(offs, start, "right") - 1
+        rolling = br.RollingHash(raw)
+        key, first, back = np.unique(rolling.of(start, end), return_index=True, return_inverse=True)
+        counts = np.zeros(len(key), np.int64)
+        place = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        known = self.keys[place] == key if len(self.keys) else np.zeros(len(key), bool)
+        counts[known] = self.counts[place[known]]
+        new = np.flatnonzero(~known)
+        data = raw.tobytes()
+        counts[new] = self.batch([data[start[f]:end[f]].decode() for f in first[new]])
+        if len(self.keys) + len(new) > KNOWN:
+            self.keys, self.counts = key[:KNOWN], counts[:KNOWN]
+        elif len(new):
+            order = np.argsort(np.concatenate([self.keys, key[new]]))
+            self.keys = np.concatenate([self.keys, key[new]])[order]
+            self.counts = np.concatenate([self.counts, counts[new]])[order]
+        return np.bincount(row, weights=counts[back], minlength=len(offs) - 1).astype(np.int64)
 
     def count_long(self, text: str) -> int:
         total, start = 0, 0
@@ -133,9 +175,7 @@ def token_counts(docs: DataFrame, tokenizer: str, carry: list[str], text: str =
             at = batch.schema.get_field_index("__text")
             texts = batch.column(at)
             _, offs = br.text_bytes(texts)
-            n = np.zeros(batch.num_rows, np.int64)
-            for lo, hi in br.slices(offs):
-                n[lo:hi] = counter.count([x or "" for x in texts.slice(lo, hi - lo).to_pylist()])
+            n = counter.count(texts)
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(np.diff(offs)), pa.array(n), pa.array(n > limit)], names=[f.name for f in schema])

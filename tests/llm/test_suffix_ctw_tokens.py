@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,7 +185,7 @@ TEXTS = ["", "word", "two words", " lead and trail ", "a<|endoftext|>b <|endofte
 
 
 @pytest.mark.parametrize("chunk, overlap", [(40, 8), (64, 1), (200, 30), (16, 16)])
-def test_spliced_counts_equal_whole_texts(chunk, overlap):
+def test_spliced_counts_equal_whole_texts(chunk, overlap, monkeypatch):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
@@ -192,7 +193,12 @@ def test_spliced_counts_equal_whole_texts(chunk, overlap):
     whole = Tokenizer.from_file(path)
     counter = token_counts.Counter(path, chunk, overlap)
     assert counter.splits
-    assert counter.count(TEXTS) == [len(whole.encode(t, add_special_tokens=False)) for t in TEXTS]
+    want = [len(whole.encode(t, add_special_tokens=False)) for t in TEXTS]
+    assert counter.count(pa.array(TEXTS)).tolist() == want
+    assert token_counts.Counter(path).count(pa.array([*TEXTS, None])).tolist() == [*want, 0]
+    monkeypatch.setattr(token_counts, "CALL", 50)
+    monkeypatch.setattr(token_counts, "KNOWN", 7)
+    assert token_counts.Counter(path).count(pa.array(TEXTS)).tolist() == want
     assert [counter.count_long(t) for t in TEXTS if t] == [len(whole.encode(t, add_special_tokens=False)) for t in TEXTS if t]
 
 
