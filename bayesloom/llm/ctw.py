@@ -29,7 +29,7 @@ from bayesloom.llm import bytesrows as br
 from bayesloom.llm.shared import materialise
 
 DEPTH = 5
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 48 << 20
 END = 0xFF
 #: strings that a task weights at a time, in whole groups
 GROUP_ROWS = 300_000
