@@ -407,3 +407,35 @@ def q_mixture_two_steps(spark, d):
     m = MixtureDiscretiser.fit(read(spark, d, "lineitem").select("l_quantity"), ["l_quantity"], k=2, max_iter=2, tol=0.0)
     rows = [(j, *(round(p["l_quantity"][j], 8) for p in (m.weights, m.mu, m.sigma))) for j in range(2)]
     return spark.createDataFrame(rows, "mode int, weight double, mu double, sigma double")
+
+
+# ------------------------------------------------------------------ views with dependence: customers and labelled documents
+
+for _view in ("cust", "doc"):
+    @register(f"{_view}_view", f"WITH {O.view_cte(_view)} SELECT * FROM {_view}")
+    def _q_view(spark, d, view=_view):
+        """P1 + P5 + P6: the coded view of a joined table."""
+        return model_view(spark, d, view).df
+
+
+_TREE = ["acctbal_b", "nation", "region", "target"]
+
+
+def _tree_sql() -> str:
+    pairs = O.pairs_sql("cust", [(a, b) for i, a in enumerate(_TREE) for b in _TREE[i + 1:]])
+    ctes = [O.view_cte("cust"), f"ix AS (SELECT * FROM (VALUES {', '.join(f'({i}, {n!r})' for i, n in enumerate(_TREE))}) t(i, n))",
+            f"mi AS (SELECT split_part(fam, '|', 1) AS a, split_part(fam, '|', 2) AS b, round(sum(n / nn * ln(n * nn / (nx * ny))) / ln(2.0), 10) AS v FROM ("
+            f"SELECT fam, n, sum(n) OVER (PARTITION BY fam, x) AS nx, sum(n) OVER (PARTITION BY fam, y) AS ny, sum(n) OVER (PARTITION BY fam) AS nn FROM ({pairs})) GROUP BY fam)",
+            "e AS (SELECT a, b, v, p.i AS ia, q.i AS ib FROM (SELECT a, b, v FROM mi UNION ALL SELECT b, a, v FROM mi) JOIN ix p ON p.n = a JOIN ix q ON q.n = b)",
+            "in0 AS (SELECT a AS n FROM e GROUP BY a, ia ORDER BY round(sum(v), 10) DESC, ia LIMIT 1)"]
+    for k in range(1, len(_TREE)):
+        ctes.append(f"s{k} AS (SELECT a, b FROM e WHERE a IN (SELECT n FROM in{k - 1}) AND b NOT IN (SELECT n FROM in{k - 1}) ORDER BY v DESC, ia, ib LIMIT 1)")
+        ctes.append(f"in{k} AS (SELECT n FROM in{k - 1} UNION ALL SELECT b FROM s{k})")
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT a AS src, b AS dst FROM s{k}" for k in range(1, len(_TREE)))
+
+
+@register("tree_search_customers", _tree_sql())
+def q_tree_customers(spark, d):
+    """Maximum spanning tree over pairwise information; nation decides region."""
+    v = model_view(spark, d, "cust")
+    return K.edges_df(spark, K.tree_search(v.df, _TREE))

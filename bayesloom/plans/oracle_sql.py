@@ -18,7 +18,9 @@ LN2 = "ln(2.0)"
 def view_cte(name: str = "li") -> str:
     """CTE named ``name`` with the coded view (P5 bins, P1 codes) of a driver table."""
     spec = SPEC[name]
-    src = {"li": "lineitem", "ord": "orders", "ev": "events", "prt": "part"}[name]
+    src = {"li": "lineitem", "ord": "orders", "ev": "events", "prt": "part",
+           "cust": "(SELECT c.*, n_name, r_name FROM customer c JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)",
+           "doc": "(SELECT d.doc_id, lang, source, d.n_chars, quality FROM documents d JOIN labels USING (doc_id))"}[name]
     extra = {"ev": ", hour(ts) AS ev_hour"}.get(name, "")
     binned, coded = spec["binned"], spec["coded"]
     label, label_src = spec["label"]
