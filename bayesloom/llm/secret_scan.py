@@ -123,7 +123,7 @@ def scan(docs: DataFrame, carry: list[str], text: str = "text", path: str | None
     label 1 (one half without any label). An empty table gives an empty result.
     """
     words = materialise(dictionary(docs, text))
-    found = materialise(featurise(candidates(docs, carry, text, path), words))
+    found = materialise(featurise(materialise(candidates(docs, carry, text, path)), words))
     rows = labelled(found).filter("label is not null")
     train = (rows.select(F.col("label").cast("double").alias("label"), *FEATURES, F.xxhash64("core", "path", "place", "before1", "after1").alias("u"))
              .orderBy("u", *FEATURES).limit(sample).drop("u").persist())
