@@ -1,23 +1,18 @@
 """Encoding, scaling and cleaning operators.
 
-Fitted state is model-sized (sorted category lists, per-column moments) and lives
-on the driver; transforms are narrow projections (literal maps or, for large
-dictionaries, a size-checked broadcast join), so they never shuffle the data.
+Per-column moments live on the driver; dictionaries are tables, and encoding and decoding are joins with them
+(broadcast by Spark while they are small).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Above this many categories a column is looked up by join instead of a literal map.
-MAP_LITERAL_LIMIT = 2048
-# Hard bound on categories per column; a dictionary above it is not a model input.
-MAX_CATEGORIES = 1_000_000
-BROADCAST_ROWS = 2_000_000
+from bayesloom.session import cached
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -101,80 +96,81 @@ def bind_columns(x: DataFrame, y: DataFrame, key: str = "row_key") -> DataFrame:
 
 @dataclass
 class CategoryEncoder:
-    """code = rank of the value among the sorted distinct values (0..k-1)."""
+    """code = rank of the value among the sorted distinct values (0..k-1).
+
+    The dictionaries of all columns are one table (col, value as text, code), made by a distinct and a rank over range
+    partitions; encoding and decoding are joins with it (Spark broadcasts it while it's small), so the number of
+    categories is not bounded by the driver or by one task.
+    """
 
     columns: list[str]
-    categories: dict[str, list] = field(default_factory=dict)
+    book: DataFrame | None = None
+    cards: dict[str, int] = field(default_factory=dict)
     dtypes: dict[str, T.DataType] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGORIES,
-            approx_counts: dict | None = None) -> "CategoryEncoder":
-        """Two small jobs: a size check (approximate distinct counts), then sorted sets.
-
-        ``collect_set`` is partially aggregated on the map side; the check bounds what
-        reaches the driver by ``max_categories`` per column. ``approx_counts`` lets a
-        caller pass counts it computed in an earlier aggregation (saves one scan).
-        """
-        if not columns:
-            return cls([], {}, {})
-        approx = approx_counts or df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
-        too_big = [c for c in columns if approx[c] > max_categories * 1.2]
-        if too_big:
-            raise ValueError(f"columns {too_big} have more than {max_categories} categories")
-        row = df.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(c) for c in columns]).first()
+    def fit(cls, df: DataFrame, columns: list[str]) -> "CategoryEncoder":
         dtypes = {f.name: f.dataType for f in df.schema.fields if f.name in columns}
-        return cls(list(columns), {c: list(row[c]) for c in columns}, dtypes)
+        if not columns:
+            return cls([], None, {}, {})
+
+        def entry(i: int, c: str) -> Column:
+            number = F.col(f"`{c}`").cast("decimal(38,9)") if is_numeric(dtypes[c]) else F.lit(None).cast("decimal(38,9)")
+            return F.struct(F.lit(i).alias("col"), number.alias("at"), F.col(f"`{c}`").cast("string").alias("value"))
+
+        values = (df.select(F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)])))
+                  .filter("value is not null").distinct())
+        order = ["col", "at", "value"]
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = cached(values.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+        # a row per part and column: where the part's ranks start
+        counts = sorted(tuple(r) for r in placed.groupBy("col", "part").count().collect())
+        offsets, cards = [], {c: 0 for c in columns}
+        for col, part, n in counts:
+            offsets.append((col, part, cards[columns[col]]))
+            cards[columns[col]] += n
+        start = df.sparkSession.createDataFrame(offsets, "col int, part int, start int")
+        rank = F.row_number().over(Window.partitionBy("col", "part").orderBy(*order[1:]))
+        book = cached(placed.join(start, ["col", "part"]).select("col", "value", (F.col("start") + rank - 1).alias("code")))
+        book.count()
+        placed.unpersist()
+        return cls(list(columns), book, cards, dtypes)
+
+    @property
+    def categories(self) -> dict[str, list]:
+        """The sorted values of every column, on the driver: for columns known to have few."""
+        out = {}
+        for i, c in enumerate(self.columns):
+            rows = self.book.filter(F.col("col") == i).orderBy("code").select(F.col("value").cast(self.dtypes[c])).collect()
+            out[c] = [r[0] for r in rows]
+        return out
 
     def card(self, col: str) -> int:
-        return len(self.categories[col])
+        return self.cards[col]
 
-    def _lookup(self, col: str, mapping: list[tuple], value_col: Column, unknown) -> Column:
-        if not mapping:
-            return F.lit(unknown)
-        m = F.create_map(*[F.lit(x) for kv in mapping for x in kv])
-        return F.coalesce(F.element_at(m, value_col), F.lit(unknown))
+    def _page(self, i: int) -> DataFrame:
+        return self.book.filter(F.col("col") == i).select(F.col("value").alias("__v"), F.col("code").alias("__code"))
 
     def transform(self, df: DataFrame, unknown: int = -1, suffix: str = "") -> DataFrame:
         """Values → int codes; unseen values → ``unknown``; nulls stay null."""
-        out = df
-        for c in self.columns:
-            cats = self.categories[c]
-            if len(cats) <= MAP_LITERAL_LIMIT:
-                code = self._lookup(c, [(v, i) for i, v in enumerate(cats)], F.col(c), unknown)
-                out = out.withColumn(c + suffix, F.when(F.col(c).isNull(), None).otherwise(code).cast("int"))
-            else:
-                out = self._join_codes(out, c, unknown, suffix)
-        return out
-
-    def _join_codes(self, df: DataFrame, c: str, unknown: int, suffix: str) -> DataFrame:
-        spark = df.sparkSession
-        cats = self.categories[c]
-        dict_df = spark.createDataFrame([(v, i) for i, v in enumerate(cats)],
-                                        T.StructType([T.StructField("__v", self.dtypes[c]),
-                                                      T.StructField("__code", T.IntegerType())]))
-        if len(cats) <= BROADCAST_ROWS:
-            dict_df = F.broadcast(dict_df)
-        j = df.join(dict_df, df[c] == dict_df["__v"], "left").drop("__v")
-        code = F.when(F.col(c).isNull(), None).otherwise(F.coalesce(F.col("__code"), F.lit(unknown)))
-        return j.withColumn(c + suffix, code.cast("int")).drop("__code")
+        for i, c in enumerate(self.columns):
+            value = F.col(f"`{c}`")
+            code = F.when(value.isNotNull(), F.coalesce("__code", F.lit(unknown))).cast("int")
+            df = (df.join(self._page(i), value.cast(self.dtypes[c]).cast("string") == F.col("__v"), "left")
+                  .withColumn(c + suffix, code).drop("__v", "__code"))
+        return df
 
     def inverse(self, df: DataFrame, suffix: str = "") -> DataFrame:
         """Codes → original values (unknown codes → null)."""
-        out = df
-        for c in self.columns:
-            cats = self.categories[c]
-            if not cats:
-                continue
-            m = F.create_map(*[F.lit(x) for i, v in enumerate(cats) for x in (i, v)])
-            out = out.withColumn(c + suffix, F.element_at(m, F.col(c).cast("int")))
-        return out
+        for i, c in enumerate(self.columns):
+            df = (df.join(self._page(i), F.col(f"`{c}`").cast("int") == F.col("__code"), "left")
+                  .withColumn(c + suffix, F.col("__v").cast(self.dtypes[c])).drop("__v", "__code"))
+        return df
 
     def dictionary(self, spark) -> DataFrame:
         """Dictionary as a DataFrame (column, value, code); values rendered as strings."""
-        rows = [(c, None if v is None else str(v), i) for c in self.columns for i, v in enumerate(self.categories[c])]
-        schema = "column string, value string, code int"
-        return spark.createDataFrame(rows, schema)
+        names = spark.createDataFrame(list(enumerate(self.columns)), "col int, column string")
+        return self.book.join(F.broadcast(names), "col").select("column", "value", "code")
 
 
 def label_encode(df: DataFrame, columns: list[str]) -> tuple[DataFrame, CategoryEncoder]:

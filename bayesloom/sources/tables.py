@@ -120,11 +120,10 @@ def model_view(spark: SparkSession, sf_dir: str, name: str = "li") -> ModelView:
     binned, coded = spec["binned"], spec["coded"]
     sel = raw.select(F.expr(spec["key"]).alias("row_key"), *set(binned.values()), *set(coded.values()), label_src)
     cat_cols = list(coded.values()) + [label_src]
-    # one scan for the bin ranges and the dictionary size check, one for the dictionaries
-    stats = sel.agg(*UniformBins.stat_aggs(list(binned.values())),
-                    *[F.approx_count_distinct(c).alias(f"nd_{c}") for c in cat_cols]).first()
+    # one scan for the bin ranges, one for the dictionaries
+    stats = sel.agg(*UniformBins.stat_aggs(list(binned.values()))).first()
     bins = UniformBins.fit(sel, list(binned.values()), stats=stats)
-    enc = CategoryEncoder.fit(sel, cat_cols, approx_counts={c: stats[f"nd_{c}"] for c in cat_cols})
+    enc = CategoryEncoder.fit(sel, cat_cols)
     coded_df = enc.transform(bins.transform(sel, suffix="__b"))
     out = coded_df.select(
         "row_key",
