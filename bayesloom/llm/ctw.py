@@ -93,11 +93,15 @@ class _Tally:
         self.parts, self.rows, self.kept = [], 0, 0
 
     def add(self, keys: np.ndarray, train: np.ndarray) -> None:
-        order = np.argsort(keys)
-        keys, train = keys[order], train[order].astype(np.int64)
+        """``train`` (0 or 1) of every occurrence of a key below 2**63."""
+        ordered = np.sort(keys << _U(1) | train.astype(np.uint64))
+        keys, train = ordered >> _U(1), (ordered & _U(1)).astype(np.int64)
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        self.parts.append((keys[first], np.add.reduceat(train, first) if len(first) else train))
-        self.rows += len(first)
+        self._keep(keys[first], np.add.reduceat(train, first) if len(first) else train)
+
+    def _keep(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.rows += len(keys)
         if self.rows > 2 * self.kept + 2_000_000:
             self.fold()
 
@@ -110,6 +114,36 @@ class _Tally:
         return self.parts[0]
 
 
+class _Values:
+    """Values by key, in an open hash table: slots are probed for all keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.shift, self.mask = _U(64 - bits), (1 << bits) - 1
+        self.slot = np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
+        while len(left):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = left[free]
+            out = self.slot[at] != left
+            left, at = left[out], (at[out] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys that are all there."""
+        at = self._home(keys)
+        found = self.slot[at]
+        left = np.flatnonzero(self.keys[found] != keys)
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found[left] = self.slot[at[left]]
+            left = left[self.keys[found[left]] != keys[left]]
+        return self.values[found]
+
+
 def _count_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, kind, key, n) of one block: its distinct strings and words, n occurrences in training texts."""
     tallies, block, ends = {GRAM: _Tally(), WORD: _Tally()}, None, 0
@@ -125,7 +159,7 @@ def _count_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tallies[kind].add(keys, train[lo:hi][row] if len(row) else row)
     if block is None:
         return
-    tallies[WORD].add(np.array([END_TOKEN], np.uint64), np.array([ends]))
+    tallies[WORD]._keep(np.array([END_TOKEN], np.uint64), np.array([ends]))
     for kind, tally in tallies.items():
         keys, counts = tally.fold()
         for lo in range(0, len(keys), 100_000):
@@ -325,22 +359,14 @@ def _score_block(total: int, distinct: int, carry: list[str], names: list[str]):
         for k in (GRAM, WORD):
             keys = np.concatenate([p[1] for p in value_parts if p[0] == k] or [np.zeros(0, np.int64)]).view(np.uint64)
             values = np.concatenate([p[2] for p in value_parts if p[0] == k] or [np.zeros(0)])
-            order = np.argsort(keys)
-            tables[k] = (keys[order], values[order])
+            tables[k] = _Values(keys, values)
         value_parts.clear()
         norm = total + 0.1 * (distinct + 1)
 
-        def sums(keys: np.ndarray, row: np.ndarray, n: int, table: tuple, f) -> np.ndarray:
-            order = np.argsort(keys)
-            ordered = keys[order]
-            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, np.int64)
-            values = table[1][np.searchsorted(table[0], ordered[first])] if len(first) else np.zeros(0)
-            each = np.empty(len(keys))
-            each[order] = np.repeat(f(values), np.diff(np.append(first, len(keys))))
-            return np.bincount(row, weights=each, minlength=n) if len(row) else np.zeros(n)
-
-        end_at = np.searchsorted(tables[WORD][0], _U(END_TOKEN))
-        ends = tables[WORD][1][end_at] if len(tables[WORD][0]) else 0.0
+        def sums(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+            return np.bincount(row, weights=values, minlength=n) if len(row) else np.zeros(n)
+
+        ends = tables[WORD].find(np.array([END_TOKEN], np.uint64))[0] if held else 0.0
         base = lambda c: np.log10((c + 0.1) / norm)
         for batch in held:
             for lo, hi, raw, offs in br.text_slices(batch.column(len(carry))):
@@ -348,9 +374,10 @@ def _score_block(total: int, distinct: int, carry: list[str], names: list[str]):
                 g, g_row = gram_keys(raw, offs)
                 w, w_row = word_keys(raw, offs)
                 words = np.bincount(w_row, minlength=n) if len(w_row) else np.zeros(n, np.int64)
-                score = sums(g, g_row, n, tables[GRAM], lambda v: v)
-                known = sums(w, w_row, n, tables[WORD], lambda c: (c > 0).astype(float)) + (ends > 0)
-                plain = sums(w, w_row, n, tables[WORD], base) + base(ends)
+                count = tables[WORD].find(w)
+                score = sums(tables[GRAM].find(g), g_row, n)
+                known = sums(count > 0, w_row, n) + (ends > 0)
+                plain = sums(base(count), w_row, n) + base(ends)
                 size = np.diff(offs)
                 part = batch.slice(lo, n)
                 yield pa.RecordBatch.from_arrays(
