@@ -4,8 +4,8 @@ The transition log, Q table and policy are DataFrames:
   log    (episode, epoch, step, state_key, action, reward, next_state_key, ls)
   q      (state_key, action, q)
   policy (state_key, action, value)
-They are O(steps) in size; every data-dependent number inside the search (family
-scores, samples, discriminator) is a Spark job over the data.
+The operators K20–K26 work on such tables of any size. The search (K27) itself keeps its few rows, one per step, in Python and
+returns them as tables; every data-dependent number in it (family scores, samples, discriminator) is a Spark job.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bayesloom.operators import structure as K
+from bayesloom.operators.scores import complexity_penalty
 
 LOG_SCHEMA = ("episode int, epoch int, step int, state_key string, action string, reward double, "
               "next_state_key string, ls double")
@@ -133,9 +134,9 @@ class SearchResult:
 
 @dataclass
 class HybridSearch:
-    """Per epoch ``n`` greedy hill-climb steps, one policy step (best known Q action,
-    else an MI-ordered candidate; ε-exploration by hash uniform), an optional
-    discriminator score ``ls``, then K21–K23. Episodes restart from the naive structure.
+    """Per epoch ``n`` greedy hill-climb steps, one policy step (the legal action of the highest value in the blended
+    policy if that is not negative, else a legal move drawn by hash uniform; with probability ε an MI-ordered candidate), with
+    ``gan`` the discriminator score ``ls`` of the network's own sample, then K21–K23. Episodes restart from the naive structure.
 
     All episodes share one family-score cache, so a family is scored once per search.
     The best structure is the best score seen (not the first episode's start score).
@@ -157,13 +158,16 @@ class HybridSearch:
     max_indegree: int | None = None
     history: list = field(default_factory=list)
 
-    def run(self, df: DataFrame, start_edges=None, discriminator_fn=None) -> SearchResult:
+    def run(self, df: DataFrame, start_edges=None, discriminator_fn=None, key: str = "row_key") -> SearchResult:
+        """``discriminator_fn`` (edges, episode, epoch) → ls takes the place of the default one, which reads ``key``."""
         spark = df.sparkSession
         feats = [c for c in self.nodes if c != self.label]
         cache = K.FamilyScoreCache(df, self.nodes, self.cards, self.score)
         mi, _ = K.mi_cmi(cache.base, feats, self.label, weight="w", compacted=True)
         order = K.mi_order(mi, feats)
-        penalty = len(self.nodes) / 2.0 * math.log(cache.n_rows)
+        penalty = complexity_penalty(len(self.nodes), cache.n_rows)
+        if self.gan and discriminator_fn is None:
+            discriminator_fn = self._discriminator(df, cache, feats, key)
         q_rows: dict = {}
         log_rows, cand_rows = [], []
         policy: dict = {}
@@ -186,7 +190,7 @@ class HybridSearch:
                     reward = (new_score - score) - penalty
                     buffer.append((ep, epoch, step, K.state_key(edges), action_text(op), reward, K.state_key(new_edges)))
                     edges, score, step = new_edges, new_score, step + 1
-                op = self._policy_step(edges, order, q_rows, ep, epoch)
+                op = self._policy_step(edges, order, policy, ep, epoch)
                 new_edges = K.apply_op(edges, op)
                 ls = 0.0
                 if self.gan and discriminator_fn is not None:
@@ -220,21 +224,35 @@ class HybridSearch:
         sc = cache.scores([(n, ps[n]) for n in self.nodes])
         return float(sum(sc.values()))
 
-    def _policy_step(self, edges, order, q_rows, ep, epoch):
-        """Best known Q action for this state if positive and legal; else the first legal
-        MI-ordered candidate; with probability ε (hash uniform) a later candidate."""
+    def _policy_step(self, edges, order, policy, ep, epoch):
+        """The policy's best legal action in this state if its value isn't negative, else a legal move drawn by hash uniform;
+        with probability ε an MI-ordered candidate, if there is one."""
         state = K.state_key(edges)
-        legal = set(K.neighbours(edges, self.nodes, max_indegree=self.max_indegree))
-        known = [(v, a) for (s, a), v in q_rows.items() if s == state and v >= 0 and parse_action(a) in legal]
-        u = _hash01(f"{self.seed}|{ep}|{epoch}|policy")
-        if known and u >= self.epsilon:
+        legal = K.neighbours(edges, self.nodes, max_indegree=self.max_indegree)
+        known = [(v, a) for (s, a), v in policy.items() if s == state and v >= 0 and parse_action(a) in set(legal)]
+        draw = _hash01(f"{self.seed}|{ep}|{epoch}|pick")
+        if _hash01(f"{self.seed}|{ep}|{epoch}|policy") < self.epsilon:
+            cands = [("+", e) for e in K.mi_ordered_candidates(edges, order) if ("+", e) in set(legal)]
+            if cands:
+                return cands[int(draw * len(cands))]
+        if known:
             return parse_action(max(known, key=lambda t: (t[0], _neg(t[1])))[1])
-        cands = [("+", e) for e in K.mi_ordered_candidates(edges, order) if ("+", e) in legal]
-        if not cands:
-            return None
-        if u < self.epsilon:
-            return cands[int(_hash01(f"{self.seed}|{ep}|{epoch}|pick") * len(cands))]
-        return cands[0]
+        return legal[int(draw * len(legal))] if legal else None
+
+    def _discriminator(self, df, cache, feats, key):
+        """Accuracy with which real rows are told from as many drawn from the network."""
+        from bayesloom.operators.cpt import fit_cpts
+        from bayesloom.operators.evaluate import discriminator
+        from bayesloom.operators.sample import ancestral_sample
+
+        def ls(edges, ep, epoch):
+            cpts = fit_cpts(cache.base, edges, self.nodes, weight="w", compacted=True)
+            syn = ancestral_sample(df.sparkSession, cpts, edges, self.nodes, self.cards, int(cache.n_rows), seed=f"{self.seed}|{ep}|{epoch}")
+            out = discriminator(df, syn, feats, key=key)["ls"]
+            cpts.unpersist()
+            return out
+
+        return ls
 
 
 def _neg(s: str):

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from bayesloom.operators import structure as K
+from bayesloom.operators.search import HybridSearch, action_text
 
 
 def rows(n=600):
@@ -61,3 +62,38 @@ def test_in_degree_bound_holds(spark):
     df = spark.createDataFrame(rows(), "a int, b int, c int, d int")
     got = K.hill_climb(df, ["a", "b", "c", "d"], {"a": 3, "b": 3, "c": 2, "d": 2}, "bic", max_indegree=1)
     assert all(sum(t == n for _, t in got) <= 1 for n in "abcd") and got
+
+
+def test_the_policy_decides_and_its_fallback_is_a_legal_draw():
+    hs = HybridSearch(["a", "b", "c", "y"], "y", {}, epsilon=0.0)
+    edges = K.naive_structure(["a", "b", "c"], "y")
+    state = K.state_key(edges)
+    legal = K.neighbours(edges, hs.nodes)
+    best = {(state, action_text(legal[1])): 5.0, (state, action_text(legal[0])): 2.0, ("other", action_text(legal[2])): 9.0, (state, "+|y|a"): 99.0}
+    assert hs._policy_step(edges, ["a", "b", "c"], best, 0, 0) == legal[1]
+    draws = {hs._policy_step(edges, ["a", "b", "c"], {(state, action_text(legal[0])): -1.0}, 0, i) for i in range(200)}
+    assert draws == set(legal)
+    greedy = HybridSearch(["a", "b", "c", "y"], "y", {}, epsilon=1.0)
+    cands = {("+", e) for e in K.mi_ordered_candidates(edges, ["a", "b", "c"])}
+    assert {greedy._policy_step(edges, ["a", "b", "c"], best, 0, i) for i in range(100)} == cands
+
+
+def test_search_with_its_own_discriminator(spark):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows(200))], "row_key int, a int, b int, c int, y int")
+    res = HybridSearch(["a", "b", "c", "y"], "y", {"a": 3, "b": 3, "c": 2, "y": 2}, episodes=1, epochs=1, n=1, gan=True).run(df)
+    log = res.log.collect()
+    assert len(log) == 2 and all(0.4 <= r["ls"] <= 1.0 for r in log)
+    assert K.topological_order(res.best_edges, ["a", "b", "c", "y"])
+
+
+def test_perceptron_stops_early_and_learns(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from bayesloom.operators.evaluate import classifier, fit_perceptron
+
+    df = spark.createDataFrame([(float(i % 2), float((i // 2) % 2), float(i % 2 ^ (i // 2) % 2)) for i in range(400)], "x double, z double, label double")
+    data = VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(df)
+    model = fit_perceptron(classifier("mlp", 2, 2), data)
+    hits = model.transform(data).filter("prediction = label").count()
+    assert hits == 400
+    assert fit_perceptron(classifier("mlp", 2, 2), data.limit(1)) is not None
