@@ -8,11 +8,11 @@ suffixes cut at ``length`` bytes; sorted, equal ones are neighbours. To sort wit
    are known by (token, hash of their bytes). A token with one run in the corpus ends there; runs found twice are repeated as
    a whole. (Strings repeated close by, such as in periodic text, are found where they stand.)
 2. What is left are tokens with different runs. The bytes of each different run go once into buckets by range of (token,
-   run), with splitters that Spark samples, so a frequent token spreads over several buckets.
+   share), with splitters that Spark samples; a token whose runs fill more than a bucket is cut into shares by their hash.
 3. Each bucket sorts the suffixes of its runs by multikey quicksort: by the token, then block by block of ``length // 4`` bytes (known by
    64-bit hashes), only ties going on to the next block. Ties at full length are repeated.
-4. A token at a bucket's edge may go on in the next bucket: the distinct strings of the first and last token of each bucket
-   are compared across buckets by an aggregation.
+4. The distinct strings of tokens that were cut (there are fewer of these than buckets) are compared across the boundaries of their
+   buckets by an aggregation.
 
 Documents are spread over blocks of about ``BLOCK_BYTES`` by a hash, and what the corpus knows of a block's runs is sent
 to the block, so that no task needs more than its block. Hash equality stands for equality of bytes (128 bits per run, 256 per string).
@@ -32,7 +32,7 @@ from bayesloom.llm import bytesrows as br
 from bayesloom.llm.shared import materialise
 
 LENGTH = 400
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 #: bytes of a bucket that are sorted at a time, in whole tokens
 SORT_BYTES = 4 << 20
 #: bytes of runs for a bucket
@@ -232,39 +232,44 @@ def _mark_block(length: int, carry: list[str], names: list[str]):
 def multikey_ties(group: np.ndarray, tokens: list[np.ndarray]) -> np.ndarray:
     """Multikey quicksort of suffixes by (group, tokens[0], tokens[1], ..), all partitions of a level at once: at each level only
     suffixes that tie so far are ordered by the next token. Returns a tie number per suffix, -1 for those without an equal one."""
-    live, tie = np.arange(len(group)), group.astype(np.int64)
+    live, tie = np.arange(len(group), dtype=np.int32), group.astype(np.int32)
     for token in tokens:
         order = np.lexsort((token[live], tie))
         live, tie = live[order], tie[order]
         value = token[live]
         new = np.append(True, (tie[1:] != tie[:-1]) | (value[1:] != value[:-1])) if len(live) else np.zeros(0, bool)
-        tie = np.cumsum(new)
+        tie = np.cumsum(new, dtype=np.int32)
         several = np.bincount(tie, minlength=1)[tie] > 1
         live, tie = live[several], tie[several]
-    out = np.full(len(group), -1)
+    out = np.full(len(group), -1, np.int32)
     out[live] = tie
     return out
 
 
-def _sort_bucket(length: int):
-    """Runs (h, c, s) of one bucket in order. Gives (kind 0) the repeated starts of runs, and (kind 1) the distinct strings of tokens at its edges."""
+def _sort_bucket(length: int, edges: np.ndarray):
+    """Runs (h, c, s) of one bucket in order. Gives (kind 0) the repeated starts of runs, and (kind 1) the distinct strings of the tokens in ``edges``."""
 
-    def sort(h, c, s, edges) -> Iterator[pa.RecordBatch]:
+    def sort(h, c, s) -> Iterator[pa.RecordBatch]:
         raw, offs = br.text_bytes(s)
         n = np.diff(offs) - length + 1
-        owner = np.repeat(np.arange(len(h)), n)
-        start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        pos = offs[:-1][owner] + start
-        _, group = np.unique(h, return_inverse=True)
-        rolling = br.RollingHash(raw)
+        owner = np.repeat(np.arange(len(h), dtype=np.int32), n)
+        start = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
         cuts = np.linspace(0, length, 5).astype(int)
-        tokens = [rolling.of(pos + a, pos + b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        tokens = [np.empty(len(owner), np.uint64) for _ in range(4)]
+        for lo, hi in br.slices(offs, _SLICE):  # hashes take many times the bytes they stand for
+            rolling = br.RollingHash(raw[offs[lo]:offs[hi]])
+            at = slice(*np.searchsorted(owner, [lo, hi]))
+            pos = (offs[:-1] - offs[lo])[owner[at]] + start[at]
+            for token, x, y in zip(tokens, cuts[:-1], cuts[1:], strict=True):
+                token[at] = rolling.of(pos + x, pos + y)
+        _, group = np.unique(h, return_inverse=True)
+        group = group.astype(np.int32)
         tie = multikey_ties(group[owner], tokens)
         twice = tie >= 0
         some = np.flatnonzero(np.bincount(owner[twice], minlength=len(h)))
         if len(some):
             at = np.searchsorted(owner[twice], np.arange(len(h) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.diff(at)[some])), pa.int32()), pa.array(start[twice]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.diff(at)[some])), pa.int32()), pa.array(start[twice].astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some), np.int8)), pa.array(h[some].view(np.int64)), pa.array(c[some].view(np.int64)),
                                               lists, pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())], names=names)
         edge = np.flatnonzero(np.isin(h, edges)[owner])
@@ -277,13 +282,13 @@ def _sort_bucket(length: int):
                 e = edge[f]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.ones(len(f), np.int8)), pa.array(h[owner[e]].view(np.int64)), pa.array(c[owner[e]].view(np.int64)),
-                     pa.array(start[e][:, None].tolist(), pa.list_(pa.int64())), pa.array(one[f].view(np.int64)), pa.array(two[f].view(np.int64))], names=names)
+                     pa.array(start[e].astype(np.int64)[:, None].tolist(), pa.list_(pa.int64())), pa.array(one[f].view(np.int64)), pa.array(two[f].view(np.int64))], names=names)
 
     names = ["kind", "h", "c", "starts", "one", "two"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, first = 0, None
+        size = 0
 
         def flush(parts: list[pa.RecordBatch], last: bool) -> tuple[list[pa.RecordBatch], list]:
             t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
@@ -291,15 +296,12 @@ def _sort_bucket(length: int):
             cut = len(h) if last else int(np.flatnonzero(np.append(True, h[1:] != h[:-1]))[-1])
             if not cut:
                 return [t], []
-            edges = np.array([first, h[-1]] if last else [first], np.uint64)
-            out = sort(h[:cut], t.column(1).to_numpy(zero_copy_only=False).view(np.uint64)[:cut], t.column(2).slice(0, cut), edges)
+            out = sort(h[:cut], t.column(1).to_numpy(zero_copy_only=False).view(np.uint64)[:cut], t.column(2).slice(0, cut))
             return ([] if last else [t.slice(cut)]), out
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if first is None:
-                first = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[0]
             held.append(batch)
             size += batch.column(2).nbytes
             if size >= SORT_BYTES:
@@ -402,8 +404,13 @@ def _compare(runs: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
     """(h, c, starts): the starts in each run of strings that another run, or another place in it, has too."""
     size = runs.agg(F.sum(F.length("s"))).first()[0] or 0
     buckets = max(2, -(-size // bucket_bytes))
-    sorted_ = materialise(runs.repartitionByRange(buckets, "h", "c").sortWithinPartitions("h", "c").mapInArrow(
-        _sort_bucket(length), "kind byte, h long, c long, starts array<long>, one long, two long"))
+    heavy = runs.groupBy("h").agg(F.sum(F.length("s")).alias("bytes")).filter(F.col("bytes") > bucket_bytes)
+    heavy = materialise(heavy)
+    shared_out = [r["h"] for r in heavy.select("h").collect()]  # fewer than there are buckets
+    shares = F.ceil(F.coalesce("bytes", F.lit(1)) / bucket_bytes)
+    placed = runs.join(heavy, "h", "left").withColumn("share", F.pmod(F.xxhash64("c"), shares)).drop("bytes")
+    sorted_ = materialise(placed.repartitionByRange(buckets, "h", "share").select("h", "c", "s").sortWithinPartitions("h", "c").mapInArrow(
+        _sort_bucket(length, np.array(shared_out, np.int64).view(np.uint64)), "kind byte, h long, c long, starts array<long>, one long, two long"))
     edge = sorted_.filter("kind = 1")
     shared = edge.groupBy("one", "two").agg(F.count("*").alias("n")).filter("n > 1").select("one", "two")
     across = edge.join(shared, ["one", "two"], "left_semi").select("h", "c", "starts")
