@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bayesloom.session import cached
+from bayesloom.session import cached, written
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -131,8 +131,7 @@ class CategoryEncoder:
             cards[columns[col]] += n
         start = df.sparkSession.createDataFrame(offsets, "col int, part int, start int")
         rank = F.row_number().over(Window.partitionBy("col", "part").orderBy(*order[1:]))
-        book = cached(placed.join(start, ["col", "part"]).select("col", "value", (F.col("start") + rank - 1).alias("code")))
-        book.count()
+        book = written(placed.join(start, ["col", "part"]).select("col", "value", (F.col("start") + rank - 1).alias("code")))
         placed.unpersist()
         return cls(list(columns), book, cards, dtypes)
 

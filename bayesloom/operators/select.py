@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bayesloom.functions import hash_uniform
-from bayesloom.session import cached
+from bayesloom.session import cached, written
 
 #: rows of a bucket that are ranked in one task; larger ones are split by further hash bits first
 EDGE_ROWS = 100_000
@@ -53,8 +53,7 @@ def take_smallest(df: DataFrame, key: str, quota: Column, group_cols: list[str],
     rank = Window.partitionBy(*group_cols).orderBy("__u", key)
     cut = (inside.withColumn("__rank", F.row_number().over(rank)).filter("__rank = __need")
            .select(*group_cols, F.col("__u").alias("__cu"), F.col(key).alias("__ck")))
-    plan = cached(_beside(k.withColumn("__all", F.col("__q") >= F.col("n")).select(*group_cols, "__all"), cut, group_cols))
-    plan.count()
+    plan = written(_beside(k.withColumn("__all", F.col("__q") >= F.col("n")).select(*group_cols, "__all"), cut, group_cols))
     hist.unpersist()
     edge.unpersist()
     j = _beside(d, plan, group_cols)

@@ -60,6 +60,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A small table written to the shared folder and read back: plans that read it know its size and not its history."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cached(df: DataFrame) -> DataFrame:
     """A table that is read several times; a lost part is computed again from its inputs. The caller unpersists it where
     it knows the last reader; model tables that a result still reads stay until the session drops them."""
