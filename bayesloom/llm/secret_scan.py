@@ -1,8 +1,9 @@
 """Secret scans: a random forest removes false positives among candidate strings.
 
-Candidates are words with a run of eight or more key characters that holds a digit or changes case inside, and whatever is assigned to
-a credential's name. Features of a candidate: length and character classes, transitions between classes, how usual its letter pairs
-are (pair frequencies of the corpus dictionary), the share of it that dictionary words cover, its path, and the words around it.
+Candidates are runs of eight or more key characters that hold a digit or change case inside, each run of a word for itself, and whatever is
+assigned to a credential's name, in the word (``"name":"value"``, ``?name=value``) or with blanks around the sign. Features of a candidate:
+length and character classes, transitions between classes, how usual its letter pairs are (pair frequencies of the corpus dictionary), the
+share of it that dictionary words cover, its path, and the words around it.
 The dictionary are the words that the whole corpus has at least ``MIN_COUNT`` times.
 
 All steps are DataFrame functions and Spark ML: no Python runs on the executors. The forest learns from labelled findings; a sample of
@@ -26,10 +27,16 @@ MIN_COUNT = 3
 TREES, DEPTH = 30, 6
 SPACE = r"[\x20\x09-\x0D]+"
 CORE = r"[A-Za-z0-9+/_=.@-]{8,}"
+SIGN = r"(?:=>|:=|==?|:)"
 # fixed values: names that credentials are assigned to, paths of examples, and forms of findings that are no secrets
 NAMES = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)"
 EXAMPLE_PATH = r"(?i)(test|example|sample|fixture|mock|docs?)"
 OTHER_FORMS = (r"^[^@]+@[^@]+\.[A-Za-z]{2,}$", r"^\d{1,3}(\.\d{1,3}){3}$", r"^\+?[\d.-]+$", r"^[A-Za-z]+(-[A-Za-z]+)*\.?$", r"(?i)(example|placeholder|changeme|xxxx)")
+_NAMED = r"(?<=" + NAMES.replace("(?i)", "(?i:") + r")[A-Za-z0-9_-]{0,16}[\\\"'`]{0,2}" + SIGN
+# runs of a word: a value assigned to a credential's name, up to its quote or the next separator; else key characters, with = only as padding
+RUN = (_NAMED + r"\\?[\"'`])[^\"'`\\]+|" + _NAMED + r")[^\"'`\\&,;{}()\[\]<>=:|#][^\"'`\\&,;{}()\[\]<>|]*"
+       r"|[A-Za-z0-9+/_.@-]+(?:={1,2}(?=$|[,;&)}\]:]|\\?[\"'`](?![A-Za-z0-9+/_.@-])))?")
+ASSIGNED = r"^[\\\"'`)\]]*(" + SIGN + r")[\\\"'`({\[<]*$"
 _SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 FEATURES = ("f_length", "f_digits", "f_upper", "f_hex", "f_other", "f_distinct", "f_class_changes", "f_pairs", "f_dictionary", "f_example_path", "f_path_digits",
@@ -37,15 +44,17 @@ FEATURES = ("f_length", "f_digits", "f_upper", "f_hex", "f_other", "f_distinct",
 
 
 def candidates(docs: DataFrame, carry: list[str], text: str = "text", path: str | None = "source") -> DataFrame:
-    """One row per candidate: ``carry``, ``path`` (null: empty), ``place`` (number of the word in the text), ``word``, ``core`` and the words around."""
+    """One row per candidate: ``carry``, ``path`` (null: empty), ``place`` (number of the word in the text), ``run`` (its number in the word), ``word``
+    (the run and the signs about it), ``core`` and what is around: names and runs of the same word, else the words before and after."""
     has = F.col("__text").rlike(CORE) | F.col("__text").rlike(NAMES)
-    src = docs.select(*[F.col(f"`{c}`") for c in carry], (F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")) if path else F.lit("")).alias("path"),
+    kept = [F.col(f"`{c}`") for c in carry]
+    src = docs.select(*kept, (F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")) if path else F.lit("")).alias("path"),
                       F.col(f"`{text}`").cast("string").alias("__text")).filter(has)
+    key = lambda c: c.rlike("[0-9]") | c.rlike("[a-z][A-Z]")
+    told = lambda name, sign: sign.rlike("^(=|:|:=|=>)$") & name.rlike(NAMES)
 
     def wanted(w: Column, name: Column, sign: Column) -> Column:
-        core = F.regexp_extract(w, CORE, 0)
-        return (((core != "") & (core.rlike("[0-9]") | core.rlike("[a-z][A-Z]"))) | (sign.rlike("^(=|:|:=|=>)$") & name.rlike(NAMES))
-                | w.rlike(NAMES + "[\"']?[=:]."))
+        return (w.rlike(CORE) & key(w)) | told(name, sign) | w.rlike(NAMES + r"[^=:]*[=:].")
 
     words = F.split(F.trim(F.regexp_replace("__text", SPACE, " ")), " ")
     src = src.select("*", words.alias("__words")).drop("__text")
@@ -54,9 +63,28 @@ def candidates(docs: DataFrame, carry: list[str], text: str = "text", path: str
         F.transform("__words", lambda w, i: F.when(w.rlike("[0-9A-Z=:]") | at(i - 1).rlike("^(=|:|:=|=>)$"), F.struct(
             i.alias("place"), w.alias("word"), at(i - 2).alias("before2"), at(i - 1).alias("before1"), at(i + 1).alias("after1")))),
         lambda s: s.isNotNull() & wanted(s["word"], s["before2"], s["before1"]))
-    rows = src.select(*[F.col(f"`{c}`") for c in carry], "path", F.explode(found).alias("s")).select(*[F.col(f"`{c}`") for c in carry], "path", "s.*")
-    core = F.regexp_extract("word", CORE, 0)
-    return rows.withColumn("core", F.when(core != "", core).otherwise(F.regexp_replace("word", "^[\"']|[\"'.,;]*$", "")))
+    rows = src.select(*kept, "path", F.explode(found).alias("s")).select(*kept, "path", "s.*")
+    # a word that is assigned with blanks is read as token:word, so its runs are found as those of glued words; run 0 is then that name
+    rows = rows.withColumn("__told", told(F.col("before2"), F.col("before1")))
+    rows = rows.withColumn("__word", F.when(F.col("__told"), F.concat(F.lit("token:"), "word")).otherwise(F.col("word")))
+    rows = rows.withColumn("__runs", F.regexp_extract_all("__word", F.lit(RUN), F.lit(0))).withColumn("__signs", F.split("__word", RUN, -1))
+
+    def one(core: Column, i: Column) -> Column:
+        first = F.when(F.col("__told"), i == 1).otherwise(i == 0)
+        run = lambda k: F.coalesce(F.when(F.col("__told") & (k == 0), F.col("before2")).otherwise(F.get(F.col("__runs"), k)), F.lit(""))
+        signs = F.get(F.col("__signs"), i)
+        sign = F.regexp_extract(signs, ASSIGNED, 1)
+        name = F.when(sign != "", run(i - 1)).otherwise(run(i - 2))
+        whole = F.when(signs == "=", F.concat(run(i - 1), signs, core)).otherwise(core)
+        return F.when(~(F.col("__told") & (i == 0)) & ((whole.rlike(CORE) & key(whole)) | (first & F.col("__told")) | ((sign != "") & run(i - 1).rlike(NAMES))), F.struct(
+            F.when(F.col("__told"), i - 1).otherwise(i).alias("run"),
+            F.concat(F.when(first & F.col("__told"), F.substr(signs, F.lit(2))).otherwise(signs), core, F.get(F.col("__signs"), i + 1)).alias("word"),
+            F.when(first, F.col("before2")).otherwise(name).alias("before2"),
+            F.when(first, F.col("before1")).when(sign != "", sign).otherwise(run(i - 1)).alias("before1"),
+            F.coalesce(F.get(F.col("__runs"), i + 1), F.col("after1")).alias("after1"), core.alias("core")))
+
+    each = F.filter(F.transform("__runs", one), lambda s: s.isNotNull())
+    return rows.select(*kept, "path", "place", F.explode(each).alias("s")).select(*kept, "path", "place", "s.*")
 
 
 def dictionary(docs: DataFrame, text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
@@ -116,7 +144,7 @@ def format_labels(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, carry: list[str], text: str = "text", path: str | None = "source", labelled=format_labels, sample: int = SAMPLE) -> DataFrame:
-    """All candidates: ``carry``, ``place``, ``finding``, ``probability`` of a secret and ``is_secret`` (at least one half).
+    """All candidates: ``carry``, ``place``, ``run``, ``finding``, ``probability`` of a secret and ``is_secret`` (at least one half).
 
     ``labelled`` maps candidates to candidates with a ``label`` (1 secret, 0 false positive, null unknown), such as a join with reviewed findings.
     Null and empty texts have no candidates, repeated rows each theirs. If one of the classes is missing, the probability is the share of
@@ -125,10 +153,10 @@ def scan(docs: DataFrame, carry: list[str], text: str = "text", path: str | None
     words = materialise(dictionary(docs, text))
     found = materialise(featurise(materialise(candidates(docs, carry, text, path)), words))
     rows = labelled(found).filter("label is not null")
-    train = (rows.select(F.col("label").cast("double").alias("label"), *FEATURES, F.xxhash64("core", "path", "place", "before1", "after1").alias("u"))
+    train = (rows.select(F.col("label").cast("double").alias("label"), *FEATURES, F.xxhash64("core", "path", "place", "run", "before1", "after1").alias("u"))
              .orderBy("u", *FEATURES).limit(sample).drop("u").persist())
     classes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-    columns = [*[F.col(f"`{c}`") for c in carry], "place", F.col("core").alias("finding")]
+    columns = [*[F.col(f"`{c}`") for c in carry], "place", "run", F.col("core").alias("finding")]
     if len(classes) < 2:
         train.unpersist()
         share = classes.get(1.0, 0) / sum(classes.values()) if classes else 0.5
