@@ -3,8 +3,8 @@
 Rows first fall into blocks by a hash. For every block and shard the number of rows that the block sends to the
 shard is drawn from the multivariate hypergeometric law, given the block sizes and the exact shard sizes: what a
 uniform random assignment of all rows to the shards would give. Inside a block the rows are put in random order and
-dealt to the shards by those counts (first permutation), go to their shards (exchange), and get a random order there
-(second permutation), so every assignment with these shard sizes and every order is equally likely.
+dealt to the shards by those counts (first permutation, on the rows' keys), the whole rows go to their shards (exchange), and
+get a random order there (second permutation), so every assignment with these shard sizes and every order is equally likely.
 
 All row work is built-in DataFrame functions. The driver only draws the matrix, one row of counts for each
 block of about ``BLOCK_ROWS`` rows. Random numbers are hashes of a row's values, its number among
@@ -87,12 +87,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 5, block_rows: int
     told apart by a number; nulls, empty texts and empty tables need no special case (an empty table gives an empty one).
     """
     names = [c for c in docs.columns if c not in ("shard", "slot")]
+    keys = ["__key1", "__key2"]
     keyed = docs.select(*[F.col(f"`{c}`") for c in names]).select("*", *row_key(names))
-    numbered = _number_copies(keyed, names)
     key = lambda k: F.xxhash64(F.lit(seed * 8 + k), "__key1", "__key2", "__copy")
     n = docs.count()
     n_blocks = max(1, -(-n // block_rows))
-    placed = numbered.withColumn("__block", F.pmod(key(0), F.lit(n_blocks)))
+    # the first permutation deals keys and numbers of copies; the rows themselves move when their shards are known
+    placed = _number_copies(keyed).withColumn("__block", F.pmod(key(0), F.lit(n_blocks)))
     sizes = [(r[0], r[1]) for r in placed.groupBy("__block").count().orderBy("__block").collect()]
     matrix = list(communication_matrix(sizes, [n // shards + (s < n % shards) for s in range(shards)], seed))
     spark = docs.sparkSession
@@ -103,18 +104,23 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 5, block_rows: int
     # the order in a shard is that of a random key, whose top part names a stretch of the shard of about block_rows rows
     stretches = max(1, -(-n // (shards * block_rows)))
     ordered = exchanged.withColumn("__u", key(2)).withColumn("__stretch", F.pmod(F.shiftrightunsigned("__u", 8), F.lit(stretches)))
-    held = materialise(ordered.select(*names, "shard", "__key1", "__key2", "__copy", "__u", "__stretch"))
+    held = materialise(ordered.select("shard", *keys, "__copy", "__u", "__stretch"))
     before = Window.partitionBy("shard").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (held.groupBy("shard", "__stretch").count()
                .select("shard", "__stretch", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset")))
+    # equal rows meet the places of their copies as one row and lists of at most COPIES places, and go to their shards from there
+    whole = keyed.groupBy(*keys).agg(*[F.first(f"`{c}`").alias(c) for c in names])
+    places = (held.groupBy(*keys, F.floor(F.col("__copy") / COPIES).alias("__chunk"))
+              .agg(F.collect_list(F.struct("shard", "__copy", "__u", "__stretch")).alias("__places")))
+    rows = whole.join(places, keys).withColumn("__at", F.explode("__places")).select(*[F.col(f"`{c}`") for c in names], *keys, "__at.*")
     in_stretch = Window.partitionBy("shard", "__stretch").orderBy("__u", "__key1", "__key2", "__copy")
-    return (held.withColumn("__at", F.row_number().over(in_stretch) - 1).join(offsets, ["shard", "__stretch"])
+    return (rows.withColumn("__at", F.row_number().over(in_stretch) - 1).join(offsets, ["shard", "__stretch"])
             .select(*[F.col(f"`{c}`") for c in names], "shard", (F.col("__offset") + F.col("__at")).cast("long").alias("slot")))
 
 
-def _number_copies(keyed: DataFrame, names: list[str]) -> DataFrame:
-    """Equal rows once each with numbers 0, 1, ..: they are counted with partial sums first, so a row of any frequency is one row in the shuffle."""
-    counted = keyed.groupBy("__key1", "__key2").agg(F.count("*").alias("__n"), *[F.first(f"`{c}`").alias(c) for c in names])
+def _number_copies(keyed: DataFrame) -> DataFrame:
+    """Keys of equal rows with numbers 0, 1, ..: they are counted with partial sums first, so a row of any frequency is one row in the shuffle."""
+    counted = keyed.groupBy("__key1", "__key2").agg(F.count("*").alias("__n"))
     chunks = counted.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / COPIES))))
     copies = F.sequence(F.col("__chunk") * COPIES, F.least((F.col("__chunk") + 1) * COPIES, F.col("__n")) - 1)
-    return chunks.withColumn("__copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in names], "__key1", "__key2", "__copy")
+    return chunks.withColumn("__copy", F.explode(copies)).select("__key1", "__key2", "__copy")

@@ -174,3 +174,12 @@ def test_query_digest(spark):
     for r in out:
         raw = (docs[r["doc_id"]] or "").encode()
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+
+
+def test_query_shards_the_whole_documents(spark):
+    from bayesloom.llm.queries import REGISTRY
+    sf = "/root/testdata/sf0.001"
+    whole = sharding.shard(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    digest = lambda r: (r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"])
+    out = REGISTRY["op4_sharding"](spark, sf).collect()
+    assert sorted(map(digest, whole), key=str) == sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in out), key=str)
