@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bayesloom.llm import ctw, decontaminate, mixing, quality_crf, secret_scan, sharding, simhash_golay, suffix_dedup, token_counts, toxicity
+from bayesloom.llm import conversation_repair, ctw, decontaminate, mixing, quality_crf, secret_scan, sharding, simhash_golay, suffix_dedup, token_counts, toxicity
 from bayesloom.llm.shared import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,84 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = simhash_golay.near_duplicates(docs, ["doc_id"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(rows), rows).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+#: one step of a recursion takes all conversations from their row n to n - 1: for each of the four states the cheapest rest
+#: is one string of cost, audit and repaired lines, so that the least string is the cheapest and then the ASCII-least one
+_STATES = (0, 1, 2, 3)
+_NEXT, _NEXT_ROLE = (2, 2, 3, 2), ("user", "user", "assistant", "user")
+
+
+def _edit(cost: str, edit: str, after: str, line: str | None) -> str:
+    """The rest ``after`` with an edit before it."""
+    lines = f"substr({after}, strpos({after}, chr(1)) + 1)"
+    if line is not None:
+        lines = f"{line} || CASE WHEN {lines} = '' THEN '' ELSE chr(10) || {lines} END"
+    return (f"lpad((substr({after}, 1, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || '{edit}' || "
+            f"substr({after}, 13, strpos({after}, chr(1)) - 13) || chr(1) || {lines}")
+
+
+def _conversation_oracle() -> str:
+    moved = []
+    for q in _STATES:
+        keep = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[q]
+        options = [_edit("4", "D", f"r{q}", None)]
+        options.append(f"CASE WHEN fault IN ('blank', 'duplicate') THEN NULL ELSE "
+                       f"{_edit('3 + late', 'R', f'r{_NEXT[q]}', chr(39) + _NEXT_ROLE[q] + ':' + chr(39) + ' || text')} END")
+        options += [f"CASE WHEN fault IN ('blank', 'duplicate') OR role[1] <> '{i}' THEN NULL ELSE {_edit('late', 'K', f'r{to}', 'line')} END"
+                    for i, to in keep.items()]
+        moved.append(f"least({', '.join(options)}) AS r{q}")
+
+    def inserted(source: str) -> str:
+        return "SELECT conv_id, n, " + ", ".join(
+            f"least(r{q}, {_edit('3', 'I', f'r{_NEXT[q]}', repr(_NEXT_ROLE[q] + ':'))}) AS r{q}" for q in _STATES) + f" FROM {source}"
+
+    accepted = "'000000000000' || chr(1)"
+    one = "'000000000003I' || chr(1) || 'assistant:'"
+    two = "'000000000006II' || chr(1) || 'user:' || chr(10) || 'assistant:'"
+    return f"""
+WITH RECURSIVE bytes AS (SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END) AS v FROM range(256) r(i))),
+keyed AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT),
+        lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295::BIGINT) % 20 AS kind FROM keyed, bytes),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+again AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS seen,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM ordered),
+faults AS (SELECT conv_id, turn, n, role, text, role || ':' || text AS line, before,
+    CASE WHEN bare = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+    FROM again),
+late AS (SELECT *, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS late FROM faults),
+rest AS (
+    SELECT conv_id, max(n) AS n, {accepted} AS r0, {two} AS r1, {one} AS r2, {accepted} AS r3 FROM late GROUP BY conv_id
+    UNION ALL
+    SELECT * FROM (WITH moved AS (SELECT rest.conv_id, rest.n - 1 AS n, {', '.join(moved)}
+        FROM rest JOIN late ON late.conv_id IS NOT DISTINCT FROM rest.conv_id AND late.n = rest.n),
+        once AS ({inserted('moved')}), twice AS ({inserted('once')}) {inserted('twice')})),
+figures AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM late GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+    coalesce(substr(r0, 1, 12)::BIGINT, 0) AS cost, coalesce(substr(r0, 13, strpos(r0, chr(1)) - 13), '') AS audit,
+    sha256(coalesce(substr(r0, strpos(r0, chr(1)) + 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN rest ON rest.conv_id IS NOT DISTINCT FROM c.conv_id AND rest.n = 0"""
+
+
+ORACLE["op13_conversation_repair"] = _conversation_oracle()
