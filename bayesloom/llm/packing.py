@@ -28,9 +28,9 @@ SIZE = 2048
 SENTENCE_CUT, INNER_CUT, PER_SEQUENCE = 16, 128, 8
 #: tokens after which a sentence may be cut inside
 GAP = 512
-#: bytes of text worked on at a time, and words whose ids a worker remembers
+#: bytes of text worked on at a time, and pieces whose ids a worker remembers
 SLICE = 2 << 20
-KNOWN = 1 << 19
+KNOWN = 1 << 21
 #: sequence ids of a partition start at its number times this
 PER_PARTITION = 1 << 40
 
@@ -40,11 +40,46 @@ _CLOSE = np.zeros(256, bool)
 _CLOSE[list(b"\"')]}*_")] = True
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+
+
+def word_pieces(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of white-space words, cut once more before a punctuation mark behind an ASCII letter."""
+    start, end, row = br.word_spans(raw, offs)
+    if not len(start):
+        return start, end, row
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[1:-1] = _MARK[raw[1:]] & _LETTER[raw[:-1]]
+    begins[start] = True
+    first = np.flatnonzero(begins)
+    first = first[first < len(raw)]
+    new = np.zeros(len(raw), bool)
+    new[start] = True
+    word = np.cumsum(new[first]) - 1
+    stop = end[word]
+    same = word[1:] == word[:-1]
+    stop[:-1][same] = first[1:][same]
+    return first, stop, row[word]
+
+
+def plain_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each piece has only ASCII and Latin-1 letters."""
+    good = _LETTER[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]  # not the signs for times and divided by
+    good[lead] = good[lead + 1] = True
+    bad = np.concatenate([[0], np.cumsum(~good)])
+    return bad[end] == bad[start]
+
+
 class WordIds:
-    """Token ids of white-space words; each different word is encoded once.
+    """Token ids of pieces of text (``word_pieces``); each different piece is encoded once.
 
-    Needs a tokenizer for which a text's ids are its words' ids one after another: its normalizer works on characters, and
-    its pre-tokenizer drops white space. A probe in ``__init__`` refuses others.
+    Needs a tokenizer for which a text's ids are its pieces' ids one after another: its normalizer works on characters, and its
+    pre-tokenizer drops white space and tells letters and punctuation apart. A probe in ``__init__`` refuses others.
     """
 
     def __init__(self, path: str):
@@ -53,22 +88,55 @@ class WordIds:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        probe = "One's  two,\tthree!\n\n«Vier» 5.6 été <|x|>…\r\nＦull σς ﬁ ok. "
-        whole = self.model.encode(probe, add_special_tokens=False).ids
-        if whole != [i for w in probe.split() for i in self.model.encode(w, add_special_tokens=False).ids]:
-            raise ValueError(f"{path}: ids of a text are not those of its words")
         self.forget()
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        self.ends = None  # of each id, whether it ends a word
+        if suffix:
+            self.ends = np.zeros(self.model.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.model.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        probe = "One's  two,\tthree!\n\n«Vier» 5.6 été <|x|>…\r\nＦull σς ﬁ ok. Éa÷b a×b, x.y?!"
+        raw = np.frombuffer(probe.encode(), np.uint8)
+        start, end, _ = word_pieces(raw, np.array([0, len(raw)]))
+        if self.of(raw, start, end)[0].tolist() != self._ids([probe])[0]:
+            raise ValueError(f"{path}: ids of a text are not those of its pieces")
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and each one's number. Words of letters are encoded many to a text and told
+        apart by the ids that end a word."""
+        data = raw.tobytes()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())]
+        plain = plain_words(raw, start, end) if self.ends is not None else np.zeros(len(start), bool)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n = int(plain.sum())
+        joined = self._ids([" ".join(texts[i] for i in order[lo:min(lo + 256, n)]) for lo in range(0, n, 256)])
+        flat = np.fromiter((i for x in joined for i in x), np.uint32)
+        stops = np.flatnonzero(self.ends[flat]) if n else np.zeros(0, np.int64)
+        if len(stops) != n:
+            raise ValueError("a word of letters has no single end")
+        rest = self._ids([texts[i] for i in order[n:]])
+        count = np.concatenate([np.diff(stops, prepend=-1), [len(x) for x in rest]]).astype(np.int64)
+        flat = np.concatenate([flat, np.fromiter((i for x in rest for i in x), np.uint32)])
+        back = np.argsort(order)
+        at = (np.cumsum(count) - count)[back]
+        count = count[back]
+        return flat[np.arange(len(flat)) + np.repeat(at - (np.cumsum(count) - count), count)], count
+
     def of(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after another, and each word's number of ids."""
+        """Ids of all pieces one after another, and each piece's number of ids."""
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         code, key = pd.factorize(br.RollingHash(raw).of(start, end))
+        order = np.argsort(key)
+        key = key[order]
+        code = np.argsort(order)[code]
         if len(self.keys) + len(key) > KNOWN:
             self.forget()
         place = np.searchsorted(self.keys, key)
@@ -77,23 +145,17 @@ class WordIds:
         known[inside] = self.keys[place[inside]] == key[inside]
         new = np.flatnonzero(~known)
         if len(new):
-            first = np.full(len(key), -1, np.int64)
+            first = np.empty(len(key), np.int64)
             first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-            data = raw.tobytes()
-            texts = [data[start[w]:end[w]].decode("utf-8", "replace") for w in first[new]]
-            ids = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-            count = np.array([len(x) for x in ids], np.int64)
-            flat = np.array([i for x in ids for i in x], np.uint32)
+            flat, count = self._encode(raw, start[first[new]], end[first[new]])
             while self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.used:self.used + len(flat)] = flat
             at = self.used + np.cumsum(count) - count
             self.used += len(flat)
-            order = np.argsort(key[new])
-            where = np.searchsorted(self.keys, key[new][order])
-            self.keys = np.insert(self.keys, where, key[new][order])
-            self.at = np.insert(self.at, where, at[order])
-            self.count = np.insert(self.count, where, count[order])
+            self.keys = np.insert(self.keys, place[new], key[new])
+            self.at = np.insert(self.at, place[new], at)
+            self.count = np.insert(self.count, place[new], count)
             place = np.searchsorted(self.keys, key)
         word = place[code]
         count = self.count[word]
@@ -102,15 +164,15 @@ class WordIds:
 
 
 def sentence_ends(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Whether each white-space word ends a sentence: a stop, perhaps with a closing sign behind it, or a line end after it."""
+    """Whether each piece ends a sentence: white space behind a stop, perhaps with a closing sign after it, or a line end."""
     last = raw[end - 1]
     before = raw[np.maximum(end - 2, start)]
-    follows = np.append(raw, np.uint8(0))[end]
+    follows = np.append(raw, np.uint8(0x20))[end]
     wide = (end - start >= 3) & (before >= 0x80) & (last >= 0x80)
     if wide.any():  # the full-width stops
         third = raw[np.maximum(end - 3, start)].astype(np.int64) << 16 | before.astype(np.int64) << 8 | last
         wide &= np.isin(third, [0xE38082, 0xEFBC81, 0xEFBC9F])
-    return _STOP[last] | (_CLOSE[last] & _STOP[before]) | (follows == 0x0A) | wide
+    return (_STOP[last] | (_CLOSE[last] & _STOP[before]) | wide) & br.IS_SPACE[follows] | (follows == 0x0A)
 
 
 def filled(places: np.ndarray, penalty: np.ndarray, gap: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +261,7 @@ class Stream:
         doc, begun = 0, at
         for lo, hi, first, ends in parts:  # rows first .. first + len(ends) - 1 of these bytes, and whether each ends in them
             inner = np.clip(offs[first:first + len(ends) + 1], lo, hi) - lo
-            start, end, row = br.word_spans(raw[lo:hi], inner)
+            start, end, row = word_pieces(raw[lo:hi], inner)
             flat, count = self.words.of(raw[lo:hi], start, end)
             behind = np.cumsum(count)
             per_row = np.bincount(row, weights=count, minlength=len(ends)).astype(np.int64)
