@@ -27,7 +27,7 @@ ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_CODE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
 
 
@@ -119,7 +119,7 @@ class RollingHash:
         if keep is None and mask is None:
             self.place = None
             weight = powers(len(raw) + 1)
-            self.inverse = powers(len(raw) + 1, _BASE_INV)
+            self.inverse = powers(len(raw) + 1, BASE_INVERSE)
         else:
             kept = keep[raw] if mask is None else mask
             place = np.zeros(len(raw) + 1, np.int64)
@@ -128,7 +128,7 @@ class RollingHash:
             table = powers(int(place[-1]) + 1)
             weight = table[place]
             value = np.where(kept, value, _U(0))
-            self.inverse = powers(int(place[-1]) + 1, _BASE_INV)
+            self.inverse = powers(int(place[-1]) + 1, BASE_INVERSE)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(value * weight[:len(raw)], out=self.sums[1:])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bayesloom.llm import conversation_repair, ctw, decontaminate, mixing, packing, quality_crf, secret_scan, sharding, simhash_golay, suffix_dedup, token_counts, toxicity
+from bayesloom.llm import alignment, conversation_repair, ctw, decontaminate, mixing, packing, quality_crf, secret_scan, sharding, simhash_golay, suffix_dedup, token_counts, toxicity
 from bayesloom.llm.shared import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,15 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], keep="sha256")
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 @query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
