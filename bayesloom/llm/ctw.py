@@ -102,14 +102,19 @@ class _Tally:
     def _keep(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.parts.append((keys, counts))
         self.rows += len(keys)
-        if self.rows > 2 * self.kept + 2_000_000:
+        if self.rows > 1.5 * self.kept + 1_000_000:
             self.fold()
 
     def fold(self) -> tuple[np.ndarray, np.ndarray]:
         keys = np.concatenate([p[0] for p in self.parts]) if self.parts else np.zeros(0, np.uint64)
         counts = np.concatenate([p[1] for p in self.parts]) if self.parts else np.zeros(0, np.int64)
-        unique, back = np.unique(keys, return_inverse=True)
-        self.parts = [(unique, np.bincount(back, weights=counts, minlength=len(unique)).astype(np.int64))]
+        self.parts.clear()
+        order = np.argsort(keys, kind="stable")  # parts are sorted already
+        keys, counts = keys[order], counts[order]
+        del order
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        unique = keys[first]
+        self.parts = [(unique, np.add.reduceat(counts, first) if len(first) else counts)]
         self.rows = self.kept = len(unique)
         return self.parts[0]
 
@@ -167,6 +172,8 @@ def _count_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(k), block, np.int32)), pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(c)],
                 names=["block", "kind", "key", "n"])
+    tallies.clear()
+    br.give_back()
 
 
 # ---- context trees -------------------------------------------------------------------------------------------------
@@ -244,6 +251,7 @@ def _weigh_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             held = [(keys[cut:], counts[cut:])]
     if held:
         yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    br.give_back()
 
 
 def _log_kt_column(zeros: str, ones: str) -> Column:
@@ -383,6 +391,9 @@ def _score_block(total: int, distinct: int, carry: list[str], names: list[str]):
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:len(carry)], pa.array(words.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(np.full(n, total, np.int64)),
                      pa.array(plain), pa.array(score), pa.array(-score / np.log10(2) / np.maximum(size + 1, 1))], names=names)
+        tables.clear()
+        held.clear()
+        br.give_back()
 
     return run
 

@@ -4,8 +4,9 @@ Every document of a source has the same rate, target over size: its whole part i
 is taken for certain, its fraction the probability of one time more. The cube method turns those
 fractions into zeros and ones. Flight: three undecided documents at a time move along the null space of the
 balancing constraints (number of documents, number of words) until one of them reaches 0 or 1, to either
-side with the probabilities that keep every document's expectation. A few documents of a block stay undecided: ``LANDING`` or some
-more that are kept back in random order, and at most two others.
+side with the probabilities that keep every document's expectation. A few documents of a block stay undecided: up to ``TRIED`` that are kept
+back in random order (a third of a small block), and at most two others. Documents too large for the landing to make up for are decided
+before the others, by moves along the null space of the words alone.
 
 Flights run in blocks of a source (by a hash of the row), so a source of any size spreads over tasks;
 what the blocks leave undecided flies again in blocks of blocks, until one block per source is left. Landing:
@@ -19,18 +20,18 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bayesloom.llm.shared import materialise, row_key
+from bayesloom.llm.shared import materialise, numbered, renamed, row_key
 
 #: expected rows of a block of the first flight, and blocks that one block of a later flight gathers
 BLOCK_ROWS = 5_000
 FAN_IN = 64
-#: documents that a flight leaves undecided for the landing, at least
-LANDING = 40
-#: of those, how many are landed by trying all outcomes
-TRIED = 14
+#: documents that a flight keeps back for the landing: one in so many of the block, no more than TRIED and no fewer than LEAST
+SPARED, TRIED, LEAST = 3, 12, 6
+#: equal rows that get their numbers in one task
+COPIES = 10_000
 MAX_REPEATS = 3
 SPACE = r"[\x20\x09-\x0D]+"
 # fixed values: weights of the sources in code-point order, repeating
@@ -98,15 +99,36 @@ def flight(p: list[float], size: list[float], rng: random.Random) -> list[float]
     return p
 
 
+def settle(p: np.ndarray, size: np.ndarray, large: float, rng: random.Random) -> np.ndarray:
+    """Decide the documents above ``large`` words, the largest first, each by a move of its own along which the words of all stay the
+    same: the others give way in proportion to their distance from 0 and 1, which doesn't use up any of them. The number of documents
+    can't be balanced by so unequal partners and may move. A document that the others can't make up for stays undecided."""
+    p = p.copy()
+    order = np.argsort(-size, kind="stable")
+    for i in order[size[order] > large]:
+        if not 0.0 < p[i] < 1.0:
+            continue
+        room = np.minimum(p, 1 - p)
+        room[i] = 0.0
+        capacity = float(room @ size)
+        if size[i] > capacity:
+            continue
+        step = 1 - p[i] if rng.random() < p[i] else -p[i]
+        p -= step * size[i] / capacity * room
+        p[i] = float(step > 0)
+    return p
+
+
 def landing(p: list[float], size: list[float], wanted: float, taken: float) -> list[float]:
-    """Zeros and ones for the undecided. The larger documents go, largest first, where the words still wanted come nearest what the
-    others are expected to give; for the ``TRIED`` smallest all outcomes are tried and that is taken whose words come nearest
-    ``wanted``, where one document more or less than expected counts like one word; ties: the first."""
+    """Zeros and ones for the undecided. For the ``TRIED + 2`` smallest all outcomes are tried and that is taken whose words come nearest
+    ``wanted``, where one document more or less than expected counts like one word; ties: the first. There are more only beside a
+    document that all others couldn't make up for; the larger ones then go, largest first, where the words still wanted come
+    nearest what the others are expected to give."""
     open_ = sorted((i for i, x in enumerate(p) if 0.0 < x < 1.0), key=lambda i: (-size[i], i))
     p = list(p)
     need, number = wanted - taken, math.fsum(p[i] for i in open_)
     rest = math.fsum(p[i] * size[i] for i in open_)
-    cut = max(0, len(open_) - TRIED)
+    cut = max(0, len(open_) - TRIED - 2)
     for i in open_[:cut]:
         rest -= p[i] * size[i]
         p[i] = float(abs(need - size[i] - rest) < abs(need - rest))
@@ -120,15 +142,9 @@ def landing(p: list[float], size: list[float], wanted: float, taken: float) -> l
     return p
 
 
-def reserve(size: list[float], most: int) -> int:
-    """How many documents, in their random order, a flight leaves for the landing: ``LANDING``, or more (up to ``most``) until their
-    words could make up for the largest document."""
-    wanted, total = 2 * max(size, default=0.0), 0.0
-    for n, words in enumerate(size):
-        if n >= LANDING and (total >= wanted or n >= most):
-            return n
-        total += words
-    return len(size)
+def reserve(n: int) -> int:
+    """How many of ``n`` undecided documents, in their random order and whatever their sizes, a flight leaves for the landing."""
+    return min(TRIED, max(n // SPARED, LEAST))
 
 
 def _fly(rows: DataFrame, last: bool, seed: int) -> DataFrame:
@@ -139,8 +155,15 @@ def _fly(rows: DataFrame, last: bool, seed: int) -> DataFrame:
         p, size = pdf["p"].tolist(), pdf["size"].astype(float).tolist()
         rng = random.Random(f"{seed}/{key[0]!r}/{key[1]}")
         wanted = math.fsum(x * s for x, s in zip(p, size, strict=True))
-        stay = reserve(size, len(size) if last else len(size) // 2)
-        p[stay:] = flight(p[stay:], size[stay:], rng)
+        stay = reserve(sum(0 < x < 1 for x in p))
+        large = 0.5 * math.fsum(size[:stay])  # what the landing could hardly make up for
+        p[stay:] = settle(np.array(p[stay:]), np.array(size[stay:]), large, rng).tolist()
+        alone = [i for i in range(stay, len(p)) if size[i] > large and 0 < p[i] < 1]
+        if alone:  # the block hasn't the words for them: half of it waits for the next flight, or all for the landing
+            stay = len(p) if last else max(stay, len(p) // 2)
+        fly = [i for i in range(stay, len(p)) if i not in alone]
+        for i, x in zip(fly, flight([p[i] for i in fly], [size[i] for i in fly], rng), strict=True):
+            p[i] = x
         if last:
             sure = math.fsum(s for x, s in zip(p, size, strict=True) if x == 1.0)
             p = landing(p, size, wanted, sure)
@@ -149,18 +172,30 @@ def _fly(rows: DataFrame, last: bool, seed: int) -> DataFrame:
     return rows.groupBy("source", "block").applyInPandas(run, rows.schema)
 
 
+def _number_copies(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """Rows whose ``row`` tells equal ones apart too. Equal rows are counted with partial sums, so that a third of a table being one
+    row is one row in the shuffle; their numbers are made ``COPIES`` at a time."""
+    counted = rows.groupBy("source", *carried, "size", "row").agg(F.count("*").alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
+    numbers = F.sequence(F.col("part") * COPIES, F.least((F.col("part") + 1) * COPIES, F.col("n")) - 1)
+    return (parts.withColumn("number", F.explode(numbers))
+            .select("source", *carried, "size", F.xxhash64("row", "number").alias("row")))
+
+
 def mix(docs: DataFrame, carry: list[str], source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS,
-        repeats: int = MAX_REPEATS, seed: int = 17) -> DataFrame:
+        repeats: int = MAX_REPEATS, seed: int = 17, same: list[Column] | None = None) -> DataFrame:
     """``carry`` columns, ``size`` (words; null text: 0), ``source_size``, ``target``, ``times`` and ``taken`` = times * size of every row.
 
     No row is taken more than ``repeats`` times. Empty documents carry no words; they're taken like the others of their source, at
     no cost. A source without a word has target 0. Repeated rows are documents of their own. Reruns agree: rows are
-    ordered by hashes of their values, and equal rows are exchangeable. An empty table gives an empty result.
+    ordered by hashes of their values, and equal rows, which get a number each, are exchangeable. ``same`` are columns that tell which
+    rows are equal, ``carry`` and the text if not given. An empty table gives an empty result.
     """
+    alike = [F.col(f"`{c}`") for c in [*carry, text]] if same is None else same
     rows = docs.select(
         F.col(f"`{source}`").cast("string").alias("source"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)],
-        word_count(text).alias("size"), F.xxhash64(*[F.col(f"`{c}`") for c in [*carry, text]]).alias("row"))
-    rows = materialise(rows)
+        word_count(text).alias("size"), F.xxhash64(*alike).alias("row"))
+    rows = materialise(_number_copies(rows, [f"c{i}" for i in range(len(carry))]))
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goal = materialise(targets(per_source.select("source", "source_size"), weights, repeats)
                        .join(per_source.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
@@ -193,11 +228,11 @@ def mix(docs: DataFrame, carry: list[str], source: str = "source", text: str = "
 
 def mixed(docs: DataFrame, source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS,
           repeats: int = MAX_REPEATS, seed: int = 17) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as it's taken."""
-    names = docs.columns
-    keys = ["__key1", "__key2"]
-    marked = docs.select("*", *row_key(names))
-    taken = mix(marked, keys, source, text, weights, repeats, seed).groupBy(*keys).agg(F.sum("times").alias("__times"))
-    # rows of one key are equal rows: one of them, as often as all of them together
-    once = marked.dropDuplicates(keys).join(taken.filter("__times > 0"), keys)
-    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[F.col(f"`{c}`") for c in names])
+    """The mix itself: the columns of ``docs``, whatever their names, each row as often as it's taken."""
+    held, names = numbered(docs)
+    # whole rows are written once with a number and meet their times in one join
+    held = materialise(held.withColumn("__row", F.monotonically_increasing_id()))
+    source_, text_ = (f"c{names.index(n)}" for n in (source, text))
+    times = mix(held, ["__row"], source_, text_, weights, repeats, seed, same=row_key(held.drop("__row"))).filter("times > 0").select("__row", "times")
+    return (held.join(times.hint("shuffle_hash"), "__row")
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*renamed(names)))

@@ -7,7 +7,7 @@ dealt to the shards by those counts (first permutation, on the rows' keys), the
 get a random order there (second permutation), so every assignment with these shard sizes and every order is equally likely.
 
 All row work is built-in DataFrame functions. The driver only draws the matrix, one row of counts for each
-block of about ``BLOCK_ROWS`` rows. Random numbers are hashes of a row's values, its number among
+block of about ``BLOCK_ROWS`` rows, ``MAX_BLOCKS`` at most. Random numbers are hashes of a row's values, its number among
 equal rows, and the seed, so a lost task gives the same rows again.
 """
 
@@ -20,10 +20,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bayesloom.llm.shared import materialise, row_key
+from bayesloom.llm.shared import materialise, numbered, renamed, row_key
 
 SHARDS = 8
 BLOCK_ROWS = 25_000
+#: rows of the matrix that the driver draws; larger tables have larger blocks (of keys, not of whole rows)
+MAX_BLOCKS = 40_000
 #: equal rows that get their numbers in one task
 COPIES = 10_000
 
@@ -86,14 +88,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 5, block_rows: int
     The first ``n mod shards`` shards have one row more. Columns of those names in ``docs`` are replaced. Equal rows are
     told apart by a number; nulls, empty texts and empty tables need no special case (an empty table gives an empty one).
     """
-    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    source, names = numbered(docs)
+    columns = [f"c{i}" for i, name in enumerate(names) if name not in ("shard", "slot")]
     keys = ["__key1", "__key2"]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names]).select("*", *row_key(names))
+    source = source.select(*columns)
+    keyed = source.select("*", *row_key(source))
     key = lambda k: F.xxhash64(F.lit(seed * 8 + k), "__key1", "__key2", "__copy")
-    n = docs.count()
-    n_blocks = max(1, -(-n // block_rows))
     # the first permutation deals keys and numbers of copies; the rows themselves move when their shards are known
-    placed = _number_copies(keyed).withColumn("__block", F.pmod(key(0), F.lit(n_blocks)))
+    copies = materialise(_number_copies(keyed))
+    n = copies.count()
+    n_blocks = min(MAX_BLOCKS, max(1, -(-n // block_rows)))
+    placed = copies.withColumn("__block", F.pmod(key(0), F.lit(n_blocks)))
     sizes = [(r[0], r[1]) for r in placed.groupBy("__block").count().orderBy("__block").collect()]
     matrix = list(communication_matrix(sizes, [n // shards + (s < n % shards) for s in range(shards)], seed))
     spark = docs.sparkSession
@@ -109,13 +114,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 5, block_rows: int
     offsets = (held.groupBy("shard", "__stretch").count()
                .select("shard", "__stretch", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset")))
     # equal rows meet the places of their copies as one row and lists of at most COPIES places, and go to their shards from there
-    whole = keyed.groupBy(*keys).agg(*[F.first(f"`{c}`").alias(c) for c in names])
+    whole = keyed.groupBy(*keys).agg(*[F.first(c).alias(c) for c in columns])
     places = (held.groupBy(*keys, F.floor(F.col("__copy") / COPIES).alias("__chunk"))
               .agg(F.collect_list(F.struct("shard", "__copy", "__u", "__stretch")).alias("__places")))
-    rows = whole.join(places, keys).withColumn("__at", F.explode("__places")).select(*[F.col(f"`{c}`") for c in names], *keys, "__at.*")
+    rows = whole.join(places, keys).withColumn("__at", F.explode("__places")).select(*columns, *keys, "__at.*")
     in_stretch = Window.partitionBy("shard", "__stretch").orderBy("__u", "__key1", "__key2", "__copy")
     return (rows.withColumn("__at", F.row_number().over(in_stretch) - 1).join(offsets, ["shard", "__stretch"])
-            .select(*[F.col(f"`{c}`") for c in names], "shard", (F.col("__offset") + F.col("__at")).cast("long").alias("slot")))
+            .select(*renamed(names, ("shard", "slot")), "shard", (F.col("__offset") + F.col("__at")).cast("long").alias("slot")))
 
 
 def _number_copies(keyed: DataFrame) -> DataFrame:

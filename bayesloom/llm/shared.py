@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bayesloom.session import ensure_checkpoint_dir
 
@@ -63,10 +64,31 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def row_key(names: list[str]) -> list:
-    """Columns ``__key1``, ``__key2``: 128 bits that tell rows with different values (nulls too) apart."""
-    columns = [F.col(f"`{c}`") for c in names]
-    return [F.xxhash64(*columns).alias("__key1"), F.xxhash64(F.lit(1), *columns).alias("__key2")]
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named c0, c1, .., so that no name of theirs meets one of an operator's own; and the old names."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), docs.columns
+
+
+def renamed(names: list[str], skip: tuple[str, ...] = ()) -> list:
+    """Columns c0, c1, .. under their old names, but for those in ``skip``."""
+    return [F.col(f"c{i}").alias(name) for i, name in enumerate(names) if name not in skip]
+
+
+def row_key(docs: DataFrame) -> list:
+    """Columns ``__key1``, ``__key2``: 128 bits that tell rows with different values apart, in which columns are null too.
+
+    Nested columns go in as JSON with its nulls, maps by sorted entries where their values have an order.
+    """
+    parts = []
+    for field in docs.schema:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            inner = c
+            if isinstance(field.dataType, T.MapType) and isinstance(field.dataType.valueType, T.AtomicType):
+                inner = F.array_sort(F.map_entries(c))
+            c = F.when(c.isNotNull(), F.to_json(F.struct(inner), {"ignoreNullFields": "false"}))
+        parts += [c.isNull(), c]
+    return [F.xxhash64(*parts).alias("__key1"), F.xxhash64(F.lit(1), *parts).alias("__key2")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

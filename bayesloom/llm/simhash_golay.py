@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bayesloom.llm import bytesrows as br
-from bayesloom.llm.shared import components, materialise, row_key
+from bayesloom.llm.shared import components, materialise, numbered, renamed, row_key
 
 # fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1
 GENERATOR = 0b110001110101
@@ -121,6 +121,7 @@ def fingerprints(docs: DataFrame, carry: list[str], text: str = "text", words: i
                 value[lo:hi] = _simhash(raw, offs, words)
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(value.view(np.int64))], names=[*carry, fp])
+        br.give_back()
 
     return src.mapInArrow(run, schema)
 
@@ -182,10 +183,15 @@ def near_duplicates(docs: DataFrame, carry: list[str], id_col: str = "doc_id", t
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3,
              max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the smallest id (null ids last),
-    among rows of that id that of the smallest row key; of identical rows one stays. All columns are kept."""
-    names, keys = docs.columns, ["__key1", "__key2"]
-    marked = docs.select("*", *row_key(names))
-    found = near_duplicates(marked, [id_col, *keys], id_col, text, words, max_distance)
-    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *keys)
-    winners = found.groupBy("root").agg(F.min(first).alias("w")).select("w.__key1", "w.__key2")
-    return marked.join(winners, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in names])
+    among rows of that id that of the smallest row key; of identical rows one stays. All columns are kept, whatever their names.
+
+    Whole rows are written once with a number and meet the numbers to keep in one join; no aggregate sees a text.
+    """
+    held, names = numbered(docs)
+    id_, text_ = f"c{names.index(id_col)}", f"c{names.index(text)}"
+    held = materialise(held.withColumn("__row", F.monotonically_increasing_id()))
+    keys = row_key(held.drop("__row"))
+    found = near_duplicates(held.select(id_, text_, "__row", *keys), [id_, "__row", "__key1", "__key2"], id_, text_, words, max_distance)
+    first = F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), "__key1", "__key2", "__row")
+    kept = found.groupBy("root").agg(F.min(first).alias("w")).select("w.__row")
+    return held.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(*renamed(names))
