@@ -1,5 +1,7 @@
 import collections
-import importlib.util
+import sys
+
+import pytest
 
 import corpus_pipeline
 from bayesloom.llm import queries
@@ -39,13 +41,20 @@ def test_stages_do_what_they_say(spark):
 def test_registered_names():
     import __spark_entry__ as entry
 
-    assert {n.split("_")[0] for n in queries.REGISTRY} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.REGISTRY} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in entry.queries() and "pipeline" not in entry.oracle_sql()
 
 
-def test_entry_without_the_llm_folders(monkeypatch):
+@pytest.mark.parametrize("gone", [["bayesloom.llm", "bayesloom.llm.queries", "corpus_pipeline"], ["bayesloom.llm.queries"], ["corpus_pipeline"]])
+def test_entry_without_the_llm_folders(monkeypatch, gone):
+    """Folders that are gone, or left empty, take their queries with them and no others."""
     import __spark_entry__ as entry
 
-    real = importlib.util.find_spec
-    monkeypatch.setattr(entry, "find_spec", lambda n: None if n in ("bayesloom.llm", "corpus_pipeline") else real(n))
-    assert not any(n.startswith("op1_") or n == "pipeline" for n in entry.queries()) and len(entry.queries()) > 50
+    import bayesloom
+
+    monkeypatch.delattr(bayesloom.llm, "queries")
+    for name in gone:
+        monkeypatch.setitem(sys.modules, name, None)
+    names = entry.queries()
+    assert "pipeline" not in names and len(names) > 50
+    assert any(n.startswith("op1_") for n in names) == (gone == ["corpus_pipeline"])
