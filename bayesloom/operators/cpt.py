@@ -39,6 +39,19 @@ def fit_cpts(df: DataFrame, edges, nodes: Sequence[str], weight: str | None = No
     return out
 
 
+def fit_cpts_of(df: DataFrame, networks: dict, nodes: Sequence[str], weight: str | None = None, compacted: bool = False) -> DataFrame:
+    """G1 for several networks over the same nodes: children are named node@network. A family that networks share is counted
+    once, and all of them in one job."""
+    from bayesloom.session import cached
+
+    sets = {name: parent_sets(edges, nodes) for name, edges in networks.items()}
+    families = sorted({(n, ps[n]) for ps in sets.values() for n in nodes})
+    number = {f: i for i, f in enumerate(families)}
+    names = df.sparkSession.createDataFrame([(number[n, ps[n]], f"{n}@{name}") for name, ps in sets.items() for n in nodes], "fam int, child string")
+    counts = family_counts(df, families, weight, compacted).join(F.broadcast(names), "fam").drop("fam")  # a row per network and node
+    return cached(with_intervals(counts))
+
+
 def with_intervals(ct: DataFrame, p_col: str | None = None) -> DataFrame:
     """p and [cum_lo, cum_hi) per (child, pa), ordered by value (groups ≤ card(child) rows)."""
     grp = Window.partitionBy("child", "pa")

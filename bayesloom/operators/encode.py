@@ -94,6 +94,25 @@ def bind_columns(x: DataFrame, y: DataFrame, key: str = "row_key") -> DataFrame:
 # ---------------------------------------------------------------- category dictionaries
 
 
+def ranked(values: DataFrame, group: str, order: list[str], rank: str) -> tuple[DataFrame, dict[int, int]]:
+    """``values`` (different rows; ``group`` an int) with their rank 0, 1, .. by ``order`` in their group, and the groups' sizes.
+
+    Rows are range-partitioned by (group, order); what reaches the driver is a count per part and group. No group has to fit
+    a task. The result is a written table."""
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cached(values.repartitionByRange(parts, group, *order).withColumn("part", F.spark_partition_id()))
+    counts = sorted(tuple(r) for r in placed.groupBy(group, "part").count().collect())
+    offsets, sizes = [], {}
+    for g, part, n in counts:
+        offsets.append((g, part, sizes.get(g, 0)))
+        sizes[g] = sizes.get(g, 0) + n
+    start = values.sparkSession.createDataFrame(offsets, f"{group} int, part int, start int")
+    within = F.row_number().over(Window.partitionBy(group, "part").orderBy(*order))
+    book = written(placed.join(start, [group, "part"]).withColumn(rank, F.col("start") + within - 1).drop("part", "start"))
+    placed.unpersist()
+    return book, sizes
+
+
 @dataclass
 class CategoryEncoder:
     """code = rank of the value among the sorted distinct values (0..k-1).
@@ -115,24 +134,18 @@ class CategoryEncoder:
             return cls([], None, {}, {})
 
         def entry(i: int, c: str) -> Column:
-            number = F.col(f"`{c}`").cast("decimal(38,9)") if is_numeric(dtypes[c]) else F.lit(None).cast("decimal(38,9)")
-            return F.struct(F.lit(i).alias("col"), number.alias("at"), F.col(f"`{c}`").cast("string").alias("value"))
+            # whole numbers and decimals are ordered exactly, floats (and decimals of more than nine places) as doubles
+            kind = dtypes[c]
+            exact = isinstance(kind, T.IntegralType) or isinstance(kind, T.DecimalType) and kind.scale <= 9 and kind.precision - kind.scale <= 29
+            number = F.col(f"`{c}`") if is_numeric(kind) else F.lit(None)
+            at, real = (number if exact else F.lit(None)).cast("decimal(38,9)"), (F.lit(None) if exact else number).cast("double")
+            return F.struct(F.lit(i).alias("col"), at.alias("at"), real.alias("real"), F.col(f"`{c}`").cast("string").alias("value"))
 
         values = (df.select(F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)])))
                   .filter("value is not null").distinct())
-        order = ["col", "at", "value"]
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        placed = cached(values.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
-        # a row per part and column: where the part's ranks start
-        counts = sorted(tuple(r) for r in placed.groupBy("col", "part").count().collect())
-        offsets, cards = [], {c: 0 for c in columns}
-        for col, part, n in counts:
-            offsets.append((col, part, cards[columns[col]]))
-            cards[columns[col]] += n
-        start = df.sparkSession.createDataFrame(offsets, "col int, part int, start int")
-        rank = F.row_number().over(Window.partitionBy("col", "part").orderBy(*order[1:]))
-        book = written(placed.join(start, ["col", "part"]).select("col", "value", (F.col("start") + rank - 1).alias("code")))
-        placed.unpersist()
+        book, sizes = ranked(values, "col", ["at", "real", "value"], "code")
+        cards = {c: sizes.get(i, 0) for i, c in enumerate(columns)}
+        book = book.select("col", "value", "code")
         return cls(list(columns), book, cards, dtypes)
 
     @property
@@ -204,7 +217,7 @@ class StandardScaler:
 
 @dataclass
 class MinMaxScaler:
-    """X → (x − min)/(max − min) and back; constant column → 0."""
+    """X → (x − min)/(max − min) and back; constant column → 0; nulls stay null (a column of nulls too)."""
 
     columns: list[str]
     lo: dict[str, float] = field(default_factory=dict)
@@ -216,13 +229,13 @@ class MinMaxScaler:
         for c in columns:
             aggs += [F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
         row = df.agg(*aggs).first()
-        return cls(columns, {c: float(row[f"lo_{c}"]) for c in columns}, {c: float(row[f"hi_{c}"]) for c in columns})
+        return cls(columns, {c: float(row[f"lo_{c}"] or 0.0) for c in columns}, {c: float(row[f"hi_{c}"] or 0.0) for c in columns})
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = {}
         for c in self.columns:
             span = self.hi[c] - self.lo[c]
-            out[c] = F.lit(0.0) if span == 0 else (F.col(c) - F.lit(self.lo[c])) / F.lit(span)
+            out[c] = F.when(F.col(c).isNotNull(), F.lit(0.0)) if span == 0 else (F.col(c) - F.lit(self.lo[c])) / F.lit(span)
         return df.withColumns(out)
 
     def inverse(self, df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bayesloom.operators.encode import CategoryEncoder, align_columns, onehot
 
@@ -60,7 +61,9 @@ def fit_perceptron(estimator, train: DataFrame, block: int = 10, tol: float = 1e
     """V3: a multilayer perceptron with early stopping. A tenth of the rows (by hash of their values) is held out; the fit goes on in
     blocks of ``block`` iterations from the last weights until ``patience`` blocks in a row don't raise the held-out accuracy by ``tol``,
     or the estimator's own ``maxIter`` is reached. The best model is returned; without held-out rows, that of a plain fit."""
-    part = F.pmod(F.xxhash64(F.lit(31), F.monotonically_increasing_id()), F.lit(10))
+    from pyspark.ml.functions import vector_to_array
+
+    part = F.pmod(F.xxhash64(F.lit(31), vector_to_array("features"), "label"), F.lit(10))
     rows = train.withColumn("__part", part).persist()
     fit_on, held = rows.filter("__part > 0").drop("__part"), rows.filter("__part = 0").drop("__part")
     if held.isEmpty() or fit_on.isEmpty():
@@ -126,29 +129,68 @@ def tstr(syn: DataFrame, test: DataFrame, target: str = "target", classifiers: S
     return out
 
 
-def discriminator(real: DataFrame, syn: DataFrame, features: Sequence[str], frac: float = 0.8, seed: int = 42,
-                  key: str = "row_key", max_iter: int = 10) -> dict:
-    """V7: logistic real-vs-synthetic on ordinal codes trained on a ``frac`` sample.
+def discriminators(real: DataFrame, samples: DataFrame, features: Sequence[str], group: str, frac: float = 0.8, seed: int = 42,
+                   key: str = "row_key", sample_key: str = "row_id", steps: int = 12) -> dict:
+    """V7 for many samples at once: a logistic real-vs-synthetic model per value of ``group`` in ``samples``.
 
-    Returns training accuracy ``ls`` and the model's mean P(real) on the real rows.
+    Rows whose uniform of (group, key, real or not, ``seed``) is below ``frac`` are trained on. Features are standardised over them;
+    ``steps`` full-batch gradient steps of 4 / (features + 1), a rate at which the loss can't rise, start at zero weights. Each
+    step is one aggregation over the distinct rows of all groups, whatever their number; weights travel as a table of one row per
+    group. Returns group → {"ls": training accuracy, "p_real": mean probability of the real rows}.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    from bayesloom.operators.sample import union_labelled
-    from bayesloom.operators.select import sample_rows
-
-    r = real.select(F.col(key).cast("string").alias("__k"), *features)
-    s = syn.select(F.concat(F.lit("s"), F.col(syn.columns[0]).cast("string")).alias("__k"), *features)
-    both = union_labelled(r, s, "label").withColumn("label", F.col("label").cast("double")).persist()  # else every pass draws the sample again
-    both = VectorAssembler(inputCols=list(features), outputCol="features").transform(both.withColumns({f: F.col(f).cast("double") for f in features}))
-    train = sample_rows(both, "__k", frac=frac, seed=seed)
-    model = LogisticRegression(maxIter=max_iter, regParam=0.0).fit(train)
-    ls = model.transform(train).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-    from pyspark.ml.functions import vector_to_array
-    p_real = model.transform(both.filter(F.col("label") == 1.0)).select(F.element_at(vector_to_array("probability"), 2).alias("p"))
-    mean = float(p_real.agg(F.avg("p")).first()[0] or 0.0)
-    return {"ls": float(ls or 0.0), "p_real": mean}
+    from bayesloom.functions import hash_uniform
+    from bayesloom.session import cached
+
+    spark, d = real.sparkSession, len(features)
+    groups = samples.select(group).distinct()
+    names = [f"__x{i}" for i in range(d)]
+    values = [F.col(f).cast("double").alias(x) for f, x in zip(features, names)]
+    # the real rows stand once; each group has its own draw of them
+    stacked = (real.select(F.col(key).cast("string").alias("__k"), F.lit(1.0).alias("__y"), *values,
+                           F.explode(F.array(*[F.lit(r[0]) for r in groups.collect()])).alias("__g"))
+               .unionByName(samples.select(F.col(sample_key).cast("string").alias("__k"), F.lit(0.0).alias("__y"), *values, F.col(group).alias("__g"))))
+    drawn = hash_uniform(F.col("__g").cast("string"), F.col("__k"), F.col("__y").cast("int").cast("string"), F.lit(str(seed))) < frac
+    kind = stacked.schema["__g"].dataType
+    rows = cached(stacked.groupBy("__g", "__y", *names).agg(F.sum(drawn.cast("double")).alias("__w"), F.count(F.lit(1)).cast("double").alias("__n")))
+    w = F.col("__w")
+    stats = rows.groupBy("__g").agg(F.sum(w).alias("n"), *[F.sum(w * F.col(x)).alias(f"s{i}") for i, x in enumerate(names)],
+                                    *[F.sum(w * F.col(x) * F.col(x)).alias(f"q{i}") for i, x in enumerate(names)]).collect()
+    model = {}
+    for r in stats:
+        n = r["n"] or 1.0
+        mean = [(r[f"s{i}"] or 0.0) / n for i in range(d)]
+        sd = [math.sqrt(max((r[f"q{i}"] or 0.0) / n - mean[i] ** 2, 0.0)) for i in range(d)]
+        model[r["__g"]] = {"n": n, "mean": mean, "scale": [1 / s if s > 1e-9 else 0.0 for s in sd], "w": [0.0] * (d + 1)}
+
+    def with_probability() -> DataFrame:
+        table = spark.createDataFrame([(g, m["mean"], m["scale"], m["w"]) for g, m in model.items()],
+                                      T.StructType([T.StructField("__h", kind), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("__m", "__s", "__b")]]))
+        z = [((F.col(x) - F.get("__m", i)) * F.get("__s", i)).alias(f"__z{i}") for i, x in enumerate(names)]
+        t = rows.join(F.broadcast(table), F.col("__g") == F.col("__h")).select("*", *z)
+        logit = F.get("__b", d)
+        for i in range(d):
+            logit = logit + F.get("__b", i) * F.col(f"__z{i}")
+        return t.withColumn("__l", logit).withColumn("__p", 1 / (1 + F.exp(-F.col("__l"))))
+
+    for _ in range(steps):
+        error = F.col("__w") * (F.col("__y") - F.col("__p"))
+        got = with_probability().groupBy("__g").agg(*[F.sum(error * F.col(f"__z{i}")).alias(f"g{i}") for i in range(d)], F.sum(error).alias(f"g{d}")).collect()
+        for r in got:
+            m = model[r["__g"]]
+            m["w"] = [b + 4.0 / (d + 1) * (r[f"g{i}"] or 0.0) / m["n"] for i, b in enumerate(m["w"])]
+    hit = ((F.round("__l", 9) > 0) == (F.col("__y") == 1.0)).cast("double")
+    real_n = F.when(F.col("__y") == 1.0, F.col("__n"))
+    out = with_probability().groupBy("__g").agg((F.sum(w * hit) / F.sum(w)).alias("ls"), (F.sum(real_n * F.col("__p")) / F.sum(real_n)).alias("p")).collect()
+    rows.unpersist()
+    return {r["__g"]: {"ls": float(r["ls"] or 0.0), "p_real": float(r["p"] or 0.0)} for r in out}
+
+
+def discriminator(real: DataFrame, syn: DataFrame, features: Sequence[str], frac: float = 0.8, seed: int = 42,
+                  key: str = "row_key", steps: int = 12) -> dict:
+    """V7: the logistic real-vs-synthetic model of one sample (first column: its key); training accuracy ``ls`` and the mean P(real) of
+    the real rows."""
+    got = discriminators(real, syn.withColumn("__one", F.lit(0)), features, "__one", frac, seed, key, syn.columns[0], steps)
+    return got.get(0, {"ls": 0.0, "p_real": 0.0})
 
 
 def evaluate_model(sample_fn: Callable[[int, int], DataFrame], test: DataFrame, target: str, n: int,

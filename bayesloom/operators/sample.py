@@ -2,7 +2,8 @@
 
 ``spark.range(n, numPartitions)`` makes the rows (batched generation is just the
 partitioning); each node is drawn in topological order with a hash uniform of
-(row id, node, seed) and one broadcast equi-join on the packed parent configuration.
+(row id, node, seed), one size-checked broadcast equi-join on the packed parent configuration and a
+binary search among the ends of its observed values.
 No step shuffles the sample, and a re-executed task draws identical rows.
 """
 
@@ -22,9 +23,10 @@ BROADCAST_BYTES = 64 << 20
 PARTITION_ROWS = 2_000_000
 
 
-def fits_broadcast(rows: int, doubles: int) -> bool:
-    """Whether a table of so many rows with a key and an array of ``doubles`` values is small enough to broadcast."""
-    return rows * (48 + 8 * doubles) <= BROADCAST_BYTES
+def fits_broadcast(rows: int, doubles: int, cells: int = 0) -> bool:
+    """Whether a table of so many rows with a key, an array of ``doubles`` values each, and in all ``cells`` pairs of an int and a
+    double, is small enough to broadcast."""
+    return rows * (48 + 8 * doubles) + 12 * cells <= BROADCAST_BYTES
 
 
 def sample_partitions(spark, n: int) -> int:
@@ -35,69 +37,59 @@ def _pack(parents: Sequence[str], cards: dict):
     return pack_codes([(F.col(p), int(cards[p])) for p in parents])
 
 
-UNROLL_LIMIT = 256
+def interval_tables(cpts: DataFrame, nodes: Sequence[str]) -> dict:
+    """(configurations, observed values, most of them in one configuration) of each node's CPT; one aggregation for all nodes."""
+    per = cpts.filter(F.col("child").isin(*nodes)).groupBy("child", "pa").agg(F.count(F.lit(1)).alias("m"))
+    rows = per.groupBy("child").agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("cells"), F.max("m").alias("most")).collect()
+    return {r["child"]: (int(r["k"]), int(r["cells"]), int(r["most"])) for r in rows}
 
 
-def cpt_lookup(cpts: DataFrame, node: str, parents: Sequence[str], cards: dict) -> DataFrame:
-    """(__k long, __hi array<double>) per observed parent configuration.
-
-    ``__hi[v]`` is the upper end of value v's interval on the child's full domain
-    (a value with p = 0 repeats the previous end), so the drawn code is simply the
-    number of interval ends ≤ u. Built once per node on the model-sized CPT.
-    """
-    t = cpts.filter(F.col("child") == node)
+def interval_lookup(cpts: DataFrame, node: str, parents: Sequence[str], cards: dict) -> DataFrame:
+    """(__k, __v array<int>, __e array<double>) per observed parent configuration: its observed values in order and the upper ends
+    of their intervals. What a configuration costs follows from the values seen in it, not from the node's card."""
     key = pack_codes([(F.get(F.col("pa"), i), int(cards[p])) for i, p in enumerate(parents)])
-    card = int(cards[node])
-    m = t.groupBy(key.alias("__k")).agg(F.map_from_entries(F.collect_list(F.struct("value", "cum_hi"))).alias("__m"))
-    # dense ends: for each code v the end of the largest observed value ≤ v (0 before the
-    # first); evaluated once on the model-sized lookup table, not per sampled row
-    dense = F.transform(F.sequence(F.lit(0), F.lit(card - 1)), lambda v: F.coalesce(
-        F.array_max(F.transform(F.filter(F.map_entries(F.col("__m")), lambda e: e["key"] <= v), lambda e: e["value"])),
-        F.lit(0.0)))
-    return m.select("__k", dense.alias("__hi"))
-
-
-def _draw(hi, u, card: int):
-    """Code = #(ends ≤ u); unrolled comparisons keep the expression in generated code."""
-    if card <= UNROLL_LIMIT:
-        idx = None
-        for i in range(card - 1):
-            term = (F.get(hi, i) <= u).cast("int")
-            idx = term if idx is None else idx + term
-        return idx if idx is not None else F.lit(0)
-    return F.size(F.filter(hi, lambda c: c <= u))
+    cells = F.array_sort(F.collect_list(F.struct("value", "cum_hi")))
+    t = cpts.filter(F.col("child") == node).groupBy(key.alias("__k")).agg(cells.alias("__c"))
+    return t.select("__k", F.col("__c.value").alias("__v"), F.col("__c.cum_hi").alias("__e"))
+
+
+def ends_below(ends, u, most: int):
+    """How many of up to ``most`` ascending ends are at or below ``u``: a binary search, one comparison per bit, in generated code."""
+    at = F.lit(0)
+    step = 1 << max(0, int(most).bit_length() - 1)
+    while step:
+        at = at + F.when(F.get(ends, at + F.lit(step - 1)) <= u, F.lit(step)).otherwise(F.lit(0))
+        step >>= 1
+    return at
 
 
 def ancestral_sample(spark, cpts: DataFrame, edges, nodes: Sequence[str], cards: dict, n: int, seed=42,
-                     num_partitions: int | None = None, key: str = "row_id") -> DataFrame:
-    """N rows drawn parents-first; unseen parent configuration → uniform draw."""
+                     num_partitions: int | None = None, key: str = "row_id", streams: dict | None = None) -> DataFrame:
+    """N rows drawn parents-first; unseen parent configuration → uniform draw.
+
+    Node i of ``nodes`` takes uniform i % 4 of digest i // 4 under ``seed``, so a row costs one md5 per four nodes;
+    ``streams`` (node → (seed, position)) says otherwise, which lets several networks be drawn as one.
+    """
     order = topological_order(edges, nodes)
     ps = parent_sets(edges, nodes)
     parts = num_partitions or sample_partitions(spark, n)
-    sizes = {r["child"]: r["k"] for r in cpts.groupBy("child").agg(F.countDistinct("pa").alias("k")).collect()}
+    tables = interval_tables(cpts, nodes)
+    streams = streams or {node: (seed, i) for i, node in enumerate(nodes)}
     s = spark.range(0, int(n), 1, parts).withColumnRenamed("id", key)
-    # node i (position in ``nodes``) uses uniform i % 4 of digest i // 4: one md5 per four nodes
     rid = F.col(key).cast("string")
-    s = s.select("*", *[hash_uniform_block(rid, b, j, seed).alias(f"__u_{b}_{j}")
-                        for b in range((len(nodes) + 3) // 4) for j in range(4) if 4 * b + j < len(nodes)])
+    s = s.select("*", *[hash_uniform_block(rid, streams[node][1] // 4, streams[node][1] % 4, streams[node][0]).alias(f"__u{i}")
+                        for i, node in enumerate(nodes)])
+    place = {node: i for i, node in enumerate(nodes)}
     for node in order:
-        pa = ps[node]
-        i = list(nodes).index(node)
-        u = F.col(f"__u_{i // 4}_{i % 4}")
+        u = F.col(f"__u{place[node]}")
         uniform = F.floor(u * F.lit(int(cards[node]))).cast("int")
-        if not pa:
-            # a root has one configuration (≤ card values): inline it as literals, no join
-            row = cpt_lookup(cpts, node, pa, cards).first()
-            his = row["__hi"] if row else None
-            s = s.withColumn("__hi", F.array(*[F.lit(float(h)) for h in his]) if his else F.lit(None).cast("array<double>"))
-        else:
-            look = cpt_lookup(cpts, node, pa, cards)
-            look = F.broadcast(look) if fits_broadcast(sizes.get(node, 0), int(cards[node])) else look
-            s = s.withColumn("__pk", _pack(pa, cards)).join(look, F.col("__pk") == F.col("__k"), "left").drop("__pk")
-        # the draw is evaluated unconditionally (null when the configuration is unseen), so the
-        # uniform is a common subexpression; unseen configurations fall back to a uniform code
-        s = s.withColumn(node, F.coalesce(_draw(F.col("__hi"), u, int(cards[node])), uniform).cast("int"))
-        s = s.drop("__k", "__hi")
+        configurations, cells, most = tables.get(node, (0, 0, 0))
+        look = interval_lookup(cpts, node, ps[node], cards)
+        look = F.broadcast(look) if fits_broadcast(configurations, 0, cells) else look
+        s = s.withColumn("__pk", _pack(ps[node], cards)).join(look, F.col("__pk") == F.col("__k"), "left").drop("__pk", "__k")
+        # no ends when the configuration is unseen: uniform over the domain
+        s = s.withColumn("__at", ends_below(F.col("__e"), u, most))
+        s = s.withColumn(node, F.coalesce(F.get(F.col("__v"), F.col("__at")), uniform).cast("int")).drop("__v", "__e", "__at")
     return s.select(key, *nodes)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bayesloom.operators import structure as K
-from bayesloom.operators.scores import complexity_penalty
+from bayesloom.operators.scores import complexity_penalty, parent_sets
 
 LOG_SCHEMA = ("episode int, epoch int, step int, state_key string, action string, reward double, "
               "next_state_key string, ls double")
@@ -45,8 +45,8 @@ def n_step_return(log: DataFrame, gamma: float = 0.9) -> DataFrame:
 
 def last_transition(log: DataFrame) -> DataFrame:
     """The (S, A) of the last step of each buffer (where the reference applies the return)."""
-    w = Window.partitionBy("episode", "epoch").orderBy(F.col("step").desc())
-    return log.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select("episode", "epoch", "state_key", "action")
+    last = F.max_by(F.struct("state_key", "action"), "step").alias("t")
+    return log.groupBy("episode", "epoch").agg(last).select("episode", "epoch", "t.state_key", "t.action")
 
 
 def q_update(q: DataFrame, log: DataFrame, gamma: float = 0.9, alpha: float = 0.1) -> DataFrame:
@@ -65,8 +65,8 @@ def policy_blend(policy: DataFrame | None, q: DataFrame, log: DataFrame, beta: f
     The buffer is read last-in-first-out, so for a pair logged twice the earliest step
     is the final write.
     """
-    w = Window.partitionBy("state_key", "action").orderBy("episode", "epoch", "step")
-    first = log.withColumn("__r", F.row_number().over(w)).filter("__r = 1")
+    write = F.min_by(F.struct("reward", "ls"), F.struct("episode", "epoch", "step")).alias("t")
+    first = log.groupBy("state_key", "action").agg(write).select("state_key", "action", "t.reward", "t.ls")
     val = F.lit(float(beta)) * F.col("reward") * (F.lit(1.0) - F.col("ls")) + F.lit(1.0 - float(beta)) * F.col("q")
     new = first.join(q, ["state_key", "action"], "inner").select("state_key", "action", val.alias("value"))
     if policy is None:
@@ -88,9 +88,10 @@ def q_merge(tables: Sequence[DataFrame], value: str = "q") -> DataFrame:
 
 
 def select_best_structure(candidates: DataFrame, mode: str = "max") -> DataFrame:
-    """State key, edges and score of the candidate with the best score (ties: the smallest state key);
+    """State key, edges and score of the candidate with the best score (ties, to nine digits: the smallest state key);
     ``mode='min'`` takes the lowest score. No candidate gives no row."""
-    order = F.col("score") if mode == "min" else -F.col("score")
+    score = F.round("score", 9)  # networks of one equivalence class differ in the last digits of a sum
+    order = score if mode == "min" else -score
     out = ["state_key", *(["edges"] if "edges" in candidates.columns else []), "score"]
     best = candidates.agg(F.min(F.struct(order.alias("o"), *out)).alias("b"))
     return best.filter("b is not null").select(*[f"b.{c}" for c in out])
@@ -99,8 +100,8 @@ def select_best_structure(candidates: DataFrame, mode: str = "max") -> DataFrame
 def best_known_action(q: DataFrame, state: str | None = None) -> DataFrame:
     """Argmax-Q action per state (ties by action text); rows with Q < 0 are not offered."""
     t = q if state is None else q.filter(F.col("state_key") == state)
-    w = Window.partitionBy("state_key").orderBy(F.col("q").desc(), F.col("action"))
-    return t.withColumn("__r", F.row_number().over(w)).filter("__r = 1 AND q >= 0").select("state_key", "action", "q")
+    best = F.min(F.struct((-F.col("q")).alias("o"), "action", "q")).alias("b")
+    return t.groupBy("state_key").agg(best).filter("b.q >= 0").select("state_key", "b.action", "b.q")
 
 
 def action_text(op) -> str:
@@ -122,6 +123,9 @@ def parse_action(txt: str):
 
 @dataclass
 class SearchResult:
+    """``log``, ``candidates`` (every structure reached) and ``snapshots`` (every episode's Q and policy after each epoch) as tables;
+    ``q`` and ``policy`` are the snapshots' averages (K24), ``best`` the best candidate (K25)."""
+
     edges: list
     best_edges: list
     best_score: float
@@ -129,17 +133,32 @@ class SearchResult:
     q: DataFrame
     policy: DataFrame | None
     candidates: DataFrame
+    snapshots: DataFrame
     jobs: int = 0
 
 
+@dataclass
+class _Episode:
+    number: int
+    edges: list
+    score: float
+    q: dict
+    policy: dict
+    tabu: list = field(default_factory=list)
+    step: int = 0
+    buffer: list = field(default_factory=list)
+
+
 @dataclass
 class HybridSearch:
     """Per epoch ``n`` greedy hill-climb steps, one policy step (the legal action of the highest value in the blended
     policy if that is not negative, else a legal move drawn by hash uniform; with probability ε an MI-ordered candidate), with
-    ``gan`` the discriminator score ``ls`` of the network's own sample, then K21–K23. Episodes restart from the naive structure.
+    ``gan`` the discriminator score ``ls`` of the network's own sample, then K21–K23. Episodes start from the naive structure.
 
-    All episodes share one family-score cache, so a family is scored once per search.
-    The best structure is the best score seen (not the first episode's start score).
+    Episodes run in lock-step, ``parallel`` at a time (all by default): a step scores the candidate families of all of them in one
+    job, and an epoch fits, samples and discriminates all their networks together, so the number of jobs follows the steps and
+    not the episodes. Each has its own log, Q and policy; its moves are those it would make alone. The next batch of episodes starts from the
+    snapshots' averages. The best structure is the best one reached after any step.
     """
 
     nodes: list
@@ -156,10 +175,12 @@ class HybridSearch:
     gan: bool = False
     seed: int = 42
     max_indegree: int | None = None
-    history: list = field(default_factory=list)
+    parallel: int | None = None
+    first_episode: int = 0
 
     def run(self, df: DataFrame, start_edges=None, discriminator_fn=None, key: str = "row_key") -> SearchResult:
-        """``discriminator_fn`` (edges, episode, epoch) → ls takes the place of the default one, which reads ``key``."""
+        """``discriminator_fn`` (networks, epoch) → ls of each network takes the place of the default one, which reads ``key``;
+        ``networks`` is episode → edges."""
         spark = df.sparkSession
         feats = [c for c in self.nodes if c != self.label]
         cache = K.FamilyScoreCache(df, self.nodes, self.cards, self.score)
@@ -168,67 +189,78 @@ class HybridSearch:
         penalty = complexity_penalty(len(self.nodes), cache.n_rows)
         if self.gan and discriminator_fn is None:
             discriminator_fn = self._discriminator(df, cache, feats, key)
-        q_rows: dict = {}
-        log_rows, cand_rows = [], []
-        policy: dict = {}
-        beta = self.beta
-        best = (None, -math.inf)
-        edges = []
-        for ep in range(self.episodes):
-            edges = K.naive_structure(feats, self.label) if start_edges is None else list(start_edges)
-            score = self._score(cache, edges)
-            best = max(best, (list(edges), score), key=lambda t: t[1])
-            cand_rows.append((ep, -1, K.state_key(edges), score, _edges_text(edges)))
-            tabu: list = []
-            step = 0
+        start = K.naive_structure(feats, self.label) if start_edges is None else list(start_edges)
+        start_score = self._score(cache, start)
+        logs, reached, snapshots = [], [], []
+        q, policy, beta, edges = {}, {}, self.beta, start
+        numbers = list(range(self.first_episode, self.first_episode + self.episodes))
+        size = self.parallel or max(1, len(numbers))
+        for lo in range(0, len(numbers), size):
+            batch = [_Episode(i, list(start), start_score, dict(q), dict(policy)) for i in numbers[lo:lo + size]]
+            reached += [(e.number, -1, -1, K.state_key(e.edges), e.score, _edges_text(e.edges)) for e in batch]
             for epoch in range(self.epochs):
-                buffer = []
                 for _ in range(self.n):
-                    op, _d = K.hill_climb_step(cache, edges, tabu, 1e-4, max_indegree=self.max_indegree)
-                    new_edges = K.apply_op(edges, op)
-                    new_score = self._score(cache, new_edges)
-                    reward = (new_score - score) - penalty
-                    buffer.append((ep, epoch, step, K.state_key(edges), action_text(op), reward, K.state_key(new_edges)))
-                    edges, score, step = new_edges, new_score, step + 1
-                op = self._policy_step(edges, order, policy, ep, epoch)
-                new_edges = K.apply_op(edges, op)
-                ls = 0.0
-                if self.gan and discriminator_fn is not None:
-                    ls = float(discriminator_fn(new_edges, ep, epoch))
-                new_score = self._score(cache, new_edges)
-                buffer.append((ep, epoch, step, K.state_key(edges), action_text(op), (new_score - score) - penalty,
-                               K.state_key(new_edges)))
-                edges, score, step = new_edges, new_score, step + 1
-                best = max(best, (list(edges), score), key=lambda t: t[1])
-                cand_rows.append((ep, epoch, K.state_key(edges), score, _edges_text(edges)))
-                buffer = [b + (ls,) for b in buffer]
-                log_rows += buffer
-                # K21/K22 on the driver-sized buffer (same formulas as the DataFrame operators)
-                g = sum(r[5] * (1 - ls) * self.gamma ** i for i, r in enumerate(buffer))
-                s_last, a_last = buffer[-1][3], buffer[-1][4]
-                old = q_rows.get((s_last, a_last), 0.0)
-                q_rows[(s_last, a_last)] = old + self.alpha * (g - old)
-                for r in reversed(buffer):
-                    if (r[3], r[4]) in q_rows:
-                        policy[(r[3], r[4])] = beta * r[5] * (1 - ls) + (1 - beta) * q_rows[(r[3], r[4])]
-            beta = beta_decay(beta)
-        log = spark.createDataFrame(log_rows, LOG_SCHEMA)
-        q = spark.createDataFrame([(s, a, v) for (s, a), v in q_rows.items()], Q_SCHEMA)
-        pol = spark.createDataFrame([(s, a, v) for (s, a), v in policy.items()], "state_key string, action string, value double")
-        cands = spark.createDataFrame(cand_rows, "episode int, epoch int, state_key string, score double, edges string")
-        return SearchResult(edges, best[0], best[1], log, q, pol, cands, cache.jobs)
+                    self._greedy_steps(cache, batch, epoch, penalty, reached)
+                self._policy_steps(cache, batch, order, epoch, penalty, reached)
+                ls = discriminator_fn({e.number: e.edges for e in batch}, epoch) if self.gan else {}
+                for e in batch:
+                    logs += self._learn(e, float(ls.get(e.number, 0.0)), beta)
+                    snapshots += [(e.number, epoch, s, a, "q", v) for (s, a), v in e.q.items()]
+                    snapshots += [(e.number, epoch, s, a, "policy", v) for (s, a), v in e.policy.items()]
+            beta, edges = beta_decay(beta), batch[-1].edges
+            if lo + size < len(numbers):
+                q, policy = ({(r["state_key"], r["action"]): r["value"] for r in merge_snapshots(_snapshot_table(spark, snapshots), kind).collect()}
+                             for kind in ("q", "policy"))
+        table = _snapshot_table(spark, snapshots)
+        candidates = spark.createDataFrame(reached, "episode int, epoch int, step int, state_key string, score double, edges string")
+        best = select_best_structure(candidates).first()
+        return SearchResult(edges, _parse_edges(best["edges"]) if best else [], best["score"] if best else -math.inf,
+                            spark.createDataFrame(logs, LOG_SCHEMA), merge_snapshots(table, "q").withColumnRenamed("value", "q"),
+                            merge_snapshots(table, "policy"), candidates, table, cache.jobs)
 
     def _score(self, cache, edges) -> float:
-        from bayesloom.operators.scores import parent_sets
         ps = parent_sets(edges, self.nodes)
-        sc = cache.scores([(n, ps[n]) for n in self.nodes])
-        return float(sum(sc.values()))
+        return float(sum(cache.scores([(n, ps[n]) for n in self.nodes]).values()))
+
+    def _move(self, cache, e: _Episode, op, epoch: int, penalty: float, reached: list) -> None:
+        new = K.apply_op(e.edges, op)
+        score = self._score(cache, new)
+        e.buffer.append((e.number, epoch, e.step, K.state_key(e.edges), action_text(op), (score - e.score) - penalty, K.state_key(new)))
+        reached.append((e.number, epoch, e.step, K.state_key(new), score, _edges_text(new)))
+        e.edges, e.score, e.step = new, score, e.step + 1
+
+    def _greedy_steps(self, cache, batch, epoch, penalty, reached) -> None:
+        """One hill-climb step of every episode; what any of them needs is scored in one job."""
+        need = [f for e in batch for op in K.neighbours(e.edges, self.nodes, tabu=e.tabu, max_indegree=self.max_indegree)
+                for f in K.move_families(e.edges, self.nodes, op)]
+        cache.scores(need)
+        for e in batch:
+            op, _delta = K.hill_climb_step(cache, e.edges, e.tabu, 1e-4, max_indegree=self.max_indegree)
+            self._move(cache, e, op, epoch, penalty, reached)
+
+    def _policy_steps(self, cache, batch, order, epoch, penalty, reached) -> None:
+        ops = [self._policy_step(e.edges, order, e.policy, e.number, epoch) for e in batch]
+        cache.scores([f for e, op in zip(batch, ops) if op is not None for f in K.move_families(e.edges, self.nodes, op)])
+        for e, op in zip(batch, ops):
+            self._move(cache, e, op, epoch, penalty, reached)
+
+    def _learn(self, e: _Episode, ls: float, beta: float) -> list:
+        """K21–K23 on an epoch's buffer (the formulas of the table operators); gives the buffer's log rows."""
+        rows = [r + (ls,) for r in e.buffer]
+        g = sum(r[5] * (1 - ls) * self.gamma ** i for i, r in enumerate(rows))
+        last = rows[-1][3:5]
+        e.q[last] = e.q.get(last, 0.0) + self.alpha * (g - e.q.get(last, 0.0))
+        for r in reversed(rows):
+            if r[3:5] in e.q:
+                e.policy[r[3:5]] = beta * r[5] * (1 - ls) + (1 - beta) * e.q[r[3:5]]
+        e.buffer = []
+        return rows
 
     def _policy_step(self, edges, order, policy, ep, epoch):
         """The policy's best legal action in this state if its value isn't negative, else a legal move drawn by hash uniform;
         with probability ε an MI-ordered candidate, if there is one."""
         state = K.state_key(edges)
-        legal = K.neighbours(edges, self.nodes, max_indegree=self.max_indegree)
+        legal = sorted(K.neighbours(edges, self.nodes, max_indegree=self.max_indegree), key=action_text)
         known = [(v, a) for (s, a), v in policy.items() if s == state and v >= 0 and parse_action(a) in set(legal)]
         draw = _hash01(f"{self.seed}|{ep}|{epoch}|pick")
         if _hash01(f"{self.seed}|{ep}|{epoch}|policy") < self.epsilon:
@@ -240,21 +272,42 @@ class HybridSearch:
         return legal[int(draw * len(legal))] if legal else None
 
     def _discriminator(self, df, cache, feats, key):
-        """Accuracy with which real rows are told from as many drawn from the network."""
-        from bayesloom.operators.cpt import fit_cpts
-        from bayesloom.operators.evaluate import discriminator
+        """Accuracy with which real rows are told from as many drawn from each network. The networks of all episodes are one network
+        with as many times the nodes: one job for its tables, one sample, one aggregation per step of all discriminators."""
+        from bayesloom.operators.cpt import fit_cpts_of
+        from bayesloom.operators.evaluate import discriminators
         from bayesloom.operators.sample import ancestral_sample
 
-        def ls(edges, ep, epoch):
-            cpts = fit_cpts(cache.base, edges, self.nodes, weight="w", compacted=True)
-            syn = ancestral_sample(df.sparkSession, cpts, edges, self.nodes, self.cards, int(cache.n_rows), seed=f"{self.seed}|{ep}|{epoch}")
-            out = discriminator(df, syn, feats, key=key)["ls"]
+        def ls(networks: dict, epoch: int) -> dict:
+            cpts = fit_cpts_of(cache.base, networks, self.nodes, weight="w", compacted=True)
+            name = "{1}@{0}".format
+            nodes = [name(e, c) for e in networks for c in self.nodes]
+            edges = [(name(e, s), name(e, t)) for e, net in networks.items() for s, t in net]
+            cards = {name(e, c): self.cards[c] for e in networks for c in self.nodes}
+            streams = {name(e, c): (f"{self.seed}|{e}|{epoch}", i) for e in networks for i, c in enumerate(self.nodes)}
+            wide = ancestral_sample(df.sparkSession, cpts, edges, nodes, cards, int(cache.n_rows), streams=streams)
+            rows = F.array(*[F.struct(F.lit(e).alias("__episode"), *[F.col(f"`{name(e, c)}`").alias(c) for c in feats]) for e in networks])
+            drawn = wide.select("row_id", F.inline(rows))
+            out = discriminators(df, drawn, feats, "__episode", seed=self.seed + epoch, key=key)
             cpts.unpersist()
-            return out
+            return {e: v["ls"] for e, v in out.items()}
 
         return ls
 
 
+def merge_snapshots(snapshots: DataFrame, kind: str) -> DataFrame:
+    """K24 on a table of snapshots: (state_key, action, value), the average of every key over all episodes' epochs."""
+    return q_merge([snapshots.filter(F.col("kind") == kind).select("state_key", "action", "value")], "value")
+
+
+def _snapshot_table(spark, rows: list) -> DataFrame:
+    return spark.createDataFrame(rows, "episode int, epoch int, state_key string, action string, kind string, value double")
+
+
+def _parse_edges(text: str) -> list:
+    return [tuple(e.split(">")) for e in text.split(";")] if text else []
+
+
 def _neg(s: str):
     return tuple(-ord(c) for c in s)
 

@@ -105,7 +105,9 @@ class HighOrderEncoder:
     """K3–K5: per feature, the code of (feature value, parent values), compressed to the
     observed combinations (fitted once), plus the K4 constraint groups.
 
-    ``vocab[f]`` = sorted observed radix codes (model-sized, bounded by min(N, Π cards)).
+    The vocabularies of all features are one ranked table ``book`` (f, radix code, cfg: the parents' part of it, value: the feature's
+    own, i: rank of the code within the feature), of at most min(N, Π cards) rows a feature; ``sizes`` has the rows of each. Nothing of it
+    passes through the driver.
     """
 
     features: list[str]
@@ -113,7 +115,8 @@ class HighOrderEncoder:
     k: int
     cards: dict
     parents: dict = field(default_factory=dict)
-    vocab: dict = field(default_factory=dict)
+    book: DataFrame | None = None
+    sizes: dict = field(default_factory=dict)
     edges: list = field(default_factory=list)
 
     @classmethod
@@ -121,44 +124,51 @@ class HighOrderEncoder:
             edges: Sequence[Edge] | None = None) -> "HighOrderEncoder":
         edges = list(edges) if edges is not None else kdb_structure(df, features, label, k)
         parents = parents_without_label(edges, label, features)
-        return cls(list(features), label, k, dict(cards), parents, {}, edges).fit_vocabulary(df)
+        return cls(list(features), label, k, dict(cards), parents, edges=edges).fit_vocabulary(df)
+
+    def _kind(self) -> str:
+        wide = any(math.prod(int(self.cards[c]) for c in [*self.parents[f], f]) >= 2**63 for f in self.features)
+        return "decimal(38,0)" if wide else "long"
+
+    def _entry(self, f: str):
+        """(code, cfg, value) of a row for a feature."""
+        code = radix_code_expr(f, self.parents[f], self.cards).cast(self._kind())
+        cfg = pack_codes([(F.col(p), int(self.cards[p])) for p in self.parents[f]]).cast(self._kind())
+        return code.alias("code"), cfg.alias("cfg"), F.col(f).cast("int").alias("value")
 
     def fit_vocabulary(self, df: DataFrame) -> "HighOrderEncoder":
-        """Observed codes of every feature, one distributed distinct per feature."""
-        for f in self.features:
-            codes = df.select(radix_code_expr(f, self.parents[f], self.cards).alias("c")).distinct().filter("c is not null")
-            self.vocab[f] = sorted(r["c"] for r in codes.collect())
+        """Observed codes of all features: one distributed distinct and one distributed rank."""
+        from bayesloom.operators.encode import ranked
+
+        entries = [F.struct(F.lit(i).alias("f"), *self._entry(f)) for i, f in enumerate(self.features)]
+        seen = df.select(F.inline(F.array(*entries))).filter("code is not null").distinct()
+        self.book, sizes = ranked(seen, "f", ["code"], "i")
+        self.sizes = {f: sizes.get(i, 0) for i, f in enumerate(self.features)}
         return self
 
     def transform(self, df: DataFrame, suffix: str = "_ho") -> DataFrame:
-        """Ordinal high-order code per feature (unseen combination → −1)."""
-        for f in self.features:
-            code = radix_code_expr(f, self.parents[f], self.cards)
-            book = df.sparkSession.createDataFrame(list(enumerate(self.vocab[f])), f"__i int, __v {'decimal(38,0)' if self._wide(f) else 'long'}")
-            df = (df.withColumn("__c", code).join(book, F.col("__c") == F.col("__v"), "left")
+        """Ordinal high-order code per feature (unseen combination → −1): a join with the feature's page of the book, which is
+        broadcast only if it's small enough by its size."""
+        from bayesloom.operators.sample import fits_broadcast
+
+        for n, f in enumerate(self.features):
+            page = self.book.filter(F.col("f") == n).select(F.col("code").alias("__v"), F.col("i").cast("int").alias("__i"))
+            page = F.broadcast(page) if fits_broadcast(self.sizes[f], 0) else page
+            code = self._entry(f)[0]
+            df = (df.withColumn("__c", code).join(page, F.col("__c") == F.col("__v"), "left")
                   .withColumn(f + suffix, F.coalesce("__i", F.lit(-1)).cast("int")).drop("__c", "__v", "__i"))
         return df
 
-    def _wide(self, f: str) -> bool:
-        return math.prod(int(self.cards[c]) for c in [*self.parents[f], f]) >= 2**63
+    @property
+    def vocab(self) -> dict[str, list[int]]:
+        """The codes in order, on the driver: for vocabularies known to be small."""
+        return {f: [int(r["code"]) for r in self.book.filter(F.col("f") == n).orderBy("i").select("code").collect()]
+                for n, f in enumerate(self.features)}
 
-    def constraints(self) -> dict:
-        """K4: for each feature, observed parent configurations in code order with the
-        number of child values seen under each (group sizes of the softmax)."""
-        out = {}
-        for f in self.features:
-            r = self.cards[f]
-            groups: dict = {}
-            for code in self.vocab[f]:
-                groups.setdefault(code // r, 0)
-                groups[code // r] += 1
-            out[f] = [groups[g] for g in sorted(groups)]
-        return out
-
-    def group_of(self, f: str) -> list[int]:
-        """Parent-configuration id of every vocabulary entry of feature ``f``."""
-        r = self.cards[f]
-        return [code // r for code in self.vocab[f]]
+    def constraints(self) -> DataFrame:
+        """K4: (f, cfg, n): for each feature and observed parent configuration the number of child values seen under it
+        (the sizes of the softmax groups)."""
+        return self.book.groupBy("f", "cfg").agg(F.count(F.lit(1)).alias("n"))
 
 
 def high_order_constraints(df: DataFrame, child: str, parents: Sequence[str]) -> DataFrame:
@@ -249,6 +259,12 @@ def changed_families(edges: Sequence[Edge], op: Op) -> list[str]:
     return [y] if kind in ("+", "-") else [x, y]
 
 
+def move_families(edges: Sequence[Edge], nodes: Sequence[str], op: Op) -> list[tuple]:
+    """Families that a move changes, before and after it."""
+    old, new = parent_sets(edges, nodes), parent_sets(apply_op(edges, op), nodes)
+    return [(c, ps[c]) for c in changed_families(edges, op) for ps in (old, new)]
+
+
 class FamilyScoreCache:
     """Driver-side cache of local scores keyed by (child, parents); misses of one step are
     scored together in a single Spark job (K11)."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from bayesloom.operators import structure as K
 from bayesloom.operators.counts import compact
-from bayesloom.operators.cpt import CPT_SCHEMA, fit_cpts, with_intervals
+from bayesloom.operators.cpt import fit_cpts, weights_to_cpts
 from bayesloom.operators.evaluate import discriminator, tstr
 from bayesloom.operators.predict import GaussianNB
 from bayesloom.operators.sample import ancestral_sample, gaussian_nb_sample
@@ -83,34 +83,36 @@ class KDependenceGenerator:
     cards: dict = field(default_factory=dict)
     edges: list = field(default_factory=list)
     cpts: DataFrame | None = None
+    weights: DiscriminativeWeights | None = None
     history: list = field(default_factory=list)
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str, cards: dict, key: str = "row_key") -> "KDependenceGenerator":
-        spark = df.sparkSession
         self.nodes, self.label, self.cards = list(features) + [label], label, dict(cards)
         base = cached(compact(df, self.nodes))
         enc = K.HighOrderEncoder.fit(base, list(features), label, cards, self.k,
                                      edges=K.kdb_structure(base, list(features), label, self.k, weight="w", compacted=True))
         self.edges = enc.edges
         ho = cached(enc.transform(base))
-        classes = [r[0] for r in base.select(label).distinct().orderBy(label).collect()]
-        w = DiscriminativeWeights(enc, label, classes)
-        w.init_from_counts(ho)
+        classes = [r[0] for r in base.select(label).distinct().orderBy(label).collect()]  # at most the label's card
+        self.weights = DiscriminativeWeights(enc, label, classes)
+        self.weights.init_from_counts(ho)
         for ep in range(self.epochs):
-            ll = w.epoch(ho, self.lr)
-            rec = {"epoch": ep, "cond_ll": ll}
+            rec = {"epoch": ep, "cond_ll": self.weights.epoch(ho, self.lr)}
             if self.gan:
-                self._set_cpts(spark, w)
-                syn = self.sample(int(base.agg(F.sum("w")).first()[0]), seed=ep)
+                self._set_cpts()
+                syn = self.sample(int(self.weights.n_rows), seed=ep)
                 rec.update(discriminator(df, syn, list(features), key=key))
             self.history.append(rec)
-        self._set_cpts(spark, w)
+        self._set_cpts()
+        ho.unpersist()
+        base.unpersist()
         return self
 
-    def _set_cpts(self, spark, w):
-        rows = w.cpt_rows(self.cards)
-        raw = spark.createDataFrame(rows, "child string, pa array<int>, value int, p double")
-        self.cpts = cached(with_intervals(raw.withColumnRenamed("p", "__p"), p_col="__p"))
+    def _set_cpts(self) -> None:
+        old, self.cpts = self.cpts, cached(weights_to_cpts(self.weights.log_weights(), self.cards))
+        self.cpts.count()  # the weights of the next epoch take the place of these
+        if old is not None:
+            old.unpersist()
 
     def sample(self, n: int, seed: int = 42) -> DataFrame:
         spark = self.cpts.sparkSession

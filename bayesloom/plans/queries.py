@@ -6,6 +6,8 @@ plain SQL (DuckDB dialect) where the operator is expressible in SQL.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from bayesloom.operators.cpt import cpt_check, cpt_check_summary, fit_cpts
 from bayesloom.operators.predict import GaussianNB, bn_map_predict
 from bayesloom.operators.sample import ancestral_sample, gaussian_nb_sample, union_labelled
 from bayesloom.plans import oracle_sql as O
+from bayesloom.plans import generator_sql, search_sql
 from bayesloom.sources.tables import model_view, read
 
 REGISTRY: dict = {}
@@ -950,35 +953,72 @@ def q_mixed_synth(spark, d):
 
 # ------------------------------------------------------------------ iterative models and evaluation (no SQL form)
 
-@register("kdb_generator_sample")
-def q_kdb_generator(spark, d):
-    """G12 (G3 + G4 + G6): discriminatively tuned kDB, N synthetic rows."""
+def _generator(spark, d):
     from bayesloom.plans.models import KDependenceGenerator
     v = _li(spark, d)
-    g = KDependenceGenerator(k=2, epochs=2).fit(v.df, v.features, v.label, v.cards())
+    return v, KDependenceGenerator(k=2).fit(v.df, v.features, v.label, v.cards())
+
+
+@register("kdb_generator_sample", generator_sql.generator_sample("li", O.LI_FEATURES, "target"))
+def q_kdb_generator(spark, d):
+    """G12 (K1 + K5 + G3 + G4 + G6): discriminatively tuned kDB, N synthetic rows."""
+    v, g = _generator(spark, d)
     return g.sample(int(v.df.count()), 42)
 
 
-@register("kdb_generator_cpts")
+@register("kdb_generator_cpts", generator_sql.generator_cpts("li", O.LI_FEATURES, "target"))
 def q_kdb_generator_cpts(spark, d):
     """G3 + G4: the tuned weights as CPT rows (each configuration sums to 1)."""
-    from bayesloom.plans.models import KDependenceGenerator
-    v = _li(spark, d)
-    g = KDependenceGenerator(k=2, epochs=2).fit(v.df, v.features, v.label, v.cards())
-    return g.cpts
+    pa = F.concat_ws(",", F.transform("pa", lambda x: x.cast("string")))
+    return _generator(spark, d)[1].cpts.select("child", pa.alias("pa"), "value", _r("p").alias("p"))
 
 
-def _search(spark, d):
+_SMALL = ["nation", "region"]
+_SEARCH = {"episodes": 3, "epochs": 3, "n": 1, "epsilon": 0.5}
+
+
+@functools.lru_cache(1)
+def _last_search(application: str, d: str):
+    """The small search of this session and folder: its queries are tables of one run."""
     from bayesloom.operators.search import HybridSearch
-    v = _li(spark, d)
-    hs = HybridSearch(v.nodes, v.label, v.cards(), episodes=2, epochs=2, n=2)
-    return hs.run(v.df)
+    v = model_view(SparkSession.getActiveSession(), d, "cust")
+    return HybridSearch([*_SMALL, "target"], "target", v.cards(), gan=False, **_SEARCH).run(v.df)
 
 
-@register("hybrid_search_log")
+def _search(spark, d):
+    return _last_search(spark.sparkContext.applicationId, d)
+
+
+@register("hybrid_search_log", search_sql.hybrid_search(_SMALL, "target", **_SEARCH) + "SELECT episode, epoch, step, state_key, action, "
+          "round(reward, 6) AS reward, next_state_key, 0e0 AS ls FROM log")
 def q_search_log(spark, d):
-    """K27 (with K17–K20): transition log of a two-episode hybrid search."""
-    return _search(spark, d).log
+    """K27 (with K10–K12, K16–K23): transition log of three lock-step episodes over customers."""
+    return _search(spark, d).log.withColumn("reward", _r("reward"))
+
+
+@register("hybrid_search_q", search_sql.hybrid_search(_SMALL, "target", **_SEARCH) + "SELECT state_key, action, 'q' AS kind, round(avg(q), 6) AS value FROM "
+          "qs GROUP BY state_key, action UNION ALL SELECT state_key, action, 'policy', round(avg(value), 6) FROM ps GROUP BY state_key, action")
+def q_search_q(spark, d):
+    """K24 in K27: Q and policy averaged over all episodes' snapshots."""
+    r = _search(spark, d)
+    return (r.q.select("state_key", "action", F.lit("q").alias("kind"), _r("q").alias("value"))
+            .unionByName(r.policy.select("state_key", "action", F.lit("policy").alias("kind"), _r("value").alias("value"))))
+
+
+@register("hybrid_search_best", search_sql.hybrid_search(_SMALL, "target", **_SEARCH) + "SELECT state_key, edges, round(score, 6) AS score FROM reached "
+          "ORDER BY round(reached.score, 9) DESC, state_key LIMIT 1")
+def q_search_best(spark, d):
+    """K25 in K27: the best structure reached after any step."""
+    from bayesloom.operators.search import select_best_structure
+    return select_best_structure(_search(spark, d).candidates).select("state_key", "edges", _r("score").alias("score"))
+
+
+@register("hybrid_search_gan")
+def q_search_gan(spark, d):
+    """K27 + V7: the search over line items with the operator's defaults, discriminator and all."""
+    from bayesloom.operators.search import HybridSearch
+    v = _li(spark, d)
+    return HybridSearch(v.nodes, v.label, v.cards()).run(v.df).log
 
 
 def _tstr_setup(spark, d):

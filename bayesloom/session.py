@@ -64,7 +64,18 @@ def written(df: DataFrame) -> DataFrame:
     """A small table written to the shared folder and read back: plans that read it know its size and not its history."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_written"] = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table made by ``written`` that nothing reads any more."""
+    path = df.__dict__.get("_written")
+    if path:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cached(df: DataFrame) -> DataFrame:

@@ -97,3 +97,70 @@ def test_perceptron_stops_early_and_learns(spark):
     hits = model.transform(data).filter("prediction = label").count()
     assert hits == 400
     assert fit_perceptron(classifier("mlp", 2, 2), data.limit(1)) is not None
+
+
+def lockstep(df, **kw):
+    cards = {"a": 3, "b": 3, "c": 2, "y": 2}
+    return HybridSearch(["a", "b", "c", "y"], "y", cards, **kw).run(df)
+
+
+def test_episodes_in_lock_step_move_as_they_would_alone(spark):
+    """The log of three episodes is that of three runs of one, with their discriminators; jobs follow the steps."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows(300))], "row_key int, a int, b int, c int, y int").persist()
+    settings = {"epochs": 2, "n": 1, "epsilon": 0.4, "seed": 11, "gan": True}
+    together = lockstep(df, episodes=3, **settings)
+    log = [tuple(r) for r in together.log.orderBy("episode", "epoch", "step").collect()]
+    alone = []
+    for i in range(3):
+        alone += [tuple(r) for r in lockstep(df, episodes=1, first_episode=i, **settings).log.orderBy("epoch", "step").collect()]
+    assert [r[:5] + r[6:7] for r in log] == [r[:5] + r[6:7] for r in alone]
+    assert np.allclose([(r[5], r[7]) for r in log], [(r[5], r[7]) for r in alone])
+    assert len({tuple(r[4] for r in log if r[0] == i) for i in range(3)}) > 1  # they do go different ways
+    assert together.jobs <= 1 + 2 * (1 + 1)
+    assert all(0.4 <= r[7] <= 1.0 for r in log)
+
+
+def test_the_best_structure_is_the_best_one_reached(spark):
+    data = rows()
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "row_key int, a int, b int, c int, y int").persist()
+    for seed in (1, 2, 3):
+        res = lockstep(df, episodes=1, epochs=1, n=3, epsilon=1.0, gan=False, seed=seed)
+        scores = [r["score"] for r in res.candidates.collect()]
+        assert len(scores) == 5 and res.best_score == pytest.approx(max(scores), abs=1e-8)
+        at = {n: i for i, n in enumerate("abcy")}
+        assert bic(data, {(at[s], at[t]) for s, t in res.best_edges}, {0: 3, 1: 3, 2: 2, 3: 2}) == pytest.approx(res.best_score)
+
+
+def test_batches_start_from_the_average_of_all_snapshots(spark):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows(200))], "row_key int, a int, b int, c int, y int").persist()
+    res = lockstep(df, episodes=4, parallel=2, epochs=2, n=1, gan=False, epsilon=0.5)
+    snaps = res.snapshots.collect()
+    for kind, table, name in (("q", res.q, "q"), ("policy", res.policy, "value")):
+        mean = {}
+        for r in snaps:
+            if r["kind"] == kind:
+                mean.setdefault((r["state_key"], r["action"]), []).append(r["value"])
+        got = {(r["state_key"], r["action"]): r[name] for r in table.collect()}
+        assert got.keys() == mean.keys() and all(got[k] == pytest.approx(sum(v) / len(v)) for k, v in mean.items())
+    first = {(r["state_key"], r["action"]): r["value"] for r in snaps if r["kind"] == "q" and r["episode"] < 2 and r["epoch"] == 1}
+    later = {(r["state_key"], r["action"]) for r in snaps if r["kind"] == "q" and r["episode"] == 2 and r["epoch"] == 0}
+    assert set(first) <= later  # the second batch knows what the first one learned
+
+
+def test_many_values_few_of_them_seen(spark):
+    """A card of 100,000 with a hundredth seen: the lookup is far below the broadcast bound and draws follow the counts."""
+    from bayesloom.operators.cpt import fit_cpts
+    from bayesloom.operators.sample import BROADCAST_BYTES, ancestral_sample, interval_tables
+
+    card = 100_000
+    df = spark.range(20_000).selectExpr("int(id % 3) AS p", "int((id % 1000) * 97 + id % 3) AS x")
+    cpts = fit_cpts(df, [("p", "x")], ["p", "x"])
+    k, cells, most = interval_tables(cpts, ["p", "x"])["x"]
+    assert (k, most) == (3, 1000) and 48 * k + 12 * cells < BROADCAST_BYTES / 100
+    s = ancestral_sample(spark, cpts, [("p", "x")], ["p", "x"], {"p": 3, "x": card}, 30_000)
+    assert s.join(df.distinct(), ["p", "x"], "left_anti").count() == 0
+    want = df.groupBy("p", "x").count().selectExpr("p", "x", "count / 20000 AS f")
+    off = s.groupBy("p", "x").count().join(want, ["p", "x"], "full_outer").selectExpr("sum(abs(coalesce(count, 0) / 30000 - f)) / 2 AS tv").first()[0]
+    assert off < 0.16  # 3,000 cells of ten draws each
+    rare = ancestral_sample(spark, cpts.filter("child = 'p' OR get(pa, 0) < 2"), [("p", "x")], ["p", "x"], {"p": 3, "x": card}, 3000).filter("p = 2")
+    assert rare.select("x").distinct().count() > 900  # unseen configuration: uniform over the domain
