@@ -1,6 +1,7 @@
 """Column expressions shared by the operators (all JVM-side, codegen friendly)."""
 
 from bayesloom.functions.exprs import (  # noqa: F401
+    digamma_sql,
     hash_uniform,
     hash_uniform_block,
     hash_uniform_block_sql,

@@ -148,6 +148,15 @@ def hash_uniform_block_sql(key_sql: str, block: int, slot: int, seed, dialect: s
     return f"((CAST(conv(substr({inner}, {8 * slot + 1}, 8), 16, 10) AS DOUBLE) + 0.5) / {TWO_32})"
 
 
+def digamma_sql(x: str) -> str:
+    """ψ(x) for x > 0: the asymptotic series at x+6, shifted back by six reciprocals."""
+    z = f"({x} + 6.0)"
+    shift = " + ".join(f"1.0 / ({x} + {k}.0)" for k in range(6))
+    series = (f"(ln({z}) - 1.0 / (2.0 * {z}) - 1.0 / (12.0 * power({z}, 2)) + 1.0 / (120.0 * power({z}, 4)) "
+              f"- 1.0 / (252.0 * power({z}, 6)) + 1.0 / (240.0 * power({z}, 8)))")
+    return f"({series} - ({shift}))"
+
+
 def pack_codes(codes: list[tuple[Column, int]]) -> Column:
     """Mixed-radix key of (code, card) pairs, the last one lowest; null if any code is null, negative or not below its
     card, so that no configuration takes another one's key. A decimal where a long could overflow."""

@@ -108,11 +108,11 @@ def _phi(z: float) -> float:
 class MixtureDiscretiser:
     """M1–M5: per column a Gaussian mixture on min-max-scaled values.
 
-    Fit (M1) is EM on the *compacted* column (distinct value, count): one aggregation
-    per iteration over all columns at once. Components whose weight falls under
-    ``prune`` are dropped (stands in for the Dirichlet-process prior). Modes are numbered
-    0..m−1 by mean. code = 8·mode + z-bin (M3); decode (M4) draws a truncated normal
-    inside the bin with a hash uniform (M5) and un-scales.
+    Fit (M1) runs on the *compacted* columns (distinct value, count), one aggregation per step over all columns at once:
+    ``method="dirichlet"`` is a Dirichlet-process mixture by variational Bayes (:mod:`bayesloom.operators.dirichlet`), which keeps the
+    components that are the most likely one of some value; ``method="em"`` is plain EM, which drops components whose weight falls
+    under ``prune``. Modes are numbered 0..m−1 by mean. code = 8·mode + z-bin (M3); decode (M4) draws a truncated normal
+    inside the bin with a hash uniform (M5) and un-scales. ``converged`` and ``steps`` tell how each column's fit ended.
     """
 
     columns: list[str]
@@ -121,10 +121,12 @@ class MixtureDiscretiser:
     mu: dict[str, list[float]] = field(default_factory=dict)
     sigma: dict[str, list[float]] = field(default_factory=dict)
     converged: bool = True
+    offsets: dict[str, list[float]] = field(default_factory=dict)
+    ends: dict[str, tuple[bool, int]] = field(default_factory=dict)
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], k: int = 10, max_iter: int = 1500, tol: float = 1e-5,
-            prune: float = 1e-3, reg: float = 1e-6) -> "MixtureDiscretiser":
+            prune: float = 1e-3, reg: float = 1e-6, method: str = "dirichlet", mean_precision: float = 0.1) -> "MixtureDiscretiser":
         from bayesloom.session import cached
 
         scaler = MinMaxScaler.fit(df, columns)
@@ -143,6 +145,10 @@ class MixtureDiscretiser:
         w = {r["column"]: [1.0 / k] * k for r in init}
         mu = {r["column"]: [float(v) for v in start[r["column"]]] for r in init}
         sg = {r["column"]: [max((r["s"] or 0.0) / k, 1e-3)] * k for r in init}
+        if method == "dirichlet":
+            out = cls._dirichlet(compact, columns, scaler, mu, sg, k, max_iter, tol, mean_precision)
+            compact.unpersist()
+            return out
         prev_ll, converged, exprs = None, False, cls._em_exprs(k)
         for _ in range(max_iter):
             stats, ll = cls._em_step(compact, columns, w, mu, sg, k, exprs)
@@ -175,11 +181,35 @@ class MixtureDiscretiser:
             sigmas[c] = [sg[c][j] for j in keep]
         return cls(list(columns), scaler, weights, mus, sigmas, converged)
 
+    @classmethod
+    def _dirichlet(cls, compact, columns, scaler, mu, sg, k, max_iter, tol, mean_precision) -> "MixtureDiscretiser":
+        from bayesloom.operators.dirichlet import variational_fit
+
+        post = variational_fit(compact, {c: (mu[c], sg[c][0]) for c in mu}, k, max_iter, tol, mean_precision=mean_precision)
+        whole = cls(list(columns), scaler, {c: p.share for c, p in post.items()}, {c: p.mu for c, p in post.items()},
+                    {c: p.sigma for c, p in post.items()}, offsets={c: p.offset for c, p in post.items()})
+        used = None  # modes that some value falls to
+        for c in post:
+            part = compact.filter(F.col("column") == c).select(F.lit(c).alias("c"), whole.mode_expr(c, F.col("x")).alias("j"))
+            used = part if used is None else used.unionByName(part)
+        kept: dict[str, list[int]] = {}
+        for r in (used.distinct().collect() if used is not None else []):
+            kept.setdefault(r["c"], []).append(r["j"])
+        out = cls(list(columns), scaler, converged=all(p.converged for p in post.values()),
+                  ends={c: (p.converged, p.steps) for c, p in post.items()})
+        for c in columns:
+            if c not in post:  # no value at all
+                out.weights[c], out.mu[c], out.sigma[c], out.offsets[c] = [1.0], [0.0], [1.0], [0.0]
+                continue
+            p, keep = post[c], sorted(kept[c], key=lambda j: (post[c].mu[j], j))
+            total = sum(p.share[j] for j in keep)
+            out.weights[c] = [p.share[j] / total for j in keep]
+            out.mu[c], out.sigma[c], out.offsets[c] = ([values[j] for j in keep] for values in (p.mu, p.sigma, p.offset))
+        return out
+
     @staticmethod
-    def _log_dens(x: Column, wj: float, mj: float, sj: float) -> Column:
-        if wj <= 0:
-            return F.lit(-1e300)
-        return F.lit(math.log(wj) - math.log(sj) - 0.5 * math.log(2 * math.pi)) - F.pow((x - F.lit(mj)) / F.lit(sj), 2) / 2
+    def _log_dens(x: Column, offset: float, mj: float, sj: float) -> Column:
+        return F.lit(offset - math.log(sj)) - F.pow((x - F.lit(mj)) / F.lit(sj), 2) / 2
 
     @classmethod
     def _em_exprs(cls, k: int):
@@ -230,7 +260,8 @@ class MixtureDiscretiser:
         ws, ms, ss = self.weights[c], self.mu[c], self.sigma[c]
         if len(ws) == 1:
             return F.lit(0)
-        arr = F.array(*[self._log_dens(x, ws[j], ms[j], ss[j]) for j in range(len(ws))])
+        offsets = self.offsets.get(c) or [math.log(w) if w > 0 else -1e300 for w in ws]
+        arr = F.array(*[self._log_dens(x, offsets[j], ms[j], ss[j]) for j in range(len(ws))])
         return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
 
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:

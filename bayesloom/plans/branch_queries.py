@@ -404,6 +404,37 @@ def _em_sql(steps: int) -> str:
 def q_mixture_two_steps(spark, d):
     """M1: two EM steps of two modes from the start by quantiles of the rows."""
     from bayesloom.operators.discretise import MixtureDiscretiser
+    m = MixtureDiscretiser.fit(read(spark, d, "lineitem").select("l_quantity"), ["l_quantity"], k=2, max_iter=2, tol=0.0, method="em")
+    rows = [(j, *(round(p["l_quantity"][j], 8) for p in (m.weights, m.mu, m.sigma))) for j in range(2)]
+    return spark.createDataFrame(rows, "mode int, weight double, mu double, sigma double")
+
+
+def _variational_sql(steps: int, gamma: float = 0.5, beta0: float = 0.1) -> str:
+    """Two components, truncated stick-breaking: posterior after ``steps`` from the start by quantiles."""
+    from bayesloom.functions import digamma_sql as psi
+    ctes = [f"{_QTY}, v AS (SELECT x, count(*) * 1e0 AS w FROM sc GROUP BY x)", "base AS (SELECT avg(x) AS m0, greatest(var_samp(x), 1e-6) AS v0 FROM sc)",
+            "p0 AS (SELECT ln(0.5) AS o1, ln(0.5) AS o2, quantile_disc(x, 0.25) AS m1, quantile_disc(x, 0.75) AS m2, "
+            "greatest(stddev_pop(x) / 2, 1e-3) AS s1, greatest(stddev_pop(x) / 2, 1e-3) AS s2, 0.5 AS w1, 0.5 AS w2 FROM sc)"]
+    for i in range(steps):
+        log = lambda j: f"(o{j} - ln(s{j}) - 0.5 * power((x - m{j}) / s{j}, 2))"
+        ctes.append(f"e{i} AS (SELECT x - m0 AS d, v.w, 1 / (1 + exp({log(2)} - {log(1)})) AS r FROM v, p{i}, base)")
+        ctes.append(f"a{i} AS (SELECT sum(w * r) AS n1, sum(w * (1 - r)) AS n2, sum(w * r * d) AS x1, sum(w * (1 - r) * d) AS x2, "
+                    f"sum(w * r * d * d) AS q1, sum(w * (1 - r) * d * d) AS q2 FROM e{i})")
+        var = lambda j: (f"((v0 + greatest(q{j} - x{j} * x{j} / n{j}, 0) + n{j} * {beta0} / (n{j} + {beta0}) * power(x{j} / n{j}, 2)) / (n{j} + 1))")
+        kernel = lambda j: f"- ln(n{j} + 1) / 2 + (ln(2.0) + {psi(f'((n{j} + 1) / 2)')} - 1 / (n{j} + {beta0})) / 2"
+        in1, out1 = (f"({psi(f'({t})')} - {psi(f'(1 + n1 + {gamma} + n2)')})" for t in ("1 + n1", f"{gamma} + n2"))
+        in2 = f"({psi('(1 + n2)')} - {psi(f'(1 + n2 + {gamma})')})"
+        share = f"((1 + n1) / (1 + n1 + {gamma} + n2))"
+        ctes.append(f"p{i + 1} AS (SELECT {in1} {kernel(1)} AS o1, {in2} + {out1} {kernel(2)} AS o2, m0 + x1 / (n1 + {beta0}) AS m1, m0 + x2 / (n2 + {beta0}) AS m2, "
+                    f"sqrt({var(1)}) AS s1, sqrt({var(2)}) AS s2, {share} AS w1, (1 - {share}) * (1 + n2) / (1 + n2 + {gamma}) AS w2 FROM a{i}, base)")
+    return ", ".join(ctes) + "".join(f" {'UNION ALL ' if j == 2 else ''}SELECT {j - 1} AS mode, round(w{j} / (w1 + w2), 8) AS weight, round(m{j}, 8) AS mu, "
+                                     f"round(s{j}, 8) AS sigma FROM p{steps}" for j in (1, 2))
+
+
+@register("mixture_variational_steps", _variational_sql(2))
+def q_mixture_variational(spark, d):
+    """M1: two steps of the Dirichlet-process mixture of two components, from the start by quantiles of the rows."""
+    from bayesloom.operators.discretise import MixtureDiscretiser
     m = MixtureDiscretiser.fit(read(spark, d, "lineitem").select("l_quantity"), ["l_quantity"], k=2, max_iter=2, tol=0.0)
     rows = [(j, *(round(p["l_quantity"][j], 8) for p in (m.weights, m.mu, m.sigma))) for j in range(2)]
     return spark.createDataFrame(rows, "mode int, weight double, mu double, sigma double")

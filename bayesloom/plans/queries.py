@@ -899,7 +899,7 @@ def q_mixture_discretise(spark, d):
     """M1–M3 with one mode per column: code = 8·mode + z-bin of the min-max-scaled value."""
     from bayesloom.operators.discretise import MixtureDiscretiser
     li = read(spark, d, "lineitem").select(F.expr(LI_KEY).alias("row_key"), *_MIX)
-    m = _twelve_digits(MixtureDiscretiser.fit(li, _MIX, k=1))
+    m = _twelve_digits(MixtureDiscretiser.fit(li, _MIX, k=1, method="em"))
     return m.transform(li).select("row_key", *_MIX)
 
 
@@ -924,19 +924,18 @@ def q_mixture_decode(spark, d):
     """M4 + M5: codes back to values, truncated normal inside the bin, then un-scaled."""
     from bayesloom.operators.discretise import MixtureDiscretiser
     li = read(spark, d, "lineitem").select(F.expr(LI_KEY).alias("row_key"), *_MIX)
-    m = _twelve_digits(MixtureDiscretiser.fit(li, _MIX, k=1))
+    m = _twelve_digits(MixtureDiscretiser.fit(li, _MIX, k=1, method="em"))
     back = m.inverse(m.transform(li), "row_key", 42)
     return back.select("row_key", *[_r(c, 4).alias(c) for c in _MIX])
 
 
 @register("mixture_fit")
 def q_mixture_fit(spark, d):
-    """M1: 10-component mixture per column (EM on compacted values), pruned modes."""
+    """M1: Dirichlet-process mixture of ten components per column, to convergence; the modes in use, and how the fit ended."""
     from bayesloom.operators.discretise import MixtureDiscretiser
-    li = read(spark, d, "lineitem").select(*_MIX)
-    m = MixtureDiscretiser.fit(li, _MIX, k=10, max_iter=50)
-    rows = [(c, j, m.weights[c][j], m.mu[c][j], m.sigma[c][j]) for c in _MIX for j in range(len(m.mu[c]))]
-    return spark.createDataFrame(rows, "col_name string, mode int, weight double, mu double, sigma double")
+    m = MixtureDiscretiser.fit(read(spark, d, "lineitem").select(*_MIX), _MIX)
+    rows = [(c, j, m.weights[c][j], m.mu[c][j], m.sigma[c][j], *m.ends[c]) for c in _MIX for j in range(len(m.mu[c]))]
+    return spark.createDataFrame(rows, "col_name string, mode int, weight double, mu double, sigma double, converged boolean, steps int")
 
 
 @register("mixed_synth_sample")
@@ -946,7 +945,7 @@ def q_mixed_synth(spark, d):
     v = _li(spark, d)
     raw = read(spark, d, "lineitem").select(F.expr(LI_KEY).alias("row_key"), *_MIX)
     df = v.df.select("row_key", "disc_b", "tax_b", "status", "target").join(raw, "row_key")
-    m = MixedSynthesizer(numeric=_MIX, k_modes=5, k=2, epochs=0)
+    m = MixedSynthesizer(numeric=_MIX)
     m.fit(df, _MIX + ["disc_b", "tax_b", "status"], "target", v.cards())
     return m.sample(int(df.count()), 42)
 
