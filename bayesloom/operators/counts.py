@@ -91,21 +91,28 @@ def smooth_backoff(df: DataFrame, child: str, parents: Sequence[str], cards: dic
                    weight: str | None = None) -> DataFrame:
     """C4: P(child | p1..pk) on the dense domain; a zero cell takes the estimate with the
     last parent summed out, recursively (levels k, k−1, …, 1; level 0 is the marginal)."""
-    spark = df.sparkSession
-    cols = [child, *parents]
-    dom = dense_domain(spark, cols, cards)
-    base = compact(df, cols, weight)
-    probs = []
-    for lvl in range(len(parents), -1, -1):
-        keep = [child, *parents[:lvl]]
-        ct = base.groupBy(*keep).agg(F.sum("w").alias("n"))
-        grp = list(parents[:lvl])
-        wdw = Window.partitionBy(*grp) if grp else Window.partitionBy(F.lit(0))
-        ct = ct.withColumn(f"__p{lvl}", F.col("n") / F.sum("n").over(wdw)).drop("n")
-        dom = dom.join(ct, on=keep, how="left")
-        probs.append(f"__p{lvl}")
-    chain = [F.when(F.col(p) > 0, F.col(p)) for p in probs[:-1]] + [F.coalesce(F.col(probs[-1]), F.lit(0.0))]
-    return dom.withColumn("p", F.coalesce(*chain)).drop(*probs)
+    k, cols = len(parents), [child, *parents]
+    dom = dense_domain(df.sparkSession, cols, cards)
+    masked = [f"__m{i}" for i in range(k)]
+    # every level in one aggregation: the parents' prefixes, those left out marked by -1
+    n = F.sum(_weight(weight)).alias("n")
+    if k:
+        rolled = df.groupingSets([[F.col(child), *[F.col(p) for p in parents[:lvl]]] for lvl in range(k + 1)], child, *parents).agg(
+            n, *[F.grouping(p).alias(f"__g{i}") for i, p in enumerate(parents)])
+    else:
+        rolled = df.groupBy(child).agg(n)
+    level = F.lit(k)
+    for i in range(k):
+        level = level - F.col(f"__g{i}").cast("int")
+    rolled = rolled.select(child, level.alias("__level"), "n", *[F.when(F.col(f"__g{i}") == 1, -1).otherwise(F.col(p)).alias(m)
+                                                                 for i, (p, m) in enumerate(zip(parents, masked))])
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("__level", *masked))
+    rolled = rolled.withColumn("__p", share).filter("__p > 0").drop("n")
+    # a cell asks for its prefix on every level and takes the longest one that is there
+    asked = dom.select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("__level"))
+    asked = asked.select("*", *[F.when(F.col("__level") > i, F.col(p)).otherwise(-1).alias(m) for i, (p, m) in enumerate(zip(parents, masked))])
+    found = asked.join(rolled, [child, "__level", *masked], "left")
+    return found.groupBy(*cols).agg(F.coalesce(F.max_by("__p", F.when(F.col("__p").isNotNull(), F.col("__level"))), F.lit(0.0)).alias("p"))
 
 
 def add_uniform(dense: DataFrame, child: str, parents: Sequence[str], count_col: str = "n",
@@ -182,11 +189,11 @@ def rank_features(mi: DataFrame, features: Sequence[str], digits: int = 10) -> D
 
 
 def class_prior(df: DataFrame, label: str, weight: str | None = None) -> DataFrame:
-    """P(y) = class count / N."""
+    """P(y) = class count / N; an empty table has no class."""
     n = F.sum(_weight(weight))
     counts = df.groupBy(label).agg(n.alias("n"))
     total = df.agg(n.alias("t")).first()["t"]
-    return counts.withColumn("prior", F.col("n") / F.lit(float(total)))
+    return counts.withColumn("prior", F.col("n") / F.lit(float(total or 1.0)))
 
 
 def kl_loss(df: DataFrame, p_col: str) -> DataFrame:
@@ -195,11 +202,11 @@ def kl_loss(df: DataFrame, p_col: str) -> DataFrame:
 
 
 def entropy(df: DataFrame, cols: Sequence[str], base: float = 2.0) -> DataFrame:
-    """H(cols) from the joint counts."""
+    """H(cols) from the joint counts; 0 for an empty table."""
     ct = cross_table(df, cols)
     tot = ct.agg(F.sum("n").alias("N")).first()["N"]
-    p = F.col("n") / F.lit(float(tot))
-    return ct.agg((-F.sum(p * F.log(p)) / F.lit(math.log(base))).alias("entropy"))
+    p = F.col("n") / F.lit(float(tot or 1.0))
+    return ct.agg(F.coalesce(-F.sum(p * F.log(p)) / F.lit(math.log(base)), F.lit(0.0)).alias("entropy"))
 
 
 # ---------------------------------------------------------------- similarity of two tables
@@ -225,10 +232,8 @@ def jsd(real: DataFrame, syn: DataFrame, cols: Sequence[str], base: float = 2.0)
 def wasserstein1(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> DataFrame:
     """1-D Wasserstein distance per column, Σ |F(x) − G(x)| · (x_next − x).
 
-    The two empirical CDFs need a running sum over the sorted distinct values. That is
-    a distributed prefix sum (:func:`running_totals`): range-partitioned by (column,
-    value), one pass for partition totals, one ``mapInPandas`` pass for the local sums,
-    so no single task ever holds a whole column.
+    The two empirical CDFs need a running sum over the sorted distinct values, taken in two levels
+    (:func:`running_totals`), so no single task ever holds a whole column.
     """
     a = _long_values(real, cols).groupBy("column", "value").agg(F.count(F.lit(1)).cast("double").alias("a"))
     b = _long_values(syn, cols).groupBy("column", "value").agg(F.count(F.lit(1)).cast("double").alias("b"))
@@ -249,70 +254,22 @@ def running_totals(df: DataFrame, group_col: str, order_col: str, value_cols: Se
     """Cumulative sums of ``value_cols`` per ``group_col`` in ``order_col`` order, plus the
     next ``order_col`` value in the group (``<order>_next``), without a per-group window.
 
-    (group, order) pairs must be unique. Range partitioning keeps each task's slice
-    bounded; partition totals and first keys (one row per partition) go to the driver.
+    (group, order) pairs must be unique. Two levels: rows are range-partitioned into parts and written once, so that their placement
+    stands; the parts' totals (a row per part and group) run up to offsets; windows inside a part add its own running sums.
+    Built-in functions only.
     """
-    import pandas as pd
-
-    from bayesloom.session import cut_lineage
-
-    spark = df.sparkSession
-    p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    srt = cut_lineage(df.repartitionByRange(p, group_col, order_col).sortWithinPartitions(group_col, order_col)
-                      .withColumn("__pid", F.spark_partition_id()))
-    stats = (srt.groupBy("__pid", group_col)
-             .agg(*[F.sum(v).alias(v) for v in value_cols], F.min(order_col).alias("__first"))
-             .collect())
-    # offsets: totals of earlier partitions of the same group; next key: first key of the
-    # group in a later partition
-    by_group: dict = {}
-    for r in stats:
-        by_group.setdefault(r[group_col], []).append(r)
-    offsets, next_first = {}, {}
-    for g, rows in by_group.items():
-        rows.sort(key=lambda r: r["__pid"])
-        acc = {v: 0.0 for v in value_cols}
-        for i, r in enumerate(rows):
-            offsets[(r["__pid"], g)] = dict(acc)
-            for v in value_cols:
-                acc[v] += r[v] or 0.0
-            next_first[(r["__pid"], g)] = rows[i + 1]["__first"] if i + 1 < len(rows) else None
-    schema = T.StructType(list(srt.schema.fields) + [T.StructField(v + "_cum", T.DoubleType()) for v in value_cols]
-                          + [T.StructField(order_col + "_next", srt.schema[order_col].dataType)])
-
-    def fn(batches):
-        running: dict = {}
-        pending = None
-        for pdf in batches:
-            if pending is not None:
-                pdf = pd.concat([pending, pdf], ignore_index=True)
-            # keep the last row until the next batch shows its successor
-            pending = pdf.iloc[-1:].copy()
-            body = pdf.iloc[:-1]
-            if len(body):
-                yield _cum_batch(body, pdf, running, offsets, next_first, group_col, order_col, value_cols, False)
-        if pending is not None and len(pending):
-            yield _cum_batch(pending, pending, running, offsets, next_first, group_col, order_col, value_cols, True)
-
-    return srt.mapInPandas(fn, schema).drop("__pid")
-
-
-def _cum_batch(body, full, running, offsets, next_first, g, o, vals, last):
-    """Vectorised local prefix sums for one Arrow batch of a sorted partition."""
-    body = body.copy()
-    pid = int(body["__pid"].iat[0])
-    keys = body[g]
-    for v in vals:
-        start = keys.map(lambda k, v=v: running.get((pid, k), offsets.get((pid, k), {}))
-                         .get(v, 0.0)).astype("float64")
-        body[v + "_cum"] = body.groupby(g, sort=False)[v].cumsum().astype("float64") + start
-    for k, grp in body.groupby(g, sort=False):
-        running[(pid, k)] = {v: float(grp[v + "_cum"].iat[-1]) for v in vals}
-    nxt = full[o].shift(-1).iloc[:len(body)]
-    nxt_g = full[g].shift(-1).iloc[:len(body)]
-    same = (nxt_g.to_numpy() == keys.to_numpy())
-    if last:
-        same[-1] = False
-    fallback = keys.map(lambda k: next_first.get((pid, k)))
-    body[o + "_next"] = [n if s_ else f for n, s_, f in zip(nxt.to_numpy(), same, fallback.to_numpy())]
-    return body
+    from bayesloom.session import written
+
+    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.repartitionByRange(parts, group_col, order_col).withColumn("__part", F.spark_partition_id()))
+    totals = placed.groupBy(group_col, "__part").agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols], F.min(order_col).alias("__first"))
+    in_order = Window.partitionBy(group_col).orderBy("__part")
+    ahead = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(group_col, "__part", F.lead("__first").over(in_order).alias("__follows"),
+                            *[F.coalesce(F.sum(f"__t_{v}").over(ahead), F.lit(0.0)).alias(f"__o_{v}") for v in value_cols])
+    here = Window.partitionBy(group_col, "__part").orderBy(order_col)
+    run = here.rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.select("*", *[F.sum(v).over(run).alias(f"__c_{v}") for v in value_cols], F.lead(order_col).over(here).alias("__n"))
+    both = local.join(offsets, [group_col, "__part"])
+    return both.select(*df.columns, *[(F.col(f"__c_{v}") + F.col(f"__o_{v}")).alias(f"{v}_cum") for v in value_cols],
+                       F.coalesce("__n", "__follows").alias(f"{order_col}_next"))

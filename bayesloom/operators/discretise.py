@@ -68,9 +68,10 @@ class UniformBins:
 
 @dataclass
 class Preprocessor:
-    """Numeric columns → P5 bins, other columns and a string label → P1 codes.
+    """Numeric columns → P5 bins, other columns and a string label → P1 codes, and the split into train and test rows.
 
-    Column order afterwards: key, numeric features, categorical features, label.
+    Column order afterwards: key, numeric features, categorical features, label. ``split`` is the whole call: bins and dictionaries
+    fitted on the whole table, every row coded, and per class exactly ceil(``test_frac`` · n) rows marked as test rows (P7).
     """
 
     key: str
@@ -92,6 +93,16 @@ class Preprocessor:
         out = self.encoder.transform(self.bins.transform(df))
         return out.select(self.key, *self.numeric, *self.categorical, F.col(self.label).cast("int").alias(self.label))
 
+    @classmethod
+    def split(cls, df: DataFrame, label: str, key: str = "row_key", n_bins: int = 5, test_frac: float = 0.2,
+              seed: int = 42) -> tuple["Preprocessor", DataFrame, DataFrame]:
+        """(fitted preprocessor, train rows, test rows)."""
+        from bayesloom.operators.select import stratified_split
+
+        fitted = cls.fit(df, label, key, n_bins)
+        rows = stratified_split(fitted.transform(df), label, key, test_frac, seed)
+        return fitted, rows.filter(~F.col("is_test")).drop("is_test"), rows.filter("is_test").drop("is_test")
+
 
 # ---------------------------------------------------------------- mixture discretiser
 

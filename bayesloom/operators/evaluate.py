@@ -57,15 +57,24 @@ def classifier(name: str, n_classes: int, n_features: int, n_rows: int | None =
     raise ValueError(f"unknown classifier {name!r}")
 
 
+def held_out(train: DataFrame, parts: int = 10, chunk: int = 10_000) -> DataFrame:
+    """(features, label, part 0 … parts − 1) of every row. Equal rows are counted, numbered ``chunk`` at a time and dealt in turn from a place that
+    is a hash of their values, so a part has its share of each and doesn't depend on the partitioning."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    counted = train.groupBy(vector_to_array("features").alias("a"), "label").agg(F.count(F.lit(1)).alias("n"))
+    pieces = counted.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk))))
+    numbers = F.sequence(F.col("piece") * chunk, F.least((F.col("piece") + 1) * chunk, F.col("n")) - 1)
+    part = F.pmod(F.xxhash64("a", "label") + F.col("number"), F.lit(parts))
+    return pieces.withColumn("number", F.explode(numbers)).select(array_to_vector("a").alias("features"), "label", part.alias("part"))
+
+
 def fit_perceptron(estimator, train: DataFrame, block: int = 10, tol: float = 1e-4, patience: int = 2):
-    """V3: a multilayer perceptron with early stopping. A tenth of the rows (by hash of their values) is held out; the fit goes on in
+    """V3: a multilayer perceptron with early stopping. A tenth of the rows (``held_out``) is held out; the fit goes on in
     blocks of ``block`` iterations from the last weights until ``patience`` blocks in a row don't raise the held-out accuracy by ``tol``,
     or the estimator's own ``maxIter`` is reached. The best model is returned; without held-out rows, that of a plain fit."""
-    from pyspark.ml.functions import vector_to_array
-
-    part = F.pmod(F.xxhash64(F.lit(31), vector_to_array("features"), "label"), F.lit(10))
-    rows = train.withColumn("__part", part).persist()
-    fit_on, held = rows.filter("__part > 0").drop("__part"), rows.filter("__part = 0").drop("__part")
+    rows = held_out(train).persist()
+    fit_on, held = rows.filter("part > 0").drop("part"), rows.filter("part = 0").drop("part")
     if held.isEmpty() or fit_on.isEmpty():
         rows.unpersist()
         return estimator.fit(train)

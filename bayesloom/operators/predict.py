@@ -19,6 +19,8 @@ from bayesloom.operators.scores import parent_sets
 from bayesloom.operators.sample import fits_broadcast
 
 NEG_INF = float("-inf")
+#: variance of a feature that doesn't vary
+MIN_VARIANCE = 1e-12
 # log of a zero probability inside lookup tables: finite, so sums stay finite and roundable
 LOG_ZERO = -1e300
 
@@ -32,7 +34,11 @@ def argmax_expr(scores: Column) -> Column:
 
 @dataclass
 class GaussianNB:
-    """Per class mean, variance (+ var_smoothing·max variance) and prior."""
+    """Per class mean, variance (+ var_smoothing·max variance, ``MIN_VARIANCE`` at least) and prior.
+
+    A class none of whose rows has a feature has no mean for it (None) and the feature no say in the class's likelihood; nor has a null in a
+    row. Features that are constant everywhere have the least variance.
+    """
 
     features: list
     label: str
@@ -50,7 +56,7 @@ class GaussianNB:
             aggs += [F.avg(F.col(f).cast("double")).alias(f"m_{f}"), F.var_pop(F.col(f).cast("double")).alias(f"v_{f}")]
         rows = df.groupBy(label).agg(*aggs).orderBy(label).collect()
         overall = df.agg(*[F.var_pop(F.col(f).cast("double")).alias(f) for f in features]).first()
-        eps = var_smoothing * max(float(overall[f] or 0.0) for f in features)
+        eps = var_smoothing * max((float(overall[f] or 0.0) for f in features), default=0.0)
         total = float(sum(r["__n"] for r in rows))
         m = cls(list(features), label, n_rows=total)
         for r in rows:
@@ -58,8 +64,8 @@ class GaussianNB:
             m.classes.append(c)
             m.prior[c] = r["__n"] / total
             m.counts[c] = int(r["__n"])
-            m.mean[c] = {f: float(r[f"m_{f}"]) for f in features}
-            m.var[c] = {f: float(r[f"v_{f}"]) + eps for f in features}
+            m.mean[c] = {f: None if r[f"m_{f}"] is None else float(r[f"m_{f}"]) for f in features}
+            m.var[c] = {f: max(float(r[f"v_{f}"] or 0.0) + eps, MIN_VARIANCE) for f in features}
         return m
 
     def joint_log_likelihood(self) -> Column:
@@ -68,7 +74,10 @@ class GaussianNB:
             t = F.lit(math.log(self.prior[c]))
             for f in self.features:
                 v = self.var[c][f]
-                t = t - F.lit(0.5 * math.log(2 * math.pi * v)) - F.pow(F.col(f).cast("double") - F.lit(self.mean[c][f]), 2) / F.lit(2 * v)
+                if self.mean[c][f] is None:
+                    continue
+                term = F.lit(0.5 * math.log(2 * math.pi * v)) + F.pow(F.col(f).cast("double") - F.lit(self.mean[c][f]), 2) / F.lit(2 * v)
+                t = t - F.coalesce(term, F.lit(0.0))
             arr.append(F.round(t, 9))
         return F.array(*arr)
 

@@ -386,6 +386,52 @@ def q_mixture_assign(spark, d):
     return mix.transform(li).select("row_key", F.col("l_quantity").cast("int").alias("code"))
 
 
+def _modes_decode_sql() -> str:
+    from bayesloom.operators.discretise import PHI_EDGES
+    pick = lambda i: "CASE code // 8 " + " ".join(f"WHEN {j} THEN {m[i]!r}" for j, m in enumerate(_MODES)) + " END"
+    edge = lambda o: "CASE code % 8 " + " ".join(f"WHEN {i} THEN {PHI_EDGES[i + o]!r}" for i in range(8)) + " END"
+    u = O.u_sql("row_key", "l_quantity")
+    return (f"WITH cd AS ({_mode_sql()}), pr AS (SELECT row_key, code, least(greatest(({edge(0)}) + (({edge(1)}) - ({edge(0)})) * {u}, 1e-15), {1 - 1e-15!r}) AS p FROM cd), "
+            "q AS (SELECT min(l_quantity)::DOUBLE AS lo, max(l_quantity)::DOUBLE AS hi FROM lineitem) "
+            f"SELECT row_key, round((({pick(1)}) + ({pick(2)}) * {O.probit('p')}) * (hi - lo) + lo, 4) AS l_quantity FROM pr, q")
+
+
+@register("mixture_decode_modes", _modes_decode_sql())
+def q_mixture_decode_modes(spark, d):
+    """M4 + M5 with three given modes."""
+    from bayesloom.operators.discretise import MixtureDiscretiser
+    from bayesloom.operators.encode import MinMaxScaler
+    li = read(spark, d, "lineitem").select(F.expr("concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)").alias("row_key"), "l_quantity")
+    w, m, s = ([x[i] for x in _MODES] for i in range(3))
+    mix = MixtureDiscretiser(["l_quantity"], MinMaxScaler.fit(li, ["l_quantity"]), {"l_quantity": w}, {"l_quantity": m}, {"l_quantity": s})
+    return mix.inverse(mix.transform(li), "row_key", 42).select("row_key", _r("l_quantity", 4).alias("l_quantity"))
+
+
+def _bds_moves_sql() -> str:
+    nodes = ["nation", "region", "target"]
+    fams = [("nation", ()), ("nation", ("target",)), ("region", ("target",)), ("region", ("nation", "target")), ("nation", ("region", "target")), ("region", ()),
+            ("target", ()), ("target", ("nation",)), ("target", ("region",))]
+    cards = {c: f"(SELECT count(DISTINCT {c}) FROM cust)" for c in nodes}
+    b = lambda c, *ps: f"(SELECT bds FROM t WHERE family = '{c}|{','.join(ps)}')"
+    rows = [("+|nation|region", f"{b('region', 'nation', 'target')} - {b('region', 'target')} - ln(2.0)"),
+            ("+|region|nation", f"{b('nation', 'region', 'target')} - {b('nation', 'target')} - ln(2.0)")]
+    for x in ("nation", "region"):
+        rows.append((f"-|target|{x}", f"{b(x)} - {b(x, 'target')} + ln(2.0)"))
+        rows.append((f"flip|target|{x}", f"{b(x)} + {b('target', x)} - {b(x, 'target')} - {b('target')}"))
+    return f"WITH {O.view_cte('cust')}, t AS {O.family_terms_sql('cust', fams, cards)} " + " UNION ALL ".join(
+        f"SELECT '{op}' AS op, round({x}, 4) + 0.0 AS delta" for op, x in rows)
+
+
+@register("score_neighbours_bds", _bds_moves_sql())
+def q_neighbours_bds(spark, d):
+    """K8 + K10 + K11: all moves, removals too, under BDs with its prior over structures."""
+    v, nodes = model_view(spark, d, "cust"), ["nation", "region", "target"]
+    cache = K.FamilyScoreCache(v.df, nodes, v.cards(), "bds")
+    start = [("target", "nation"), ("target", "region")]
+    rows = [(K.op_sort_key(op), round(x, 4) + 0.0) for op, x in K.score_neighbours(cache, start, K.neighbours(start, nodes, allow_remove=True))]
+    return spark.createDataFrame(rows, "op string, delta double")
+
+
 def _em_sql(steps: int) -> str:
     ctes = [f"{_QTY}, v AS (SELECT x, count(*) * 1e0 AS w FROM sc GROUP BY x)",
             "p0 AS (SELECT 0.5 AS w1, 0.5 AS w2, quantile_disc(x, 0.25) AS m1, quantile_disc(x, 0.75) AS m2, greatest(stddev_pop(x) / 2, 1e-3) AS s1, greatest(stddev_pop(x) / 2, 1e-3) AS s2 FROM sc)"]

@@ -520,6 +520,13 @@ def q_hill_climb(spark, d):
     return K.edges_df(spark, K.hill_climb(v.df, v.nodes, v.cards(), "bic", start=_NAIVE, cache=cache))
 
 
+@register("hill_climb_customers", search_sql.hill_climb(["nation", "region", "target"]))
+def q_hill_climb_customers(spark, d):
+    """K14 on columns with dependence: nation decides region; from the empty graph to a local optimum."""
+    v, nodes = model_view(spark, d, "cust"), ["nation", "region", "target"]
+    return K.edges_df(spark, K.hill_climb(v.df, nodes, v.cards(), "bic"))
+
+
 @register("hill_climb_k2")
 def q_hill_climb_k2(spark, d):
     """K14 with the K2 score from the empty graph, at most 2 parents per node."""
@@ -583,6 +590,50 @@ def q_cpt_check(spark, d):
     return cpt_check_summary(cp).select("child", F.col("n_configs").cast("int").alias("n_configs"), F.col("n_bad").cast("int").alias("n_bad"))
 
 
+def _odd_cpts(spark, d):
+    """The naive CPTs with every probability but a value's 0 raised by its code."""
+    v, cp = _naive_cpts(spark, d)
+    return cp.withColumn("p", F.col("p") * (1 + F.col("value")))
+
+
+@register("cpt_fix", f"WITH {O.view_cte('li')}, {O.naive_cpt_ctes('li', _FEATS, 'target')}, rw AS (SELECT 'target' AS child, '' AS pa, value, n FROM cpt_target "
+          + "".join(f"UNION ALL SELECT '{f}', p0::VARCHAR, value, n FROM cpt_{f} " for f in _FEATS) + ") "
+          "SELECT child, pa, value, round(n * (1 + value) / sum(n * (1 + value)) OVER (PARTITION BY child, pa), 9) AS p FROM rw")
+def q_cpt_fix(spark, d):
+    """Configurations that don't sum to 1 are scaled to do so."""
+    from bayesloom.operators.cpt import cpt_fix
+    return cpt_fix(_odd_cpts(spark, d)).select("child", F.concat_ws(",", F.transform("pa", lambda x: x.cast("string"))).alias("pa"), "value", _r("p", 9).alias("p"))
+
+
+@register("cpt_check_odd", f"WITH {O.view_cte('li')} SELECT 'target' AS child, 1 AS n_configs, 1 AS n_bad UNION ALL " + " UNION ALL ".join(
+    f"SELECT '{f}', count(*), sum(m) FROM (SELECT target, (max({f}) > 0)::INTEGER AS m FROM li GROUP BY target)" for f in _FEATS))
+def q_cpt_check_odd(spark, d):
+    """The configurations of the raised tables are found (those with a value above 0)."""
+    out = cpt_check_summary(_odd_cpts(spark, d))
+    return out.select("child", F.col("n_configs").cast("int").alias("n_configs"), F.col("n_bad").cast("int").alias("n_bad"))
+
+
+@register("refresh_cpts", f"WITH {O.view_cte('li')}, {O.naive_cpt_ctes('li', _FEATS, 'target')} SELECT 'target' AS child, '' AS pa, value, round(n / sum(n) OVER (), 9) AS p FROM cpt_target "
+          + "".join(f"UNION ALL SELECT '{f}', p0::VARCHAR, value, round(n / sum(n) OVER (PARTITION BY p0), 9) FROM cpt_{f} " for f in _FEATS if f != "disc_b")
+          + "UNION ALL SELECT 'disc_b', price_b || ',' || target, disc_b, round(count(*) * 1e0 / sum(count(*)) OVER (PARTITION BY price_b, target), 9) FROM li GROUP BY price_b, target, disc_b")
+def q_refresh_cpts(spark, d):
+    """After one more edge only that family is fitted again."""
+    from bayesloom.operators.cpt import refresh_cpts
+    v, cp = _naive_cpts(spark, d)
+    out = refresh_cpts(cp, v.df, _NAIVE, [*_NAIVE, ("price_b", "disc_b")], v.nodes)
+    return out.select("child", F.concat_ws(",", F.transform("pa", lambda x: x.cast("string"))).alias("pa"), "value", _r("p", 9).alias("p"))
+
+
+@register("preprocess_split", f"WITH {O.view_cte('li')}, {O.split_cte('li')} SELECT row_key, qty_b AS l_quantity, price_b AS l_extendedprice, disc_b AS l_discount, "
+          "tax_b AS l_tax, status AS l_linestatus, target AS l_returnflag, is_test FROM split")
+def q_preprocess_split(spark, d):
+    """P6 (P5 + P1 + P7 in one call): raw line items to coded train and test rows."""
+    from bayesloom.operators.discretise import Preprocessor
+    raw = read(spark, d, "lineitem").select(F.expr(LI_KEY).alias("row_key"), *LI_DOUBLES, "l_linestatus", "l_returnflag")
+    _, train, test = Preprocessor.split(raw, "l_returnflag")
+    return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+
+
 _SAMPLE_SQL = f"WITH {O.view_cte('li')}, {O.naive_sample_ctes('li', _FEATS, 'target')}"
 
 
@@ -856,18 +907,22 @@ def q_import_adjacency(spark, d):
     return K.edges_df(spark, K.import_adjacency(m, v.features, v.label))
 
 
-@register("run_log")
+@register("run_log", f"WITH {O.view_cte('li')}, sh AS (SELECT 'share_' || target AS metric, round(count(*) * 1e0 / (SELECT count(*) FROM li), 9) AS value "
+          "FROM li GROUP BY target) SELECT 'log' AS kind, 'li' AS dataset, metric, value FROM sh UNION ALL SELECT 'results', 'li', metric, value FROM sh")
 def q_run_log(spark, d):
-    """S7 + S8: write the results per metric and append them to a run log, read the log back."""
+    """S7 + S8: write the results per metric and append them to a run log in two goes, read files and log back."""
     from bayesloom.sources.readers import append_run_log, shared_path, write_results
     v = _li(spark, d)
     res = E.class_counts(v.df, "target").select(F.lit("li").alias("dataset"), F.lit("prior").alias("model"),
                                                 F.concat(F.lit("share_"), F.col("target").cast("string")).alias("metric"),
-                                                F.col("share").alias("value"))
-    write_results(res, shared_path(spark, "results"))
+                                                F.round("share", 9).alias("value"))
+    files = write_results(res, shared_path(spark, "results"))
     log = shared_path(spark, "runlog")
-    append_run_log(spark, log, "li", {r.metric: r.value for r in res.collect()})
-    return spark.read.parquet(log).drop("ts")
+    for r in res.collect():  # a row per class
+        append_run_log(spark, log, r.dataset, {r.metric: r.value})
+    back = spark.read.option("header", True).schema(res.schema).csv(files).withColumn("kind", F.lit("results"))
+    return spark.read.parquet(log).withColumn("kind", F.lit("log")).select("kind", "dataset", "metric", "value").unionByName(
+        back.select("kind", "dataset", "metric", "value"))
 
 
 # ------------------------------------------------------------------ M: mixture discretiser
@@ -1038,7 +1093,31 @@ def q_tstr(spark, d):
     return spark.createDataFrame([(k, val) for k, val in res.items()], "metric string, value double")
 
 
-@register("discriminator")
+def _discriminator_sql(steps: int = 12, frac: float = 0.8, seed: int = 42) -> str:
+    """The logistic model by full-batch gradient steps over real train rows and as many drawn ones."""
+    from bayesloom.functions import hash_uniform_sql
+    d = len(_FEATS)
+    stack = lambda key, y, t: f"SELECT CAST({key} AS VARCHAR) AS k, {y} AS y, {', '.join(f'{f} * 1e0 AS x{i}' for i, f in enumerate(_FEATS))} FROM {t}"
+    xs = ", ".join(f"x{i}" for i in range(d))
+    u = hash_uniform_sql("'0'", "k", "y::VARCHAR", f"'{seed}'", dialect="duckdb")
+    ctes = [O.view_cte("li"), O.split_cte("li"), "tr AS (SELECT * FROM split WHERE NOT is_test)",
+            O.naive_sample_ctes("tr", _FEATS, "target", 7, cards=O.li_cards_sql()),
+            f"al AS ({stack('row_key', 1, 'tr')} UNION ALL {stack('row_id', 0, 'sample')})",
+            f"rw AS MATERIALIZED (SELECT y, {xs}, sum(CASE WHEN {u} < {frac} THEN 1e0 ELSE 0e0 END) AS w, count(*) * 1e0 AS n FROM al GROUP BY y, {xs})",
+            "st AS MATERIALIZED (SELECT sum(w) AS nn, " + ", ".join(f"sum(w * x{i}) / sum(w) AS m{i}, sqrt(sum(w * x{i} * x{i}) / sum(w) - power(sum(w * x{i}) / sum(w), 2)) AS s{i}"
+                                                        for i in range(d)) + " FROM rw)",
+            "zr AS MATERIALIZED (SELECT y, w, n, nn, " + ", ".join(f"(x{i} - m{i}) / s{i} AS z{i}" for i in range(d)) + ", 1e0 AS z" + str(d) + " FROM rw, st)",
+            "b0 AS (SELECT " + ", ".join(f"0e0 AS b{i}" for i in range(d + 1)) + ")"]
+    logit = " + ".join(f"b{i} * z{i}" for i in range(d + 1))
+    for t in range(steps):
+        ctes.append(f"b{t + 1} AS MATERIALIZED (SELECT " + ", ".join(
+            f"any_value(b{i}) + {4 / (d + 1)!r} * sum(w * (y - 1 / (1 + exp(-({logit})))) * z{i}) / any_value(nn) AS b{i}" for i in range(d + 1)) + f" FROM zr, b{t})")
+    return ("WITH " + ", ".join(ctes) + f", f AS (SELECT y, w, n, {logit} AS l FROM zr, b{steps}) "
+            "SELECT 'ls' AS metric, round(sum(w * CASE WHEN (round(l, 9) > 0) = (y = 1) THEN 1 ELSE 0 END) / sum(w), 6) AS value FROM f "
+            "UNION ALL SELECT 'p_real', round(sum(n / (1 + exp(-l))) / sum(n), 6) FROM f WHERE y = 1")
+
+
+@register("discriminator", _discriminator_sql())
 def q_discriminator(spark, d):
     """V7 (+G13, P8): real-vs-synthetic logistic discriminator accuracy on an 80 % sample."""
     from bayesloom.operators.evaluate import discriminator
@@ -1046,7 +1125,7 @@ def q_discriminator(spark, d):
     syn = b.sample(int(tr.count()), 7)
     res = discriminator(tr, syn, v.features)
     sp.unpersist()
-    return spark.createDataFrame([(k, float(x)) for k, x in res.items()], "metric string, value double")
+    return spark.createDataFrame([(k, round(float(x), 6)) for k, x in res.items()], "metric string, value double")
 
 
 @register("trtr_structures")

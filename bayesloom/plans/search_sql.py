@@ -28,10 +28,8 @@ def _uniform(what: str, seed: int) -> str:
     return f"((('0x' || substr(md5(concat_ws('|', '{seed}', episode, epoch, '{what}')), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
 
 
-def hybrid_search(features: list[str], label: str, episodes: int, epochs: int, n: int, epsilon: float, gamma: float = 0.9, alpha: float = 0.1,
-                  beta: float = 0.9, seed: int = 42, view: str = "cust") -> str:
-    """WITH clause whose tables are log, qs and ps (snapshots of Q and policy) and reached (every structure)."""
-    nodes = [*features, label]
+def _graph(nodes: list[str], view: str) -> tuple[dict, list[str]]:
+    """Keys of all DAGs, and CTEs: dag (state, edges, score) and move (state, action, after, delta, score)."""
     dags = _dags(nodes)
     key = {g: hashlib.sha256(_text(g).encode()).hexdigest() for g in dags}
     families = sorted({(c, tuple(p for p in nodes if (p, c) in g)) for g in dags for c in nodes})
@@ -46,15 +44,37 @@ def hybrid_search(features: list[str], label: str, episodes: int, epochs: int, n
             if (x, y) in g and g - {(x, y)} | {(y, x)} in dags:
                 moves.append((g, f"flip|{x}|{y}", g - {(x, y)} | {(y, x)}))
     move = ", ".join(f"('{key[g]}', '{a}', '{key[frozenset(h)]}')" for g, a, h in moves)
-    naive = key[frozenset((label, f) for f in features)]
-    a, b = features
-    ctes = [
+    return key, [
         O.view_cte(view),
         f"fam AS {O.family_terms_sql(view, families, cards)}",
         f"part(state, edges, family) AS (VALUES {member})",
         "dag AS (SELECT state, edges, sum(bic) AS score FROM part JOIN fam USING (family) GROUP BY state, edges)",
         f"move0(state, action, after) AS (VALUES {move})",
         "move AS (SELECT m.*, h.score - g.score AS delta, h.score AS score FROM move0 m JOIN dag g ON g.state = m.state JOIN dag h ON h.state = m.after)",
+    ]
+
+
+def hill_climb(nodes: list[str], view: str = "cust", steps: int = 12) -> str:
+    """Edges (src, dst) of the best moves from the empty graph until none gains; ``steps`` of them at most, which three nodes never need."""
+    key, ctes = _graph(nodes, view)
+    ctes.append(f"s0 AS (SELECT '{key[frozenset()]}' AS state, []::VARCHAR[] AS tabu)")
+    for i in range(steps):
+        ctes.append(f"s{i + 1} AS (SELECT coalesce(m.after, s.state) AS state, CASE WHEN m.action LIKE 'flip%' THEN list_append(s.tabu, m.action) ELSE s.tabu END AS tabu "
+                    f"FROM s{i} s LEFT JOIN (SELECT m.* FROM move m JOIN s{i} s ON m.state = s.state WHERE NOT list_contains(s.tabu, m.action) AND NOT list_contains(s.tabu, "
+                    "'flip|' || split_part(m.action, '|', 3) || '|' || split_part(m.action, '|', 2)) "
+                    "ORDER BY round(delta, 9) DESC, action LIMIT 1) m ON m.delta >= 1e-4)")
+    return ("WITH " + ", ".join(ctes) + " SELECT split_part(e, '>', 1) AS src, split_part(e, '>', 2) AS dst FROM "
+            f"(SELECT unnest(string_split(edges, ';')) AS e FROM dag JOIN s{steps} USING (state) WHERE edges <> '')")
+
+
+def hybrid_search(features: list[str], label: str, episodes: int, epochs: int, n: int, epsilon: float, gamma: float = 0.9, alpha: float = 0.1,
+                  beta: float = 0.9, seed: int = 42, view: str = "cust") -> str:
+    """WITH clause whose tables are log, qs and ps (snapshots of Q and policy) and reached (every structure)."""
+    nodes = [*features, label]
+    key, ctes = _graph(nodes, view)
+    naive = key[frozenset((label, f) for f in features)]
+    a, b = features
+    ctes += [
         f"mi AS ({O.mi_sql(view, features, label)})",
         # the one candidate edge from the feature of lower rank to the one of higher rank
         f"cand AS (SELECT CASE WHEN round((SELECT mi FROM mi WHERE feature = '{a}'), 10) >= round((SELECT mi FROM mi WHERE feature = '{b}'), 10) "

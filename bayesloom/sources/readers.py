@@ -78,14 +78,14 @@ def read_arff(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """ARFF files (same header) → DataFrame; nominal → string (domain kept in column
     metadata), numeric/real/integer → double. ``?`` is null; values may be quoted, with backslash escapes.
 
-    The body of a file is what follows its first ``@data`` line (a file without one is all body); blank lines and
+    The body of a file is what follows its first line that is ``@data`` alone, in any case (a file without one is all body); blank lines and
     unquoted comments (``%``) in it are skipped, every other line is a row. The header, of any length, is that of the first
     file that has one.
     """
     paths = [path] if isinstance(path, str) else list(path)
     lines = _arff_lines(spark, paths)
     v = F.trim(F.col("value"))
-    starts = lines.filter(F.lower(v).startswith("@data")).groupBy("file").agg(F.min("at").alias("start"))
+    starts = lines.filter(v.rlike(r"(?i)^@data\s*(%.*)?$")).groupBy("file").agg(F.min("at").alias("start"))
     first = starts.orderBy("file").first()
     if first is None:
         raise ValueError("no @data line in the files")
