@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 Family = tuple  # (child, tuple(parents))
 
-# families per Expand; bounds the row blow-up of one generate step
+# families that are spelled out in the code of one generate step
 FAMILY_BATCH = 256
 
 
@@ -39,30 +39,65 @@ def compact(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> Da
 
 def family_counts(df: DataFrame, families: Sequence[Family], weight: str | None = None,
                   compacted: bool = False) -> DataFrame:
-    """Counts of many families in one scan.
+    """Counts of many families from one scan.
 
     Output: (fam int, x int, pa array<int>, n double) where ``fam`` indexes ``families``,
-    ``x`` is the child's value and ``pa`` the parent values in family order. Each
-    compacted row is expanded once per family (a Generate, no shuffle) and one hash
-    aggregate groups everything; families are processed in batches of FAMILY_BATCH.
+    ``x`` is the child's value and ``pa`` the parent values in family order.
+
+    Families over the same columns share their joint counts, and a family whose columns are a subset of another's is summed from
+    those: each compacted row is expanded once per *maximal* set of columns (a Generate, no shuffle) into one hash aggregate, and
+    the joint counts, which are model-sized, are rolled up to all families by a second one.
     """
     if not families:
         raise ValueError("no families")
     cols = sorted({c for ch, pa in families for c in (ch, *pa)})
     base = df if compacted else compact(df, cols, weight)
-    w = F.col("w")
-    parts = []
-    for start in range(0, len(families), FAMILY_BATCH):
-        batch = families[start:start + FAMILY_BATCH]
-        structs = [F.struct(F.lit(start + i).alias("fam"), F.col(ch).cast("int").alias("x"),
+    sets, home = maximal_sets([frozenset((ch, *pa)) for ch, pa in families])
+    if len(sets) == len(families):
+        return _expanded(base, families)
+    joint = _expanded(base, [(s[0], s[1:]) for s in sets])
+    joint = joint.select(F.col("fam").alias("__s"), F.concat(F.array("x"), "pa").alias("__v"), "n")
+    # which values of its set's joint count are a family's child and parents; a row per family
+    places = [(home[i], i, sets[home[i]].index(ch), [sets[home[i]].index(p) for p in pa]) for i, (ch, pa) in enumerate(families)]
+    table = df.sparkSession.createDataFrame(places, "__s int, fam int, __x int, __pa array<int>")
+    rolled = joint.join(F.broadcast(table), "__s").select(
+        "fam", F.get("__v", F.col("__x")).alias("x"), F.transform("__pa", lambda i: F.get(F.col("__v"), i)).alias("pa"), "n")
+    return rolled.groupBy("fam", "x", "pa").agg(F.sum("n").alias("n"))
+
+
+def maximal_sets(wanted: Sequence[frozenset]) -> tuple[list[tuple], list[int]]:
+    """The sets (as sorted tuples) that no other of ``wanted`` contains, and for each of ``wanted`` the place of a smallest one around it."""
+    sets: list[frozenset] = []
+    by_column: dict = {}
+    for s in sorted(set(wanted), key=lambda s: (-len(s), sorted(s))):
+        around = [by_column.get(c, set()) for c in s]
+        if not (set.intersection(*around) if around else sets):
+            for c in s:
+                by_column.setdefault(c, set()).add(len(sets))
+            sets.append(s)
+    home = []
+    for s in wanted:
+        holders = set.intersection(*[by_column[c] for c in s])
+        home.append(min(holders, key=lambda i: (len(sets[i]), i)))
+    return [tuple(sorted(s)) for s in sets], home
+
+
+def _expanded(base: DataFrame, families: Sequence[Family]) -> DataFrame:
+    """Counts of families straight from the compacted rows, read once. Up to FAMILY_BATCH families are spelled out in generated
+    code; more are a literal list of places in the row."""
+    if len(families) <= FAMILY_BATCH:
+        structs = [F.struct(F.lit(i).alias("fam"), F.col(ch).cast("int").alias("x"),
                             F.array(*[F.col(p).cast("int") for p in pa]).cast(T.ArrayType(T.IntegerType())).alias("pa"))
-                   for i, (ch, pa) in enumerate(batch)]
-        exploded = base.select(w.alias("w"), F.inline(F.array(*structs)))
-        parts.append(exploded.groupBy("fam", "x", "pa").agg(F.sum("w").alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                   for i, (ch, pa) in enumerate(families)]
+        exploded = base.select("w", F.inline(F.array(*structs)))
+    else:
+        cols = sorted({c for ch, pa in families for c in (ch, *pa)})
+        at = {c: i for i, c in enumerate(cols)}
+        places = F.array(*[F.struct(F.lit(i).alias("fam"), F.lit(at[ch]).alias("c"), F.array(*[F.lit(at[p]) for p in pa]).cast("array<int>").alias("p"))
+                           for i, (ch, pa) in enumerate(families)])
+        exploded = base.select("w", F.array(*[F.col(c).cast("int") for c in cols]).alias("v"), F.inline(places)).select(
+            "w", "fam", F.get("v", F.col("c")).alias("x"), F.transform("p", lambda i: F.get(F.col("v"), i)).alias("pa"))
+    return exploded.groupBy("fam", "x", "pa").agg(F.sum("w").alias("n"))
 
 
 def normalize_by_parents(counts: DataFrame, group: Sequence[str] = ("fam", "pa")) -> DataFrame:

@@ -90,3 +90,52 @@ def test_preprocessing_is_one_call(spark):
     assert train.columns == ["row_key", "x", "colour", "label"] == test.columns
     assert {r[0]: r[1] for r in test.groupBy("label").count().collect()} == {0: 2, 1: 6}
     assert train.unionByName(test).select(F.max("x"), F.max("colour")).first() == (4, 1) and fitted.numeric == ["x"]
+
+
+def test_families_share_joint_counts(spark):
+    """Every family's counts from the maximal sets equal its own; the table is read once, for fifty columns too."""
+    from collections import Counter
+
+    rows = [(i % 2, i % 3, (i * 7) % 5, i % 4 if i % 6 else None) for i in range(150)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int")
+    fams = [("a", ()), ("a", ("b",)), ("b", ("a",)), ("c", ("b", "a")), ("a", ("c", "b")), ("d", ("c",)), ("d", ()), ("a", ("b",))]
+    sets, home = C.maximal_sets([frozenset((ch, *pa)) for ch, pa in fams])
+    assert sets == [("a", "b", "c"), ("c", "d")] and home == [0, 0, 0, 0, 0, 1, 1, 0]
+    got = {(r.fam, r.x, tuple(r.pa)): r.n for r in C.family_counts(df, fams).collect()}
+    at = {c: i for i, c in enumerate("abcd")}
+    want = Counter((f, r[at[ch]], tuple(r[at[p]] for p in pa)) for r in rows for f, (ch, pa) in enumerate(fams))
+    assert got == want
+    names = [f"f{i}" for i in range(50)]
+    wide = spark.range(300).select(*[((F.col("id") * (i + 3) + F.col("id") % (i + 2)) % 2).cast("int").alias(c) for i, c in enumerate(names)], F.lit(1.0).alias("w"))
+    many = [(x, (names[0], y)) for i, x in enumerate(names[1:]) for y in names[i + 2:]] + [(x, (names[0],)) for x in names[1:]]
+    out = C.family_counts(wide, many, compacted=True)
+    assert plan(out).count("Range (") == 1
+    sample = {(r.fam, r.x, tuple(r.pa)): r.n for r in out.filter(F.col("fam").isin(0, 700, len(many) - 1)).collect()}
+    data = wide.collect()
+    assert sample == Counter((f, r[many[f][0]], tuple(r[p] for p in many[f][1])) for r in data for f in (0, 700, len(many) - 1))
+
+
+def test_continuous_samples_take_no_more_slots_than_the_real_table(spark):
+    from bayesloom.operators.evaluate import number_cells, to_cells, tstr
+
+    real = spark.createDataFrame([(i % 4, float(i), float(i % 2), i % 2) for i in range(600)], "a int, b double, c double, target int")
+    cells = number_cells(real, ["a", "b", "c"], most=50)
+    assert cells["a"] == [0, 1, 2, 3] and cells["c"] == [0.0, 1.0] and 40 <= len(cells["b"]) <= 50
+    odd = spark.createDataFrame([(-3.0, 1e9), (1.4, 12.0), (2.5, None)], "a double, b double")
+    got = [tuple(r) for r in to_cells(odd, {c: cells[c] for c in ("a", "b")}).collect()]
+    assert got[0] == (0, len(cells["b"]) - 1) and got[1][0] == 1 and got[2] == (3, None)
+    syn = spark.range(2000).selectExpr("rand(1) * 3 AS a", "rand(2) * 600 AS b", "cast(id % 2 as double) + rand(3) * 0.3 AS c", "int(id % 2) AS target")
+    out = tstr(syn, real, "target", ["lr"])
+    assert out["lr"] == 1.0
+
+
+def test_counting_ends_by_digits(spark):
+    import bisect
+
+    from bayesloom.operators.sample import count_below
+
+    for most in (1, 2, 15, 16, 17, 255, 256, 4096, 5000):
+        ends = [[(i + 1) / n for i in range(n)] for n in {1, most // 3 or 1, most}]
+        rows = [(e, u) for e in ends for u in (0.0, 0.1, 0.5, 0.999, 1.0, 2.0)] + [(None, 0.5)]
+        out = count_below(spark.createDataFrame(rows, "e array<double>, u double"), F.col("e"), F.col("u"), most, "k").collect()
+        assert [r.k for r in out] == [bisect.bisect_right(e, u) if e else 0 for e, u in rows]
