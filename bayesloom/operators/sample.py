@@ -22,6 +22,8 @@ from bayesloom.operators.structure import radix_code_expr, topological_order
 #: largest lookup table that is broadcast, and rows of a sampled partition
 BROADCAST_BYTES = 64 << 20
 PARTITION_ROWS = 2_000_000
+#: cards up to which a configuration's ends are stored for every value and compared one by one
+UNROLL_LIMIT = 256
 
 
 def fits_broadcast(rows: int, doubles: int, cells: int = 0) -> bool:
@@ -51,7 +53,24 @@ def interval_lookup(cpts: DataFrame, node: str, parents: Sequence[str], cards: d
     key = pack_codes([(F.get(F.col("pa"), i), int(cards[p])) for i, p in enumerate(parents)])
     cells = F.array_sort(F.collect_list(F.struct("value", "cum_hi")))
     t = cpts.filter(F.col("child") == node).groupBy(key.alias("__k")).agg(cells.alias("__c"))
-    return t.select("__k", F.col("__c.value").alias("__v"), F.col("__c.cum_hi").alias("__e"))
+    # arrays that can't hold nulls: asking for them would take a sample's generated code over the size that the JVM compiles
+    return t.select("__k", F.transform("__c", lambda c: F.coalesce(c["value"], F.lit(0))).alias("__v"),
+                    F.transform("__c", lambda c: F.coalesce(c["cum_hi"], F.lit(1.0))).alias("__e"))
+
+
+def dense_lookup(cpts: DataFrame, node: str, parents: Sequence[str], cards: dict) -> DataFrame:
+    """(__k, __e array<double>) for a node of few values: the upper end of every value's interval in order (a value that isn't seen
+    repeats the end before it), so the drawn code is the number of ends at or below u."""
+    card = int(cards[node])
+    looked = interval_lookup(cpts, node, parents, cards)
+    at = F.transform(F.sequence(F.lit(0), F.lit(card - 1)), lambda v: F.size(F.filter("__v", lambda x: x <= v)))
+    return looked.select("__k", F.transform(at, lambda n: F.coalesce(F.get(F.col("__e"), n - 1), F.lit(0.0))).alias("__e"))
+
+
+def _draw(ends, u, card: int):
+    """Code = number of ends ≤ u; comparisons one after another keep the expression in generated code."""
+    terms = [(F.get(ends, i) <= u).cast("int") for i in range(card - 1)]
+    return reduce(lambda a, b: a + b, terms) if terms else F.lit(0)
 
 
 def count_below(df: DataFrame, ends, u, most: int, out: str) -> DataFrame:
@@ -62,8 +81,8 @@ def count_below(df: DataFrame, ends, u, most: int, out: str) -> DataFrame:
         stride *= 16
     at = F.lit(0)
     while stride:
-        hits = [F.coalesce((F.get(ends, at + F.lit(i * stride - 1)) <= u).cast("int"), F.lit(0)) for i in range(1, 16) if i * stride <= max(most, 1)]
-        df = df.withColumn(out, at + F.lit(stride) * reduce(lambda a, b: a + b, hits))
+        hits = [F.when(F.get(ends, at + F.lit(i * stride - 1)) <= u, stride).otherwise(0) for i in range(1, 16) if i * stride <= most]
+        df = df.withColumn(out, reduce(lambda a, b: a + b, hits, at))
         at, stride = F.col(out), stride // 16
     return df
 
@@ -86,15 +105,24 @@ def ancestral_sample(spark, cpts: DataFrame, edges, nodes: Sequence[str], cards:
                         for i, node in enumerate(nodes)])
     place = {node: i for i, node in enumerate(nodes)}
     for node in order:
-        u = F.col(f"__u{place[node]}")
-        uniform = F.floor(u * F.lit(int(cards[node]))).cast("int")
+        u, card = F.col(f"__u{place[node]}"), int(cards[node])
+        uniform = F.floor(u * F.lit(card)).cast("int")
         configurations, cells, most = tables.get(node, (0, 0, 0))
-        look = interval_lookup(cpts, node, ps[node], cards)
-        look = F.broadcast(look) if fits_broadcast(configurations, 0, cells) else look
-        s = s.withColumn("__pk", _pack(ps[node], cards)).join(look, F.col("__pk") == F.col("__k"), "left").drop("__pk", "__k")
+        small = card <= UNROLL_LIMIT
+        look = dense_lookup(cpts, node, ps[node], cards) if small else interval_lookup(cpts, node, ps[node], cards)
+        row = look.first() if small and not ps[node] and cells else None
+        if row:  # the one configuration of a node without parents: literals, no join
+            s = s.withColumn("__e", F.array(*[F.lit(float(e)) for e in row["__e"]]))
+        else:
+            fits = fits_broadcast(configurations, card) if small else fits_broadcast(configurations, 0, cells)
+            look = F.broadcast(look) if fits else look
+            s = s.withColumn("__pk", _pack(ps[node], cards)).join(look, F.col("__pk") == F.col("__k"), "left").drop("__pk", "__k")
         # no ends when the configuration is unseen: uniform over the domain
-        s = count_below(s, F.col("__e"), u, most, "__at")
-        s = s.withColumn(node, F.coalesce(F.get(F.col("__v"), F.col("__at")), uniform).cast("int")).drop("__v", "__e", "__at")
+        if small:
+            s = s.withColumn(node, F.coalesce(_draw(F.col("__e"), u, card), uniform).cast("int")).drop("__e")
+        else:
+            s = count_below(s, F.col("__e"), u, most - 1, "__at")  # the last end is 1
+            s = s.withColumn(node, F.coalesce(F.get(F.col("__v"), F.col("__at")), uniform).cast("int")).drop("__v", "__e", "__at")
     return s.select(key, *nodes)
 
 
