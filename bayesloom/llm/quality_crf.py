@@ -7,7 +7,7 @@ the states, and the words in content lines as a share of all words decide whethe
 Lines have no labels of their own, so the field learns from labelled documents: a line of a good
 document is content unless it repeats an earlier line or holds licence terms, a line of a bad document
 is boilerplate. It is fitted by maximum likelihood (forward-backward, Adam with a small L2 penalty) on
-at most ``SAMPLE`` labelled documents, chosen by the hash of their id.
+at most ``SAMPLE`` labelled documents with ``SAMPLE_LINES`` lines together, chosen by the hash of their id.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bayesloom.llm import bytesrows as br
+from bayesloom.llm.shared import materialise, one_text_per_id, release
 
 #: most labelled documents that the field is fitted on
 SAMPLE = 2000
+SAMPLE_LINES = 400_000
 #: words in content lines a document must have, of all its words
 CONTENT_SHARE = 0.5
 
@@ -213,12 +215,15 @@ class Chain:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
-        sample: int = SAMPLE) -> Chain:
-    """The field of ``docs`` with ``labels`` (id, 1 good or 0 bad; null ids and labels are left out, of labels of one id the lowest counts)."""
+        sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Chain:
+    """The field of ``docs`` with ``labels`` (id, 1 good or 0 bad).
+
+    Null ids and labels are left out; of labels of one id the lowest counts, of its rows the one whose text has the lowest hash. Documents whose
+    lines would take the sample over ``sample_lines`` are left out of it, in the order of their ids' hash.
+    """
     chosen = (labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("y")).dropna()
               .groupBy("__id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(sample))
-    src = (docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("text"))
-           .join(F.broadcast(chosen), "__id").select("__id", "y", "text"))  # at most ``sample`` rows
+    src = one_text_per_id(docs, chosen, id_col, text).select("__id", "y", "text", F.xxhash64("__id").alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,12 +233,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                 for r in np.unique(found.row):
                     mine = found.row == r
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([str(batch.column(0)[lo + r])]), pa.array([int(good[lo + r])], pa.int32()), pa.array([found.x[mine].ravel().tolist()], pa.list_(pa.float32()))],
-                        names=["id", "y", "x"])
+                        [pa.array([str(batch.column(0)[lo + r])]), pa.array([int(good[lo + r])], pa.int32()), batch.column(3).slice(lo + r, 1),
+                         pa.array([int(mine.sum())], pa.int32()), pa.array([found.x[mine].astype(np.float32).tobytes()], pa.binary())],
+                        names=["id", "y", "place", "lines", "x"])
 
-    rows = sorted(src.mapInArrow(run, "id string, y int, x array<float>").collect(), key=lambda r: (r["id"], len(r["x"])))
     n = len(FEATURES)
-    x = [np.array(r["x"]).reshape(-1, n) for r in rows]
+    found = materialise(src.mapInArrow(run, "id string, y int, place long, lines int, x binary"))
+    left, taken = sample_lines, []
+    for r in sorted(found.select("id", "place", "lines").collect(), key=lambda r: (r["place"], r["id"])):  # a row per document of the sample
+        if r["lines"] <= left:
+            left -= r["lines"]
+            taken.append(r["id"])
+    rows = sorted(found.filter(F.col("id").isin(taken)).select("id", "y", "x").collect(), key=lambda r: r["id"])
+    release(found)
+    x = [np.frombuffer(r["x"], np.float32).astype(np.float64).reshape(-1, n) for r in rows]
     if not x:
         return Chain.fit(np.zeros((0, n)), np.zeros(0, np.int64), np.zeros(0, np.int64))
     row = np.repeat(np.arange(len(x)), [len(p) for p in x])

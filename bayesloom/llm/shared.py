@@ -91,5 +91,18 @@ def row_key(docs: DataFrame) -> list:
     return [F.xxhash64(*parts).alias("__key1"), F.xxhash64(F.lit(1), *parts).alias("__key2")]
 
 
+def one_text_per_id(docs: DataFrame, chosen: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(__id, text, the columns of ``chosen``) of the documents whose id is in the bounded table ``chosen`` (__id, ..), one row per id.
+
+    Of several rows of an id the one whose text has the lowest hash stays: found on numbers, then equal texts are folded
+    before they're shuffled, so an id may hold any share of the rows.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("__h", F.xxhash64("text"))
+    rows = rows.join(F.broadcast(chosen), "__id")
+    lowest = rows.groupBy("__id").agg(F.min("__h").alias("__low"))
+    same = rows.join(F.broadcast(lowest), "__id").filter("__h = __low").drop("__h", "__low")
+    return same.dropDuplicates(["__id"])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

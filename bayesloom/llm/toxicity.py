@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bayesloom.llm import bytesrows as br
+from bayesloom.llm.shared import one_text_per_id
 
 SAMPLE = 20_000
 LEXICON = 300
@@ -164,8 +165,8 @@ def featurise(raw: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray
 
 
 def _labelled(docs: DataFrame, chosen: DataFrame, id_col: str, text: str) -> DataFrame:
-    return (docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("text"))
-            .join(F.broadcast(chosen), "__id").select("__id", "y", "part", "text"))  # ``chosen`` has at most SAMPLE rows
+    """(__id, y, part, text), one row per id."""
+    return one_text_per_id(docs, chosen, id_col, text).select("__id", "y", "part", "text")
 
 
 def _learn_lexicon(src: DataFrame) -> Lexicon:
@@ -248,7 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         sample: int = SAMPLE, use=None) -> Model:
     """The model of the labelled documents whose id satisfies ``use`` (a condition on the id column).
 
-    Null ids and labels are left out, of several labels of one id the highest counts. If a class is missing, every score is
+    Null ids and labels are left out, of several labels of one id the highest counts, of several rows the one whose text has the lowest
+    hash, so that the sample has at most ``sample`` rows. If a class is missing, every score is
     the share of label 1 (0 without any label).
     """
     ids = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("y")).dropna()

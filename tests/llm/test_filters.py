@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bayesloom.llm import decontaminate, quality_crf, secret_scan, toxicity
 from bayesloom.llm import bytesrows as br
+from bayesloom.llm.shared import one_text_per_id
 
 SF = "/root/testdata/sf0.001"
 
@@ -267,3 +268,37 @@ def test_secrets_in_glued_words_are_told_from_other_findings(spark):
     assert {(r["doc_id"], r["finding"]) for r in out if r["is_secret"]} == {(i, keys[i]) for i in range(120) if i % 4 < 2}
     assert all(len({r["finding"] for r in out if r["doc_id"] == i}) == 2 for i in range(120) if i % 4 >= 2)
     assert len({(r["doc_id"], r["place"], r["run"]) for r in out}) == len(out)
+
+
+# ---- samples of labelled rows ---------------------------------------------------------------------------------------------
+
+def test_samples_hold_one_row_per_id(spark):
+    """One id on a third of all rows: its text with the lowest hash stands for it; null texts and repeated rows need no special case."""
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(100)] + [(i, f"own {i}") for i in range(2, 100)] + [(100, None), (100, None), (None, "x")],
+                                 "doc_id int, text string").withColumn("y", F.lit("clash")).repartition(7)
+    chosen = spark.createDataFrame([(i, i % 2) for i in range(1, 101)], "__id int, y int")
+    rows = one_text_per_id(docs, chosen, "doc_id", "text").collect()
+    low = docs.filter("doc_id = 1").orderBy(F.xxhash64("text")).first()["text"]
+    assert {(r["__id"], r["text"], r["y"]) for r in rows} == {(1, low, 1), (100, None, 0)} | {(i, f"own {i}", i % 2) for i in range(2, 100)}
+    assert len(rows) == 100
+
+
+def test_a_repeated_id_weighs_as_one_in_the_fits(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    one = docs.filter("doc_id = 7")
+    hot = docs.union(one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(60)))).drop("copy"))
+    plain, repeated = quality_crf.fit(docs, labels), quality_crf.fit(hot, labels)
+    assert np.array_equal(plain.w, repeated.w) and np.array_equal(plain.step, repeated.step)
+    judged = [m.score(docs).orderBy("doc_id").select("score").toPandas()["score"].to_numpy() for m in (toxicity.fit(docs, labels), toxicity.fit(hot, labels))]
+    assert np.allclose(*judged)
+
+
+def test_lines_of_the_sample_are_bounded(spark):
+    """A document with more lines than are left is not in the sample; the others still are."""
+    docs = spark.createDataFrame([(1, "some words of content here.\n" * 5000), (2, "words of content\nand more of it"), (3, "subscribe now\nshare this page")],
+                                 "doc_id int, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id int, quality int")
+    without = quality_crf.fit(docs.filter("doc_id > 1"), labels)
+    bounded = quality_crf.fit(docs, labels, sample_lines=100)
+    assert np.array_equal(without.w, bounded.w)
