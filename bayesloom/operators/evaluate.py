@@ -57,6 +57,40 @@ def classifier(name: str, n_classes: int, n_features: int, n_rows: int | None =
     raise ValueError(f"unknown classifier {name!r}")
 
 
+class MapClassifier:
+    """A Bayesian network as a classifier for ``tstr``: CPTs of coded columns by counting (G1), the most probable label.
+
+    ``structure``: from (features, label) to edges, the naive one by default. Rows without a possible label get no prediction,
+    which ``tstr`` counts as wrong.
+    """
+
+    def __init__(self, structure: Callable | None = None):
+        self.structure = structure
+
+    def fit(self, df: DataFrame) -> "MapClassifier":
+        from bayesloom.operators.cpt import fit_cpts
+        from bayesloom.operators.structure import naive_structure
+
+        self.features = [c for c in df.columns if c not in ("label", "features", "__w")]
+        self.nodes = self.features + ["label"]
+        coded = df.select(*[F.col(f"`{c}`").cast("int").alias(c) for c in self.nodes])
+        top = coded.agg(*[F.max(f"`{c}`").alias(f"m{i}") for i, c in enumerate(self.nodes)]).first()
+        self.cards = {c: (-1 if top[i] is None else top[i]) + 1 for i, c in enumerate(self.nodes)}
+        self.edges = (self.structure or naive_structure)(self.features, "label")
+        self.cpts = fit_cpts(coded, self.edges, self.nodes)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with the double column ``prediction``."""
+        from bayesloom.operators.predict import bn_map_predict
+
+        if not self.cards["label"]:
+            return df.withColumn("prediction", F.lit(None).cast("double"))
+        hidden = df.withColumnRenamed("label", "__label") if "label" in df.columns else df
+        out = bn_map_predict(hidden, self.cpts, self.edges, self.nodes, "label", self.cards, "prediction")
+        return out.withColumn("prediction", F.col("prediction").cast("double")).withColumnRenamed("__label", "label")
+
+
 def held_out(train: DataFrame, parts: int = 10, chunk: int = 10_000) -> DataFrame:
     """(features, label, part 0 … parts − 1) of every row. Equal rows are counted, numbered ``chunk`` at a time and dealt in turn from a place that
     is a hash of their values, so a part has its share of each and doesn't depend on the partitioning."""
@@ -132,7 +166,7 @@ def tstr(syn: DataFrame, test: DataFrame, target: str = "target", classifiers: S
     Numbers go to the nearest of the real table's cells first (``number_cells``), so that a continuous sample takes no more slots than the real
     table's values.
 
-    ``classifiers``: names, ML estimators, factories of them, or (name, one of those). Returns {classifier: accuracy or None
+    ``classifiers``: names, ML estimators, classes or factories of them, or (name, one of those). Returns {classifier: accuracy or None
     (failure, with its message under '<classifier> error')} plus 'avg' over the non-null ones.
     """
     syn, test = align_columns(syn, test)
@@ -157,7 +191,7 @@ def tstr(syn: DataFrame, test: DataFrame, target: str = "target", classifiers: S
     for c in classifiers:
         name, c = c if isinstance(c, tuple) else (c if isinstance(c, str) else type(c).__name__, c)
         try:
-            est = classifier(c, n_classes, n_feat, n_rows, seed) if isinstance(c, str) else (c() if callable(c) and not hasattr(c, "fit") else c)
+            est = classifier(c, n_classes, n_feat, n_rows, seed) if isinstance(c, str) else (c() if isinstance(c, type) or not hasattr(c, "fit") else c)
             # forests draw rows and the perceptron takes no weights: those see every row
             weighted = c in ("lr", "xgb")
             if c == "mlp":

@@ -1166,3 +1166,56 @@ def q_multi_round(spark, d):
     out.count()
     sp.unpersist()
     return out
+
+
+# ------------------------------------------------------------------ V1, V11 with a MAP network as the classifier
+
+
+def _gnb_synthetic_sql(seed: int = 42) -> str:
+    """CTEs ``gs`` (as many Gaussian rows as ``tr`` has) and ``gc`` (their numbers in the cells of the test rows' codes)."""
+    run = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    draw = lambda i, f: (f"(SELECT mean FROM gnb WHERE gnb.y = g1.target AND gnb.f = '{f}') + sqrt((SELECT var FROM gnb WHERE gnb.y = g1.target AND "
+                         f"gnb.f = '{f}')) * {O.probit('(' + O.ub_sql('g1.row_id', i, seed) + ')')} AS {f}")
+    ut = O.ub_sql("g0.row_id", len(_FEATS), seed)
+    # a cell per code of the test rows, its ends half way to the next ones
+    cell = lambda f: (f"(SELECT any_value(v) FROM (SELECT v, (lag(v) OVER (ORDER BY v) + v) / 2e0 AS a, (lead(v) OVER (ORDER BY v) + v) / 2e0 AS b "
+                      f"FROM (SELECT DISTINCT {f} AS v FROM te)) WHERE (a IS NULL OR gs.{f} >= a) AND (b IS NULL OR gs.{f} < b)) AS {f}")
+    return (f"{_gnb_sql_params('tr')}, gcum AS (SELECT y, (sum(n) OVER (ORDER BY y {run}) - n) * 1e0 / sum(n) OVER () AS lo, "
+            f"sum(n) OVER (ORDER BY y {run}) * 1e0 / sum(n) OVER () AS hi FROM gnb_prior), g0 AS (SELECT row_number() OVER () - 1 AS row_id FROM tr), "
+            f"g1 AS (SELECT g0.row_id, gcum.y AS target FROM g0 JOIN gcum ON {ut} >= gcum.lo AND {ut} < gcum.hi), "
+            f"gs AS (SELECT row_id, target, {', '.join(draw(i, f) for i, f in enumerate(_FEATS))} FROM g1), "
+            f"gc AS (SELECT row_id, target, {', '.join(cell(f) for f in _FEATS)} FROM gs)")
+
+
+def _hits_sql(pred: str) -> str:
+    return f"(SELECT round(avg(CASE WHEN pred = target THEN 1e0 ELSE 0e0 END), 6) FROM {pred} JOIN te USING (row_key))"
+
+
+_MAP_SAMPLE = f"{_split_tables()}, {O.naive_sample_ctes('tr', _FEATS, 'target', 42, cards=O.li_cards_sql())}, {O.naive_map_ctes('sample', 'te', _FEATS, 'target')}"
+
+
+@register("tstr_map", f"{_MAP_SAMPLE} SELECT unnest(['map', 'avg']) AS metric, {_hits_sql('pred')} AS value")
+def q_tstr_map(spark, d):
+    """V1 over all features of the line items: naive-network rows, a MAP network fitted on them, accuracy on the real test rows."""
+    from bayesloom.operators.evaluate import MapClassifier
+    v, sp, tr, te, b = _tstr_setup(spark, d)
+    res = b.evaluate(te.select(*v.nodes), n=int(tr.count()), classifiers=(("map", MapClassifier),))
+    sp.unpersist()
+    return spark.createDataFrame([(k, round(x, 6)) for k, x in res.items()], "metric string, value double")
+
+
+@register("multi_round_map", f"{_MAP_SAMPLE}, {_gnb_synthetic_sql()}, {O.naive_map_ctes('gc', 'te', _FEATS, 'target', 'gp')}, "
+          f"r AS (SELECT 'naive_bn' AS model, {_hits_sql('pred')} AS value UNION ALL SELECT 'gnb', {_hits_sql('gp')}) "
+          "SELECT 'li' AS dataset, model, unnest(['map', 'avg']) AS metric, value FROM r")
+def q_multi_round_map(spark, d):
+    """A discrete and a continuous sample generated once each, two rounds with a MAP network, mean over rounds."""
+    from bayesloom.operators.evaluate import MapClassifier, mean_over_rounds, multi_round
+    from bayesloom.plans.models import BayesNetSynthesizer, GaussianNBSynthesizer
+    v, sp = _li_split(spark, d)
+    sp = sp.persist()
+    tr, te = sp.filter(~F.col("is_test")).select(*v.nodes), sp.filter(F.col("is_test")).select(*v.nodes)
+    models = {"naive_bn": lambda t, y: BayesNetSynthesizer("naive").fit(t, v.features, y, v.cards()),
+              "gnb": lambda t, y: GaussianNBSynthesizer().fit(t, v.features, y)}
+    res = multi_round(spark, {"li": (tr, te, v.label)}, models, rounds=2, classifiers=(("map", MapClassifier),))
+    sp.unpersist()
+    return mean_over_rounds(res.filter("metric != 'seconds'")).withColumn("value", _r("value"))

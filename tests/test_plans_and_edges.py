@@ -139,3 +139,20 @@ def test_counting_ends_by_digits(spark):
         rows = [(e, u) for e in ends for u in (0.0, 0.1, 0.5, 0.999, 1.0, 2.0)] + [(None, 0.5)]
         out = count_below(spark.createDataFrame(rows, "e array<double>, u double"), F.col("e"), F.col("u"), most, "k").collect()
         assert [r.k for r in out] == [bisect.bisect_right(e, u) if e else 0 for e, u in rows]
+
+
+def test_map_network_as_the_classifier_of_tstr(spark):
+    """Codes of several features; null features, unknown codes and rows without a possible label."""
+    from bayesloom.operators.evaluate import MapClassifier, tstr
+
+    rows = [(y, (y + i) % 2, y) for i in range(20) for y in (0, 1)] * 2
+    syn = spark.createDataFrame(rows, "a int, b int, target int")
+    test = spark.createDataFrame([(0, 0, 0), (1, 1, 1), (1, 0, 1), (0, 1, 1)], "a int, b int, target int")
+    out = tstr(syn, test, "target", [("map", MapClassifier)])
+    assert out == {"map": 0.75, "avg": 0.75}
+    model = MapClassifier().fit(syn.withColumnRenamed("target", "label"))
+    odd = spark.createDataFrame([(0, None, 0), (None, None, 1), (1, 9, 1), (7, 7, 0)], "a int, b int, label int")
+    got = [r["prediction"] for r in model.transform(odd).orderBy("a", "b").collect()]
+    assert got == [0.0, 0.0, 1.0, 0.0]  # without evidence the lowest of equally likely labels
+    nothing = MapClassifier().fit(syn.limit(0).withColumnRenamed("target", "label"))
+    assert [r["prediction"] for r in nothing.transform(odd).collect()] == [None] * 4
