@@ -61,3 +61,18 @@ def test_unused_components_go_and_odd_columns_stand(spark):
     codes = m.transform(df).agg(F.min("x"), F.max("x"), F.count("none"), F.countDistinct("flat")).first()
     assert 0 <= codes[0] and codes[1] < 8 * len(m.mu["x"]) and codes[2] == 0 and codes[3] == 1
     assert set(m.transform(df).select((F.col("x") / 8).cast("int")).distinct().toPandas().iloc[:, 0]) == set(range(len(m.mu["x"])))
+
+
+def test_a_step_is_one_job_of_as_many_tasks_as_values_need(spark):
+    """However many partitions the compacted table has: 64 here, of a thousand values in all."""
+    df = spark.range(0, 1000, 1, 64).select(F.lit("c").alias("column"), (F.col("id") / 1000).alias("x"), F.lit(2.0).alias("w"))
+
+    def tasks(steps: int) -> int:
+        spark.sparkContext.setJobGroup(f"steps-{steps}", "")
+        assert variational_fit(df, {"c": ([0.2, 0.5, 0.7], 0.1)}, 3, steps, 0.0)["c"].steps == steps
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        seen = spark.sparkContext.statusTracker()
+        stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup(f"steps-{steps}") for s in seen.getJobInfo(j).stageIds]
+        return sum(s.numTasks for s in stages if s is not None)
+
+    assert tasks(7) - tasks(3) == 4
