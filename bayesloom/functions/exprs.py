@@ -73,8 +73,12 @@ def probit_sql(u: str) -> str:
 
 
 def probit(u) -> Column:
-    """Φ⁻¹ of a column (Spark SQL has no probit)."""
-    return _probit_col(_c(u))
+    """Φ⁻¹ of a column (Spark SQL has no probit).
+
+    As a function over an array of one: spelled out, a few of them take a projection's generated method over the size that the JVM
+    compiles (8,000 bytes), and all of it is interpreted from then on.
+    """
+    return F.get(F.transform(F.array(_c(u)), _probit_col), 0)
 
 
 def _probit_col(u: Column) -> Column:

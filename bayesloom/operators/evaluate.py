@@ -16,11 +16,15 @@ from pyspark.sql import types as T
 from bayesloom.operators.encode import CategoryEncoder, align_columns, column_kinds, onehot
 
 
-def accuracy(pred: DataFrame, pred_col: str = "pred", label: str = "target") -> DataFrame:
-    """V9: share of equal predictions among non-null predictions; 0.0 when nothing is predicted."""
+def accuracy(pred: DataFrame, pred_col: str = "pred", label: str = "target", weight: str | None = None) -> DataFrame:
+    """V9: share of equal predictions among non-null predictions; 0.0 when nothing is predicted. ``weight``: column with the number
+    of rows that a row stands for."""
     p = pred.filter(F.col(pred_col).isNotNull())
-    return p.agg(F.coalesce(F.avg((F.col(pred_col) == F.col(label)).cast("double")), F.lit(0.0)).alias("accuracy"),
-                 F.count(F.lit(1)).alias("n_predicted"))
+    hit = (F.col(pred_col) == F.col(label)).cast("double")
+    if weight:
+        w, known = F.col(weight), F.col(label).isNotNull()  # a row without a label is predicted, but neither right nor wrong
+        return p.agg(F.coalesce(F.sum(w * hit) / F.sum(F.when(known, w)), F.lit(0.0)).alias("accuracy"), F.coalesce(F.sum(w), F.lit(0)).cast("long").alias("n_predicted"))
+    return p.agg(F.coalesce(F.avg(hit), F.lit(0.0)).alias("accuracy"), F.count(F.lit(1)).alias("n_predicted"))
 
 
 def gaussian_nb_bic(model, df: DataFrame) -> DataFrame:
@@ -61,7 +65,7 @@ class MapClassifier:
     """A Bayesian network as a classifier for ``tstr``: CPTs of coded columns by counting (G1), the most probable label.
 
     ``structure``: from (features, label) to edges, the naive one by default. Rows without a possible label get no prediction,
-    which ``tstr`` counts as wrong.
+    which ``tstr`` counts as wrong. A column ``__w`` has the number of rows that a row stands for.
     """
 
     def __init__(self, structure: Callable | None = None):
@@ -73,11 +77,12 @@ class MapClassifier:
 
         self.features = [c for c in df.columns if c not in ("label", "features", "__w")]
         self.nodes = self.features + ["label"]
-        coded = df.select(*[F.col(f"`{c}`").cast("int").alias(c) for c in self.nodes])
+        weight = "__w" if "__w" in df.columns else None
+        coded = df.select(*[F.col(f"`{c}`").cast("int").alias(c) for c in self.nodes], *([weight] if weight else []))
         top = coded.agg(*[F.max(f"`{c}`").alias(f"m{i}") for i, c in enumerate(self.nodes)]).first()
         self.cards = {c: (-1 if top[i] is None else top[i]) + 1 for i, c in enumerate(self.nodes)}
         self.edges = (self.structure or naive_structure)(self.features, "label")
-        self.cpts = fit_cpts(coded, self.edges, self.nodes)
+        self.cpts = fit_cpts(coded, self.edges, self.nodes, weight)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -131,10 +136,13 @@ def number_cells(real: DataFrame, columns: Sequence[str], most: int = 256) -> di
     if not columns:
         return {}
     x = {c: F.col(f"`{c}`").cast("double") for c in columns}
-    many = real.agg(*[F.approx_count_distinct(x[c], 0.02).alias(f"d{i}") for i, c in enumerate(columns)],
-                    *[F.percentile_approx(x[c], [(j + 0.5) / most for j in range(most)], 10_000).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    few = [c for i, c in enumerate(columns) if many[f"d{i}"] <= 0.9 * most]
-    cells = {c: sorted(set(many[f"q{i}"] or [])) for i, c in enumerate(columns)}
+    sizes = real.agg(*[F.approx_count_distinct(x[c], 0.02).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    few = [c for i, c in enumerate(columns) if sizes[f"d{i}"] <= 0.9 * most]
+    many, cells = [c for c in columns if c not in few], {}
+    if many:
+        at = [(j + 0.5) / most for j in range(most)]
+        row = real.agg(*[F.percentile_approx(x[c], at, 10_000).alias(f"q{i}") for i, c in enumerate(many)]).first()
+        cells = {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(many)}
     if few:
         pairs = real.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), x[c].alias("v")) for c in few]))).filter("v is not null").distinct()
         exact: dict = {c: [] for c in few}
@@ -169,48 +177,66 @@ def tstr(syn: DataFrame, test: DataFrame, target: str = "target", classifiers: S
     ``classifiers``: names, ML estimators, classes or factories of them, or (name, one of those). Returns {classifier: accuracy or None
     (failure, with its message under '<classifier> error')} plus 'avg' over the non-null ones.
     """
-    syn, test = align_columns(syn, test)
-    feats = [c for c in test.columns if c != target]
-    cells = number_cells(test, column_kinds(test.select(*feats))[0])
-    syn, test = to_cells(syn, cells), to_cells(test, cells)
-    both = syn.select(*feats).unionByName(test.select(*feats))
-    enc = CategoryEncoder.fit(both, feats)
-
-    def coded(df: DataFrame, weighted: bool) -> DataFrame:
-        rows = df.select(*feats, F.col(target).cast("double").alias("label"))
-        if weighted:  # distinct rows with their number: the same objective over far fewer rows
-            rows = rows.groupBy(*feats, "label").agg(F.count(F.lit(1)).cast("double").alias("__w"))
-        return onehot(rows, feats, enc)
-
-    tr, te = coded(syn, True).persist(), coded(test, True).persist()
-    n_feat = sum(enc.card(c) for c in feats)
-    labels = [r[0] for r in syn.select(target).union(test.select(target)).distinct().collect()]
-    n_classes = int(max(float(x) for x in labels)) + 1 if labels else 2
-    n_rows = syn.count()
-    out = {}
-    for c in classifiers:
-        name, c = c if isinstance(c, tuple) else (c if isinstance(c, str) else type(c).__name__, c)
-        try:
-            est = classifier(c, n_classes, n_feat, n_rows, seed) if isinstance(c, str) else (c() if isinstance(c, type) or not hasattr(c, "fit") else c)
-            # forests draw rows and the perceptron takes no weights: those see every row
-            weighted = c in ("lr", "xgb")
-            if c == "mlp":
-                model = fit_perceptron(est, coded(syn, False))
-            else:
-                model = (est.setWeightCol("__w") if weighted else est).fit(tr if weighted else coded(syn, False))
-            hit = (F.col("prediction") == F.col("label")).cast("double")
-            acc = model.transform(te).agg(F.sum(hit * F.col("__w")) / F.sum("__w")).first()[0]
-            out[name] = float(acc) if acc is not None else 0.0
-        except Exception as e:  # noqa: BLE001 - a failing classifier is reported as null, as in the reference
-            out[name] = None
-            out[f"{name} error"] = f"{type(e).__name__}: {e}"[:300]
-    tr.unpersist()
-    te.unpersist()
-    vals = [v for v in out.values() if isinstance(v, float)]
-    out["avg"] = sum(vals) / len(vals) if vals else None
+    tables = TstrTables(syn, test, target)
+    out = tables.evaluate(classifiers, seed)
+    tables.release()
     return out
 
 
+class TstrTables:
+    """What ``tstr`` reads of a sample and of the test rows, whatever the classifier and the seed: each table is read once into its distinct rows,
+    in cells, with their number (``__w``), and all else follows from these."""
+
+    def __init__(self, syn: DataFrame, test: DataFrame, target: str = "target"):
+        from bayesloom.session import cached
+
+        syn, test = align_columns(syn, test)
+        self.feats = feats = [c for c in test.columns if c != target]
+        cells = number_cells(test, column_kinds(test.select(*feats))[0])
+        label = F.col(target).cast("double").alias("label")
+        self.syn, test = (to_cells(df, cells).select(*feats, label) for df in (syn, test))
+        counted = [cached(df.groupBy(*feats, "label").agg(F.count(F.lit(1)).cast("double").alias("__w"))) for df in (self.syn, test)]
+        self.enc = CategoryEncoder.fit(counted[0].select(*feats).unionByName(counted[1].select(*feats)), feats)
+        self.n_feat = sum(self.enc.card(c) for c in feats)
+        sums = [df.agg(F.sum("__w"), F.max("label")).first() for df in counted]
+        tops = [r[1] for r in sums if r[1] is not None]
+        self.n_rows, self.n_classes = int(sums[0][0] or 0), int(max(tops)) + 1 if tops else 2
+        self.train, self.test = (onehot(df, feats, self.enc).persist() for df in counted)
+        self.kept = [*counted, self.train, self.test]
+
+    def every_row(self) -> DataFrame:
+        return onehot(self.syn, self.feats, self.enc)
+
+    def evaluate(self, classifiers: Sequence, seed: int = 42) -> dict:
+        out = {}
+        for c in classifiers:
+            name, c = c if isinstance(c, tuple) else (c if isinstance(c, str) else type(c).__name__, c)
+            try:
+                est = classifier(c, self.n_classes, self.n_feat, self.n_rows, seed) if isinstance(c, str) else (
+                    c() if isinstance(c, type) or not hasattr(c, "fit") else c)
+                # distinct rows with their number: the same objective over far fewer rows. Forests draw rows and the perceptron takes no
+                # weights: those see every row
+                if c == "mlp":
+                    model = fit_perceptron(est, self.every_row())
+                elif c in ("lr", "xgb"):
+                    model = est.setWeightCol("__w").fit(self.train)
+                else:
+                    model = est.fit(self.train if isinstance(est, MapClassifier) else self.every_row())
+                hit = (F.col("prediction") == F.col("label")).cast("double")
+                acc = model.transform(self.test).agg(F.sum(hit * F.col("__w")) / F.sum("__w")).first()[0]
+                out[name] = float(acc) if acc is not None else 0.0
+            except Exception as e:  # noqa: BLE001 - a failing classifier is reported as null, as in the reference
+                out[name] = None
+                out[f"{name} error"] = f"{type(e).__name__}: {e}"[:300]
+        vals = [v for v in out.values() if isinstance(v, float)]
+        out["avg"] = sum(vals) / len(vals) if vals else None
+        return out
+
+    def release(self) -> None:
+        for df in self.kept:
+            df.unpersist()
+
+
 def discriminators(real: DataFrame, samples: DataFrame, features: Sequence[str], group: str, frac: float = 0.8, seed: int = 42,
                    key: str = "row_key", sample_key: str = "row_id", steps: int = 12) -> dict:
     """V7 for many samples at once: a logistic real-vs-synthetic model per value of ``group`` in ``samples``.
@@ -296,18 +322,21 @@ def multi_round(spark, datasets: dict, models: dict, rounds: int = 3, seed: int
         for mname, fit in models.items():
             try:
                 model = fit(train, target)
-                syn = model.sample(n, seed).persist()
+                syn = model.sample(n, seed)
+                syn = (syn.drop("row_id") if "row_id" in syn.columns else syn).persist()
                 syn.count()
             except Exception as e:  # noqa: BLE001 - a failing model has null results, with the reason beside them
                 rows += [(dname, r, mname, "avg", None, f"{type(e).__name__}: {e}"[:300]) for r in range(rounds)]
                 continue
+            t0 = time.time()
+            tables = TstrTables(syn, test, target)  # the same in every round; their time is the first one's
             for r in range(rounds):
-                t0 = time.time()
-                res = tstr(syn.drop("row_id") if "row_id" in syn.columns else syn, test, target, classifiers, seed + r)
-                secs = time.time() - t0
+                res = tables.evaluate(classifiers, seed + r)
+                secs, t0 = time.time() - t0, time.time()
                 rows += [(dname, r, mname, k, v, None) for k, v in res.items() if not isinstance(v, str)]
                 rows += [(dname, r, mname, k, None, v) for k, v in res.items() if isinstance(v, str)]
                 rows.append((dname, r, mname, "seconds", secs, None))
+            tables.release()
             syn.unpersist()
     return spark.createDataFrame(rows, "dataset string, round int, model string, metric string, value double, error string")
 

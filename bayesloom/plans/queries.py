@@ -20,6 +20,7 @@ from bayesloom.operators.cpt import cpt_check, cpt_check_summary, fit_cpts
 from bayesloom.operators.predict import GaussianNB, bn_map_predict
 from bayesloom.operators.sample import ancestral_sample, gaussian_nb_sample, union_labelled
 from bayesloom.plans import oracle_sql as O
+from bayesloom.session import cached
 from bayesloom.plans import generator_sql, search_sql
 from bayesloom.sources.tables import model_view, read
 
@@ -1154,7 +1155,7 @@ def q_multi_round(spark, d):
     from bayesloom.operators.evaluate import mean_over_rounds, multi_round
     from bayesloom.plans.models import BayesNetSynthesizer, GaussianNBSynthesizer
     v, sp = _li_split(spark, d)
-    sp = sp.persist()
+    sp = sp.select(*v.nodes, "is_test").persist()
     tr, te = sp.filter(~F.col("is_test")).select(*v.nodes), sp.filter(F.col("is_test")).select(*v.nodes)
     models = {
         "naive_bn": lambda t, y: BayesNetSynthesizer("naive").fit(t, v.features, y, v.cards()),
@@ -1212,7 +1213,7 @@ def q_multi_round_map(spark, d):
     from bayesloom.operators.evaluate import MapClassifier, mean_over_rounds, multi_round
     from bayesloom.plans.models import BayesNetSynthesizer, GaussianNBSynthesizer
     v, sp = _li_split(spark, d)
-    sp = sp.persist()
+    sp = sp.select(*v.nodes, "is_test").persist()
     tr, te = sp.filter(~F.col("is_test")).select(*v.nodes), sp.filter(F.col("is_test")).select(*v.nodes)
     models = {"naive_bn": lambda t, y: BayesNetSynthesizer("naive").fit(t, v.features, y, v.cards()),
               "gnb": lambda t, y: GaussianNBSynthesizer().fit(t, v.features, y)}

@@ -156,3 +156,55 @@ def test_map_network_as_the_classifier_of_tstr(spark):
     assert got == [0.0, 0.0, 1.0, 0.0]  # without evidence the lowest of equally likely labels
     nothing = MapClassifier().fit(syn.limit(0).withColumnRenamed("target", "label"))
     assert [r["prediction"] for r in nothing.transform(odd).collect()] == [None] * 4
+
+
+def test_a_sample_is_drawn_by_methods_that_the_jvm_compiles(spark):
+    """Five features' normal quantiles and a mixture's decoding: no generated method over 8,000 bytes, above which the JVM only interprets."""
+    from bayesloom.operators.discretise import MixtureDiscretiser
+    from bayesloom.operators.encode import MinMaxScaler
+    from bayesloom.operators.predict import GaussianNB
+    from bayesloom.operators.sample import gaussian_nb_sample
+
+    names = [f"f{i}" for i in range(5)]
+    nb = GaussianNB(names, "y", [0, 1], {0: 0.5, 1: 0.5}, {c: {f: 0.0 for f in names} for c in (0, 1)},
+                    {c: {f: 1.0 for f in names} for c in (0, 1)}, 2.0, {0: 1, 1: 1})
+    two = MixtureDiscretiser(["a", "b"], MinMaxScaler(["a", "b"], {"a": 0.0, "b": 0.0}, {"a": 1.0, "b": 1.0}), {c: [0.5, 0.5] for c in "ab"},
+                             {c: [0.2, 0.8] for c in "ab"}, {c: [0.1, 0.1] for c in "ab"})
+    codes = spark.range(100).select("id", (F.col("id") % 16).cast("int").alias("a"), (F.col("id") % 16).cast("int").alias("b"))
+    for df in (gaussian_nb_sample(spark, nb, 100), two.inverse(codes, "id")):
+        stages = df._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+        assert max(sizes, default=0) < 8000, sizes
+        assert df.dropna().count() == 100
+
+
+def test_rounds_share_one_reading_of_the_sample(spark):
+    """A sample and the test rows are read once per model, and results are those of a round on its own."""
+    from bayesloom.operators import evaluate
+
+    syn = spark.range(0, 400).select((F.col("id") % 3).cast("int").alias("a"), (F.col("id") / 7).alias("x"), (F.col("id") % 2).cast("int").alias("target"))
+    test = spark.range(0, 90).select((F.col("id") % 3).cast("int").alias("a"), (F.col("id") % 5).cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("target"))
+
+    class Model:
+        def sample(self, n, seed):
+            return syn
+
+    made, plain = [], evaluate.onehot
+    evaluate.onehot = lambda *a, **k: made.append(1) or plain(*a, **k)
+    try:
+        got = evaluate.multi_round(spark, {"d": (syn, test, "target")}, {"m": lambda t, y: Model()}, 3, classifiers=("lr", ("map", evaluate.MapClassifier)))
+    finally:
+        evaluate.onehot = plain
+    alone = evaluate.tstr(syn, test, "target", ("lr", ("map", evaluate.MapClassifier)))
+    assert len(made) == 2
+    assert {(r["round"], r["metric"]): r["value"] for r in got.filter("metric != 'seconds'").collect()} == {
+        (r, k): v for r in range(3) for k, v in alone.items()}
+
+
+def test_accuracy_of_counted_rows(spark):
+    from bayesloom.operators.evaluate import accuracy
+
+    rows = spark.createDataFrame([(0, 0, 2.0), (1, 0, 1.0), (None, 0, 5.0), (1, None, 3.0), (1, 1, 4.0)], "pred int, target int, w double")
+    each = rows.select("pred", "target", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
+    assert accuracy(rows, weight="w").first() == accuracy(each).first()
+    assert tuple(accuracy(rows.limit(0), weight="w").first()) == (0.0, 0)
