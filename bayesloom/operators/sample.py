@@ -22,8 +22,9 @@ from bayesloom.operators.structure import radix_code_expr, topological_order
 #: largest lookup table that is broadcast, and rows of a sampled partition
 BROADCAST_BYTES = 64 << 20
 PARTITION_ROWS = 2_000_000
-#: cards up to which a configuration's ends are stored for every value and compared one by one
-UNROLL_LIMIT = 256
+#: cards up to which a configuration's ends are stored for every value and compared one by one (two nodes of 80 values take the
+#: comparisons over the size of a method that the JVM compiles)
+UNROLL_LIMIT = 16
 
 
 def fits_broadcast(rows: int, doubles: int, cells: int = 0) -> bool:

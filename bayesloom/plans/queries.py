@@ -1000,10 +1000,12 @@ def q_mixed_synth(spark, d):
     from bayesloom.plans.models import MixedSynthesizer
     v = _li(spark, d)
     raw = read(spark, d, "lineitem").select(F.expr(LI_KEY).alias("row_key"), *_MIX)
-    df = v.df.select("row_key", "disc_b", "tax_b", "status", "target").join(raw, "row_key")
+    df = cached(v.df.select("row_key", "disc_b", "tax_b", "status", "target").join(raw, "row_key").drop("row_key"))  # read by every fit
     m = MixedSynthesizer(numeric=_MIX)
     m.fit(df, _MIX + ["disc_b", "tax_b", "status"], "target", v.cards())
-    return m.sample(int(df.count()), 42)
+    n = int(df.count())
+    df.unpersist()
+    return m.sample(n, 42)
 
 
 # ------------------------------------------------------------------ iterative models and evaluation (no SQL form)
