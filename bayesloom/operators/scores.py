@@ -216,7 +216,16 @@ def complexity_penalty(n_nodes: int, n_rows: float) -> float:
     return n_nodes / 2.0 * math.log(n_rows)
 
 
+#: distinct rows that a task over a kept compaction takes
+COMPACT_ROWS = 200_000
+
+
 def compacted(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> DataFrame:
-    """Persisted compaction of the model columns, reused by every score of a search."""
+    """Persisted compaction of the model columns, reused by every score of a search. In as many partitions as its rows need: a kept table stays in
+    all partitions of the shuffle, and every task of every job over it sends its report to the driver."""
     from bayesloom.session import cached
-    return cached(compact(df, cols, weight))
+    dealt = cached(compact(df, cols, weight))
+    out = cached(dealt.coalesce(max(1, -(-dealt.count() // COMPACT_ROWS))))
+    out.count()
+    dealt.unpersist()
+    return out

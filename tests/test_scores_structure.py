@@ -153,3 +153,16 @@ def test_radix_code_fixture(spark):
 def test_import_adjacency():
     m = [[0, 1], [0, 0]]
     assert K.import_adjacency(m, ["a", "b"], "y") == [("y", "a"), ("y", "b"), ("a", "b")]
+
+
+def test_a_kept_compaction_has_the_partitions_its_rows_need(spark):
+    """Each task of each job over it reports to the driver, so a search's reports would follow the shuffle's partitions."""
+    from pyspark.sql import functions as F
+
+    from bayesloom.operators.scores import compacted
+
+    df = spark.range(0, 900, 1, 30).select((F.col("id") % 3).cast("int").alias("a"), (F.col("id") % 5).cast("int").alias("b"))
+    kept = compacted(df, ["a", "b"])
+    assert kept.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, kept.collect())) == [(a, b, 60.0) for a in range(3) for b in range(5)]
+    assert compacted(df.limit(0), ["a", "b"]).count() == 0
