@@ -270,13 +270,13 @@ class FamilyScoreCache:
     scored together in a single Spark job (K11)."""
 
     def __init__(self, df: DataFrame, nodes: Sequence[str], cards: dict, kind: str | Callable = "bic",
-                 n_rows: float | None = None, **kw):
+                 n_rows: float | None = None, weight: str | None = None, **kw):
         from bayesloom.operators.scores import compacted, moments
         self.nodes = list(nodes)
         self.cards = cards
         self.kind = kind
         self.kw = kw
-        self.base = compacted(df, self.nodes)
+        self.base = compacted(df, self.nodes, weight)
         self.n_rows = n_rows or float(self.base.agg(F.sum("w")).first()[0])
         self.cache: dict = {}
         self.jobs = 0

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bayesloom.operators import structure as K
-from bayesloom.operators.counts import compact
 from bayesloom.operators.cpt import fit_cpts, weights_to_cpts
 from bayesloom.operators.evaluate import discriminator, tstr
 from bayesloom.operators.predict import GaussianNB
+from bayesloom.operators.scores import compacted
 from bayesloom.operators.sample import ancestral_sample, gaussian_nb_sample
 from bayesloom.operators.weights import DiscriminativeWeights
 from bayesloom.session import cached
@@ -36,9 +36,10 @@ class BayesNetSynthesizer:
     cards: dict = field(default_factory=dict)
     cpts: DataFrame | None = None
 
-    def fit(self, df: DataFrame, features: Sequence[str], label: str, cards: dict, edges=None) -> "BayesNetSynthesizer":
+    def fit(self, df: DataFrame, features: Sequence[str], label: str, cards: dict, edges=None, weight: str | None = None) -> "BayesNetSynthesizer":
+        """``weight``: column with the number of rows that a row stands for."""
         self.nodes, self.label, self.cards = list(features) + [label], label, dict(cards)
-        base = cached(compact(df, self.nodes))
+        base = compacted(df, self.nodes, weight)
         if edges is not None:
             self.edges = list(edges)
         elif self.structure == "naive":
@@ -48,8 +49,9 @@ class BayesNetSynthesizer:
         elif self.structure == "tree":
             self.edges = K.tree_search(base, self.nodes, weight="w", compacted=True)
         elif self.structure == "hill_climb":
-            cache = K.FamilyScoreCache(df, self.nodes, self.cards, self.score)
+            cache = K.FamilyScoreCache(df, self.nodes, self.cards, self.score, weight=weight)
             self.edges = K.hill_climb(df, self.nodes, self.cards, self.score, cache=cache)
+            cache.base.unpersist()
         else:
             raise ValueError(self.structure)
         self.cpts = fit_cpts(base, self.edges, self.nodes, weight="w", compacted=True)
@@ -88,7 +90,7 @@ class KDependenceGenerator:
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str, cards: dict, key: str = "row_key") -> "KDependenceGenerator":
         self.nodes, self.label, self.cards = list(features) + [label], label, dict(cards)
-        base = cached(compact(df, self.nodes))
+        base = compacted(df, self.nodes)
         enc = K.HighOrderEncoder.fit(base, list(features), label, cards, self.k,
                                      edges=K.kdb_structure(base, list(features), label, self.k, weight="w", compacted=True))
         self.edges = enc.edges

@@ -1137,17 +1137,17 @@ def q_trtr_structures(spark, d):
     from bayesloom.operators.evaluate import accuracy
     from bayesloom.plans.models import BayesNetSynthesizer
     v, sp = _li_split(spark, d)
-    sp = sp.persist()
-    tr, te = sp.filter(~F.col("is_test")), sp.filter(F.col("is_test"))
+    counted = S.compacted(sp, [*v.nodes, "is_test"])  # one pass over the rows; the networks count and predict the distinct ones
+    tr, te = counted.filter(~F.col("is_test")), counted.filter(F.col("is_test"))
     rows = []
     for name in ("hill_climb", "tree", "kdb"):
-        b = BayesNetSynthesizer(name).fit(tr, v.features, v.label, v.cards())
+        b = BayesNetSynthesizer(name).fit(tr, v.features, v.label, v.cards(), weight="w")
         if not any(v.label in e for e in b.edges):
             rows.append((name, None))
             continue
         p = bn_map_predict(te, b.cpts, b.edges, v.nodes, v.label, v.cards())
-        rows.append((name, float(accuracy(p, "pred", v.label).first()[0])))
-    sp.unpersist()
+        rows.append((name, float(accuracy(p, "pred", v.label, "w").first()[0])))
+    counted.unpersist()
     return spark.createDataFrame(rows, "model string, accuracy double")
 
 
