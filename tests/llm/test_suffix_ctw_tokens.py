@@ -64,6 +64,39 @@ def test_one_passage_in_every_document_over_many_buckets(spark):
     assert [got[i] for i in range(len(texts))] == [x[4] for x in brute_dedup(texts, 40)]
 
 
+def test_a_hot_token_below_a_bucket_is_cut_into_shares(spark, monkeypatch):
+    """A megabyte of different runs around one passage: a sixteenth of a bucket, but more than is sorted at a time."""
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 256 << 10)
+    rng = np.random.default_rng(3)
+    passage = "".join(rng.choice(list("cdefghij"), 60))
+    near = sorted({f"{k:016b}".replace("0", "a").replace("1", "b") for k in rng.integers(0, 1 << 16, 16000)})
+    texts = [a + passage + b for a, b in zip(near, near[::-1])]
+    written = []
+    keep = suffix_dedup.materialise
+    monkeypatch.setattr(suffix_dedup, "materialise", lambda df: written.append(keep(df)) or written[-1])
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string").repartition(4)
+    got = {r["n"]: r["spans"] for r in suffix_dedup.dedup(df, ["n"], length=64).collect()}
+    assert [got[i] for i in range(len(texts))] == [x[4] for x in brute_dedup(texts, 64)]
+    strings = next(t for t in written if "one" in t.columns).filter("kind = 1")
+    assert strings.count() > 0  # those of cut tokens
+    runs = next(t for t in written if "sha" in t.columns).filter("kind = 3").select("h", "c", "s")
+    placed, cut = suffix_dedup._shared_out(runs, suffix_dedup.BUCKET_BYTES)
+    shares = [r["bytes"] for r in placed.groupBy("h", "share").agg(F.sum(F.length("s")).alias("bytes")).collect()]
+    assert cut and max(shares) < 1.2 * (256 << 10)
+
+
+def test_shares_of_a_token_in_one_bucket_are_sorted_one_after_another(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 1000)
+    rng = np.random.default_rng(4)
+    runs = [(a + b"n" * 40 + a) for a in (rng.integers(97, 107, 10, dtype=np.uint8).tobytes() for _ in range(120))]
+    bucket = [pa.RecordBatch.from_arrays([pa.array([7] * 20), pa.array(range(k, k + 20)), pa.array(runs[k:k + 20], pa.binary()), pa.array([k // 40] * 20)],
+                                         names=["h", "c", "s", "share"]) for k in range(0, 120, 20)]
+    out = pa.Table.from_batches(list(suffix_dedup._sort_bucket(40, np.array([7], np.uint64))(iter(bucket)))).to_pylist()
+    passage = collections.Counter((r["one"], r["two"]) for r in out if r["kind"] == 1).most_common(1)[0]
+    assert passage[1] == 3
+    assert {r["c"]: r["starts"] for r in out if r["kind"] == 0}.keys() == set(range(120))
+
+
 def test_empty_table_of_texts(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.dedup(df, ["doc_id"]).collect() == []
